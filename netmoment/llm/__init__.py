@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("line_dedup",)
+_MODULES = ("line_dedup", "mixing")
 
 
 def _gather(name: str) -> dict:
