@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("line_dedup", "mixing")
+_MODULES = ("sharding", "mixing", "quality", "line_dedup")
 
 
 def _gather(name: str) -> dict:
