@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("sharding", "media", "mixing", "quality", "line_dedup")
+_MODULES = ("sharding", "media", "mixing", "quality", "substring_dedup", "line_dedup")
 
 
 def _gather(name: str) -> dict:
