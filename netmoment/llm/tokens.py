@@ -27,6 +27,8 @@ def _generator(seed: int, n: int) -> np.ndarray:
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators for words of letters and digits only: all other ASCII.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BYTE = _generator(11, 256)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
@@ -67,14 +69,14 @@ class Words:
 
     __slots__ = ("bytes", "ends", "first", "hashes", "starts")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
-        """data: the texts' bytes, one after the other; offsets: where each begins, and the end."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, separators: np.ndarray = _SEPARATOR):
+        """data: the texts' bytes, one after the other; offsets: where each begins, and the end; separators: by byte."""
         base = int(offsets[0]) if len(offsets) else 0
         offsets = offsets.astype(np.int64) - base
         data = data[base : base + int(offsets[-1])]
         n = len(data)
         self.bytes = data
-        word = ~_SEPARATOR[data]
+        word = ~separators[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True  # a word never runs from one text into the next
         before = np.empty(n, dtype=bool)
@@ -124,7 +126,7 @@ def sized(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = end
 
 
-def words(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
+def words(column: pa.Array, lower: bool, separators: np.ndarray = _SEPARATOR) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) for runs of the column's texts."""
     for at, end, data, offsets in sized(column):
-        yield at, end, Words(data, offsets, lower)
+        yield at, end, Words(data, offsets, lower, separators)
