@@ -17,7 +17,7 @@ Defined results: a null text has no words; a null source is a source of its own,
 last in order; a document without words is taken zero words, but is copied like
 its neighbours in materialized output; with no words at all each target is 0;
 an empty table gives an empty result; equal hashes are ordered by doc_id, and
-rows with equal doc_id and size are alike.  Other columns pass through mixed()
+rows with equal doc_id and text are alike.  Other columns pass through mixed()
 and are ignored by taken().
 """
 
@@ -40,9 +40,9 @@ DRIVER_NODES = 64
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, place): words of the text, and the place in the source's order, of HASH_BITS bits."""
+    """(doc_id, source, body, size, place): a hash and the words of the text, and the place in the source's order, of HASH_BITS bits."""
     place = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), place.alias("place"))
+    return docs.select("doc_id", "source", F.xxhash64("text").alias("body"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), place.alias("place"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
@@ -93,7 +93,7 @@ class Mix:
         plan = F.broadcast(self.sources) if few else self.sources
         of_source = self.sizes.alias("d").join(plan.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
         #: Each document with its source's plan and its block.
-        self.placed = of_source.select("doc_id", "size", "place", "d.source", "sid", "source_size", "target", "passes", "rest", F.expr(f"shiftright(place, {HASH_BITS} - bits)").alias("block"))
+        self.placed = of_source.select("doc_id", "body", "size", "place", "d.source", "sid", "source_size", "target", "passes", "rest", F.expr(f"shiftright(place, {HASH_BITS} - bits)").alias("block"))
         total = self.sources.agg(F.sum("target")).first()[0] or 0.0
         self.shards = max(1, round(total / shard_words))
 
@@ -107,7 +107,7 @@ class Mix:
     def copies(self) -> DataFrame:
         """placed, with copies (how many the mix takes), the block's number and before, its source's n_blocks, and row (its place in the block)."""
         at = self.placed.join(self.blocks().select("sid", "block", "number", "before", F.col("last").alias("_last")), ["sid", "block"])
-        w = Window.partitionBy("sid", "block").orderBy("place", "doc_id", "size")
+        w = Window.partitionBy("sid", "block").orderBy("place", "doc_id", "size", "body")
         at = at.withColumn("row", F.row_number().over(w))
         start = F.col("before") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
         more = (start + F.col("size") / 2.0 <= F.col("rest")) & (F.col("rest") > 0)
@@ -133,22 +133,26 @@ class Mix:
         return owned.withColumn("end", end).select("sid", "shard", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("draw"))
 
     def taken(self) -> DataFrame:
-        """Per document: doc_id, size, source_size, target, taken (words), shards (of its copies, in order of drawing)."""
+        """Per document: doc_id, body, size, source_size, target, taken (words), shards (of its copies, in order of drawing)."""
         row = ["sid", "number", "row"]
         drawn = self.copies().withColumn("pass", F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1))))
-        drawn = drawn.withColumn("draw", F.col("pass") * F.col("n_blocks") + F.col("number")).select(*row, "doc_id", "size", "source_size", "target", "draw")
+        drawn = drawn.withColumn("draw", F.col("pass") * F.col("n_blocks") + F.col("number")).select(*row, "doc_id", "body", "size", "source_size", "target", "draw")
         dealt = drawn.join(self.shard_ranges(), ["sid", "draw"], "left")
         held = F.array_sort(F.collect_list(F.when(F.col("shard").isNotNull(), F.struct("draw", "shard"))))
-        each = dealt.groupBy(*row).agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], held.alias("held"))
-        return each.select("doc_id", "size", "source_size", "target", (F.size("held") * F.col("size")).alias("taken"), F.col("held.shard").alias("shards"))
+        each = dealt.groupBy(*row).agg(*[F.first(c).alias(c) for c in ("doc_id", "body", "size", "source_size", "target")], held.alias("held"))
+        return each.select("doc_id", "body", "size", "source_size", "target", (F.size("held") * F.col("size")).alias("taken"), F.col("held.shard").alias("shards"))
 
     def mixed(self) -> DataFrame:
         """The input's rows, as often as the mix takes them, shuffled within the shards: a partition holds whole shards."""
-        t = self.taken().where(F.size("shards") > 0).select(F.col("doc_id").alias("_d"), F.explode("shards").alias("_shard"))
-        rows = self.docs.join(t, F.col("doc_id").eqNullSafe(F.col("_d")))
+        copies = self.taken().where(F.size("shards") > 0).select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), F.explode("shards").alias("_shard"))
+        docs = self.docs
+        if self.sizes.groupBy("doc_id", "body").count().where("count > 1").limit(1).count():
+            # equal rows have been taken each by itself; here one stands for all their copies
+            docs = docs.dropDuplicates(["doc_id", "text"])
+        rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_b")))
         n = max(1, min(self.shards, partitions(self.spark)))
-        order = F.xxhash64("_shard", "_d", F.lit(self.seed))
-        return rows.repartition(n, "_shard").sortWithinPartitions("_shard", order).drop("_d", "_shard")
+        order = F.xxhash64("_shard", "_d", "_b", F.lit(self.seed))
+        return rows.repartition(n, "_shard").sortWithinPartitions("_shard", order).drop("_d", "_b", "_shard")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
