@@ -1,14 +1,14 @@
 """Removal of repeated windows of words, with a count-min prefilter.
 
-A window's anchor is its smallest word 8-gram by hash, the leftmost if equal.  Equal
-windows have equal anchors, and two windows at different places whose anchor is
-at one place would be the same window; so a window that repeats has an anchor
-gram that is chosen at two places at least.  Anchors are about a fourteenth of
-the words.
+A window is covered by spans of SPAN neighbouring word 8-grams.  A span's anchor
+is its smallest gram by hash, the leftmost if equal.  Equal spans have equal
+anchors, and two spans at different places whose anchor is at one place would be
+one span; so in a window that repeats, each span's anchor is a gram that is chosen at two
+places at least.  Anchors are about an eighth of the words.
 
 First pass: each partition sketches its anchor grams into 2**sketch_bits cells
 that count to two; the merged sketch, one bit for each cell, overestimates how
-often a gram is an anchor.  Second pass: only windows with an anchor that is
+often a gram is an anchor.  Second pass: only windows all of whose anchors are
 estimated to repeat go on, as 96-bit hashes, to be grouped exactly by hash; none
 that repeats is lost.  A partition settles among its own windows first and
 sends each hash once, so a text with copies everywhere costs each reducer one
@@ -41,26 +41,45 @@ from .tables import partitions, table
 from .tokens import Words, words
 
 GRAM = 8
+SPAN = 14
 SKETCH_BITS = 28
 SLICE_BITS = 20
 POSTING = np.dtype([("h", "<u8"), ("row", "<i8"), ("check", "<u4"), ("start", "<u4")])
 #: The high bit of a posting's start: its repetition is known, others only have to hear of it.
 KNOWN = np.uint32(1 << 31)
+ANSWER = np.dtype([("row", "<i8"), ("start", "<u4")])
 FLUSH = 1 << 20
 
 
-def window_anchors(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, text, anchor's word, anchor's hash) of each window of k words that lies within one text."""
-    g = w.windows(GRAM)
-    span = k - GRAM + 1
-    n = len(w.hashes) - k + 1
+def span_of(k: int) -> int:
+    """Grams in a span, for windows of k words."""
+    return min(SPAN, k - GRAM + 1)
+
+
+def anchors(w: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, anchor's word) of each span of grams that lies within one text."""
+    length = span + GRAM - 1
+    n = len(w.hashes) - length + 1
     if n <= 0:
-        e = np.zeros(0, dtype=np.int64)
-        return e, e, e, np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    at = np.flatnonzero(text[: n] == text[k - 1 :])
-    low = np.lib.stride_tricks.sliding_window_view(g, span)[at].argmin(1) + at
-    return at, text[at], low, g[low]
+    at = np.flatnonzero(text[:n] == text[length - 1 :])
+    return at, np.lib.stride_tricks.sliding_window_view(w.windows(GRAM), span)[at].argmin(1) + at
+
+
+def estimated(w: Words, k: int, bits: int, repeated: np.ndarray) -> np.ndarray:
+    """First words of the windows of k words all of whose anchors the sketch says repeat."""
+    span = span_of(k)
+    at, low = anchors(w, span)
+    if not len(at):
+        return at
+    cell = (w.windows(GRAM)[low] >> np.uint64(64 - bits)).astype(np.int64)
+    missing = np.ones(len(w.hashes) + 1, dtype=np.int64)
+    missing[at] = 1 - (repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
+    total = np.concatenate([[0], np.cumsum(missing)])
+    spans = k - GRAM - span + 2
+    n = len(w.hashes) - k + 1
+    return np.flatnonzero(total[spans : spans + n] == total[:n]) if n > 0 else at[:0]
 
 
 def _sketched(k: int, bits: int):
@@ -74,8 +93,7 @@ def _sketched(k: int, bits: int):
 
         for b in batches:
             for _, _, w in words(b.column(0), lower=False):
-                _, _, low, _ = window_anchors(w, k)
-                low = np.unique(low)
+                low = np.unique(anchors(w, span_of(k))[1])
                 held.append((w.windows(GRAM)[low] >> np.uint64(64 - bits)).astype(np.int64))
                 n += len(low)
                 if n > 4 * FLUSH:
@@ -138,13 +156,11 @@ def _candidates(k: int, bits: int, seen: Broadcast, buckets: int):
         for b in batches:
             row = b.column(0).to_numpy(zero_copy_only=False)
             for at, _, w in words(b.column(1), lower=False):
-                start, text, _, anchor = window_anchors(w, k)
-                cell = (anchor >> np.uint64(64 - bits)).astype(np.int64)
-                hit = np.flatnonzero(repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
-                if not len(hit):
+                start = estimated(w, k, bits, repeated)
+                if not len(start):
                     continue
-                p = np.empty(len(hit), dtype=POSTING)
-                start, text = start[hit], text[hit]
+                p = np.empty(len(start), dtype=POSTING)
+                text = np.searchsorted(w.first, start, side="right") - 1
                 p["h"], p["check"] = w.windows(k)[start], (w.windows(k, second=True)[start] >> np.uint64(32)).astype(np.uint32)
                 p["h"] |= np.uint64(1)  # 0 marks what is known
                 p["row"], p["start"] = row[at + text], start - w.first[text]
@@ -159,33 +175,42 @@ def _candidates(k: int, bits: int, seen: Broadcast, buckets: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, starts) of the windows whose hash is in the partition twice or known to repeat."""
-    p = packed.gathered(batches, POSTING)
-    p = p[np.lexsort((p["check"], p["h"]))]
-    new = np.ones(len(p), dtype=bool)
-    new[1:] = (p["h"][1:] != p["h"][:-1]) | (p["check"][1:] != p["check"][:-1])
-    size = np.diff(np.append(np.flatnonzero(new), len(p)))
-    p = p[np.repeat(size > 1, size) | (p["start"] & KNOWN > 0)]
+def _repeated(buckets: int):
+    """The places, by bucket of their row, of the windows whose hash is in the partition twice or known to repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = packed.gathered(batches, POSTING)
+        p = p[np.lexsort((p["check"], p["h"]))]
+        new = np.ones(len(p), dtype=bool)
+        new[1:] = (p["h"][1:] != p["h"][:-1]) | (p["check"][1:] != p["check"][:-1])
+        size = np.diff(np.append(np.flatnonzero(new), len(p)))
+        p = p[np.repeat(size > 1, size) | (p["start"] & KNOWN > 0)]
+        out = np.empty(len(p), dtype=ANSWER)
+        out["row"], out["start"] = p["row"], p["start"] & ~KNOWN
+        yield packed.dealt(out["row"] % buckets, out)
+
+    return run
+
+
+def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, starts), each row once."""
+    p = packed.gathered(batches, ANSWER)
     p = p[np.argsort(p["row"], kind="stable")]
-    at = np.flatnonzero(np.diff(p["row"], prepend=p["row"][0] - 1 if len(p) else 0))
-    starts = (p["start"] & ~KNOWN).astype("<u4")
-    for i in range(0, len(at), 10_000):
-        cut_ = at[i : i + 10_001]
-        end = cut_[-1] if len(cut_) > 10_000 else len(p)
-        cut_ = cut_[:10_000]
-        lists = [x.tobytes() for x in np.split(starts[cut_[0] : end], cut_[1:] - cut_[0])]
-        yield pa.RecordBatch.from_arrays([pa.array(p["row"][cut_]), pa.array(lists, pa.binary())], names=["row", "starts"])
+    at = np.flatnonzero(np.concatenate([[True], p["row"][1:] != p["row"][:-1]])) if len(p) else np.zeros(0, dtype=np.int64)
+    ends = np.append(at, len(p))
+    for i in range(0, len(at), 1000):
+        lists = [p["start"][a:b].tobytes() for a, b in zip(ends[i : i + 1000], ends[i + 1 : i + 1001], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(p["row"][at[i : i + 1000]]), pa.array(lists, pa.binary())], names=["row", "starts"])
 
 
 def repeated_starts(docs: DataFrame, k: int = 35, bits: int = SKETCH_BITS) -> DataFrame:
-    """(row, starts): for rows of docs with repeated windows, lists of their first words; row is xxhash64(doc_id, text)."""
+    """(row, starts): for rows of docs with repeated windows, their first words; row is xxhash64(doc_id, text)."""
     spark = docs.sparkSession
     n = partitions(spark)
     bits = max(bits, SLICE_BITS)
     windows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(_candidates(k, bits, sketch(docs, k, bits), 4 * n), packed.SCHEMA)
-    found = windows.repartition(n, "bucket").mapInArrow(_repeated, "row long, starts binary")
-    return found.groupBy("row").agg(F.collect_list("starts").alias("starts"))
+    found = windows.repartition(n, "bucket").mapInArrow(_repeated(4 * n), packed.SCHEMA)
+    return found.repartition(n, "bucket").mapInArrow(_by_row, "row long, starts binary")
 
 
 def dedup(docs: DataFrame, k: int = 35, bits: int = SKETCH_BITS, with_text: bool = False) -> DataFrame:
@@ -197,15 +222,14 @@ def dedup(docs: DataFrame, k: int = 35, bits: int = SKETCH_BITS, with_text: bool
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, removed, digest, kept = [], [], [], []
-            for text, lists in zip(pc.fill_null(b.column(1), "").cast(pa.large_binary()), b.column(2), strict=True):
+            for text, starts in zip(pc.fill_null(b.column(1), "").cast(pa.large_binary()), b.column(2), strict=True):
                 found = text.as_py().split()
                 n_words.append(len(found))
-                if lists.is_valid and len(lists):
+                if starts.is_valid:
                     gone = np.zeros(len(found) + 1, dtype=np.int64)
-                    for part in lists.as_py():
-                        s = np.frombuffer(part, dtype="<u4").astype(np.int64)
-                        np.add.at(gone, s, 1)
-                        np.add.at(gone, s + k, -1)
+                    s = np.unique(np.frombuffer(starts.as_py(), dtype="<u4")).astype(np.int64)
+                    gone[s] += 1
+                    gone[s + k] -= 1
                     found = list(compress(found, (np.cumsum(gone)[:-1] == 0).tolist()))
                 removed.append(n_words[-1] - len(found))
                 out = b" ".join(found)
