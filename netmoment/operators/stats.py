@@ -100,6 +100,11 @@ def motifs(view: NodeView, names: tuple[str, ...] = TRIANGLE + QUADRANGLE, norma
     if model.is_homogeneous:
         all_ = _homogeneous(model)
         return _spread(view, {k: all_[k] / scale for k in names})
+    if model.n < 4 and (none := [k for k in names if model.n < (3 if k in TRIANGLE else 4)]):
+        # too few nodes for the motif: exactly 0, which the difference of sums would miss by rounding
+        rest = tuple(k for k in names if k not in none)
+        found = motifs(view, rest, normalize, **mc) if rest else view.rows().select("pos", "id")
+        return found.select("*", *[F.lit(0.0).alias(k) for k in none]).select(*[c for c in ("pos", "id", "rep") if c in found.columns], *names)
     draws = mc.pop("mc", None)
     if draws is None:
         draws = kernels.DEFAULT_DRAWS if model.n > kernels.MC_ABOVE and not set(names) <= {"twedge", "thead"} else False
