@@ -3,7 +3,7 @@
 A task takes focal nodes and computes their rows against all nodes by matrix
 products.  The broadcast holds two numbers for each node.  Exact sums need at
 least n**2 operations for each focal node, so they are refused beyond
-EXACT_NODES; Monte Carlo beyond MC_NODES, with which the broadcast stays below
+options' exact_nodes; Monte Carlo beyond mc_nodes, with which the broadcast stays below
 64 MB.  Both bounds can be raised by the caller.
 """
 
@@ -16,13 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import options
 from ..plans.model import Ensemble
 
-EXACT_NODES = 100_000
-MC_NODES = 4_000_000
-#: Models of more nodes use Monte Carlo unless told otherwise.
-MC_ABOVE = 1000
-DEFAULT_DRAWS = 50
 #: Focal nodes in a block, and columns that are made at once.
 ROWS, COLUMNS = 64, 2048
 
@@ -70,9 +66,9 @@ def _quadrangle(mu: np.ndarray, p: np.ndarray, whole: np.ndarray | None, i: int,
     return total / 2
 
 
-def exact(model: Ensemble, focal: DataFrame, names: list[str], most: int = EXACT_NODES) -> DataFrame:
+def exact(model: Ensemble, focal: DataFrame, names: list[str]) -> DataFrame:
     """(id, names) of focal nodes, for names among triangle, quadrangle, qwedge, qhead."""
-    ids, mu = _parameters(model, most)
+    ids, mu = _parameters(model, options.get("exact_nodes"))
     shared = model.spark.sparkContext.broadcast((ids, mu))
     names = list(names)
 
@@ -155,15 +151,16 @@ class _Draws:
         return self.weight * total / self.draws
 
 
-def monte_carlo(model: Ensemble, focal: DataFrame, names: tuple[str, ...], draws: int, seed: int = 0, repeat: int = 1, average: bool = True, same_seed: bool = True, most: int = MC_NODES) -> DataFrame:
+def monte_carlo(model: Ensemble, focal: DataFrame, names: tuple[str, ...], draws: int, seed: int = 0, repeat: int | None = None, average: bool = True, same_seed: bool = True) -> DataFrame:
     """(id[, rep], names): importance-sampling estimates; neighbours are drawn in proportion to the edge probabilities.
 
     A node's draws depend on seed, its id and the repetition only.  Without average there is a row for each repetition;
     with same_seed the motifs share their draws.
     """
+    repeat = options.get("mc_repeat") if repeat is None else repeat
     if draws <= 0 or repeat <= 0:
         raise ValueError("draws and repetitions must be positive")
-    ids, mu = _parameters(model, most)
+    ids, mu = _parameters(model, options.get("mc_nodes"))
     d = np.concatenate([_rows(mu, np.arange(a, min(a + ROWS, len(mu)))).sum(1) for a in range(0, len(mu), ROWS)])
     shared = model.spark.sparkContext.broadcast((ids, mu, d))
     names = tuple(names)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..plans import options
 from ..plans.model import Ensemble, NodeView
 from . import kernels
 
@@ -91,7 +92,7 @@ def degree(view: NodeView, normalize: bool = False) -> DataFrame:
 
 
 def motifs(view: NodeView, names: tuple[str, ...] = TRIANGLE + QUADRANGLE, normalize: bool = False, **mc) -> DataFrame:
-    """(pos, id, names): expected counts; exact up to kernels.EXACT_NODES nodes, else by Monte Carlo.
+    """(pos, id, names): expected counts; exact up to options' mc_above nodes, else by Monte Carlo.
 
     mc=draws asks for Monte Carlo, mc=False for the exact sums; seed, repeat and average as in kernels.monte_carlo.
     """
@@ -107,7 +108,7 @@ def motifs(view: NodeView, names: tuple[str, ...] = TRIANGLE + QUADRANGLE, norma
         return found.select("*", *[F.lit(0.0).alias(k) for k in none]).select(*[c for c in ("pos", "id", "rep") if c in found.columns], *names)
     draws = mc.pop("mc", None)
     if draws is None:
-        draws = kernels.DEFAULT_DRAWS if model.n > kernels.MC_ABOVE and not set(names) <= {"twedge", "thead"} else False
+        draws = options.get("mc_draws") if model.n > options.get("mc_above") and not set(names) <= {"twedge", "thead"} else False
     if draws:
         values = kernels.monte_carlo(model, view.focal(), names, draws, **mc)
         rep = ["rep"] if "rep" in values.columns else []

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import fit, geometry, grids, observed, sampling, stats
+from ..functions.random import RandomGenerator
+from ..operators import fit, geometry, grids, iteration, observed, sampling, stats
 from ..sources.graphs import edges_by_slots, nodes, read
 from .model import Ensemble
 
@@ -623,3 +624,53 @@ def mc_error_metrics(spark: SparkSession, d: str) -> DataFrame:
     m = supplier(spark, d)
     both = stats.degree(m.nodes).select("id", F.col("degree").alias("exact")).join(m.all_nodes.select("id", F.col("mu").alias("other")), "id")
     return rounded(grids.error_metrics(both, "exact", "other"))
+
+
+# Kernels of the caller, pairwise functions, random numbers
+
+_PP = iteration.pair_probability
+
+
+@query(f"WITH {N_SUPPLIER}, {P}, {D}, {TW} SELECT i AS id, {_r('tw', 'value')} FROM tw")
+def iterate_twedge(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(iteration.iterate(supplier(spark, d).nodes, 2, lambda i, j, k: _PP(i, j) * _PP(i, k)))
+
+
+@query(f"WITH {N_NATION}, {P}, x AS (SELECT a.i, sum(a.p * b.p) AS v FROM p a JOIN p b ON a.i = b.i GROUP BY a.i) SELECT i AS id, {_r('v', 'value')} FROM x")
+def iterate_repeated(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(iteration.iterate(nation(spark, d).nodes, 2, lambda i, j, k: _PP(i, j) * _PP(i, k), unique=False))
+
+
+@query()
+def mc_iterate_triangle(spark: SparkSession, d: str) -> DataFrame:
+    kernel = lambda i, j, k: _PP(i, j) * _PP(j, k) * _PP(i, k) / 2
+    return rounded(iteration.iterate_sampled(nation(spark, d).nodes, 2, kernel, [_PP, lambda i, j, k: _PP(j, k)], 20, seed=3))
+
+
+@query(f"WITH {_POINTS} SELECT a.id AS i, b.id AS j, {_r('list_sum(list_transform(list_zip(a.x, b.x), lambda v: abs(v[1] - v[2])))', 'value')} FROM pts a JOIN pts b ON a.id < b.id")
+def pairwise_manhattan(spark: SparkSession, d: str) -> DataFrame:
+    f = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v)
+    return rounded(iteration.pairwise(points(spark, d), f))
+
+
+@query("SELECT CAST(user_id AS BIGINT) AS id, array_to_string(list(event_type ORDER BY event_id), ',') AS types FROM events GROUP BY user_id")
+def split_by(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select(F.col("user_id").cast("long").alias("id"), "event_id", "event_type")
+    return iteration.split_by(e, "id", "event_id", "event_type").select("id", F.array_join("values", ",").alias("types"))
+
+
+@query("WITH b AS (SELECT n, unnest(range(0, n, 7)) AS start FROM (SELECT count(*) AS n FROM customer)) SELECT start, least(start + 7, n) AS stop FROM b")
+def batch_slices(spark: SparkSession, d: str) -> DataFrame:
+    n = read(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.explode(iteration.batch_slices(F.col("n"), 7)).alias("b")).select("b.start", "b.stop")
+
+
+def _u(parts: str) -> str:
+    return UNIFORM.format(parts)
+
+
+@query(f"""SELECT CAST(id AS BIGINT) AS id, {_r(f"2 + 3 * {_u("'5:' || id")}", 'uniform')}, {_r(f"1 + 2 * sqrt(-2 * ln(1 - {_u("'5:' || id || ':r'")})) * cos({2 * math.pi!r}::DOUBLE * {_u("'5:' || id || ':t'")})", 'normal')},
+  {_r(f"-ln(1 - {_u("'5:' || id")}) / 2", 'exponential')}, CAST(floor({_u("'5:' || id")} * 10) AS BIGINT) AS choice, {_u("'5:' || id")} < 0.3 AS bernoulli FROM range(500) t(id)""")
+def random_numbers(spark: SparkSession, d: str) -> DataFrame:
+    g, i = RandomGenerator(5), F.col("id")
+    return rounded(spark.range(500).select("id", g.uniform(i, low=2.0, high=5.0).alias("uniform"), g.normal(i, mean=1.0, sd=2.0).alias("normal"), g.exponential(i, rate=2.0).alias("exponential"), g.choice(10, i).alias("choice"), g.bernoulli(0.3, i).alias("bernoulli")))

@@ -81,6 +81,13 @@ def to_networkx(edges: DataFrame, ids: DataFrame) -> Any:
     return g
 
 
+def to_igraph(edges: DataFrame, n: int) -> Any:
+    """An igraph graph of ids 0 to n-1; needs igraph, and a graph that fits the driver."""
+    import igraph
+
+    return igraph.Graph(n=n, edges=[(r.src, r.dst) for r in edges.toLocalIterator()])
+
+
 def to_sparse(edges: DataFrame, n: int) -> Any:
     """A symmetric scipy CSR matrix of ids 0 to n-1; needs scipy, and a graph that fits the driver."""
     from scipy.sparse import csr_matrix
