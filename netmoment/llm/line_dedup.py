@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import SPACES, partitions, table
+from .tables import SPACES, cut, partitions, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -70,7 +70,8 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     """(doc_id, body, dropped): sorted positions of the lines to drop, for documents that lose any."""
     spark = docs.sparkSession
     occ = occurrences(docs, min_chars)
-    hit = occ.join(repeated_keys(docs, min_chars, min_docs), ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # cut, so that the join's two sides are dealt out for it alone and a hot hash's partition can be split
+    hit = occ.join(cut(repeated_keys(docs, min_chars, min_docs)), ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     hit = hit.select("a", "b", "doc_id", "body", "pos").repartitionByRange(partitions(spark), "a", "b", "doc_id", "pos").sortWithinPartitions("a", "b", "doc_id", "pos")
     return hit.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
