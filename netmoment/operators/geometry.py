@@ -7,13 +7,16 @@ the parameters, and the sum is an aggregate.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..plans.model import spread
 
 
 @dataclass(frozen=True)
@@ -63,12 +66,50 @@ class Sphere:
         return spark.range(n).select("id", raw.alias("v")).select("id", F.transform("v", lambda c: c * self.r / F.sqrt(E.dot(F.col("v"), F.col("v")))).alias("x"))
 
 
+#: Points in a block; a task compares two blocks by one matrix product.
+BLOCK = 512
+
+
+def _blocks(points: DataFrame, n: int, suffix: str) -> DataFrame:
+    """(block, ids, xs): points(id, x) in n blocks by a hash of id."""
+    block = F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"block_{suffix}")
+    return points.groupBy(block).agg(F.collect_list("id").alias(f"ids_{suffix}"), F.collect_list("x").alias(f"xs_{suffix}"))
+
+
+def _matrix(xs: pa.ListScalar, n: int) -> np.ndarray:
+    flat = xs.values.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(xs.values.offsets.to_numpy())
+    if (sizes != sizes[0]).any():
+        raise ValueError("points of different dimensions")
+    return flat.reshape(n, -1)
+
+
 def distances(points: DataFrame, sphere: Sphere, condensed: bool = True, other: DataFrame | None = None) -> DataFrame:
-    """(i, j, g) of points(id, x): i < j if condensed, all ordered pairs if not, or all of points with other."""
-    a = points.select(F.col("id").alias("i"), F.col("x").alias("x_i"))
-    b = (points if other is None else other).select(F.col("id").alias("j"), F.col("x").alias("x_j"))
-    both = a.join(b, F.col("i") < F.col("j")) if condensed and other is None else a.crossJoin(b)
-    return both.select("i", "j", sphere.distance(F.col("x_i"), F.col("x_j")).alias("g"))
+    """(i, j, g) of points(id, x) with different ids: i < j if condensed, all ordered pairs if not, or all of points with other."""
+    condensed = condensed and other is None
+    n = [max(1, -(-p.count() // BLOCK)) for p in (points, *([other] if other is not None else []))]
+    a, b = _blocks(points, n[0], "a"), _blocks(points if other is None else other, n[-1], "b")
+    pairs = a.join(b, F.col("block_a") <= F.col("block_b")) if condensed else a.crossJoin(b)
+    pairs = spread(pairs.select("ids_a", "xs_a", "ids_b", "xs_b", (F.col("block_a") == F.col("block_b")).alias("same")))
+    r = sphere.r
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids_a, xs_a, ids_b, xs_b, same in zip(*batch.columns, strict=True):
+                i, j = ids_a.values.to_numpy(), ids_b.values.to_numpy()
+                x, y = _matrix(xs_a, len(i)), _matrix(xs_b, len(j))
+                if x.shape[1] != y.shape[1]:
+                    raise ValueError("points of different dimensions")
+                g = r * np.arccos(np.clip(x @ y.T / (r * r), -1, 1))
+                ii, jj, g = np.repeat(i, len(j)), np.tile(j, len(i)), g.ravel()
+                if condensed:
+                    if same.as_py():
+                        keep = ii < jj
+                        ii, jj, g = ii[keep], jj[keep], g[keep]
+                    ii, jj = np.minimum(ii, jj), np.maximum(ii, jj)
+                yield pa.RecordBatch.from_arrays([pa.array(ii), pa.array(jj), pa.array(g)], names=["i", "j", "g"])
+
+    return pairs.mapInArrow(run, "i long, j long, g double")
 
 
 @dataclass(frozen=True)
@@ -134,8 +175,8 @@ class GeometricModel:
         """(i, j, g, p) for i < j of points(id, x[, mu]); a mu column adds up over pairs and serves all layers."""
         if mu is None:
             return distances(points, self.sphere).withColumn("p", self.probability(F.col("g")))
-        a = points.select(F.col("id").alias("i"), F.col("x").alias("x_i"), F.col(mu).alias("mu_i"))
-        b = points.select(F.col("id").alias("j"), F.col("x").alias("x_j"), F.col(mu).alias("mu_j"))
+        a = spread(points.select(F.col("id").alias("i"), F.col("x").alias("x_i"), F.col(mu).alias("mu_i")))
+        b = spread(points.select(F.col("id").alias("j"), F.col("x").alias("x_j"), F.col(mu).alias("mu_j")))
         g = a.join(b, F.col("i") < F.col("j")).withColumn("g", self.sphere.distance(F.col("x_i"), F.col("x_j")))
         both = F.col("mu_i") + F.col("mu_j")
         return g.select("i", "j", "g", self.probability(F.col("g"), [both] * len(self.layers)).alias("p"))

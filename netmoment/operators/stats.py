@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..plans import options
-from ..plans.model import Ensemble, NodeView
+from ..plans.model import Ensemble, NodeView, spread
 from . import kernels
 
 TRIANGLE = ("triangle", "twedge", "thead")
@@ -38,12 +38,12 @@ def node_sums(model: Ensemble, focal: DataFrame, first_only: bool = False) -> Da
 
     Nodes with equal mu have equal sums, so they are computed for the focal classes and joined back.
     """
-    classes = model.classes().select(F.col("mu").alias("mu_j"), "w")
+    classes = spread(model.classes().select(F.col("mu").alias("mu_j"), "w"))
     own = E.probability(-2 * F.col("mu"))
 
     def sums(of: DataFrame) -> DataFrame:
         p = _p("mu", "mu_j")
-        got = of.crossJoin(classes).groupBy("mu").agg(F.sum(F.col("w") * p).alias("d"), F.sum(F.col("w") * p * p).alias("s"))
+        got = spread(of).crossJoin(classes).groupBy("mu").agg(F.sum(F.col("w") * p).alias("d"), F.sum(F.col("w") * p * p).alias("s"))
         return got.select("mu", (F.col("d") - own).alias("d"), (F.col("s") - own * own).alias("s"))
 
     mus = focal.select("mu").distinct()
@@ -51,7 +51,7 @@ def node_sums(model: Ensemble, focal: DataFrame, first_only: bool = False) -> Da
         return focal.join(sums(mus), "mu").select("id", "mu", "d", "s")
     degrees = sums(model.classes().select("mu"))
     other = degrees.join(model.classes(), "mu").select(F.col("mu").alias("mu_j"), F.col("d").alias("d_j"), "w")
-    m = mus.crossJoin(other).groupBy("mu").agg(F.sum(F.col("w") * _p("mu", "mu_j") * F.col("d_j")).alias("m"))
+    m = spread(mus).crossJoin(spread(other)).groupBy("mu").agg(F.sum(F.col("w") * _p("mu", "mu_j") * F.col("d_j")).alias("m"))
     found = m.join(degrees, "mu").select("mu", "d", "s", (F.col("m") - own * F.col("d")).alias("m"))
     return focal.join(found, "mu").select("id", "mu", "d", "s", "m")
 
@@ -152,9 +152,9 @@ def node_free_energy(view: NodeView, normalize: bool = False) -> DataFrame:
     if model.is_homogeneous:
         one = model.spark.range(1).select(((model.n - 1) / 2 * E.edge_free_energy(F.lit(-model.mu)) / scale).alias("free_energy"))
         return view.rows().select("pos", "id").crossJoin(F.broadcast(one)) if view.is_active else one
-    classes = model.classes().select(F.col("mu").alias("mu_j"), "w")
+    classes = spread(model.classes().select(F.col("mu").alias("mu_j"), "w"))
     own = E.edge_free_energy(-2 * F.col("mu"))
-    sums = view.focal().select("mu").distinct().crossJoin(classes).groupBy("mu").agg(F.sum(F.col("w") * E.edge_free_energy(-(F.col("mu") + F.col("mu_j")))).alias("f"))
+    sums = spread(view.focal().select("mu").distinct()).crossJoin(classes).groupBy("mu").agg(F.sum(F.col("w") * E.edge_free_energy(-(F.col("mu") + F.col("mu_j")))).alias("f"))
     values = view.focal().join(sums, "mu").select("id", ((F.col("f") - own) / 2 / scale).alias("free_energy"))
     return _placed(view, values, ["free_energy"])
 

@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that each meet all others, dealt out over all cores: a table of few bytes is work for many.
+
+    Of a cross join both sides are, since the smaller one by the planner's estimate is broadcast and the other one's tasks do the work.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 @dataclass(frozen=True)
 class Ensemble:
     """n nodes; either one mu for all (homogeneous: p = sigmoid(mu)) or nodes(id, mu) (p_ij = sigmoid(mu_i + mu_j))."""
@@ -191,7 +200,7 @@ class PairView:
             one_i, one_j = (isinstance(k, int) for k in at)
             both = a.crossJoin(b) if one_i or one_j else a.join(b, F.col("pos_i") == F.col("pos_j"))
         else:
-            both = a.crossJoin(b)
+            both = spread(a).crossJoin(spread(b))
         return both.select("pos_i", "pos_j", "i", "j", E.coupling(self.model.pair_mu("mu_i", "mu_j"), F.col("i"), F.col("j")).alias("coupling"))
 
     def nodes(self) -> DataFrame:
