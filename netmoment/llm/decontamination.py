@@ -1,18 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
-
-Words are runs of letters and digits, A-Z lower-cased.  The word n-grams of the test
-items are looked up in all documents twice: once to count the documents that hold each, and once
-with the rarer half of each item's n-grams as seeds.  An item thus always has
-seeds, however often it has leaked.  Seeds near one diagonal give a candidate
-passage, which Smith-Waterman alignment compares with the item; it is a copy
-if enough of the item's words match.
-
-The items are broadcast in blocks of at most BLOCK_SEEDS n-grams; each block is
+"""Benchmark decontamination: rare seeds, then local alignment.
+
+Words are runs of letters and digits, A-Z lower-cased.  A copy is a passage of a
+document in which Smith-Waterman alignment matches enough of an item's words.
+Seeds are words, the n-grams that the lightest edits can't remove: with every third word replaced two
+thirds of an item are left and not one 3-gram.  The words of the test items are looked up in all documents twice: once to
+count the documents that hold each, and once with seeds.  Of an item's words
+that any document holds, the rarest are seeds, as many as it takes for the others to be fewer than a copy
+needs: so every copy holds a seed.  A document with a seed is compared with the item if it holds
+enough of the item's words, and enough within the span that an alignment can have.
+
+The items are broadcast in blocks of at most BLOCK_WORDS words; each block is
 looked up in all documents.  Documents never leave their scan.
 
-Defined results: null or empty texts of items or documents match nothing; an
-item of fewer words than a seed is looked up as a whole; equal items all match; equal rows
-of documents match alike; empty tables give an empty result; other columns are
+Defined results: null or empty texts of items or documents match nothing; equal items all match; equal rows
+of documents match alike; several copies of an item in one document are a row each; empty tables give an empty result; other columns are
 ignored by matches() and pass through clean().
 """
 
@@ -26,87 +27,67 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .alignment import MATCH, clusters, smith_waterman
+from .alignment import GAP, MATCH, smith_waterman
 from .tables import table
-from .tokens import PUNCTUATION, Words, mix, words
+from .tokens import PUNCTUATION, Words, words
 
-SEED = 3
 COVERAGE = 0.6
-BLOCK_SEEDS = 1 << 21
+BLOCK_WORDS = 1 << 21
 FILTER_BITS = 20
+#: Words of a document in an alignment, for each word of the item, at most: a match pays for so many gaps.
+SPAN = 1 + MATCH // -GAP
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """lo to hi-1 of each pair, one after the other."""
+    n = hi - lo
+    return np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
 
 
 class Items:
-    """Test items and their seeds, sorted by hash: (hash, item, place in it)."""
+    """Test items: their words as numbers in the sorted keys, the words that a copy needs, and for each key the items it is a seed of."""
 
-    def __init__(self, ids: list[int], hashes: list[np.ndarray]):
+    def __init__(self, ids: list[int], hashes: list[np.ndarray], coverage: float):
         self.ids, self.words = ids, hashes
-        grams = [grams_of(h) for h in hashes]
-        self.hash = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        self.place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, dtype=np.int64)
-        self._sort(np.argsort(self.hash, kind="stable"))
-
-    def _sort(self, order: np.ndarray) -> None:
-        self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
-        self.keys = np.unique(self.hash)
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < SEED})
+        self.size = np.array([len(h) for h in hashes], dtype=np.int64)
+        self.end = np.cumsum(self.size)
+        self.need = np.maximum(1, -(-int(coverage * 1000) * self.size // 1000))
+        self.keys, self.key = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.kinds = [np.unique(k, return_counts=True) for k in np.split(self.key, self.end[:-1])]
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.filter[(self.hash >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-
-    def rarer(self, held: dict[int, int]) -> None:
-        """Keeps the rarer half of each item's n-grams; held: documents by n-gram's hash."""
-        df = np.array([held.get(int(h), 0) for h in self.keys], dtype=np.int64)[np.searchsorted(self.keys, self.hash)]
-        order = np.lexsort((self.place, df, self.item))
-        item = self.item[order]
-        first = np.searchsorted(item, item)
-        size = np.bincount(item, minlength=len(self.ids))[item]
-        kept = order[np.arange(len(order)) - first < np.maximum(-(-size // 2), np.minimum(size, 8))]
-        self._sort(kept[np.argsort(self.hash[kept], kind="stable")])
-
-    def found(self, grams: np.ndarray) -> np.ndarray:
-        """The places of grams that are n-grams of items."""
-        at = np.flatnonzero(self.filter[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        g = grams[at]
-        i = np.minimum(np.searchsorted(self.keys, g), max(0, len(self.keys) - 1))
-        return at[self.keys[i] == g] if len(self.keys) else at[:0]
-
-
-def grams_of(h: np.ndarray) -> np.ndarray:
-    """Hashes of the n-grams of a text's word hashes; of the whole text if it is shorter."""
-    n = min(SEED, len(h))
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(len(h) - n + 1, dtype=np.uint64)
-    for k in range(n):
-        out = mix(out ^ h[k : len(h) - n + 1 + k])
-    return out
-
-
-def _texts(w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(text, its word hashes, its n-grams' hashes), n-grams computed for the whole run at once."""
-    g = grams_of(w.hashes)
-    for i in range(len(w.first) - 1):
-        a, b = int(w.first[i]), int(w.first[i + 1])
-        if b > a:
-            yield i, w.hashes[a:b], g[a : b - SEED + 1] if b - a >= SEED else grams_of(w.hashes[a:b])
-
-
-def _places(h: np.ndarray, g: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the items' n-grams in a text; items shorter than an n-gram are looked up as they are."""
-    at = items.found(g)
-    hashes = g[at]
-    for n in items.short:
-        if len(h) >= n:
-            s = np.zeros(len(h) - n + 1, dtype=np.uint64)
-            for k in range(n):
-                s = mix(s ^ h[k : len(h) - n + 1 + k])
-            also = items.found(s)
-            at, hashes = np.concatenate([at, also]), np.concatenate([hashes, s[also]])
-    return at, hashes
-
-
-def read_items(bench: DataFrame) -> Iterator[Items]:
+        self.filter[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+
+    def seed(self, held: dict[int, int]) -> None:
+        """Of each item's words that documents hold, all but need - 1 are seeds, the rarest first; held: documents by word's hash."""
+        df = np.array([held.get(int(h), 0) for h in self.keys], dtype=np.int64)[self.key]
+        item = np.repeat(np.arange(len(self.ids)), self.size)
+        at = np.flatnonzero(df)
+        order = at[np.lexsort((self.key[at], df[at], item[at]))]
+        size = np.bincount(item[at], minlength=len(self.ids))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+        kept = order[place < np.repeat(size - self.need + 1, size)]
+        key, self.seeds = np.unique(np.stack([self.key[kept], item[kept]]), axis=1)
+        self.first = np.searchsorted(key, np.arange(len(self.keys) + 1))
+
+    def found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of words that items hold, and their numbers."""
+        at = np.flatnonzero(self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+        i = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        same = self.keys[i] == h[at]
+        return at[same], i[same]
+
+    def candidates(self, key: np.ndarray) -> np.ndarray:
+        """Items with a seed and enough words among the keys."""
+        u = np.unique(key)
+        k = np.unique(self.seeds[_ranges(self.first[u], self.first[u + 1])])
+        if not len(k):
+            return k
+        own = self.key[_ranges(self.end[k] - self.size[k], self.end[k])]
+        there = u[np.minimum(np.searchsorted(u, own), len(u) - 1)] == own
+        return k[np.add.reduceat(there, np.cumsum(self.size[k]) - self.size[k], dtype=np.int64) >= self.need[k]]
+
+
+def read_items(bench: DataFrame, coverage: float) -> Iterator[Items]:
     """Blocks of the test items."""
     ids, hashes, n = [], [], 0
     for r in bench.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
@@ -115,30 +96,30 @@ def read_items(bench: DataFrame) -> Iterator[Items]:
             ids.append(r.item_id)
             hashes.append(h)
             n += len(h)
-        if n > BLOCK_SEEDS:
-            yield Items(ids, hashes)
+        if n > BLOCK_WORDS:
+            yield Items(ids, hashes, coverage)
             ids, hashes, n = [], [], 0
     if ids:
-        yield Items(ids, hashes)
+        yield Items(ids, hashes, coverage)
+
+
+def _texts(w: Words) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, its word hashes) of texts with words."""
+    for i in range(len(w.first) - 1):
+        if w.first[i + 1] > w.first[i]:
+            yield i, w.hashes[w.first[i] : w.first[i + 1]]
 
 
 def _held(items: Broadcast):
-    """(hash, documents) for the items' n-grams in a partition."""
+    """(hash, documents) for the items' words in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = items.value
         count = np.zeros(len(t.keys), dtype=np.int64)
         for b in batches:
             for _, _, w in words(b.column(0), lower=True, separators=PUNCTUATION):
-                g = grams_of(w.hashes)
-                if t.short:
-                    for _, h, own in _texts(w):
-                        count[np.unique(np.searchsorted(t.keys, _places(h, own, t)[1]))] += 1
-                    continue
-                at = t.found(g)
-                text = np.searchsorted(w.first, at, side="right")
-                inside = at + SEED <= w.first[np.minimum(text, len(w.first) - 1)]
-                pair = np.unique(np.searchsorted(t.keys, g[at[inside]]).astype(np.int64) * (len(w.first) + 1) + text[inside])
+                at, key = t.found(w.hashes)
+                pair = np.unique(key * (len(w.first) + 1) + np.searchsorted(w.first, at, side="right"))
                 count += np.bincount(pair // (len(w.first) + 1), minlength=len(count))
         i = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(t.keys[i].view(np.int64)), pa.array(count[i])], names=["hash", "n"])
@@ -146,40 +127,73 @@ def _held(items: Broadcast):
     return run
 
 
-def prepared(docs: DataFrame, bench: DataFrame) -> list[Broadcast]:
-    """Blocks of items with their rarer n-grams as seeds, broadcast."""
+def prepared(docs: DataFrame, bench: DataFrame, coverage: float) -> list[Broadcast]:
+    """Blocks of items with their seeds, broadcast."""
     sc = docs.sparkSession.sparkContext
     out = []
-    for block in read_items(bench):
-        all_grams = sc.broadcast(block)
-        held = docs.select("text").mapInArrow(_held(all_grams), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-        block.rarer({r.hash % 2**64: r.n for r in held.toLocalIterator()})
+    for block in read_items(bench, coverage):
+        all_words = sc.broadcast(block)
+        held = docs.select("text").mapInArrow(_held(all_words), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        block.seed({r.hash % 2**64: r.n for r in held.toLocalIterator()})
         out.append(sc.broadcast(block))
     return out
 
 
-def aligned(h: np.ndarray, g: np.ndarray, t: Items, coverage: float) -> list[tuple[int, int, int, int, int]]:
-    """(item, first word, end, score, matches) of the copies of items in a text with words h and n-grams g."""
-    at, hashes = _places(h, g, t)
-    if not len(at):
+def dense(at: np.ndarray, own: np.ndarray, times: np.ndarray, span: int, need: int) -> list[tuple[int, int]]:
+    """Stretches of a text where a span of words holds at least need words of an item, repeated ones as often as the item does.
+
+    at: places of the item's words in the text; own: which word, and times: how often the item has it.  A word counts for
+    the spans that begin after the last place that would make it one too many.
+    """
+    if len(at) < need:
         return []
-    lo, hi = np.searchsorted(t.hash, hashes, side="left"), np.searchsorted(t.hash, hashes, side="right")
-    pick = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])
-    item, diagonal = t.item[pick], np.repeat(at, hi - lo) - t.place[pick]
-    out = []
-    for k in np.unique(item):
-        own, x = diagonal[item == k], t.words[k]
-        reach = len(x) // 4 + 2
-        for run in clusters(own, reach):
-            d = own[run]
-            a, b = max(0, int(d.min()) - reach), min(len(h), int(d.max()) + len(x) + reach)
-            need = max(1, -(-int(coverage * 1000) * len(x) // 1000))
-            if np.isin(x, h[a:b]).sum() < need:
-                continue
-            found = smith_waterman(x, h[a:b])
-            if found.matches >= need:
-                out.append((int(k), a + found.other_start, a + found.other_end, found.score, found.matches))
-    return out
+    order = np.argsort(own, kind="stable")
+    back = np.arange(len(order)) - times[order]
+    before = order[np.maximum(back, 0)]
+    over = (back >= 0) & (own[before] == own[order])
+    begin = np.maximum(at[order] - span, np.where(over, at[before], -1)) + 1
+    # Spans that begin at a word of the item hold as many as any other.
+    more = np.bincount(np.searchsorted(at, begin), minlength=len(at))
+    more[1:] -= 1
+    first = at[np.cumsum(more) >= need]
+    if not len(first):
+        return []
+    gaps = np.flatnonzero(np.diff(first) > span)
+    return list(zip(first[np.append(0, gaps + 1)].tolist(), (first[np.append(gaps, -1)] + span).tolist(), strict=True))
+
+
+def copies(x: np.ndarray, h: np.ndarray, need: int, stretches: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(first word, end, score, matches) of the passages in stretches of a text h that copy x."""
+    span = SPAN * len(x)
+    for a, b in stretches:
+        done, b = a, min(b, len(h))
+        for start in range(a, max(a + 1, b - span), span):  # a passage that starts in the first half of two spans is whole there
+            last = start + 2 * span >= b
+            todo = [(max(start, done), min(start + 2 * span, b))]
+            while todo:
+                c, d = todo.pop()
+                if np.isin(x, h[c:d]).sum() < need:
+                    continue
+                found = smith_waterman(x, h[c:d])
+                first, end = c + found.other_start, c + found.other_end
+                todo.append((c, first))
+                if last or first < start + span:
+                    todo.append((end, d))
+                    if found.matches >= need:
+                        done = max(done, end)
+                        yield first, end, found.score, found.matches
+
+
+def aligned(h: np.ndarray, t: Items) -> Iterator[tuple[int, int, int, int, int]]:
+    """(item, first word, end, score, matches) of the copies of items in a text with words h."""
+    at, key = t.found(h)
+    for k in t.candidates(key):
+        kinds, times = t.kinds[k]
+        own = np.minimum(np.searchsorted(kinds, key), len(kinds) - 1)
+        inside = kinds[own] == key
+        need, own = int(t.need[k]), own[inside]
+        for found in copies(t.words[k], h, need, dense(at[inside], own, times[own], SPAN * len(t.words[k]), need)):
+            yield int(k), *found
 
 
 def matches(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -194,15 +208,15 @@ def matches(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> Da
             for b in batches:
                 rows = []
                 for at, _, w in words(b.column(1), lower=True, separators=PUNCTUATION):
-                    for i, h, g in _texts(w):
-                        rows += [(at + i, t.ids[k], s, e, score / (MATCH * len(t.words[k])), m / len(t.words[k])) for k, s, e, score, m in aligned(h, g, t, coverage)]
+                    for i, h in _texts(w):
+                        rows += [(at + i, t.ids[k], s, e, score / (MATCH * len(t.words[k])), m / len(t.words[k])) for k, s, e, score, m in aligned(h, t)]
                 own = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([own, *(pa.array([r[i + 1] for r in rows], kind) for i, kind in enumerate(kinds))], names=schema.names)
 
         return run
 
-    for block in prepared(docs, bench):
+    for block in prepared(docs, bench, coverage):
         result = result.union(docs.select("doc_id", "text").mapInArrow(find(block), schema))
     return result
 
@@ -216,14 +230,14 @@ def clean(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> Data
             for b in batches:
                 kept = np.ones(len(b), dtype=bool)
                 for at, _, w in words(b.column(place), lower=True, separators=PUNCTUATION):
-                    for i, h, g in _texts(w):
-                        kept[at + i] = not aligned(h, g, t, coverage)
+                    for i, h in _texts(w):
+                        kept[at + i] = next(aligned(h, t), None) is None
                 yield b.filter(pa.array(kept))
 
         return run
 
     out = docs
-    for block in prepared(docs, bench):
+    for block in prepared(docs, bench, coverage):
         out = out.mapInArrow(keep(block, docs.columns.index("text")), docs.schema)
     return out
 

@@ -195,6 +195,26 @@ def test_edited_copies_are_found(spark):
     assert {r.doc_id for r in decontamination.clean(docs, bench).collect()} == set(range(200)) - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("every", [3, 4, 5])
+@pytest.mark.parametrize("exact", [False, True])
+def test_copies_with_words_replaced_throughout(spark, every, exact):
+    rng = random.Random(every)
+    items = [(k, prose(rng, 30 + k, 3000)) for k in range(12)]
+    rows = [(k, " ".join([prose(rng, 90, 3000), *(f"z{i}" if i % every == every - 1 else w for i, w in enumerate(x.split())), prose(rng, 90, 3000)])) for k, x in items]
+    rows += [(100 + k, x) for k, x in items if exact]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.matches(docs, bench).collect()} == {(d, d % 100) for d, _ in rows}
+    assert decontamination.clean(docs, bench).count() == 0
+
+
+def test_words_inserted_throughout(spark):
+    item = prose(random.Random(8), 40, 3000)
+    far = " ".join(f"{w} z{i}" for i, w in enumerate(item.split()))
+    docs = spark.createDataFrame([(0, far), (1, f"{item} and {item}"), (2, " ".join(item.split()[:23]))], "doc_id long, text string")
+    got = decontamination.matches(docs, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.first_word, r.end_word, r.coverage) for r in got) == [(0, 0, 79, 1.0), (1, 0, 40, 1.0), (1, 41, 81, 1.0)]
+
+
 def test_benchmark_of_odd_rows(spark, odd, clashing, empty):
     kind = "item_id long, text string"
     bench = spark.createDataFrame([(0, odd_rows()[7][1]), (1, None), (2, ""), (3, "three little words"), (4, "little"), (5, odd_rows()[7][1])], kind)
