@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare seeds, then local alignment.
 
-Words are runs of letters and digits, A-Z lower-cased.  A copy is a passage of a
+Words are runs of letters and digits, in upper case.  A copy is a passage of a
 document in which Smith-Waterman alignment matches enough of an item's words.
 Seeds are words, the n-grams that the lightest edits can't remove: with every third word replaced two
 thirds of an item are left and not one 3-gram.  The words of the test items are looked up in all documents twice: once to
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .alignment import GAP, MATCH, smith_waterman
@@ -44,6 +44,11 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
 
 
+def folded(text: str) -> Column:
+    """The text with all letters in upper case, which letters with two lower forms, or an upper form of two letters, agree in."""
+    return F.upper(F.col(text))
+
+
 class Items:
     """Test items: their words as numbers in the sorted keys, the words that a copy needs, and for each key the items it is a seed of."""
 
@@ -90,8 +95,8 @@ class Items:
 def read_items(bench: DataFrame, coverage: float) -> Iterator[Items]:
     """Blocks of the test items."""
     ids, hashes, n = [], [], 0
-    for r in bench.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        h = next(w.hashes for _, _, w in words(pa.array([r.text], pa.string()), lower=True, separators=PUNCTUATION))
+    for r in bench.select("item_id", folded("text").alias("text")).orderBy("item_id", "text").toLocalIterator():
+        h = next(w.hashes for _, _, w in words(pa.array([r.text], pa.string()), lower=False, separators=PUNCTUATION))
         if len(h):
             ids.append(r.item_id)
             hashes.append(h)
@@ -117,7 +122,7 @@ def _held(items: Broadcast):
         t = items.value
         count = np.zeros(len(t.keys), dtype=np.int64)
         for b in batches:
-            for _, _, w in words(b.column(0), lower=True, separators=PUNCTUATION):
+            for _, _, w in words(b.column(0), lower=False, separators=PUNCTUATION):
                 at, key = t.found(w.hashes)
                 pair = np.unique(key * (len(w.first) + 1) + np.searchsorted(w.first, at, side="right"))
                 count += np.bincount(pair // (len(w.first) + 1), minlength=len(count))
@@ -133,7 +138,7 @@ def prepared(docs: DataFrame, bench: DataFrame, coverage: float) -> list[Broadca
     out = []
     for block in read_items(bench, coverage):
         all_words = sc.broadcast(block)
-        held = docs.select("text").mapInArrow(_held(all_words), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        held = docs.select(folded("text")).mapInArrow(_held(all_words), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
         block.seed({r.hash % 2**64: r.n for r in held.toLocalIterator()})
         out.append(sc.broadcast(block))
     return out
@@ -207,7 +212,7 @@ def matches(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> Da
             t = block.value
             for b in batches:
                 rows = []
-                for at, _, w in words(b.column(1), lower=True, separators=PUNCTUATION):
+                for at, _, w in words(b.column(1), lower=False, separators=PUNCTUATION):
                     for i, h in _texts(w):
                         rows += [(at + i, t.ids[k], s, e, score / (MATCH * len(t.words[k])), m / len(t.words[k])) for k, s, e, score, m in aligned(h, t)]
                 own = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
@@ -217,28 +222,28 @@ def matches(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> Da
         return run
 
     for block in prepared(docs, bench, coverage):
-        result = result.union(docs.select("doc_id", "text").mapInArrow(find(block), schema))
+        result = result.union(docs.select("doc_id", folded("text")).mapInArrow(find(block), schema))
     return result
 
 
 def clean(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs that copy no item."""
 
-    def keep(block: Broadcast, place: int):
+    def keep(block: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = block.value
             for b in batches:
                 kept = np.ones(len(b), dtype=bool)
-                for at, _, w in words(b.column(place), lower=True, separators=PUNCTUATION):
+                for at, _, w in words(b.column(b.num_columns - 1), lower=False, separators=PUNCTUATION):
                     for i, h in _texts(w):
                         kept[at + i] = next(aligned(h, t), None) is None
-                yield b.filter(pa.array(kept))
+                yield b.select(list(range(b.num_columns - 1))).filter(pa.array(kept))
 
         return run
 
-    out = docs
+    out, own = docs, max(["text", *docs.columns], key=len) + "_"
     for block in prepared(docs, bench, coverage):
-        out = out.mapInArrow(keep(block, docs.columns.index("text")), docs.schema)
+        out = out.withColumn(own, folded("text")).mapInArrow(keep(block), docs.schema)
     return out
 
 

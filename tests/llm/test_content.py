@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from netmoment.llm import decontamination, html_extract, license_scan, media, quality
 from netmoment.llm.alignment import smith_waterman
@@ -215,6 +216,16 @@ def test_words_inserted_throughout(spark):
     assert sorted((r.doc_id, r.first_word, r.end_word, r.coverage) for r in got) == [(0, 0, 79, 1.0), (1, 0, 40, 1.0), (1, 41, 81, 1.0)]
 
 
+def test_copies_in_another_case(spark):
+    items = ["El niño pequeño comió piñas en la montaña según él", "Straße und Größe, Übermut für Öl und Äpfel", "Été à la forêt où l'élève rêve", "ΟΔΟΣ ΤΗΣ ΘΑΛΑΣΣΑΣ καλός", "Ёлка ещё не"]
+    rows = [(10 * k + i, t) for k, x in enumerate(items) for i, t in enumerate([x, x.upper(), x.lower(), x.title()])] + [(99, "nothing of these"), (100, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_", F.lit("x"))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in decontamination.matches(docs, bench).collect()) == [(d, d // 10, 1.0) for d, _ in rows[:-2]]
+    left = decontamination.clean(docs, bench)
+    assert left.columns == docs.columns and sorted(left.collect()) == [(99, "nothing of these", "x"), (100, None, "x")]
+
+
 def test_benchmark_of_odd_rows(spark, odd, clashing, empty):
     kind = "item_id long, text string"
     bench = spark.createDataFrame([(0, odd_rows()[7][1]), (1, None), (2, ""), (3, "three little words"), (4, "little"), (5, odd_rows()[7][1])], kind)
