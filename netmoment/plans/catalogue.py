@@ -480,6 +480,13 @@ def _density_sql(dim: int, r: float, g: str) -> str:
     return f"({c!r}::DOUBLE * greatest(sin({g} / {r!r}::DOUBLE), 0) ** {dim - 1})"
 
 
+@query(f"WITH {_POINTS}, o AS (SELECT id, list_transform(x, lambda v: -v) AS x FROM pts) SELECT a.id AS i, b.id AS j, {_r(_G, 'g')} FROM pts a CROSS JOIN o b")
+def sphere_antipode_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Of all points to the antipodes of all points."""
+    p = points(spark, d)
+    return rounded(geometry.distances(p, geometry.Sphere(63), other=p.select("id", F.transform("x", lambda v: -v).alias("x"))))
+
+
 @query(f"SELECT CAST(k AS BIGINT) AS k, {_r(_density_sql(4, 2.0, 'k / 10.0'), 'density')} FROM range(63) t(k)")
 def sphere_distance_density(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.range(63).select(F.col("id").alias("k"), geometry.Sphere(4, 2.0).density(F.col("id") / 10.0).alias("density")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from netmoment.functions import expr as E
 from netmoment.operators.geometry import GeometricModel, Layer, Sphere, dequantize, distances, quantize, quadrature
+from netmoment.plans import catalogue
 
 S, C = Layer("similarity"), Layer("complementarity")
 
@@ -92,3 +93,11 @@ def test_constraints(spark):
         assert all(r.x == pytest.approx(r.y) for r in y)
     with pytest.raises(Exception, match="out of bounds"):
         x.select(E.checked_bounds(F.col("x"), upper=0.5)).collect()
+
+
+def test_antipode_distances_are_of_whole_tables(spark, sf_dir):
+    got = catalogue.QUERIES["sphere_antipode_distances"](spark, sf_dir).toPandas().sort_values(["i", "j"])
+    p = catalogue.points(spark, sf_dir).toPandas().sort_values("id")
+    x = np.array(p["x"].tolist())
+    assert len(got) == len(p) ** 2 and (got["i"].to_numpy() == np.repeat(p["id"].to_numpy(), len(p))).all() and (got["j"].to_numpy() == np.tile(p["id"].to_numpy(), len(p))).all()
+    assert np.abs(got["g"].to_numpy() - np.arccos(np.clip(-x @ x.T, -1, 1)).ravel()).max() < 2e-6
