@@ -10,8 +10,10 @@ Pages without such an element show no border between text and surroundings, and
 the host's suffix array finds it.  The token streams of a host's pages are
 concatenated, the suffixes sorted by their first tokens, and a suffix that agrees
 for least_run tokens with a neighbour of another page starts a repeated
-substring.  A block with a token that no repeated substring covers keeps
-exactly the uncovered runs; covered tokens are boilerplate.  Suffixes are dealt to tasks by host and a
+substring.  Text repeats for other reasons too: articles are copied, passages quoted.  So a substring counts only
+if LEAST_PAGES pages and more than half of the host's pages of this kind hold it, and only whole blocks go, those before the first
+and after the last block that such substrings don't cover.  A page that they cover wholly keeps its text.
+Suffixes are dealt to tasks by host and a
 hash of their first least_run tokens, so a host's suffix array is built in
 parts that no large host makes unbounded: suffixes that agree so far are in one part.
 
@@ -38,6 +40,8 @@ from .tables import cut, partitions, table
 from .tokens import words
 
 LEAST_RUN = 8
+LEAST_PAGES = 3
+PLACE = np.dtype([("place", "<u4"), ("pages", "<u4")])
 SUFFIX = np.dtype([("host", "<u8"), ("prefix", "<u8"), ("page", "<i8"), ("place", "<u4")])
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -169,36 +173,44 @@ def _suffixes(run_length: int, buckets: int):
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, places): the suffixes whose neighbours in the sorted array agree with them and are of another page."""
+    """(page, places): the suffixes whose neighbours in the sorted array agree with them and are of another page, with the number of pages."""
     s = packed.gathered(batches, SUFFIX)
     s = s[np.lexsort((s["page"], s["prefix"], s["host"]))]
     new = np.ones(len(s), dtype=bool)
     new[1:] = (s["host"][1:] != s["host"][:-1]) | (s["prefix"][1:] != s["prefix"][:-1])
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, len(s)))
-    other = s["page"][at] != s["page"][at + size - 1] if len(s) else np.zeros(0, dtype=bool)
-    s = s[np.repeat(other, size)]
-    s = s[np.argsort(s["page"], kind="stable")]
+    page = new.copy()
+    page[1:] |= s["page"][1:] != s["page"][:-1]
+    pages = np.bincount(np.cumsum(new) - 1, page).astype(np.int64)
+    pages = np.repeat(pages, np.diff(np.append(np.flatnonzero(new), len(s))))
+    s, pages = s[pages > 1], pages[pages > 1]
+    order = np.argsort(s["page"], kind="stable")
+    s, found = s[order], np.empty(len(s), dtype=PLACE)
+    found["place"], found["pages"] = s["place"], pages[order]
     at = np.flatnonzero(np.diff(s["page"], prepend=s["page"][0] - 1 if len(s) else 0))
-    lists = [x.tobytes() for x in np.split(s["place"], at[1:])] if len(at) else []
+    lists = [x.tobytes() for x in np.split(found, at[1:])] if len(at) else []
     yield pa.RecordBatch.from_arrays([pa.array(s["page"][at]), pa.array(lists, pa.binary())], names=["page", "places"])
 
 
-def _unique_runs(run_length: int):
+def _without_edges(run_length: int):
+    """(page_id, url, text) of (page_id, url, text, places, pages of the host): texts without repeated blocks at their ends."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, lists in zip(pc.fill_null(b.column(2), ""), b.column(3), strict=True):
+            for text, lists, pages in zip(pc.fill_null(b.column(2), ""), b.column(3), b.column(4), strict=True):
                 text = text.as_py()
                 if lists.is_valid and len(lists):
-                    lines = [x.split() for x in text.split("\n")]
-                    gone = np.zeros(sum(map(len, lines)) + 1, dtype=np.int64)
-                    for part in lists.as_py():
-                        p = np.frombuffer(part, dtype="<u4").astype(np.int64)
-                        np.add.at(gone, p, 1)
-                        np.add.at(gone, p + run_length, -1)
-                    kept = iter((np.cumsum(gone) == 0).tolist())
-                    text = "\n".join(x for x in (" ".join(w for w in line if next(kept)) for line in lines) if x)
+                    lines = text.split("\n")
+                    end = np.cumsum([len(x.split()) for x in lines])
+                    found = np.concatenate([np.frombuffer(part, dtype=PLACE) for part in lists.as_py()])
+                    p = found["place"][found["pages"] >= max(LEAST_PAGES, pages.as_py() // 2 + 1)].astype(np.int64)
+                    gone = np.zeros(end[-1] + 1, dtype=np.int64)
+                    np.add.at(gone, p, 1)
+                    np.add.at(gone, p + run_length, -1)
+                    left = np.append(0, np.cumsum(np.cumsum(gone)[:-1] == 0))
+                    unique = np.flatnonzero(np.diff(left[end], prepend=0))
+                    if len(unique):
+                        text = "\n".join(lines[unique[0] : unique[-1] + 1])
                 out.append(text)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
@@ -215,7 +227,8 @@ def extract(pages: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     open_pages = cut(parsed.where("not main").select("page_id", "url", "page", F.xxhash64(host).alias("host"), "text"))
     found = open_pages.select("page", "host", "text").mapInArrow(_suffixes(least_run, 4 * n), packed.SCHEMA)
     places = found.repartition(n, "bucket").mapInArrow(_repeats, "page long, places binary").groupBy("page").agg(F.collect_list("places").alias("places"))
-    bare = open_pages.join(places, "page", "left").select("page_id", "url", "text", "places").mapInArrow(_unique_runs(least_run), kinds.add("text", "string"))
+    hosts = open_pages.groupBy("host").agg(F.countDistinct("page").alias("pages"))
+    bare = open_pages.join(places, "page", "left").join(hosts, "host").select("page_id", "url", "text", "places", "pages").mapInArrow(_without_edges(least_run), kinds.add("text", "string"))
     return parsed.where("main").select("page_id", "url", "text").union(bare)
 
 

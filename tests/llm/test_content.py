@@ -117,6 +117,23 @@ def test_pages_without_article(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string, text string, page int")).count() == 0
 
 
+def test_repeated_text_of_pages_without_article(spark):
+    rng = random.Random(3)
+    menu, foot = "home news sport weather travel culture shop help contact", "all rights belong to the people who wrote these fine pages here"
+    story = [prose(rng, 30, 10**6) for _ in range(3)]
+    bodies = [[prose(rng, 30, 10**6)] for _ in range(6)]
+    bodies[0] = bodies[1] = story  # a copy
+    bodies[2] = [story[0], "an edited paragraph", story[2]]
+    bodies[3] = [f"{prose(rng, 9, 10**6)} {story[1]}"]  # a quotation
+    rows = [(i, f"http://host.example/{i}", "".join(f"<div>{x}</div>" for x in (menu, *b, foot))) for i, b in enumerate(bodies)]
+    bodies += [story] * 4  # on a host of copies only, and on one of two pages
+    rows += [(i, f"http://{'copies' if i < 9 else 'small'}.example/{i}", "".join(f"<div>{x}</div>" for x in story)) for i in (6, 7, 8, 9)]
+    rows += [(10, "http://small.example/10", "".join(f"<div>{x}</div>" for x in story))]
+    bodies += [story]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[i] for i in range(11)] == ["\n".join(b) for b in bodies]
+
+
 def test_pages_are_documents_again(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     texts = {r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()}
