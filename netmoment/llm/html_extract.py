@@ -57,6 +57,9 @@ MARKS = frozenset(
     "share sharing social search pagination pager skip".split()
 )
 
+#: Their classes and identifiers say what the page has, not what they are; an article's do where a mark is the whole name.
+WHOLE = frozenset("html body main".split())
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -71,7 +74,7 @@ def _apart(tag: str, attributes: str, in_main: bool) -> bool:
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), values[0] or values[1] or values[2]
-        if name in ("class", "id") and not MARKS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower())):
+        if name in ("class", "id") and tag not in WHOLE and not MARKS.isdisjoint(value.lower().split() if tag == "article" else _SPLIT.split(_CAMEL.sub("-", value).lower())):
             return True
         if (name == "role" and value.lower() in ROLES) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True

@@ -99,6 +99,13 @@ def test_page_with_article():
     assert html_extract.blocks(PAGE) == (["Head & line", "First paragraph with bold, italics", "and a break.", "Second é <tag>", "one", "two"], True)
 
 
+@pytest.mark.parametrize("tag", ["html", "body", "main", "article"])
+def test_marks_of_the_whole_page(tag):
+    names = {t: "class='single has-sidebar comments-open' id='with-search'" if t == tag else "" for t in ("html", "body", "main", "article")}
+    page = "<html {html}><body {body}><div class='sidebar'>side</div><main {main}><article {article}><p>text</p><article class='comment even'>said</article></article></main></body></html>"
+    assert html_extract.blocks(page.format(**names)) == (["text"], True)
+
+
 @pytest.mark.parametrize("page", ["", "plain text", "<p>open <b>bold", "<article>", "<a <b> < c", "</p></div>", "<script>never closed", "<!-- never closed", "<p>a</p>" * 2000])
 def test_broken_pages(page):
     found, _ = html_extract.blocks(page)
