@@ -8,7 +8,8 @@ pages of the host repeat them, since copies and quoted passages are text too.
 
 Pages without such an element show no border between text and surroundings, and
 the host's suffix array finds it.  The token streams of a host's pages are
-concatenated, the suffixes sorted by their first tokens, and a suffix that agrees
+concatenated, the suffixes grouped by a hash of their first least_run tokens, which
+stands in for the sorted array and covers the same tokens, and a suffix that agrees
 for least_run tokens with a neighbour of another page starts a repeated
 substring.  Text repeats for other reasons too: articles are copied, passages quoted.  So a substring counts only
 if LEAST_PAGES pages and more than half of the host's pages of this kind hold it, and only whole blocks go, those before the first
