@@ -1,28 +1,33 @@
-"""Line deduplication with DataFrame functions only; the result is a keep bitmap for each document.
+"""Line deduplication with DataFrame functions only; the result is a run-length keep bitmap for each document.
 
-Lines become (hash, document, position) rows; text never leaves the scan.  One
-pre-aggregated pass finds the hashes that enough documents hold and the
-document that keeps them.  The occurrences of those hashes, range-partitioned by hash and
-document so that a hash which a third of all documents hold is dealt over many
-tasks, are sorted by hash, document and position; whatever is not of
-the keeping document is a dropped position.  Positions are packed into one
-hexadecimal bitmap for each document.
+Lines become (hash, document, position) rows, which are written once; text never leaves the scan.  They are range-partitioned
+by hash and sorted within by document and position.  A hash with more rows than a task should have is cut into slices of
+documents, which are ranges of their own: frequent hashes are told by a sketch of bounded size, and a hash it misses costs a longer
+task, not a wrong result.  Windows then stream over each sorted run: they number a line's first occurrences in documents, count the
+documents and find the largest doc_id.  A whole hash is decided by its run alone; slices carry
+their counts and largest doc_id to each other, one row a slice, of which there are a few for each partition at most.
+
+Only the places that are dropped go to their documents, as runs of kept and dropped lines.
 
 Defined results: a null or empty text has one empty line and keeps it; each row
 counts as one document, so rows with equal doc_id and text share one decision;
 among documents with equal largest doc_id all keep their lines; a null doc_id
 is smaller than any other; an empty table gives an empty result; other columns
-of the input are ignored.
+of the input are ignored.  A text of any length is cut into lines by the scan, and all work on it is in proportion to its lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import SPACES, cut, partitions, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of a hash that stay in one slice, at least.
+SLICE_ROWS = 1 << 12
+#: Counters of the sketch of frequent hashes, at least and at most.
+LEAST_COUNTERS, MOST_COUNTERS = 10_000, 1_000_000
 
 
 def lines_of(text: Column) -> Column:
@@ -33,47 +38,63 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
 
 
-def _fingerprint(key: Column) -> Column:
-    """128 bits."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b"))
-
-
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, body, pos, a, b) for each line whose key has at least min_chars code points; body is a hash of the text."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("pos", "key"))
     return keyed.where(F.char_length("key") >= min_chars).select("doc_id", "body", "pos", F.xxhash64("key").alias("a"), F.xxhash64("key", F.lit(1)).alias("b"))
 
 
-def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """(a, b, keeper): hashes of lines that at least min_docs documents hold, and the largest doc_id of them.
+def sorted_runs(occ: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """occ with slice (0: the whole hash), range-partitioned by hash and slice and sorted by hash, document and position."""
+    n = partitions(occ.sparkSession)
+    most = max(slice_rows, occ.count() // (4 * n))
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 16 * n))
+    top = occ.agg(F.expr(f"approx_top_k(a, {min(counters, 8 * n)}, {counters})").alias("top")).select(F.explode("top").alias("t"))
+    hot = top.where(F.col("t.count") > most).select(F.col("t.item").alias("a"), F.ceil(F.col("t.count") / most).alias("slices"))
+    sliced = occ.join(F.broadcast(hot), "a", "left")
+    own = F.when(F.col("slices").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "body"), F.col("slices")) + 1).cast("int")
+    sliced = sliced.select("a", own.alias("slice"), "b", "doc_id", "body", "pos")
+    return sliced.repartitionByRange(n, "a", "slice").sortWithinPartitions("a", "slice", "b", "doc_id", "body", "pos")
+
 
-    Each document gives a hash once, so a plain count, combined before the shuffle, counts documents.
-    """
-    keys = F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars)
-    once = docs.select("doc_id", F.explode(F.array_distinct(F.transform(keys, _fingerprint))).alias("k"))
-    held = once.groupBy(F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.count(F.lit(1)).alias("held"), F.max("doc_id").alias("keeper"))
-    return held.where(F.col("held") >= min_docs).select("a", "b", "keeper")
+def streamed(runs: DataFrame) -> DataFrame:
+    """runs with held (documents with the line) and keeper (the largest doc_id), both within the slice."""
+    line = Window.partitionBy("a", "slice", "b")
+    in_doc = Window.partitionBy("a", "slice", "b", "doc_id", "body").orderBy("pos")
+    first = runs.withColumn("first", (F.rank().over(in_doc) == 1).cast("long"))
+    return first.withColumns({"held": F.sum("first").over(line), "keeper": F.max("doc_id").over(line)}).drop("first")
 
 
-def bitmap(n: Column, dropped: Column) -> Column:
-    """Hexadecimal digits, the first line the highest bit of the first: 1 keeps the line; padded with 0.  dropped: sorted positions."""
-    digit = lambda i: F.substring(
-        F.lit("0123456789abcdef"),
-        F.lit(1) + sum(((i * 4 + j < n) & ~F.array_contains(dropped, i * 4 + j)).cast("int") * (8 >> j) for j in range(4)),
-        F.lit(1),
-    )
-    whole = F.concat(F.repeat(F.lit("f"), F.floor(n / 4).cast("int")), F.element_at(F.array(F.lit(""), F.lit("8"), F.lit("c"), F.lit("e")), (n % 4 + 1).cast("int")))
-    return F.when(F.size(dropped) == 0, whole).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), digit), ""))
+def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(doc_id, body, pos) of the lines to drop."""
+    told = streamed(sorted_runs(cut(occurrences(docs, min_chars)), slice_rows))
+    other = ~F.col("doc_id").eqNullSafe(F.col("keeper"))
+    told = cut(told.where((F.col("slice") > 0) | ((F.col("held") >= min_docs) & other)))
+    ends = told.where("slice > 0").groupBy("a", "b", "slice").agg(F.first("held").alias("held"), F.max("keeper").alias("keeper"))
+    whole = ends.groupBy("a", "b").agg(F.sum("held").alias("held"), F.max("keeper").alias("keeper")).where(F.col("held") >= min_docs).select("a", "b", "keeper")
+    of_slices = told.where("slice > 0").drop("held", "keeper").join(F.broadcast(whole), ["a", "b"]).where(other)
+    return told.where("slice = 0").select("doc_id", "body", "pos").union(of_slices.select("doc_id", "body", "pos"))
 
 
-def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(doc_id, body, dropped): sorted positions of the lines to drop, for documents that lose any."""
-    spark = docs.sparkSession
-    occ = occurrences(docs, min_chars)
-    # cut, so that the join's two sides are dealt out for it alone and a hot hash's partition can be split
-    hit = occ.join(cut(repeated_keys(docs, min_chars, min_docs)), ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    hit = hit.select("a", "b", "doc_id", "body", "pos").repartitionByRange(partitions(spark), "a", "b", "doc_id", "pos").sortWithinPartitions("a", "b", "doc_id", "pos")
-    return hit.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    gone = dropped_lines(docs, min_chars, min_docs, slice_rows)
+    return gone.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+
+
+def run_ends(n: Column, dropped: Column) -> Column:
+    """Where runs end, kept and dropped ones in turn, kept ones first: the bitmap's change points, at n the last; dropped: sorted positions."""
+    size = F.size(dropped)
+    starts = F.filter(dropped, lambda x, i: (i == 0) | (F.get(dropped, i - 1) != x - 1))
+    ends = F.filter(dropped, lambda x, i: (i == size - 1) | (F.get(dropped, i + 1) != x + 1))
+    last = F.when(F.get(dropped, size - 1) == n - 1, F.array().cast("array<int>")).otherwise(F.array(n))
+    return F.concat(F.flatten(F.zip_with(starts, ends, lambda s, e: F.array(s, e + 1))), last)
+
+
+def bitmap(ends: Column) -> Column:
+    """The bitmap's run lengths, kept and dropped lines in turn, joined by spaces; the first may be 0."""
+    lengths = F.transform(ends, lambda x, i: x - F.when(i == 0, 0).otherwise(F.get(ends, i - 1)))
+    return F.array_join(F.transform(lengths, lambda x: x.cast("string")), " ")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -81,19 +102,20 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     return _decided(docs, min_chars, min_docs).select("doc_id", "n_lines", "n_dropped", "keep")
 
 
-def _decided(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    drops = dropped_positions(docs, min_chars, min_docs).select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), "dropped")
+def _decided(docs: DataFrame, min_chars: int, min_docs: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    drops = dropped_positions(docs, min_chars, min_docs, slice_rows).select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), "dropped")
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("body"))
     out = base.join(drops, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body") == F.col("_b")), "left")
     out = out.select("doc_id", "text", lines_of(F.col("text")).alias("lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
-    n = F.size("lines")
-    return out.select("doc_id", "text", "lines", "dropped", n.cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), bitmap(n, F.col("dropped")).alias("keep"))
+    out = out.select("*", run_ends(F.size("lines"), F.col("dropped")).alias("ends"))
+    return out.select("doc_id", "text", "lines", "ends", F.size("lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), bitmap(F.col("ends")).alias("keep"))
 
 
 def kept_text() -> Column:
     """The kept lines of a row of _decided, joined by line feeds."""
-    kept = F.filter("lines", lambda x, i: ~F.array_contains("dropped", i))
-    return F.when(F.size("dropped") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get("ends", i - 1))
+    runs = F.transform(F.col("ends"), lambda end, i: F.when(i % 2 == 0, F.slice("lines", begin(i) + 1, end - begin(i))).otherwise(F.array().cast("array<string>")))
+    return F.when(F.col("n_dropped") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.flatten(runs), "\n"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,15 +134,13 @@ WITH l AS (
 ), d AS (
   SELECT k.doc_id, k.pos, k.line, (h.key IS NOT NULL AND k.doc_id <> h.keeper) AS gone FROM k LEFT JOIN h ON k.key = h.key
 ), b AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256,
-    string_agg(CASE WHEN gone THEN '0' ELSE '1' END, '' ORDER BY pos) AS bits
-  FROM d GROUP BY doc_id
-), p AS (SELECT *, rpad(bits, CAST((length(bits) + 3) // 4 * 4 AS INT), '0') AS padded FROM b)
-SELECT doc_id, n_lines, n_dropped, kept_sha256,
-  array_to_string([substr('0123456789abcdef', 1 + 8 * CAST(substr(padded, CAST(4 * j + 1 AS INT), 1) AS INT) + 4 * CAST(substr(padded, CAST(4 * j + 2 AS INT), 1) AS INT)
-    + 2 * CAST(substr(padded, CAST(4 * j + 3 AS INT), 1) AS INT) + CAST(substr(padded, CAST(4 * j + 4 AS INT), 1) AS INT), 1) FOR j IN range(0, length(padded) // 4)], '') AS keep
-FROM p
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id
+), e AS (
+  SELECT doc_id, pos, gone AND NOT coalesce(lag(gone) OVER w, FALSE) AS starts, NOT gone AND coalesce(lag(gone) OVER w, FALSE) AS ends FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), m AS (SELECT doc_id, pos - 1 AS edge FROM e WHERE starts OR ends UNION ALL SELECT doc_id, n_lines FROM b
+), g AS (SELECT doc_id, edge, edge - coalesce(lag(edge) OVER (PARTITION BY doc_id ORDER BY edge), 0) AS run FROM m
+), s AS (SELECT doc_id, string_agg(run, ' ' ORDER BY edge) AS keep FROM g GROUP BY doc_id)
+SELECT b.*, s.keep FROM b JOIN s ON b.doc_id = s.doc_id
 """
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}

@@ -175,13 +175,18 @@ def brute_lines(rows, min_chars=20, min_docs=3):
     return sorted(out, key=str)
 
 
-def found_lines(docs):
+def found_lines(docs, slice_rows=line_dedup.SLICE_ROWS):
     from pyspark.sql import functions as F
 
-    got = line_dedup._decided(docs, 20, 3).select("doc_id", "n_lines", "n_dropped", F.sha2(line_dedup.kept_text().cast("binary"), 256), "keep").collect()
+    got = line_dedup._decided(docs, 20, 3, slice_rows).select("doc_id", "n_lines", "n_dropped", F.sha2(line_dedup.kept_text().cast("binary"), 256), "keep", "text").collect()
     for r in got:
-        bits = bin(int("1" + r.keep, 16))[3:]
-        assert len(bits) == -(-r.n_lines // 4) * 4 and bits[: r.n_lines].count("0") == r.n_dropped and "1" not in bits[r.n_lines :]
+        runs = [int(x) for x in r.keep.split(" ")]
+        assert sum(runs) == r.n_lines and sum(runs[1::2]) == r.n_dropped and all(runs[1:])
+        lines, at, kept = (r.text or "").split("\n"), 0, []
+        for k, x in enumerate(runs):
+            kept += lines[at : at + x] if k % 2 == 0 else []
+            at += x
+        assert hashlib.sha256("\n".join(kept).encode()).hexdigest() == r[3]
     return sorted((tuple(r)[:4] for r in got), key=str)
 
 
@@ -192,6 +197,22 @@ def test_lines_by_brute_force(spark):
     assert found_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute_lines(rows)
 
 
+def test_frequent_lines_are_cut_into_slices(spark):
+    rng = random.Random(9)
+    pool = [prose(rng, 5, 10**4) for _ in range(6)]
+    rows = [(i % 190 or None, "\n".join([rng.choice(pool), prose(rng, 6, 10**6), *rng.choices(pool[:2], k=rng.randrange(4))])) for i in range(200)] + [(500, "\n".join([pool[0]] * 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    runs = line_dedup.sorted_runs(line_dedup.occurrences(docs, 20), 20)
+    assert runs.where("slice > 0").groupBy("a").agg({"slice": "max"}).count() >= 2
+    assert found_lines(docs, 20) == found_lines(docs) == brute_lines(rows)
+
+
+def test_lines_are_streamed_from_sorted_ranges(odd):
+    plan = line_dedup.streamed(line_dedup.sorted_runs(line_dedup.occurrences(odd, 20)))._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("Exchange rangepartitioning")[0]
+    assert above.count("Window") >= 2 and above.count("Sort ") == 1 and "Exchange" not in above and "collect" not in above
+
+
 def test_lines_of_odd_rows(odd, clashing, empty):
     want = brute_lines([r[:2] for r in odd_rows()])
     assert found_lines(odd) == want and found_lines(clashing) == want
