@@ -1,10 +1,12 @@
-"""Reading tables and cutting lineage, shared by the operators of this subpackage."""
+"""Reading tables, cutting lineage, names and keys of rows, shared by the operators of this subpackage."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: Separators of words, and what is stripped from lines: space and 0x09-0x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -15,13 +17,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one where that is unset and the master is local, since no other machine would see it."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores more as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, (MapType, VariantType)):
+        return False
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    return all(_hashable(f.dataType) for f in kind.fields) if isinstance(kind, StructType) else True
+
+
+def row_key(df: DataFrame) -> Column:
+    """Two hashes of all columns, equal for rows that are equal in all of them (and else with a chance of 2**-128)."""
+    columns = [quoted(f.name) if _hashable(f.dataType) else F.to_json(F.struct(quoted(f.name))) for f in df.schema.fields]
+    # a hash passes nulls over, so where they are is hashed too
+    empty = [c.isNull() for c in columns]
+    return F.struct(F.xxhash64(*columns, *empty).alias("a"), F.xxhash64(F.lit(1), *columns, *empty).alias("b"))

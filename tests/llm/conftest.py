@@ -44,5 +44,5 @@ def clashing(odd):
     """Columns named like those that operators make."""
     from pyspark.sql import functions as F
 
-    names = "n size row rows label labels body place h bytes shard whole depth starts kept score media hash bits set group dropped lines pos a b key keep target".split()
+    names = "n size row rows label labels body place h bytes shard whole depth starts kept score media hash bits set group dropped lines pos a b key keep target cell deep salt number other own rank lost winner text_ _gone _d _b _c _w _shard _text _row".split()
     return odd.select("*", *[F.lit(1).alias(c) for c in names])

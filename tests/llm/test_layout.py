@@ -33,11 +33,41 @@ def test_shards_keep_the_limit(spark, sf_dir, limit):
     assert all(both[k[:-1]] > limit for k in names if k)
 
 
+def test_same_as_sql(spark, same_as_sql):
+    from netmoment import llm
+
+    same_as_sql(llm.queries()["op2_sharding"], llm.oracle_sql()["op2_sharding"])
+
+
+@pytest.mark.parametrize("limit", [1, 60, 700])
+def test_shards_by_splitting_buckets(spark, limit):
+    rng = random.Random(limit)
+    rows = [(i, "é" * rng.randrange(40)) for i in range(300)] + [(5, "equal")] * 200 + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    buckets = {"": [(r.h, r.bytes) for r in docs.select(sharding.hashed(F.col("doc_id"), F.col("text")).alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).collect()]}
+    want = Counter()
+    while buckets:
+        name, held = buckets.popitem()
+        if sum(b for _, b in held) <= limit:
+            want[name] = len(held)
+        elif len(name) == sharding.MAX_BITS:
+            fit = max(1, limit // held[0][1])
+            for i in range(0, len(held), fit):
+                want[f"{name}.{held[0][0]:X}.{i // fit}"] = min(fit, len(held) - i)
+        else:
+            for bit in "01":
+                if part := [x for x in held if f"{x[0]:060b}"[len(name)] == bit]:
+                    buckets[name + bit] = part
+    assert Counter(r.shard for r in sharding.shards(docs, limit).collect()) == want
+
+
 def test_shards_of_odd_rows(odd, clashing, empty):
     for limit in (1, 100, 10**6):
         got = sharding.shards(odd, limit).collect()
         assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str(r[:2]) for r in odd_rows())
-    assert sharding.shards(clashing, 100).count() == len(odd_rows())
+    got = sharding.shards(clashing, 100)
+    assert got.count() == len(odd_rows()) and got.columns == [*(c for c in clashing.columns if c not in ("bytes", "shard")), "bytes", "shard"]
+    assert got.where("h <> 1 or whole <> 1 or depth <> 1 or cell <> 1").count() == 0
     assert sharding.shards(empty).count() == 0
 
 
@@ -99,9 +129,40 @@ def test_mix(spark, sf_dir):
 def test_splitting_tree_is_whole():
     quotas = np.array([100, 7, 0, 1])
     leaves = list(mixing.split_tree(quotas, 0, 13, 5))
-    assert [first for first, _, _ in leaves] == list(range(13)) and (sum(q for _, _, q in leaves) == quotas).all()
-    parts = [x for first, n, q in mixing.split_tree(quotas, 0, 13, 5, stop=4) for x in mixing.split_tree(q, first, n, 5)]
-    assert [x[0] for x in parts] == list(range(13)) and all((a[2] == b[2]).all() for a, b in zip(parts, leaves, strict=True))
+    assert [x[0] for x in leaves] == list(range(13)) and (sum(x[2] for x in leaves) == quotas).all()
+    assert all((b[3] == a[2] + a[3]).all() for a, b in zip(leaves, leaves[1:], strict=False)) and not leaves[0][3].any()
+    parts = [x for first, n, q, b in mixing.split_tree(quotas, 0, 13, 5, stop=4) for x in mixing.split_tree(q, first, n, 5, begin=b)]
+    assert [x[0] for x in parts] == list(range(13)) and all((a[k] == b[k]).all() for a, b in zip(parts, leaves, strict=True) for k in (2, 3))
+
+
+def test_leaves_own_each_drawn_block_once(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_BITS", 2)
+    mix = mixing.Mix(table(spark, sf_dir, "documents"), block_words=500, shard_words=9000)
+    quota = Counter()
+    for r in mix.blocks.collect():
+        quota[r.sid] += r.draws
+    owned = defaultdict(list)
+    for r in mix.shard_ranges().collect():
+        owned[r.sid].append((r.draw, r.shard))
+    assert mix.shards > 8 and all(sorted(d for d, _ in owned[s]) == list(range(q)) for s, q in quota.items())
+    assert all([s for _, s in sorted(v)] == sorted(s for _, s in v) for v in owned.values())
+    # the blocks before each one, summed plainly
+    words = defaultdict(list)
+    for r in mix.placed.groupBy("sid", "block").agg(F.sum("size").alias("words")).orderBy("sid", "block").collect():
+        words[r.sid].append(r.words)
+    for r in mix.blocks.collect():
+        assert r.before == sum(words[r.sid][: r.number]) and r.n_blocks == len(words[r.sid])
+
+
+def test_rows_that_differ_in_other_columns_only_are_all_mixed(spark):
+    rows = [(1, "a b c", "s", "x"), (1, "a b c", "u", "y"), (1, "a b c", "s", "z"), (1, "a b c", "s", "z"), (2, "d e", "u", None), (2, "d e", "u", None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra string").withColumn("more", F.create_map(F.lit("k"), F.col("extra")))
+    mix = mixing.Mix(docs)
+    want = Counter()
+    for r in mix.taken().join(docs.select("*", mixing.row_key(docs).alias("key")).dropDuplicates(["key"]).drop("doc_id"), "key").collect():
+        want[r.doc_id, r.text, r.source, r.extra] += len(r.shards)
+    got = Counter((r.doc_id, r.text, r.source, r.extra) for r in mix.mixed().collect())
+    assert got == +want and len(got) >= 3
 
 
 def test_mix_of_odd_rows(odd, clashing, empty):
