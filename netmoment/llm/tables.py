@@ -10,6 +10,8 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantT
 
 #: Separators of words, and what is stripped from lines: space and 0x09-0x0D.
 SPACES = " \t\n\x0b\x0c\r"
+#: What a batch to a Python worker holds at most, but for a single longer row.
+BATCH_BYTES = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrow_batches(spark: SparkSession) -> None:
+    """Batches of at most BATCH_BYTES (or one row) go to Python workers from now on, if the session's bound is larger."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,7 +4,9 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D.  All of these
 separators are ASCII, so working on UTF-8 bytes gives the same words as working
 on code points.  A word's hash is a polynomial over its bytes, taken as a
 difference of two prefix sums modulo 2**64; a window of k words is hashed the
-same way over word hashes.  Both are O(1) for each word, whatever k is.
+same way over word hashes.  Both are O(1) for each word, whatever k is.  Sums are
+taken over a chunk at a time, so a long text needs some 10 bytes a byte and 50 a word, and the powers of the
+bases are no more than a chunk has.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text hashed at once: it bounds memory, and arrays stay in cache.
+#: Bytes of text, and words, hashed at once: it bounds memory, and arrays stay in cache.
 CHUNK_BYTES = 1 << 20
+CHUNK_WORDS = 1 << 18
 
 _U = np.uint64
 
@@ -90,21 +93,43 @@ class Words:
         self.starts = np.flatnonzero(word & before)
         self.ends = np.flatnonzero(word & after) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        up, down = _BYTES_BASE.upto(n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[:n], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        self.hashes = mix(h + (self.ends - self.starts).astype(np.uint64))
+        self.hashes = self._hashed(_BYTE_LOWER if lower else _BYTE)
+
+    def _hashed(self, table: np.ndarray) -> np.ndarray:
+        n, size = len(self.bytes), min(CHUNK_BYTES, max(1, len(self.bytes)))
+        up, down = _BYTES_BASE.upto(size + 1)
+        below, above, inverse = (np.empty(len(self.starts), dtype=np.uint64) for _ in range(3))
+        # the sum of all before the chunk, and the base's powers where it begins
+        total, power, undo = _U(0), 1, 1
+        i = j = 0
+        with np.errstate(over="ignore"):
+            for a in range(0, n, size):
+                b = min(a + size, n)
+                sums = np.zeros(b - a + 1, dtype=np.uint64)
+                np.cumsum(table[self.bytes[a:b]] * up[: b - a], out=sums[1:])
+                sums = total + sums * _U(power)
+                to, end = np.searchsorted(self.starts, b), np.searchsorted(self.ends, b, side="right")
+                at = self.starts[i:to] - a
+                below[i:to], inverse[i:to] = sums[at], down[at] * _U(undo)
+                above[j:end] = sums[self.ends[j:end] - a]
+                i, j, total = to, end, sums[-1]
+                power, undo = power * pow(_BYTES_BASE.base, size, 2**64) % 2**64, undo * pow(_BYTES_BASE.inverse, size, 2**64) % 2**64
+        return mix((above - below) * inverse + (self.ends - self.starts).astype(np.uint64))
 
     def windows(self, k: int, second: bool = False) -> np.ndarray:
         """The hash of words i to i+k-1 for each i with k words from it on, texts ignored."""
-        n = len(self.hashes)
-        if n < k:
+        n = len(self.hashes) - k + 1
+        if n <= 0:
             return np.zeros(0, dtype=np.uint64)
-        up, down = (_SECOND_BASE if second else _WORDS_BASE).upto(n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(self.hashes * up[:n], out=total[1:])
-        return mix((total[k:] - total[:-k]) * down[: n - k + 1])
+        step = min(n, CHUNK_WORDS)
+        up, down = (_SECOND_BASE if second else _WORDS_BASE).upto(step + k)
+        out = np.empty(n, dtype=np.uint64)
+        for a in range(0, n, step):
+            h = self.hashes[a : min(a + step, n) + k - 1]
+            total = np.zeros(len(h) + 1, dtype=np.uint64)
+            np.cumsum(h * up[: len(h)], out=total[1:])
+            out[a : a + step] = mix((total[k:] - total[:-k]) * down[: len(h) - k + 1])
+        return out
 
 
 def sized(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from netmoment.llm import jaccard_join, line_dedup, sigtree, substring_dedup
 from tests.llm.conftest import SCHEMA, odd_rows, prose
@@ -63,17 +64,61 @@ def test_components_of_odd_rows(odd, clashing, empty):
     assert jaccard_join.components(empty).count() == 0
 
 
-def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("edits", "local"), [(1, 5), (3, 10**6), (6, 10**6)])
+def test_large_groups_are_cut_into_blocks(spark, monkeypatch, edits, local):
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "LOCAL", local)
+    monkeypatch.setattr(jaccard_join, "SEEN", 10)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
     rng = random.Random(3)
-    base = prose(rng, 120, 10**6).split()
     rows = []
-    for i in range(60):
-        w = list(base)
-        w[rng.randrange(120)] = f"z{i}"
-        rows.append((i, " ".join(w)))
+    for k in range(2):
+        base = prose(rng, 120, 10**6).split()
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(50):
+            # with 3 edits or more few copies are linked with each other, and some with no other
+            w = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                w[rng.randrange(120)] = f"z{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    want = brute_components(rows)
     got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_components(rows)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert len({r[2] for r in want}) > (edits > 3)
+
+
+def brute_representatives(rows):
+    """Indices of rows: one of each component, the first by (no id, id); which of equal ids is free."""
+    sets = [shingles(r[1]) for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = label[i], label[j]
+                label = [a if x == b else x for x in label]
+    groups = defaultdict(list)
+    for i, x in enumerate(label):
+        groups[x if sets[i] else (i,)].append(i)
+    return [(min((rows[i][0] is None, rows[i][0] or 0) for i in g), g) for g in groups.values()]
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(12)
+    base = prose(rng, 60, 10**6)
+    near = [base.replace(base.split()[k], f"x{k}") for k in (10, 30, 50)]
+    rows = [(3, base, "a"), (5, base, "b"), (5, prose(rng, 40, 10**6), "c"), (5, prose(rng, 40, 10**6), "c"), (None, near[0], "d"), (None, "alone without an id", "e"), (None, "alone without an id", "e")]
+    rows += [(9, x, "same id") for x in near]
+    other = prose(rng, 60, 10**6)
+    rows += [(8, other.replace(other.split()[k], f"y{k}"), "same id again") for k in (10, 30, 50)] + [(20, "", "f"), (20, "", "f"), (20, None, "f"), (21, "equal rows with", "x"), (21, "equal rows with", "y"), (21, "equal rows with", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string").withColumn("more", F.create_map(F.lit("k"), F.col("extra"))).repartition(4)
+    got = [(r.doc_id, r.text) for r in jaccard_join.representatives(docs).collect()]
+    want = brute_representatives(rows)
+    assert len(got) == len(want)
+    for (none, doc_id), group in want:
+        may = {(rows[i][0], rows[i][1]) for i in group}
+        assert [d for d, t in got if (d, t) in may and (d is None, d or 0) == (none, doc_id)]
 
 
 def test_representatives(odd, empty):
@@ -81,6 +126,7 @@ def test_representatives(odd, empty):
     assert left.columns == odd.columns
     found = Counter((r.doc_id, r.text) for r in left.collect())
     assert all(v == 1 for (d, t), v in found.items() if d is not None)
+    assert (7, "another text with an id that is taken") in found and (None, "no id here") in found and (None, odd_rows()[7][1]) not in found
     assert (10, odd_rows()[10][1]) not in found and (7, odd_rows()[7][1]) in found and (0, None) in found
     assert jaccard_join.representatives(empty).count() == 0
 
@@ -176,8 +222,6 @@ def brute_lines(rows, min_chars=20, min_docs=3):
 
 
 def found_lines(docs, slice_rows=line_dedup.SLICE_ROWS):
-    from pyspark.sql import functions as F
-
     got = line_dedup._decided(docs, 20, 3, slice_rows).select("doc_id", "n_lines", "n_dropped", F.sha2(line_dedup.kept_text().cast("binary"), 256), "keep", "text").collect()
     for r in got:
         runs = [int(x) for x in r.keep.split(" ")]
