@@ -285,6 +285,45 @@ def test_quality_of_held_out_rows(spark, sf_dir):
     assert all(again[r.doc_id] == r.score for r in rows)
 
 
+def test_optimum_by_plain_descent():
+    rng = np.random.default_rng(3)
+    n, dense = 40, rng.normal(size=(40, 3))
+    cell = [np.unique(rng.integers(0, 2 * quality.CELLS, 6)) for _ in range(n)]
+    share = [rng.random(len(c)) for c in cell]
+    won, lost = rng.integers(0, n // 2, 300), rng.integers(n // 2, n, 300)
+    rows = quality.Rows(dense, cell, share)
+    w = quality.optimum(rows, won, lost, 0.01)
+    x = np.zeros((n, rows.width))
+    x[:, :3] = dense
+    for i in range(n):
+        x[i, 3 + cell[i]] = share[i].astype(np.float32)
+    d, v = x[won] - x[lost], np.zeros(rows.width)
+    for _ in range(20_000):
+        v -= 0.3 * (0.01 * v - d.T @ (1 / (1 + np.exp(d @ v))) / len(d))
+    assert np.abs(w - v).max() < 1e-4
+
+
+def test_scores_are_those_of_the_features():
+    rng = np.random.default_rng(4)
+    column = pa.array([None, "", "one", "one two", "Two two\nthree, FOUR! 5 ", "a " * 500])
+    model = quality.Model(rng.normal(size=10), rng.random(10) + 1, rng.normal(size=10), rng.normal(size=2 * quality.CELLS) / 10, 0.2)
+    got = model.scores(column)
+    rows = list(quality.sparse(column))
+    want = [((f - model.mean) / model.spread) @ model.weights + model.cells[c] @ s - 0.2 for f, c, s in rows]
+    np.testing.assert_allclose(got, 1 / (1 + np.exp(-np.array(want))), atol=1e-9)
+    assert [len(c) for _, c, _ in rows] == [0, 0, 1, 3, 8, 2] and [round(s.sum() / quality.SHARE, 6) for _, _, s in rows] == [0, 0, 1, 1.5, 1.8, 1.998]
+
+
+def test_repeated_documents_keep_the_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 3, prose(random.Random(i), 30)) for i in range(60)], "doc_id long, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(quality, "bradley_terry", lambda dense, cell, share, better, seed: seen.append((dense, better)))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (2, 1)], "doc_id long, quality int")
+    for t in (docs, docs.repartition(5)):
+        quality.fit(t, labels, max_rows=9)
+    assert len(seen[0][0]) == 9 and (seen[0][0] == seen[1][0]).all() and (seen[0][1] == seen[1][1]).all()
+
+
 def test_quality_of_odd_rows(spark, odd, clashing, empty):
     labels = spark.createDataFrame([(7, 1, 0), (12, 0, 0), (11, 1, 0), (16, 0, 0), (None, 1, 0), (3, None, 0), (999, 0, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
     model = quality.fit(odd, labels)
