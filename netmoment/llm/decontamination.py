@@ -13,8 +13,10 @@ The items are broadcast in blocks of at most BLOCK_WORDS words; each block is
 looked up in all documents.  Documents never leave their scan.
 
 Defined results: null or empty texts of items or documents match nothing; equal items all match; equal rows
-of documents match alike; several copies of an item in one document are a row each; empty tables give an empty result; other columns are
-ignored by matches() and pass through clean().
+of documents match alike; several copies of an item in one document are a row each, and of alignments with equal scores the
+one that ends first is taken; empty tables give an empty result; other columns are
+ignored by matches() and pass through clean().  A very long text is hashed in chunks and aligned in stretches of a few times an item's length;
+a very long item costs its length times the stretch's, in memory of the stretch's.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .alignment import GAP, MATCH, smith_waterman
-from .tables import table
+from .tables import narrow_batches, table
 from .tokens import PUNCTUATION, Words, words
 
 COVERAGE = 0.6
@@ -134,6 +136,7 @@ def _held(items: Broadcast):
 
 def prepared(docs: DataFrame, bench: DataFrame, coverage: float) -> list[Broadcast]:
     """Blocks of items with their seeds, broadcast."""
+    narrow_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     out = []
     for block in read_items(bench, coverage):
@@ -227,23 +230,22 @@ def matches(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> Da
 
 
 def clean(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs that copy no item."""
+    """The rows of docs that copy no item; of a row its text alone goes to Python."""
 
-    def keep(block: Broadcast):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = block.value
-            for b in batches:
-                kept = np.ones(len(b), dtype=bool)
-                for at, _, w in words(b.column(b.num_columns - 1), lower=False, separators=PUNCTUATION):
-                    for i, h in _texts(w):
-                        kept[at + i] = next(aligned(h, t), None) is None
-                yield b.select(list(range(b.num_columns - 1))).filter(pa.array(kept))
+    def copies_one(block: Broadcast):
+        @F.arrow_udf("boolean")
+        def run(column: pa.Array) -> pa.Array:
+            found = np.zeros(len(column), dtype=bool)
+            for at, _, w in words(column, lower=False, separators=PUNCTUATION):
+                for i, h in _texts(w):
+                    found[at + i] = next(aligned(h, block.value), None) is not None
+            return pa.array(found)
 
         return run
 
-    out, own = docs, max(["text", *docs.columns], key=len) + "_"
+    out = docs
     for block in prepared(docs, bench, coverage):
-        out = out.withColumn(own, folded("text")).mapInArrow(keep(block), docs.schema)
+        out = out.where(~copies_one(block)(folded("text")))
     return out
 
 

@@ -171,20 +171,57 @@ def test_planted_licenses_are_found(spark, sf_dir):
     assert license_scan.op5_license_scan(spark, sf_dir).where("template = 'MIT-notice'").count() == want > 0
 
 
-def brute_alignment(a, b):
+def brute_alignment(a, b, centre=0, band=10**9):
     h = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
     for i in range(len(a)):
         for j in range(len(b)):
-            h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
+            if abs(j - i - centre) <= band:
+                h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
     return h.max()
 
 
+def alignment_score(a, b, found):
+    """Of the passages that were found, aligned from end to end: the best score with as many matches."""
+    n, m = found.end - found.start, found.other_end - found.other_start
+    best = np.full((n + 1, m + 1, n + 1), -(10**6))
+    best[0, 0, 0] = 0
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i and j:
+                same = a[found.start + i - 1] == b[found.other_start + j - 1]
+                before = best[i - 1, j - 1]
+                best[i, j] = np.maximum(best[i, j], np.append(-(10**6), before[:-1]) + 2 if same else before - 1)
+            if i:
+                best[i, j] = np.maximum(best[i, j], best[i - 1, j] - 1)
+            if j:
+                best[i, j] = np.maximum(best[i, j], best[i, j - 1] - 1)
+    return best[n, m, found.matches]
+
+
 def test_alignment_by_brute_force():
     rng = np.random.default_rng(1)
-    for _ in range(60):
-        a, b = rng.integers(0, 5, rng.integers(1, 25)), rng.integers(0, 5, rng.integers(1, 25))
-        got = smith_waterman(a, b)
-        assert got.score == brute_alignment(a, b) and got.matches <= min(got.end - got.start, got.other_end - got.other_start)
+    for k in range(200):
+        a, b = rng.integers(0, 5, rng.integers(1, 18)), rng.integers(0, 5, rng.integers(1, 18))
+        if k % 2:
+            centre, band = int(rng.integers(-6, 7)), int(rng.integers(0, 6))
+            got, want = smith_waterman(a, b, centre, band), brute_alignment(a, b, centre, band)
+        else:
+            got, want = smith_waterman(a, b), brute_alignment(a, b)
+        assert got.score == want
+        assert not want or alignment_score(a, b, got) == want
+
+
+def test_alignment_in_a_band_needs_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 1000, 4000), rng.integers(0, 1000, 20_000)
+    b[5000:9000] = a
+    tracemalloc.start()
+    got = smith_waterman(a, b, centre=5000, band=10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got.matches, got.other_start, got.other_end) == (4000, 5000, 9000) and most < 1 << 20
 
 
 # Benchmark
@@ -232,6 +269,23 @@ def test_copies_with_words_replaced_throughout(spark, every, exact):
     assert decontamination.clean(docs, bench).count() == 0
 
 
+def test_recall_against_all_pairs(spark):
+    rng = random.Random(16)
+    items = [(k, prose(rng, 20 + 3 * k, 2000)) for k in range(15)]
+    rows = []
+    for i in range(120):
+        w = prose(rng, 150, 2000).split()
+        w[60:60] = edited_copy(rng, items[i % 15][1].split(), 0.4 * (i // 15) / 7)
+        rows.append((i, " ".join(w)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(8), spark.createDataFrame(items, "item_id long, text string")
+    number = {x: n for n, x in enumerate(sorted({x for _, t in rows + items for x in t.split()}))}
+    coded = lambda t: np.array([number[x] for x in t.split()])
+    want = {(i, k) for i, t in rows for k, x in items if smith_waterman(coded(x), coded(t)).matches >= decontamination.COVERAGE * len(x.split())}
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(docs, bench).collect()}
+    assert len(want & got) >= 0.98 * len(want) and len(want) > 90 and len(got - want) <= 2
+    assert {r.doc_id for r in decontamination.clean(docs, bench).collect()} == set(range(120)) - {d for d, _ in got}
+
+
 def test_words_inserted_throughout(spark):
     item = prose(random.Random(8), 40, 3000)
     far = " ".join(f"{w} z{i}" for i, w in enumerate(item.split()))
