@@ -6,9 +6,9 @@ anchors, and two spans at different places whose anchor is at one place would be
 one span; so in a window that repeats, each span's anchor is a gram that is chosen at two
 places at least.  Anchors are about an eighth of the words.
 
-First pass: each partition sketches its anchor grams into 2**sketch_bits cells
-that count to two; the merged sketch, one bit for each cell, overestimates how
-often a gram is an anchor.  Second pass: only windows all of whose anchors are
+First pass: each partition sketches its anchor grams in a count-min sketch of ROWS rows, whose cells
+count to two; it sends the cells that are not zero, slice by slice, and slices are added up.  The merged sketch, one bit for each cell
+in 2**bits cells, overestimates how often a gram is an anchor: it repeats only if its cells in all rows do.  Second pass: only windows all of whose anchors are
 estimated to repeat go on, as 96-bit hashes, to be grouped exactly by hash; none
 that repeats is lost.  A partition settles among its own windows first and
 sends each hash once, so a text with copies everywhere costs each reducer one
@@ -19,7 +19,8 @@ it, more windows are grouped exactly and the result stays the same.
 
 Defined results: a null text has no words; a text shorter than a window keeps
 all; each row is a document, so rows that are equal repeat each other; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored.  Rows are told apart by 96 bits of hashes of doc_id and text.  A very long text is
+cut into words and hashed in chunks, and its kept words are copied once.
 """
 
 from __future__ import annotations
@@ -27,28 +28,29 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packed
-from .tables import partitions, table
-from .tokens import Words, words
+from .tables import narrow_batches, partitions, table
+from .tokens import Words, mix, words
 
 GRAM = 8
 SPAN = 14
 SKETCH_BITS = 28
 SLICE_BITS = 20
-POSTING = np.dtype([("h", "<u8"), ("row", "<i8"), ("check", "<u4"), ("start", "<u4")])
+ROWS = 2
+POSTING = np.dtype([("h", "<u8"), ("row", "<i8"), ("more", "<u4"), ("check", "<u4"), ("start", "<u4")])
 #: The high bit of a posting's start: its repetition is known, others only have to hear of it.
 KNOWN = np.uint32(1 << 31)
-ANSWER = np.dtype([("row", "<i8"), ("start", "<u4")])
+ANSWER = np.dtype([("row", "<i8"), ("more", "<u4"), ("start", "<u4")])
 FLUSH = 1 << 20
+#: Spans whose grams are compared at once.
+STEP = 1 << 17
 
 
 def span_of(k: int) -> int:
@@ -64,7 +66,16 @@ def anchors(w: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     at = np.flatnonzero(text[:n] == text[length - 1 :])
-    return at, np.lib.stride_tricks.sliding_window_view(w.windows(GRAM), span)[at].argmin(1) + at
+    view, low = np.lib.stride_tricks.sliding_window_view(w.windows(GRAM), span), at.copy()
+    for i in range(0, len(at), STEP):
+        low[i : i + STEP] += view[at[i : i + STEP]].argmin(1)
+    return at, low
+
+
+def cells(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The cell of each gram in each row of the sketch; a row has 2**bits / ROWS cells."""
+    own = bits - (ROWS - 1).bit_length()
+    return np.stack([(mix(grams + np.uint64(k)) >> np.uint64(64 - own)).astype(np.int64) | k << own for k in range(ROWS)])
 
 
 def estimated(w: Words, k: int, bits: int, repeated: np.ndarray) -> np.ndarray:
@@ -73,9 +84,9 @@ def estimated(w: Words, k: int, bits: int, repeated: np.ndarray) -> np.ndarray:
     at, low = anchors(w, span)
     if not len(at):
         return at
-    cell = (w.windows(GRAM)[low] >> np.uint64(64 - bits)).astype(np.int64)
+    cell = cells(w.windows(GRAM)[low], bits)
     missing = np.ones(len(w.hashes) + 1, dtype=np.int64)
-    missing[at] = 1 - (repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
+    missing[at] = 1 - (repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).min(0)
     total = np.concatenate([[0], np.cumsum(missing)])
     spans = k - GRAM - span + 2
     n = len(w.hashes) - k + 1
@@ -94,8 +105,8 @@ def _sketched(k: int, bits: int):
         for b in batches:
             for _, _, w in words(b.column(0), lower=False):
                 low = np.unique(anchors(w, span_of(k))[1])
-                held.append((w.windows(GRAM)[low] >> np.uint64(64 - bits)).astype(np.int64))
-                n += len(low)
+                held.append(cells(w.windows(GRAM)[low], bits).ravel())
+                n += ROWS * len(low)
                 if n > 4 * FLUSH:
                     yield flush()
                     held, n = [], 0
@@ -119,7 +130,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> Broadcast:
-    """The merged sketch of the texts' anchors: one bit for each cell, set if it is hit twice."""
+    """The merged sketch of the texts' anchors, ROWS rows in 2**bits cells: one bit for each cell, set if it is hit twice."""
     spark = docs.sparkSession
     bits = max(bits, SLICE_BITS)
     parts = docs.select("text").mapInArrow(_sketched(k, bits), packed.SCHEMA)
@@ -154,8 +165,8 @@ def _candidates(k: int, bits: int, seen: Broadcast, buckets: int):
                 yield packed.dealt(rest["row"].astype(np.uint64).astype(np.int64) % buckets, rest)
 
         for b in batches:
-            row = b.column(0).to_numpy(zero_copy_only=False)
-            for at, _, w in words(b.column(1), lower=False):
+            row, more = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for at, _, w in words(b.column(2), lower=False):
                 start = estimated(w, k, bits, repeated)
                 if not len(start):
                     continue
@@ -163,7 +174,7 @@ def _candidates(k: int, bits: int, seen: Broadcast, buckets: int):
                 text = np.searchsorted(w.first, start, side="right") - 1
                 p["h"], p["check"] = w.windows(k)[start], (w.windows(k, second=True)[start] >> np.uint64(32)).astype(np.uint32)
                 p["h"] |= np.uint64(1)  # 0 marks what is known
-                p["row"], p["start"] = row[at + text], start - w.first[text]
+                p["row"], p["more"], p["start"] = row[at + text], more[at + text], start - w.first[text]
                 held.append(p)
                 n += len(p)
                 if n > FLUSH:
@@ -186,58 +197,79 @@ def _repeated(buckets: int):
         size = np.diff(np.append(np.flatnonzero(new), len(p)))
         p = p[np.repeat(size > 1, size) | (p["start"] & KNOWN > 0)]
         out = np.empty(len(p), dtype=ANSWER)
-        out["row"], out["start"] = p["row"], p["start"] & ~KNOWN
+        out["row"], out["more"], out["start"] = p["row"], p["more"], p["start"] & ~KNOWN
         yield packed.dealt(out["row"] % buckets, out)
 
     return run
 
 
 def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, starts), each row once."""
+    """(row, more, starts), each row once."""
     p = packed.gathered(batches, ANSWER)
-    p = p[np.argsort(p["row"], kind="stable")]
-    at = np.flatnonzero(np.concatenate([[True], p["row"][1:] != p["row"][:-1]])) if len(p) else np.zeros(0, dtype=np.int64)
+    p = p[np.lexsort((p["more"], p["row"]))]
+    new = np.ones(len(p), dtype=bool)
+    new[1:] = (p["row"][1:] != p["row"][:-1]) | (p["more"][1:] != p["more"][:-1])
+    at = np.flatnonzero(new)
     ends = np.append(at, len(p))
     for i in range(0, len(at), 1000):
         lists = [p["start"][a:b].tobytes() for a, b in zip(ends[i : i + 1000], ends[i + 1 : i + 1001], strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array(p["row"][at[i : i + 1000]]), pa.array(lists, pa.binary())], names=["row", "starts"])
+        yield pa.RecordBatch.from_arrays([pa.array(p["row"][at[i : i + 1000]]), pa.array(p["more"][at[i : i + 1000]].astype(np.int64)), pa.array(lists, pa.binary())], names=["row", "more", "starts"])
+
+
+def _row() -> tuple:
+    """96 bits that tell rows apart, in two columns."""
+    return F.xxhash64("doc_id", "text").alias("row"), F.shiftrightunsigned(F.xxhash64(F.lit(1), "doc_id", "text"), 32).alias("more")
 
 
 def repeated_starts(docs: DataFrame, k: int = 35, bits: int = SKETCH_BITS) -> DataFrame:
-    """(row, starts): for rows of docs with repeated windows, their first words; row is xxhash64(doc_id, text)."""
+    """(row, more, starts): for rows of docs with repeated windows, their first words; row and more are those of _row()."""
     spark = docs.sparkSession
+    narrow_batches(spark)
     n = partitions(spark)
     bits = max(bits, SLICE_BITS)
-    windows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(_candidates(k, bits, sketch(docs, k, bits), 4 * n), packed.SCHEMA)
+    windows = docs.select(*_row(), "text").mapInArrow(_candidates(k, bits, sketch(docs, k, bits), 4 * n), packed.SCHEMA)
     found = windows.repartition(n, "bucket").mapInArrow(_repeated(4 * n), packed.SCHEMA)
-    return found.repartition(n, "bucket").mapInArrow(_by_row, "row long, starts binary")
+    return found.repartition(n, "bucket").mapInArrow(_by_row, "row long, more long, starts binary")
+
+
+def without(w: Words, starts: dict[int, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(words, words removed, kept words joined by spaces) of each text; starts: by text, the first words of what goes."""
+    n = len(w.starts)
+    change = np.zeros(n + 1, dtype=np.int64)
+    for i, s in starts.items():
+        s = np.unique(s).astype(np.int64) + w.first[i]
+        change[s] += 1
+        change[s + k] -= 1
+    kept = np.flatnonzero(np.cumsum(change[:-1]) == 0)
+    edge = np.searchsorted(kept, w.first)
+    parted = np.ones(len(kept), dtype=np.int64)  # all but a text's last kept word are followed by a space
+    parted[edge[1:][np.diff(edge) > 0] - 1] = 0
+    begin, end = w.starts[kept], w.ends[kept]
+    step = np.zeros(len(w.bytes) + 2, dtype=np.int8)
+    step[begin] += 1
+    step[end + parted] -= 1
+    data = w.bytes.copy()
+    data[end[parted > 0]] = 32
+    data = data[np.cumsum(step[: len(data)], dtype=np.int8) > 0].tobytes()
+    at = np.append(0, np.cumsum(end - begin + parted))[edge]
+    size = np.diff(w.first)
+    return size, size - np.diff(edge), [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def dedup(docs: DataFrame, k: int = 35, bits: int = SKETCH_BITS, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, and kept if with_text."""
-    starts = repeated_starts(docs, k, bits).withColumnRenamed("row", "_row")
-    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    joined = texts.join(starts, texts["row"] == starts["_row"], "left").select("doc_id", "text", "starts")
+    starts = repeated_starts(docs, k, bits).select(F.col("row").alias("r"), F.col("more").alias("m"), "starts")
+    texts = docs.select("doc_id", "text", *_row())
+    joined = texts.join(starts, (F.col("row") == F.col("r")) & (F.col("more") == F.col("m")), "left").select("doc_id", "text", "starts")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, removed, digest, kept = [], [], [], []
-            for text, starts in zip(pc.fill_null(b.column(1), "").cast(pa.large_binary()), b.column(2), strict=True):
-                found = text.as_py().split()
-                n_words.append(len(found))
-                if starts.is_valid:
-                    gone = np.zeros(len(found) + 1, dtype=np.int64)
-                    s = np.unique(np.frombuffer(starts.as_py(), dtype="<u4")).astype(np.int64)
-                    gone[s] += 1
-                    gone[s + k] -= 1
-                    found = list(compress(found, (np.cumsum(gone)[:-1] == 0).tolist()))
-                removed.append(n_words[-1] - len(found))
-                out = b" ".join(found)
-                digest.append(hashlib.sha256(out).hexdigest())
-                if with_text:
-                    kept.append(out.decode())
-            cols = [b.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
+            own = {i: np.frombuffer(x.as_py(), dtype="<u4") for i, x in enumerate(b.column(2)) if x.is_valid}
+            for at, end, w in words(b.column(1), lower=False):
+                size, gone, out = without(w, {i - at: own[i] for i in range(at, end) if i in own}, k)
+                columns = [b.column(0)[at:end], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())]
+                columns += [pa.array([x.decode() for x in out], pa.string())] if with_text else []
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(columns)])
 
     schema = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     return joined.mapInArrow(rows, schema.add("kept", "string") if with_text else schema)

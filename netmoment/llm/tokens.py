@@ -68,9 +68,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a run of texts: byte spans, 64-bit hashes, and the first word of each text."""
+    """The words of a run of texts: byte spans, 64-bit hashes (made when they are asked for), and the first word of each text."""
 
-    __slots__ = ("bytes", "ends", "first", "hashes", "starts")
+    __slots__ = ("_hashes", "_table", "bytes", "ends", "first", "starts")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, separators: np.ndarray = _SEPARATOR):
         """data: the texts' bytes, one after the other; offsets: where each begins, and the end; separators: by byte."""
@@ -93,7 +93,13 @@ class Words:
         self.starts = np.flatnonzero(word & before)
         self.ends = np.flatnonzero(word & after) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = self._hashed(_BYTE_LOWER if lower else _BYTE)
+        self._table, self._hashes = _BYTE_LOWER if lower else _BYTE, None
+
+    @property
+    def hashes(self) -> np.ndarray:
+        if self._hashes is None:
+            self._hashes = self._hashed(self._table)
+        return self._hashes
 
     def _hashed(self, table: np.ndarray) -> np.ndarray:
         n, size = len(self.bytes), min(CHUNK_BYTES, max(1, len(self.bytes)))

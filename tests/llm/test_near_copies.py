@@ -6,10 +6,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from netmoment.llm import jaccard_join, line_dedup, sigtree, substring_dedup
+from netmoment.llm.tokens import words
 from tests.llm.conftest import SCHEMA, odd_rows, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -195,6 +197,29 @@ def test_windows_of_odd_rows(odd, clashing, empty):
     assert substring_dedup.dedup(empty).count() == 0
 
 
+def test_sketch_counts_no_gram_too_low(spark):
+    rows = near_copies(80, 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bits, seen = 20, Counter()
+    repeated = substring_dedup.sketch(docs, 20, bits).value
+    for _, t in rows:
+        for _, _, w in words(pa.array([t]), lower=False):
+            seen.update(w.windows(8)[np.unique(substring_dedup.anchors(w, substring_dedup.span_of(20))[1])].tolist())
+    grams = np.array(sorted(seen), dtype=np.uint64)
+    cell = substring_dedup.cells(grams, bits)
+    assert len(cell) == substring_dedup.ROWS >= 2 and all((c >> (bits - 1) == k).all() for k, c in enumerate(cell))
+    each = repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1
+    twice = np.array([seen[g] > 1 for g in grams.tolist()])
+    assert each.min(0)[twice].all() and each.min(0)[~twice].sum() <= each.min(1).sum() and twice.any()
+
+
+def test_kept_words_are_read_with_the_hashes(spark):
+    rows = near_copies(40, 5) + [(100, None), (101, " \t "), (102, "a\nb\x0bc  d")]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 12, with_text=True).collect()
+    assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 and len(r.kept.split()) == r.n_words - r.n_removed for r in got)
+    assert {r.doc_id: r.kept for r in got}[102] == "a b c d"
+
+
 def test_flushes_keep_all_windows(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "FLUSH", 10)
     rows = near_copies(60, 9)
