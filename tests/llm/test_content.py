@@ -96,7 +96,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_page_with_article():
-    assert html_extract.blocks(PAGE) == (["Head & line", "First paragraph with bold, italics", "and a break.", "Second é <tag>", "one", "two"], True)
+    assert html_extract.blocks(PAGE) == (["First paragraph with bold, italics", "and a break.", "Second é <tag>", "one", "two"], True)
 
 
 @pytest.mark.parametrize("tag", ["html", "body", "main", "article"])
@@ -106,6 +106,70 @@ def test_marks_of_the_whole_page(tag):
     assert html_extract.blocks(page.format(**names)) == (["text"], True)
 
 
+def test_names_that_only_hold_a_mark_say_nothing():
+    page = "<article><div class='{}'><p>text</p></div></article>"
+    for name in ("social-history", "the-advert-of-1920", "shareholders", "notice-of-meeting x", "adsorption", "menu-of-the-day"):
+        assert html_extract.blocks(page.format(name)) == (["text"], True)
+    for name in ("ad", "adTop", "share-buttons", "x related-posts", "cookie_notice", "comment-list", "sidebar2", "side-bar", "SocialLinks"):
+        assert html_extract.blocks(page.format(name)) == ([], True)
+
+
+def test_suffixes_by_brute_force():
+    rng = np.random.default_rng(5)
+    run = html_extract.LEAST_RUN
+    stories = [rng.integers(1, 10**6, n) for n in (5, 9, 14, 30, 60)]
+    for _ in range(8):
+        pages = [np.concatenate([x for _ in range(rng.integers(1, 4)) for x in (stories[rng.integers(5)], rng.integers(1, 10**6, rng.integers(0, 6)))]).astype(np.uint32) for _ in range(14)]
+        rows = []
+        for k, tokens in enumerate(pages):
+            for i in range(len(tokens) - run + 1):
+                s = np.zeros(1, dtype=html_extract.SUFFIX)
+                s["host"], s["prefix"], s["a"], s["b"], s["place"], s["own"] = k % 2, zlib.crc32(tokens[i : i + run].tobytes()), k, -k, i, True
+                part = tokens[i : i + html_extract.AHEAD]
+                s["ahead"][0, : len(part)] = part
+                rows.append(s)
+        got = {}
+        for r in html_extract.repeated(np.concatenate(rows), run, 2):
+            at = r["at"]
+            assert r["host"] == at["a"] % 2 == -at["b"] % 2
+            got.setdefault((int(at["a"]), int(at["place"])), {})[int(at["pages"])] = int(at["length"])
+        held = {}
+        for k, tokens in enumerate(pages):
+            for n in range(run, html_extract.AHEAD + 1):
+                for i in range(len(tokens) - n + 1):
+                    held.setdefault((k % 2, n, tokens[i : i + n].tobytes()), set()).add(k)
+        for k, tokens in enumerate(pages):
+            for i in range(len(tokens) - run + 1):
+                want = {}
+                for n in range(run, min(html_extract.AHEAD, len(tokens) - i) + 1):
+                    if (m := len(held[k % 2, n, tokens[i : i + n].tobytes()])) >= 2:
+                        want[m] = n
+                assert got.get((k, i), {}) == want
+
+
+def test_boilerplate_in_articles_goes_where_nearly_all_pages_have_it(spark):
+    rng = random.Random(7)
+    plea = "please write to the editors if you have found a mistake in this text"
+    short = "more from us"
+    stories = [[prose(rng, 30, 10**6) for _ in range(3)] for _ in range(12)]
+    stories[1] = stories[0]
+    stories[2][1] = plea  # a block in the middle stays
+    rows = [(i, f"https://Big.example/{i}", f"<p>menu of the host with a few more words</p><article><p>{short}</p>{''.join(f'<p>{x}</p>' for x in s)}<p>{plea}</p></article><footer>foot of the host, as everywhere</footer>") for i, s in enumerate(stories)]
+    rows += [(100 + i, f"https://small.example/{i}", f"<article><p>{plea}</p>{''.join(f'<p>{x}</p>' for x in s)}</article>") for i, s in enumerate(stories[:9])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert [got[i] for i in range(12)] == ["\n".join(s) for s in stories]
+    assert [got[100 + i] for i in range(9)] == ["\n".join([plea, *s]) for i, s in enumerate(stories[:9])]
+
+
+def test_equal_rows_are_one_page(spark):
+    text = prose(random.Random(9), 40, 10**6)
+    rows = [(1, "http://a.example/", f"<div>{text}</div><div>own words</div>")] * 5 + [(k, "http://b.example/", f"<div>{text}</div><div>own words of {k}</div>") for k in range(5)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.text for r in got if "a.example" in r.url) == [f"{text}\nown words"] * 5
+    assert sorted(r.text for r in got if "b.example" in r.url) == [f"own words of {k}" for k in range(5)]
+
+
 @pytest.mark.parametrize("page", ["", "plain text", "<p>open <b>bold", "<article>", "<a <b> < c", "</p></div>", "<script>never closed", "<!-- never closed", "<p>a</p>" * 2000])
 def test_broken_pages(page):
     found, _ = html_extract.blocks(page)
@@ -343,14 +407,14 @@ def test_optimum_by_plain_descent():
     rng = np.random.default_rng(3)
     n, dense = 40, rng.normal(size=(40, 3))
     cell = [np.unique(rng.integers(0, 2 * quality.CELLS, 6)) for _ in range(n)]
-    share = [rng.random(len(c)) for c in cell]
+    count, words = [rng.integers(1, 9, len(c)) for c in cell], rng.integers(20, 90, n)
     won, lost = rng.integers(0, n // 2, 300), rng.integers(n // 2, n, 300)
-    rows = quality.Rows(dense, cell, share)
+    rows = quality.Rows(dense, cell, count, words)
     w = quality.optimum(rows, won, lost, 0.01)
     x = np.zeros((n, rows.width))
     x[:, :3] = dense
     for i in range(n):
-        x[i, 3 + cell[i]] = share[i].astype(np.float32)
+        x[i, 3 + cell[i]] = count[i] * quality.SHARE / words[i]
     d, v = x[won] - x[lost], np.zeros(rows.width)
     for _ in range(20_000):
         v -= 0.3 * (0.01 * v - d.T @ (1 / (1 + np.exp(d @ v))) / len(d))
@@ -363,15 +427,16 @@ def test_scores_are_those_of_the_features():
     model = quality.Model(rng.normal(size=10), rng.random(10) + 1, rng.normal(size=10), rng.normal(size=2 * quality.CELLS) / 10, 0.2)
     got = model.scores(column)
     rows = list(quality.sparse(column))
-    want = [((f - model.mean) / model.spread) @ model.weights + model.cells[c] @ s - 0.2 for f, c, s in rows]
+    size = [0, 0, 1, 2, 5, 500]
+    want = [((f - model.mean) / model.spread) @ model.weights + model.cells[c] @ n * quality.SHARE / max(1, k) - 0.2 for (f, c, n), k in zip(rows, size, strict=True)]
     np.testing.assert_allclose(got, 1 / (1 + np.exp(-np.array(want))), atol=1e-9)
-    assert [len(c) for _, c, _ in rows] == [0, 0, 1, 3, 8, 2] and [round(s.sum() / quality.SHARE, 6) for _, _, s in rows] == [0, 0, 1, 1.5, 1.8, 1.998]
+    assert [len(c) for _, c, _ in rows] == [0, 0, 1, 3, 8, 2] and [int(n.sum()) for _, _, n in rows] == [0, 0, 1, 3, 9, 999]
 
 
 def test_repeated_documents_keep_the_bound(spark, monkeypatch):
     docs = spark.createDataFrame([(i % 3, prose(random.Random(i), 30)) for i in range(60)], "doc_id long, text string").repartition(3)
     seen = []
-    monkeypatch.setattr(quality, "bradley_terry", lambda dense, cell, share, better, seed: seen.append((dense, better)))
+    monkeypatch.setattr(quality, "bradley_terry", lambda dense, cell, count, better, seed: seen.append((dense, better)))
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (2, 1)], "doc_id long, quality int")
     for t in (docs, docs.repartition(5)):
         quality.fit(t, labels, max_rows=9)
