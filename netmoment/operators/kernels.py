@@ -1,15 +1,19 @@
 """Block kernels for the sums that joins would make cubic: numpy over broadcast parameters.
 
 A task takes focal nodes and computes their rows against all nodes by matrix
-products.  The broadcast holds two numbers for each node.  Exact sums need at
+products.  The broadcast holds a few numbers for each node: id, mu, and the sums of its row that a motif needs, which come from
+distributed plans.  A task holds one row of the matrix for a focal node and blocks of COLUMNS columns of others.  Exact sums need at
 least n**2 operations for each focal node, so they are refused beyond
 options' exact_nodes; Monte Carlo beyond mc_nodes, with which the broadcast stays below
-64 MB.  Both bounds can be raised by the caller.
+128 MB.  Both bounds can be raised by the caller.
+
+Random numbers are those of functions.expr.hash_uniform of the seed, the node, the repetition and the draw.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,11 +31,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
 
-def _parameters(model: Ensemble, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _parameters(model: Ensemble, most: int, sums: DataFrame | None = None) -> dict[str, np.ndarray]:
+    """id, mu and, with sums(id, d[, s, m]) of all nodes, these, in order of id; a copy for each worker."""
     if model.n > most:
         raise ValueError(f"{model.n} nodes are more than this kernel takes ({most})")
-    t = model.all_nodes.orderBy("id").toPandas()
-    return t["id"].to_numpy(), t["mu"].to_numpy()
+    t = (model.all_nodes if sums is None else sums).orderBy("id").toPandas()
+    return {c: t[c].to_numpy() for c in t.columns}
 
 
 def _rows(mu: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -66,24 +71,16 @@ def _quadrangle(mu: np.ndarray, p: np.ndarray, whole: np.ndarray | None, i: int,
     return total / 2
 
 
-def exact(model: Ensemble, focal: DataFrame, names: list[str]) -> DataFrame:
-    """(id, names) of focal nodes, for names among triangle, quadrangle, qwedge, qhead."""
-    ids, mu = _parameters(model, options.get("exact_nodes"))
-    shared = model.spark.sparkContext.broadcast((ids, mu))
+def exact(model: Ensemble, focal: DataFrame, names: list[str], sums: DataFrame | None) -> DataFrame:
+    """(id, names) of focal nodes, for names among triangle, quadrangle, qwedge, qhead; sums: (id, mu, d, s, m) of all nodes, for the last two."""
+    shared = model.spark.sparkContext.broadcast(_parameters(model, options.get("exact_nodes"), sums))
     names = list(names)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, mu = shared.value
+        t_ = shared.value
+        ids, mu, d, s, m = (t_.get(k) for k in ("id", "mu", "d", "s", "m"))
         n = len(mu)
-        whole = _rows(mu, np.arange(n)) if n <= 4 * COLUMNS and (not {"triangle"} >= set(names)) else None
-        d = s = m = None
-        if {"qwedge", "qhead"} & set(names):
-            d, s, m = np.empty(n), np.empty(n), np.empty(n)
-            for a in range(0, n, COLUMNS):
-                r = _rows(mu, cols := np.arange(a, min(a + COLUMNS, n)))
-                d[cols], s[cols] = r.sum(1), (r * r).sum(1)
-            for a in range(0, n, COLUMNS):
-                m[cols] = _rows(mu, cols := np.arange(a, min(a + COLUMNS, n))) @ d
+        whole = _rows(mu, np.arange(n)) if n <= COLUMNS and (not {"triangle"} >= set(names)) else None
         for part in parts:
             for a in range(0, len(part), ROWS):
                 own = part["id"].to_numpy()[a : a + ROWS]
@@ -106,23 +103,48 @@ def exact(model: Ensemble, focal: DataFrame, names: list[str]) -> DataFrame:
     return focal.select("id").repartition(parts, "id").mapInPandas(run, ", ".join(["id long", *[f"{k} double" for k in names]]))
 
 
+def uniform(*parts: object) -> float:
+    """hash_uniform of plain values."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
+
+
+def _drawn(weights: np.ndarray, u: np.ndarray) -> tuple[float, np.ndarray]:
+    """The sum of weights, and for each number the place whose part of the line from 0 to 1 it falls into."""
+    upto = np.cumsum(weights)
+    return float(upto[-1]), np.minimum(np.searchsorted(upto, u * upto[-1], side="right"), len(weights) - 1)
+
+
 class _Draws:
-    """A focal node's random neighbours, the same for all its motifs."""
+    """A focal node's random neighbours, the same for all its motifs; d: the degrees of all nodes, where a motif needs them."""
 
-    def __init__(self, mu: np.ndarray, d: np.ndarray, at: int, draws: int, rng: np.random.Generator):
-        self.mu, self.d, self.at, self.draws, self.rng = mu, d, at, draws, rng
+    def __init__(self, mu: np.ndarray, d: np.ndarray | None, at: int, draws: int, key: tuple):
+        self.mu, self.d, self.at, self.draws, self.key = mu, d, at, draws, key
         self.p = _rows(mu, np.array([at]))[0]
-        total = np.cumsum(self.p)
-        self.weight = float(total[-1])
-        self.j = np.minimum(np.searchsorted(total, rng.random(draws) * self.weight, side="right"), len(mu) - 1)
-        self.pj = _rows(mu, self.j)
-        self.pj[:, at] = 0  # k other than i
+        self.weight, self.j = _drawn(self.p, np.array([uniform(*key, r) for r in range(draws)]))
+        self.sums: dict[str, np.ndarray] = {}
 
     def mean(self, values: np.ndarray) -> float:
         return self.weight * float(values.mean()) if self.weight > 0 else 0.0
 
+    def summed(self, name: str, values: Callable[[np.ndarray, slice], np.ndarray]) -> np.ndarray:
+        """For each neighbour j the sum over k other than i of values(p_jk, k), in blocks of k."""
+        if name not in self.sums:
+            total = np.zeros(self.draws)
+            for a in range(0, len(self.mu), COLUMNS):
+                k = slice(a, min(a + COLUMNS, len(self.mu)))
+                block = _sigmoid(self.mu[self.j][:, None] + self.mu[None, k])
+                for at in (self.j, np.full(self.draws, self.at)):
+                    inside = np.flatnonzero((at >= a) & (at < a + COLUMNS))
+                    block[inside, at[inside] - a] = 0
+                total += values(block, k).sum(1)
+            self.sums[name] = total
+        return self.sums[name]
+
+    def common(self) -> np.ndarray:
+        return self.summed("common", lambda pj, k: pj * self.p[k])
+
     def triangle(self) -> float:
-        return self.mean(self.pj @ self.p) / 2
+        return self.mean(self.common()) / 2
 
     def twedge(self) -> float:
         return self.mean(self.d[self.at] - self.p[self.j])
@@ -131,49 +153,56 @@ class _Draws:
         return self.mean(self.d[self.j] - self.p[self.j])
 
     def qwedge(self) -> float:
-        p = self.p
-        return self.mean(self.pj.sum(1) * (self.d[self.at] - p[self.j]) - self.pj @ p)
+        return self.mean((self.d[self.j] - self.p[self.j]) * (self.d[self.at] - self.p[self.j]) - self.common())
 
     def qhead(self) -> float:
-        return self.mean(self.pj @ (self.d - self.p) - (self.pj * self.pj).sum(1))
+        return self.mean(self.summed("paths", lambda pj, k: pj * (self.d[k] - self.p[k] - pj)))
 
     def quadrangle(self) -> float:
         p, total = self.p, 0.0
-        for row, j in zip(self.pj, self.j, strict=True):
-            w = row * (1 - p)
-            edge = np.cumsum(w)
-            if edge[-1] <= 0:
+        for r, j in enumerate(self.j):
+            row = _rows(self.mu, np.array([j]))[0]
+            row[self.at] = 0
+            edge, k = _drawn(row * (1 - p), np.array([uniform(*self.key, r, s) for s in range(self.draws)]))
+            if edge <= 0:
                 continue
-            k = np.minimum(np.searchsorted(edge, self.rng.random(self.draws) * edge[-1], side="right"), len(p) - 1)
             last = p * (1 - row)
             last[j] = 0
-            total += float(edge[-1]) * float((_rows(self.mu, k) @ last).mean()) / 2
+            found = 0.0
+            for a in range(0, len(p), COLUMNS):
+                block = _sigmoid(self.mu[k][:, None] + self.mu[None, a : a + COLUMNS])
+                inside = np.flatnonzero((k >= a) & (k < a + COLUMNS))
+                block[inside, k[inside] - a] = 0
+                found += float((block @ last[a : a + COLUMNS]).mean())
+            total += edge * found / 2
         return self.weight * total / self.draws
 
 
-def monte_carlo(model: Ensemble, focal: DataFrame, names: tuple[str, ...], draws: int, seed: int = 0, repeat: int | None = None, average: bool = True, same_seed: bool = True) -> DataFrame:
+#: Motifs that need the degrees of all nodes.
+OF_DEGREES = frozenset(("twedge", "thead", "qwedge", "qhead"))
+
+
+def monte_carlo(model: Ensemble, focal: DataFrame, names: tuple[str, ...], draws: int, seed: int = 0, repeat: int | None = None, average: bool = True, same_seed: bool = True, degrees: DataFrame | None = None) -> DataFrame:
     """(id[, rep], names): importance-sampling estimates; neighbours are drawn in proportion to the edge probabilities.
 
     A node's draws depend on seed, its id and the repetition only.  Without average there is a row for each repetition;
-    with same_seed the motifs share their draws.
+    with same_seed the motifs share their draws.  degrees: (id, mu, d) of all nodes, for motifs of OF_DEGREES.
     """
     repeat = options.get("mc_repeat") if repeat is None else repeat
     if draws <= 0 or repeat <= 0:
         raise ValueError("draws and repetitions must be positive")
-    ids, mu = _parameters(model, options.get("mc_nodes"))
-    d = np.concatenate([_rows(mu, np.arange(a, min(a + ROWS, len(mu)))).sum(1) for a in range(0, len(mu), ROWS)])
-    shared = model.spark.sparkContext.broadcast((ids, mu, d))
+    shared = model.spark.sparkContext.broadcast(_parameters(model, options.get("mc_nodes"), degrees))
     names = tuple(names)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, mu, d = shared.value
+        ids, mu, d = (shared.value.get(k) for k in ("id", "mu", "d"))
         for part in parts:
             rows = []
             for i in part["id"]:
                 at = int(np.searchsorted(ids, i))
                 for r in range(repeat):
-                    one = _Draws(mu, d, at, draws, np.random.default_rng([seed, abs(int(i)), r]))
-                    each = [one] * len(names) if same_seed else [one, *(_Draws(mu, d, at, draws, np.random.default_rng([seed, abs(int(i)), r, k])) for k in range(1, len(names)))]
+                    one = _Draws(mu, d, at, draws, (seed, int(i), r))
+                    each = [one] * len(names) if same_seed else [one, *(_Draws(mu, d, at, draws, (f"{seed}/{k}", int(i), r)) for k in range(1, len(names)))]
                     rows.append((int(i), r, *(getattr(x, k)() for x, k in zip(each, names, strict=True))))
             yield pd.DataFrame(rows, columns=["id", "rep", *names])
 

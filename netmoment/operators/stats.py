@@ -110,13 +110,15 @@ def motifs(view: NodeView, names: tuple[str, ...] = TRIANGLE + QUADRANGLE, norma
     if draws is None:
         draws = options.get("mc_draws") if model.n > options.get("mc_above") and not set(names) <= {"twedge", "thead"} else False
     if draws:
-        values = kernels.monte_carlo(model, view.focal(), names, draws, **mc)
+        degrees = node_sums(model, model.all_nodes, first_only=True).select("id", "mu", "d") if kernels.OF_DEGREES & set(names) else None
+        values = kernels.monte_carlo(model, view.focal(), names, draws, degrees=degrees, **mc)
         rep = ["rep"] if "rep" in values.columns else []
         return _placed(view, values.select("id", *rep, *[(F.col(k) / scale).alias(k) for k in names]), [*rep, *names])
     sums = node_sums(model, view.focal())
     values = sums.select("id", "d", "s", "m", (F.col("d") * F.col("d") - F.col("s")).alias("twedge"), (F.col("m") - F.col("s")).alias("thead"))
     if hard := [k for k in names if k not in ("twedge", "thead")]:
-        values = values.join(kernels.exact(model, view.focal(), hard), "id")
+        whole = node_sums(model, model.all_nodes) if {"qwedge", "qhead"} & set(hard) else None
+        values = values.join(kernels.exact(model, view.focal(), hard, whole), "id")
     return _placed(view, values.select("id", *[(F.col(k) / scale).alias(k) for k in names]), list(names))
 
 

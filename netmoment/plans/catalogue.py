@@ -289,19 +289,40 @@ def coefs_homogeneous(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.coefficients(standard(spark).nodes, tuple(stats.COEFFICIENTS)))
 
 
-# Monte Carlo: random, so the estimates have no SQL
+# Monte Carlo: draws are hashes, so SQL draws the same neighbours
+
+DRAWS, REPEAT = 10, 2
+#: The draws of each node and repetition, the neighbour that each falls on, and the sums of rows that motifs take of it.
+MC = f"""c AS MATERIALIZED (SELECT i, j, p, sum(p) OVER (PARTITION BY i ORDER BY j) AS upto, sum(p) OVER (PARTITION BY i) AS total FROM p),
+  u AS (SELECT id AS i, rep, r, {UNIFORM.format("'5:' || id || ':' || rep || ':' || r")} AS u FROM n, range({{repeat}}) a(rep), range({DRAWS}) b(r)),
+  x AS MATERIALIZED (SELECT u.i, u.rep, u.r, c.j, c.p, c.total FROM u JOIN c ON u.i = c.i AND u.u * c.total >= c.upto - c.p AND u.u * c.total < c.upto),
+  y AS MATERIALIZED (SELECT x.i, x.rep, x.r, any_value(x.j) AS j, any_value(x.p) AS p, any_value(x.total) AS total, any_value(di.d) AS di, any_value(dj.d) AS dj, sum(jk.p * ik.p) AS both_, sum(CASE WHEN jk.j <> x.i THEN jk.p * (dk.d - ik.p - jk.p) ELSE 0 END) AS paths
+    FROM x JOIN p jk ON jk.i = x.j JOIN p ik ON ik.i = x.i AND ik.j = jk.j JOIN d di ON di.i = x.i JOIN d dj ON dj.i = x.j JOIN d dk ON dk.i = jk.j GROUP BY x.i, x.rep, x.r)"""
+MC_SQL = {
+    "triangle": "total * both_ / 2", "twedge": "total * (di - p)", "thead": "total * (dj - p)", "qwedge": "total * ((dj - p) * (di - p) - both_)", "qhead": "total * paths",
+}
+MC_QUADRANGLE = f"""w AS MATERIALIZED (SELECT x.i, x.r, x.j, x.total, jk.j AS k, CASE WHEN jk.j = x.i THEN 0 ELSE jk.p * (1 - ik.p) END AS w FROM x JOIN p jk ON jk.i = x.j JOIN p ik ON ik.i = x.i AND ik.j = jk.j),
+  e AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY i, r ORDER BY k) AS upto, sum(w) OVER (PARTITION BY i, r) AS edge FROM w),
+  v AS (SELECT i, r, s, {UNIFORM.format("'5:' || i || ':0:' || r || ':' || s")} AS u FROM x, range({DRAWS}) b(s)),
+  z AS MATERIALIZED (SELECT e.* FROM v JOIN e ON v.i = e.i AND v.r = e.r AND v.u * e.edge >= e.upto - e.w AND v.u * e.edge < e.upto),
+  q AS (SELECT z.i, sum(z.total * z.edge * kl.p * il.p * CASE WHEN kl.j = z.j THEN 0 WHEN kl.j = z.i THEN 1 ELSE 1 - jl.p END) / 2 / {DRAWS * DRAWS} AS q
+    FROM z JOIN p kl ON kl.i = z.k JOIN p il ON il.i = z.i AND il.j = kl.j JOIN p jl ON jl.i = z.j AND jl.j = kl.j GROUP BY z.i)"""
 
 for _m in stats.TRIANGLE + stats.QUADRANGLE:
 
     def _mc(spark: SparkSession, d: str, motif: str = _m) -> DataFrame:
-        return rounded(stats.motifs(supplier(spark, d).nodes, (motif,), mc=10, seed=5).select("id", motif))
+        return rounded(stats.motifs(supplier(spark, d).nodes, (motif,), mc=DRAWS, seed=5).select("id", motif))
 
-    query(name=f"mc_{_m}")(_mc)
+    if _m in MC_SQL:
+        query(f"WITH {N_SUPPLIER}, {P}, {D}, {MC.format(repeat=1)} SELECT i AS id, {_r(f'avg({MC_SQL[_m]})', _m)} FROM y GROUP BY i", name=f"mc_{_m}")(_mc)
+    else:
+        query(f"WITH {N_SUPPLIER}, {P}, {D}, {MC.format(repeat=1)}, {MC_QUADRANGLE} SELECT i AS id, {_r('q', _m)} FROM q", name=f"mc_{_m}")(_mc)
 
 
-@query()
+@query(f"""WITH {N_SUPPLIER}, {P}, {D}, {MC.format(repeat=REPEAT)}, g AS (SELECT i, rep, {', '.join(f'avg({MC_SQL[m]}) AS {a}' for m, a in (('triangle', 't'), ('twedge', 'tw'), ('thead', 'th')))} FROM y GROUP BY i, rep)
+  SELECT i AS id, CAST(rep AS INT) AS rep, {', '.join(_r(_COEF_SQL[c], c) for c in ('tclust', 'tclosure', 'similarity'))} FROM g""")
 def mc_tstats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.tstats(supplier(spark, d).nodes, mc=10, seed=5, repeat=2, average=False).select("id", "rep", "tclust", "tclosure", "similarity"))
+    return rounded(stats.tstats(supplier(spark, d).nodes, mc=DRAWS, seed=5, repeat=REPEAT, average=False).select("id", "rep", "tclust", "tclosure", "similarity"))
 
 
 # Sampling
@@ -321,7 +342,8 @@ def sample_replicates_degree(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("total"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT src, k, floor(ln(1 - {UNIFORM.format("'3:' || src || ':' || k")}) / ln(1 - 1 / (1 + 9994.0 / 5))) + 1 AS step FROM range(10000) a(src), range(1, 200) b(k)),
+  r AS (SELECT src, src + sum(step) OVER (PARTITION BY src ORDER BY k) AS dst FROM s) SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM r WHERE dst < 10000""")
 def sample_sparse(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_sparse(Ensemble.homogeneous(spark, 10_000, math.log(5 / 9_994)), seed=3)
 
@@ -648,7 +670,12 @@ def iterate_repeated(spark: SparkSession, d: str) -> DataFrame:
     return rounded(iteration.iterate(nation(spark, d).nodes, 2, lambda i, j, k: _PP(i, j) * _PP(i, k), unique=False))
 
 
-@query()
+
+@query(f"""WITH {N_NATION}, {P}, a AS (SELECT i, j, p, sum(p) OVER (PARTITION BY i ORDER BY j) AS upto, sum(p) OVER (PARTITION BY i) AS total FROM p WHERE i <> j),
+  x AS (SELECT a.*, r, total / p / 20 AS factor FROM a, range(20) t(r) WHERE {UNIFORM.format("'3:' || i || '::' || r")} >= (upto - p) / total AND {UNIFORM.format("'3:' || i || '::' || r")} < upto / total),
+  b AS (SELECT x.i, x.j, x.r, x.p AS ij, x.factor, jk.j AS k, jk.p, sum(jk.p) OVER w AS upto, sum(jk.p) OVER (PARTITION BY x.i, x.r) AS total FROM x JOIN p jk ON jk.i = x.j AND jk.j <> x.i AND jk.j <> x.j WINDOW w AS (PARTITION BY x.i, x.r ORDER BY jk.j)),
+  y AS (SELECT b.*, total / p / 20 AS other FROM b, range(20) t(s) WHERE {UNIFORM.format("'3:' || i || ':/' || r || ':' || s")} >= (upto - p) / total AND {UNIFORM.format("'3:' || i || ':/' || r || ':' || s")} < upto / total)
+  SELECT y.i AS id, {_r('sum(y.factor * y.other * y.ij * y.p * ik.p / 2)', 'value')} FROM y JOIN p ik ON ik.i = y.i AND ik.j = y.k GROUP BY y.i""")
 def mc_iterate_triangle(spark: SparkSession, d: str) -> DataFrame:
     kernel = lambda i, j, k: _PP(i, j) * _PP(j, k) * _PP(i, k) / 2
     return rounded(iteration.iterate_sampled(nation(spark, d).nodes, 2, kernel, [_PP, lambda i, j, k: _PP(j, k)], 20, seed=3))
