@@ -6,9 +6,8 @@ anchors, and two spans at different places whose anchor is at one place would be
 one span; so in a window that repeats, each span's anchor is a gram that is chosen at two
 places at least.  Anchors are about an eighth of the words.
 
-First pass: each partition sketches its anchor grams in a count-min sketch of ROWS rows, whose cells
-count to two; it sends the cells that are not zero, slice by slice, and slices are added up.  The merged sketch, one bit for each cell
-in 2**bits cells, overestimates how often a gram is an anchor: it repeats only if its cells in all rows do.  Second pass: only windows all of whose anchors are
+First pass: each partition sketches its anchor grams in a count-min sketch (see countmin), whose cells
+count to two.  The merged sketch overestimates how often a gram is an anchor: it repeats only if its cells in all rows do.  Second pass: only windows all of whose anchors are
 estimated to repeat go on, as 96-bit hashes, to be grouped exactly by hash; none
 that repeats is lost.  A partition settles among its own windows first and
 sends each hash once, so a text with copies everywhere costs each reducer one
@@ -26,7 +25,6 @@ cut into words and hashed in chunks, and its kept words are copied once.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +33,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packed
+from . import countmin, packed
 from .tables import narrow_batches, partitions, table
-from .tokens import Words, mix, words
+from .tokens import Words, words
 
 GRAM = 8
 SPAN = 14
 SKETCH_BITS = 28
-SLICE_BITS = 20
-ROWS = 2
 POSTING = np.dtype([("h", "<u8"), ("row", "<i8"), ("more", "<u4"), ("check", "<u4"), ("start", "<u4")])
 #: The high bit of a posting's start: its repetition is known, others only have to hear of it.
 KNOWN = np.uint32(1 << 31)
@@ -72,77 +68,31 @@ def anchors(w: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
     return at, low
 
 
-def cells(grams: np.ndarray, bits: int) -> np.ndarray:
-    """The cell of each gram in each row of the sketch; a row has 2**bits / ROWS cells."""
-    own = bits - (ROWS - 1).bit_length()
-    return np.stack([(mix(grams + np.uint64(k)) >> np.uint64(64 - own)).astype(np.int64) | k << own for k in range(ROWS)])
-
-
-def estimated(w: Words, k: int, bits: int, repeated: np.ndarray) -> np.ndarray:
+def estimated(w: Words, k: int, repeated: np.ndarray) -> np.ndarray:
     """First words of the windows of k words all of whose anchors the sketch says repeat."""
     span = span_of(k)
     at, low = anchors(w, span)
     if not len(at):
         return at
-    cell = cells(w.windows(GRAM)[low], bits)
     missing = np.ones(len(w.hashes) + 1, dtype=np.int64)
-    missing[at] = 1 - (repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).min(0)
+    missing[at] = ~countmin.reached(repeated, w.windows(GRAM)[low])
     total = np.concatenate([[0], np.cumsum(missing)])
     spans = k - GRAM - span + 2
     n = len(w.hashes) - k + 1
     return np.flatnonzero(total[spans : spans + n] == total[:n]) if n > 0 else at[:0]
 
 
-def _sketched(k: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            cell, count = np.unique(np.concatenate(held), return_counts=True)
-            cell = np.repeat(cell, np.minimum(count, 2))
-            return packed.dealt(cell >> SLICE_BITS, (cell & ((1 << SLICE_BITS) - 1)).astype("<u4"))
-
-        for b in batches:
-            for _, _, w in words(b.column(0), lower=False):
-                low = np.unique(anchors(w, span_of(k))[1])
-                held.append(cells(w.windows(GRAM)[low], bits).ravel())
-                n += ROWS * len(low)
-                if n > 4 * FLUSH:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
-
-    return run
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bitmap for each slice: the cells that are chosen twice or more."""
-    once: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for b in batches:
-        for s, r in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            cells, counts = np.unique(np.frombuffer(r.as_py(), dtype="<u4"), return_counts=True)
-            one, two = once.setdefault(s, (np.zeros(1 << SLICE_BITS, dtype=bool), np.zeros(1 << SLICE_BITS, dtype=bool)))
-            two[cells[one[cells] | (counts > 1)]] = True
-            one[cells] = True
-    for s, (_, two) in once.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(np.packbits(two).tobytes(), 1)], pa.binary())], names=["bucket", "records"])
+def sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> Broadcast:
+    """The merged sketch of the texts' anchors: whether each cell is hit twice."""
 
+    def grams(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, w in words(b.column(0), lower=False):
+            yield w.windows(GRAM)[np.unique(anchors(w, span_of(k))[1])]
 
-def sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> Broadcast:
-    """The merged sketch of the texts' anchors, ROWS rows in 2**bits cells: one bit for each cell, set if it is hit twice."""
-    spark = docs.sparkSession
-    bits = max(bits, SLICE_BITS)
-    parts = docs.select("text").mapInArrow(_sketched(k, bits), packed.SCHEMA)
-    slices = parts.repartition(partitions(spark), "bucket").mapInArrow(_merged, packed.SCHEMA)
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    step = 1 << (SLICE_BITS - 3)
-    for r in slices.toLocalIterator():
-        out[r.bucket * step : (r.bucket + 1) * step] = np.frombuffer(zlib.decompress(r.records), dtype=np.uint8)
-    return spark.sparkContext.broadcast(out)
+    return countmin.sketch(docs.select("text"), grams, bits, 2)
 
 
-def _candidates(k: int, bits: int, seen: Broadcast, buckets: int):
+def _candidates(k: int, seen: Broadcast, buckets: int):
     """Windows with a repeated anchor, a record for each hash of a partition and for each place that needs an answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +117,7 @@ def _candidates(k: int, bits: int, seen: Broadcast, buckets: int):
         for b in batches:
             row, more = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for at, _, w in words(b.column(2), lower=False):
-                start = estimated(w, k, bits, repeated)
+                start = estimated(w, k, repeated)
                 if not len(start):
                     continue
                 p = np.empty(len(start), dtype=POSTING)
@@ -226,8 +176,7 @@ def repeated_starts(docs: DataFrame, k: int = 35, bits: int = SKETCH_BITS) -> Da
     spark = docs.sparkSession
     narrow_batches(spark)
     n = partitions(spark)
-    bits = max(bits, SLICE_BITS)
-    windows = docs.select(*_row(), "text").mapInArrow(_candidates(k, bits, sketch(docs, k, bits), 4 * n), packed.SCHEMA)
+    windows = docs.select(*_row(), "text").mapInArrow(_candidates(k, sketch(docs, k, bits), 4 * n), packed.SCHEMA)
     found = windows.repartition(n, "bucket").mapInArrow(_repeated(4 * n), packed.SCHEMA)
     return found.repartition(n, "bucket").mapInArrow(_by_row, "row long, more long, starts binary")
 
