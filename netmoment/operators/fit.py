@@ -3,21 +3,25 @@
 A homogeneous fit is closed: mu = logit of the observed density.  With one mu for
 each node, nodes of equal degree have equal mu at the optimum, so the unknowns are the
 distinct degrees, at most about the square root of twice the edges; their
-equations E[degree] = degree are solved on the driver by Newton steps.  Nodes
+equations E[degree] = degree are solved on the driver by Newton steps up to NEWTON_CLASSES of them, and beyond
+by fixed-point steps whose expected degrees are a distributed sum over pairs of classes.  A start may be
+given by name or as a table; it decides where the steps begin.  A solution tells its steps, its error and whether it
+converged, and fit() raises where it did not.  Nodes
 of degree 0 have mu = -infinity, written as null, and stay out.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..plans.model import Ensemble
+from ..plans.model import Ensemble, spread
 from . import observed, stats
 
 #: Distinct degrees up to which Newton steps solve a dense system; a fixed point goes on from there.
@@ -56,26 +60,53 @@ class Solution:
     converged: bool
 
 
-def solve_classes(degrees: np.ndarray, counts: np.ndarray, rtol: float = 1e-9, most: int = 128) -> Solution:
-    """mu for each positive degree such that expected degrees are the observed ones; counts: nodes of each degree."""
+def _dense(w: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Expected degrees of classes with weights w, by mu."""
+
+    def expected(mu: np.ndarray) -> np.ndarray:
+        p = 1 / (1 + np.exp(-np.clip(mu[:, None] + mu[None], -700, 700)))
+        return p @ w - np.diag(p)
+
+    return expected
+
+
+def _distributed(spark: SparkSession, w: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The same as a sum over pairs of classes in the cluster; a number for each class comes back."""
+
+    def expected(mu: np.ndarray) -> np.ndarray:
+        classes = spark.createDataFrame(list(zip(range(len(mu)), mu.tolist(), w.tolist(), strict=True)), "c long, mu double, w double")
+        p = E.probability(-(F.col("mu") + F.col("mu_j")))
+        other = classes.select(F.col("mu").alias("mu_j"), "w")
+        sums = spread(classes.select("c", "mu")).crossJoin(spread(other)).groupBy("c", "mu").agg(F.sum(F.col("w") * p).alias("e"))
+        got = sums.select("c", (F.col("e") - E.probability(-2 * F.col("mu"))).alias("e")).orderBy("c").toPandas()
+        return got["e"].to_numpy()
+
+    return expected
+
+
+def solve_classes(degrees: np.ndarray, counts: np.ndarray, rtol: float = 1e-9, most: int = 128, start: np.ndarray | None = None, spark: SparkSession | None = None, newton_classes: int = NEWTON_CLASSES) -> Solution:
+    """mu for each positive degree such that expected degrees are the observed ones; counts: nodes of each degree; start: mu of each."""
     keep = degrees > 0
     k, w = degrees[keep].astype(float), counts[keep].astype(float)
     if not len(k):
         return Solution({}, 0, 0.0, True)
     n = w.sum()
     mu = np.log(k / math.sqrt((k * w).sum()))
-
-    def state(mu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = 1 / (1 + np.exp(-np.clip(mu[:, None] + mu[None], -700, 700)))
-        return p @ w - np.diag(p), p
+    if start is not None:
+        mu = np.where(np.isfinite(start[keep]), start[keep], mu)
+    small = len(k) <= newton_classes
+    if not small and spark is None:
+        raise ValueError(f"{len(k)} classes are solved with a session only")
+    expected = _dense(w) if small else _distributed(spark, w)
 
     error, step = np.inf, 0
     for step in range(1, most + 1):
-        e, p = state(mu)
+        e = expected(mu)
         error = float(np.abs(e - k).max())
         if error <= rtol * max(1.0, float(k.max())):
             break
-        if len(k) <= NEWTON_CLASSES and (k < n - 1).all():
+        if small and (k < n - 1).all():
+            p = 1 / (1 + np.exp(-np.clip(mu[:, None] + mu[None], -700, 700)))
             v = p * (1 - p)
             jac = v * w[None]
             jac[np.diag_indices(len(k))] += v @ w - 2 * np.diag(v)
@@ -84,7 +115,7 @@ def solve_classes(degrees: np.ndarray, counts: np.ndarray, rtol: float = 1e-9, m
             except np.linalg.LinAlgError:
                 delta = np.log(e / k)
             scale = 1.0
-            while scale > 1e-4 and np.abs(state(mu - scale * delta)[0] - k).max() > error:
+            while scale > 1e-4 and np.abs(expected(mu - scale * delta) - k).max() > error:
                 scale /= 2
             mu = mu - scale * delta if scale > 1e-4 else mu - np.log(e / k)
         else:
@@ -92,23 +123,47 @@ def solve_classes(degrees: np.ndarray, counts: np.ndarray, rtol: float = 1e-9, m
     return Solution(dict(zip(degrees[keep].tolist(), mu.tolist(), strict=True)), step, error, error <= 1e-5 * max(1.0, float(k.max())))
 
 
-def fit_degrees(ids: DataFrame, edges: DataFrame) -> tuple[DataFrame, Solution]:
-    """(id, degree, mu), and the solution; mu is null for isolated nodes."""
+def checked_targets(ids: DataFrame, degrees: DataFrame) -> DataFrame:
+    """degrees(id, degree) of exactly the nodes ids, or an error: targets must be numbers from 0 to n - 1, one for each node."""
+    n = ids.count()
+    found, distinct, known, bad = degrees.join(ids.select("id", F.lit(True).alias("known")), "id", "left").agg(
+        F.count(F.lit(1)), F.count_distinct("id"), F.count("known"), F.count_if(F.col("degree").isNull() | (F.col("degree") < 0) | (F.col("degree") > n - 1))
+    ).first()
+    if not found == distinct == known == n or bad:
+        raise ValueError(f"targets must be a degree from 0 to {n - 1} for each of {n} nodes: {found} rows, {known} of nodes, {bad} out of range")
+    return degrees
+
+
+def fit_degrees(ids: DataFrame, edges: DataFrame, start: DataFrame | str | None = None, newton_classes: int = NEWTON_CLASSES) -> tuple[DataFrame, Solution]:
+    """(id, degree, mu), and the solution; mu is null for isolated nodes.  start: a name of initial(), or (id, mu)."""
     k = observed.degree(ids, edges)
-    classes = k.groupBy("degree").count().orderBy("degree").toPandas()
-    found = solve_classes(classes["degree"].to_numpy(), classes["count"].to_numpy())
+    if isinstance(start, str):
+        start = initial(ids, edges, start)
+    rows = k if start is None else k.join(start.select("id", "mu"), "id", "left")
+    classes = rows.groupBy("degree").agg(F.count(F.lit(1)).alias("count"), (F.lit(None).cast("double") if start is None else F.avg("mu")).alias("mu")).orderBy("degree").toPandas()
     spark = ids.sparkSession
+    found = solve_classes(classes["degree"].to_numpy(), classes["count"].to_numpy(), start=classes["mu"].to_numpy(dtype=float), spark=spark, newton_classes=newton_classes)
     table = spark.createDataFrame(list(found.mu.items()), "degree long, mu double")
     return k.join(table, "degree", "left").select("id", "degree", "mu"), found
 
 
-def fit(ids: DataFrame, edges: DataFrame, how: str = "heterogeneous", method: str = "lagrangian") -> DataFrame:
-    """(id, mu) of the fitted model."""
+def fit(ids: DataFrame, edges: DataFrame, how: str = "heterogeneous", method: str = "lagrangian", start: DataFrame | str | None = None) -> DataFrame:
+    """(id, mu) of the fitted model; an error if the steps do not converge."""
     if method != "lagrangian":
         raise NotImplementedError(f"no objective for method {method!r}")
     if INITS[how] == "er":
         return initial(ids, edges, "er")
-    return fit_degrees(ids, edges)[0].select("id", "mu")
+    fitted, solution = fit_degrees(ids, edges, start)
+    if not solution.converged:
+        raise RuntimeError(f"no convergence in {solution.iterations} steps: expected degrees are off by {solution.error:.3g}")
+    return fitted.select("id", "mu")
+
+
+def expectations(params: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, degree): expected degrees under params(id, mu); a node without mu has none."""
+    known = params.where("mu is not null").select("id", "mu")
+    degree = stats.degree(Ensemble.heterogeneous(known).nodes).select("id", "degree")
+    return ids.select("id").join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0.0)).alias("degree"))
 
 
 def hamiltonian(params: DataFrame, ids: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -133,17 +133,22 @@ class Layer:
         e = F.greatest(g if self.kind == "similarity" else sphere.diameter - g, F.lit(self.eps))
         return F.ln(e) if self.log else e
 
-    def coupling(self, g: Column, sphere: Sphere, mu: Column | None = None) -> Column:
+    def coupling(self, g: Column, sphere: Sphere, mu: Column | None = None, beta: Column | None = None) -> Column:
         mu = F.lit(self.mu) if mu is None else mu
-        theta = self.beta * sphere.dim * (self.energy(g, sphere) - mu)
-        return theta + math.exp(-self.beta) * (self.beta + 1) * mu if self.modified else theta
+        beta = F.lit(self.beta) if beta is None else beta
+        theta = beta * sphere.dim * (self.energy(g, sphere) - mu)
+        return theta + F.exp(-beta) * (beta + 1) * mu if self.modified else theta
 
-    def probability(self, g: Column, sphere: Sphere, mu: Column | None = None) -> Column:
+    def probability(self, g: Column, sphere: Sphere, mu: Column | None = None, beta: Column | None = None) -> Column:
         """At infinite beta: 1 for energies below mu, 0 above, 1/2 at mu."""
-        if math.isinf(self.beta):
+        if beta is None and math.isinf(self.beta):
             e, m = self.energy(g, sphere), F.lit(self.mu) if mu is None else mu
             return F.when(e < m, F.lit(1.0)).when(e > m, F.lit(0.0)).otherwise(F.lit(0.5))
-        return E.probability(self.coupling(g, sphere, mu))
+        return E.probability(self.coupling(g, sphere, mu, beta))
+
+
+#: Names of the columns with a node's own mu and beta for a layer; None: the layer's own.
+NodeParameters = tuple[str | None, str | None]
 
 
 @dataclass(frozen=True)
@@ -167,19 +172,60 @@ class GeometricModel:
     def without(self, index: int) -> GeometricModel:
         return GeometricModel(self.n, self.sphere, tuple(x for k, x in enumerate(self.layers) if k != index % len(self.layers)))
 
-    def probability(self, g: Column, mus: list[Column] | None = None) -> Column:
-        each = [x.probability(g, self.sphere, mus[k] if mus else None) for k, x in enumerate(self.layers)]
+    def probability(self, g: Column, mus: list[Column | None] | None = None, betas: list[Column | None] | None = None) -> Column:
+        each = [x.probability(g, self.sphere, mus[k] if mus else None, betas[k] if betas else None) for k, x in enumerate(self.layers)]
         return each[0] if len(each) == 1 else E.union_probability(*each)
 
-    def pair_probs(self, points: DataFrame, mu: str | None = None) -> DataFrame:
-        """(i, j, g, p) for i < j of points(id, x[, mu]); a mu column adds up over pairs and serves all layers."""
-        if mu is None:
-            return distances(points, self.sphere).withColumn("p", self.probability(F.col("g")))
-        a = spread(points.select(F.col("id").alias("i"), F.col("x").alias("x_i"), F.col(mu).alias("mu_i")))
-        b = spread(points.select(F.col("id").alias("j"), F.col("x").alias("x_j"), F.col(mu).alias("mu_j")))
-        g = a.join(b, F.col("i") < F.col("j")).withColumn("g", self.sphere.distance(F.col("x_i"), F.col("x_j")))
-        both = F.col("mu_i") + F.col("mu_j")
-        return g.select("i", "j", "g", self.probability(F.col("g"), [both] * len(self.layers)).alias("p"))
+    def set_parameters(self, *parameters: dict) -> GeometricModel:
+        """The model with other mu, beta, ... of its layers, a dict for each."""
+        if len(parameters) != len(self.layers):
+            raise ValueError(f"{len(self.layers)} layers, {len(parameters)} sets of parameters")
+        return replace(self, layers=tuple(replace(x, **p) for x, p in zip(self.layers, parameters, strict=True)))
+
+    def pair_probs(self, points: DataFrame, mu: str | None = None, parameters: list[NodeParameters] | None = None) -> DataFrame:
+        """(i, j, g, p) for i < j of points(id, x, ...); a mu column adds up over pairs and serves all layers.
+
+        parameters: for each layer the columns of the nodes' own mu and beta, which add up over pairs.
+        """
+        parameters = [(mu, None)] * len(self.layers) if parameters is None else parameters
+        if len(parameters) != len(self.layers):
+            raise ValueError(f"{len(self.layers)} layers, {len(parameters)} sets of parameters")
+        g = distances(points, self.sphere)
+        names = sorted({c for pair in parameters for c in pair if c is not None})
+        for end in "ij" if names else "":
+            own = points.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in names])
+            g = g.join(own, end)
+        both = lambda c: None if c is None else F.col(f"{c}_i") + F.col(f"{c}_j")
+        p = self.probability(F.col("g"), [both(m) for m, _ in parameters], [both(b) for _, b in parameters])
+        return g.select("i", "j", "g", p.alias("p"))
+
+    def sample_points(self, spark: SparkSession, seed: int = 0) -> DataFrame:
+        """(id, x) of the model's nodes."""
+        return self.sphere.sample_points(spark, self.n, seed)
+
+    def sample_pmatrix(self, points: DataFrame, mu: str | None = None) -> DataFrame:
+        """(i, j, p) of all ordered pairs of given points, 0 for a node and itself."""
+        half = self.pair_probs(points, mu).select("i", "j", "p")
+        own = points.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("p"))
+        return half.union(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "p")).union(own)
+
+    def unit_degree(self, points: DataFrame, mu: str | None = None) -> DataFrame:
+        """(id, degree) of units points(id, x, w[, mu]), each of w nodes at one place: the expected degree of a node of the unit.
+
+        Nodes of one unit are at distance 0 of each other: of its w nodes w - 1 are others, the share (w - 1) / w of the unit's own term.
+        """
+        w = points.select(F.col("id").alias("j"), F.col("w").cast("double").alias("w"))
+        pairs = self.pair_probs(points, mu).select("i", "j", "p")
+        both = pairs.union(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "p"))
+        twice = [None if mu is None else 2 * F.col(mu)] * len(self.layers)
+        own = points.select(F.col("id").alias("i"), F.col("id").alias("j"), ((F.col("w") - 1) / F.col("w") * self.probability(F.lit(0.0), twice)).alias("p"))
+        return both.union(own).join(w, "j").groupBy(F.col("i").alias("id")).agg(F.sum(F.col("w") * F.col("p")).alias("degree"))
+
+    def quantized_degree(self, spark: SparkSession, nodes: DataFrame, digits: int, points: int = 128) -> DataFrame:
+        """(id, degree) of nodes(id, mu): the expected degree with parameters that round alike taken as their mean, given back to each node."""
+        units = quantize(nodes, digits)
+        merged = nodes.withColumn("code", F.round("mu", digits)).join(units.select("code", F.col("mu").alias("m")), "code").select("id", F.col("m").alias("mu"))
+        return self.expected_degree(spark, points, merged)
 
     def sample(self, points: DataFrame, seed: int = 0) -> DataFrame:
         """(src, dst) of a graph on given points."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import cut
 from ..sources.graphs import both_ways
 from .stats import COEFFICIENTS, coefficient_columns
 
@@ -17,16 +18,6 @@ CENSUS = ("t", "tw", "th", "q0", "qw", "qh")
 _OF_MOTIF = {"triangle": "t", "twedge": "tw", "thead": "th", "quadrangle": "q0", "qwedge": "qw", "qhead": "qh"}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration; sets a checkpoint folder of its own only where there is none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def degree(ids: DataFrame, edges: DataFrame, normalize: bool = False) -> DataFrame:
     """(id, degree) of all nodes, isolated ones included."""
     k = both_ways(edges).groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("k"))
@@ -36,8 +27,12 @@ def degree(ids: DataFrame, edges: DataFrame, normalize: bool = False) -> DataFra
     return found.crossJoin(F.broadcast(ids.agg(F.count(F.lit(1)).alias("n")))).select("id", (F.col("degree") / F.col("n")).alias("degree"))
 
 
-def edge_count(edges: DataFrame) -> DataFrame:
-    return edges.agg(F.count(F.lit(1)).alias("edge_count"))
+def edge_count(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """One row (edge_count); with ids for each of them, as the normalized count is."""
+    count = edges.agg(F.count(F.lit(1)).alias("edge_count"))
+    if ids is None:
+        return count
+    return count.crossJoin(F.broadcast(ids.agg(F.count(F.lit(1)).alias("n")))).select(F.try_divide("edge_count", "n").alias("edge_count"))
 
 
 def density(ids: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,21 +71,35 @@ def census(ids: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def chordless_squares(edges: DataFrame, tri: DataFrame) -> DataFrame:
-    """(id, q0): for nodes i and k that are not adjacent, pairs of common neighbours less the adjacent pairs of them, by i."""
+    """(id, q0): for nodes i and k that are not adjacent, pairs of common neighbours less the adjacent pairs of them, by i.
+
+    A square is counted once, at its last node in the order of (degree, id), for all four of its nodes: 2-paths are listed from there
+    only, which bounds a hub's by its later neighbours, of which there are at most about the square root of twice the edges.
+    """
     adj = both_ways(edges)
-    far = adj.select(F.col("i"), F.col("j")).join(adj.select(F.col("i").alias("j"), F.col("j").alias("k")), "j").where("i <> k")
-    open_ = far.join(adj.select("i", F.col("j").alias("k")), ["i", "k"], "left_anti").groupBy("i", "k").agg(F.count(F.lit(1)).alias("c"))
-    pairs = open_.groupBy("i").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("q"))
-    # an edge with two common neighbours that are not adjacent is a square with one chord
+    k = adj.groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    rank = F.struct("k", "id")
+    ranked = adj.join(k.select(F.col("id").alias("i"), rank.alias("ri")), "i").join(k.select(F.col("id").alias("j"), rank.alias("rj")), "j")
+    # from the last node z of a square to its two neighbours x and y, and from these to the opposite node w
+    to_x = ranked.where(F.col("rj") < F.col("ri")).select(F.col("i").alias("z"), F.col("ri").alias("rz"), F.col("j").alias("x"))
+    paths = to_x.join(ranked.select(F.col("i").alias("x"), F.col("j").alias("w"), F.col("rj").alias("rw")), "x").where(F.col("rw") < F.col("rz")).select("z", "x", "w")
+    open_ = paths.join(edges.select(F.col("src").alias("z"), F.col("dst").alias("w")).union(edges.select(F.col("dst").alias("z"), F.col("src").alias("w"))), ["z", "w"], "left_anti")
+    # x and y of a square without the chord z-w, less those with the chord x-y
+    ends = open_.groupBy("z", "w").agg(F.count(F.lit(1)).alias("c"))
+    of_ends = ends.select(F.explode(F.array("z", "w")).alias("id"), (F.col("c") * (F.col("c") - 1) / 2).alias("q"))
+    of_middles = open_.join(ends, ["z", "w"]).select(F.col("x").alias("id"), (F.col("c") - 1).cast("double").alias("q"))
+    # squares with the one chord x-y have been counted if z or w is the last node: two triangles on an edge, whose third nodes are not adjacent
     on_edge = tri.select(F.explode(F.array(
         F.struct(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.col("c").alias("i")),
         F.struct(F.least("a", "c").alias("x"), F.greatest("a", "c").alias("y"), F.col("b").alias("i")),
         F.struct(F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"), F.col("a").alias("i")),
     )).alias("e")).select("e.x", "e.y", "e.i")
-    chord = on_edge.join(on_edge.select("x", "y", F.col("i").alias("k")), ["x", "y"]).where("i <> k")
-    chord = chord.join(adj.select("i", F.col("j").alias("k")), ["i", "k"], "left_anti").groupBy("i").agg(F.count(F.lit(1)).alias("e"))
-    both = pairs.join(chord, "i", "full")
-    return both.select(F.col("i").alias("id"), (F.coalesce("q", F.lit(0.0)) - F.coalesce("e", F.lit(0))).alias("q0"))
+    of = lambda c: k.select(F.col("id").alias(c), rank.alias(f"r{c}"))
+    on_edge = on_edge.join(of("x"), "x").join(of("y"), "y").join(of("i"), "i").select("x", "y", "i", (F.col("ri") > F.greatest("rx", "ry")).alias("last"))
+    chord = on_edge.join(on_edge.select("x", "y", F.col("i").alias("k"), F.col("last").alias("other")), ["x", "y"]).where("i < k and (last or other)")
+    chord = chord.join(edges.select(F.col("src").alias("i"), F.col("dst").alias("k")), ["i", "k"], "left_anti")
+    less = chord.select(F.explode(F.array("i", "k", "x", "y")).alias("id"), F.lit(-1.0).alias("q"))
+    return of_ends.union(of_middles).union(less).groupBy("id").agg(F.sum("q").alias("q0"))
 
 
 def coefficients(ids: DataFrame, edges: DataFrame) -> DataFrame:
@@ -106,17 +115,22 @@ def global_coefficients(ids: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def path_lengths(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """(i, j, d): hop distances of connected ordered pairs, by rounds of joins until none is new."""
+    """(i, j, d): hop distances of connected ordered pairs, by rounds of joins until none is new.
+
+    A neighbour of a node at distance d is at d - 1, d or d + 1, so a round looks at the last two rounds' pairs alone, and writes its own alone.
+    """
     adj = cut(both_ways(edges))
-    known = cut(adj.select("i", "j", F.lit(1).alias("d")))
-    front, d = known, 1
-    while True:
-        d += 1
-        step = front.select("i", F.col("j").alias("via")).join(adj.select(F.col("i").alias("via"), "j"), "via").where("i <> j").select("i", "j").distinct()
-        front = cut(step.join(known, ["i", "j"], "left_anti").select("i", "j", F.lit(d).alias("d")))
-        if not front.limit(1).count():
-            return known
-        known = cut(known.union(front))
+    rounds = [cut(adj.select("i", "j", F.lit(1).alias("d")))]
+    while rounds[-1].limit(1).count():
+        d = len(rounds) + 1
+        step = rounds[-1].select("i", F.col("j").alias("via")).join(adj.select(F.col("i").alias("via"), "j"), "via").where("i <> j").select("i", "j").distinct()
+        for known in rounds[-2:]:
+            step = step.join(known.select("i", "j"), ["i", "j"], "left_anti")
+        rounds.append(cut(step.select("i", "j", F.lit(d).alias("d"))))
+    found = rounds[0]
+    for r in rounds[1:-1]:
+        found = found.union(r)
+    return found
 
 
 def average_path_length(ids: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions.random import RandomGenerator
+from ..functions.variables import Constraint
 from ..operators import fit, geometry, grids, iteration, observed, sampling, stats
-from ..sources.graphs import edges_by_slots, nodes, read
+from ..sources.graphs import canonical, edges_by_slots, from_matrix_rows, nodes, read
 from .model import Ensemble
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,13 +491,6 @@ def sphere_distances(spark: SparkSession, d: str) -> DataFrame:
     return rounded(geometry.distances(p, geometry.Sphere(63)))
 
 
-@query(f"WITH {_POINTS}, o AS (SELECT id, list_transform(x, lambda v: -v) AS x FROM pts WHERE id < 20) SELECT a.id AS i, b.id AS j, {_r(_G, 'g')} FROM pts a CROSS JOIN o b")
-def sphere_cross_distances(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d)
-    antipodes = p.where("id < 20").select("id", F.transform("x", lambda v: -v).alias("x"))
-    return rounded(geometry.distances(p, geometry.Sphere(63), other=antipodes))
-
-
 def _density_sql(dim: int, r: float, g: str) -> str:
     c = math.gamma((dim + 1) / 2) / (math.sqrt(math.pi) * math.gamma(dim / 2) * r)
     return f"({c!r}::DOUBLE * greatest(sin({g} / {r!r}::DOUBLE), 0) ** {dim - 1})"
@@ -567,6 +561,31 @@ def geo_sample(spark: SparkSession, d: str) -> DataFrame:
     return _MULTI.sample(points(spark, d), seed=13)
 
 
+#: Each node's own mu in both layers and beta in one, from its label.
+_OWN = "own AS (SELECT CAST(vec_id AS BIGINT) AS id, label / 40.0 + 0.1 AS m1, label / 50.0 + 0.2 AS m2, label / 30.0 + 0.2 AS b1 FROM embeddings)"
+_LAYERS = geometry.GeometricModel.of(500, geometry.Sphere(63), geometry.Layer("similarity"), geometry.Layer("complementarity", beta=0.5))
+
+
+@query(f"""WITH {_GS}, {_OWN}, e AS (SELECT i, j, a.m1 + b.m1 AS m1, a.m2 + b.m2 AS m2, a.b1 + b.b1 AS b1, ln(greatest(g, 1e-9::DOUBLE)) AS e1, ln(greatest({math.pi!r}::DOUBLE - g, 1e-9::DOUBLE)) AS e2
+  FROM gs JOIN own a ON a.id = i JOIN own b ON b.id = j)
+  SELECT i, j, {_r(f'1 - (1 - 1 / (1 + exp(b1 * 63 * (e1 - m1) + exp(-b1) * (b1 + 1) * m1))) * (1 - 1 / (1 + exp({0.5 * 63!r}::DOUBLE * (e2 - m2) + {math.exp(-0.5) * 1.5!r}::DOUBLE * m2)))', 'p')} FROM e""")
+def geo_node_parameters(spark: SparkSession, d: str) -> DataFrame:
+    label = F.col("label")
+    own = read(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"), (label / 40.0 + 0.1).alias("m1"), (label / 50.0 + 0.2).alias("m2"), (label / 30.0 + 0.2).alias("b1"))
+    return rounded(_LAYERS.pair_probs(own, parameters=[("m1", "b1"), ("m2", None)]).select("i", "j", "p"))
+
+
+_UNIT = geometry.GeometricModel.of(500, geometry.Sphere(63), geometry.Layer("similarity", mu=0.4, beta=0.5))
+
+
+@query(f"""WITH {_GS}, u AS (SELECT CAST(vec_id AS BIGINT) AS id, label + 1 AS w FROM embeddings), p AS (SELECT i, j, {_layer_sql('similarity', 'g', 63, 1.0, '0.4', 0.5)} AS p FROM gs),
+  b AS (SELECT i, j, p FROM p UNION ALL SELECT j, i, p FROM p UNION ALL SELECT id, id, (w - 1.0) / w * {_layer_sql('similarity', '0', 63, 1.0, '0.4', 0.5)} FROM u)
+  SELECT b.i AS id, {_r('sum(b.p * u.w)', 'degree')} FROM b JOIN u ON u.id = b.j GROUP BY b.i""")
+def geo_unit_degree(spark: SparkSession, d: str) -> DataFrame:
+    units = read(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"), (F.col("label") + 1).alias("w"))
+    return rounded(_UNIT.unit_degree(units))
+
+
 _R2 = math.sqrt(100 / (4 * math.pi))
 #: The quadrature table, made by its rule.
 _QUAD = f"qd(g, w) AS (VALUES {', '.join(f'({g!r}::DOUBLE, {w!r}::DOUBLE)' for g, w in geometry.gauss_legendre(0.0, math.pi * _R2, 64))})"
@@ -584,6 +603,13 @@ def geo_expected_degree(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_TWO.expected_degree(spark, 64, nation(spark, d).all_nodes))
 
 
+@query(f"""WITH {_QUAD}, {N_SUPPLIER}, u AS (SELECT round(mu, 1) AS code, avg(mu) AS mu, count(*) AS w FROM n GROUP BY 1),
+  e AS (SELECT a.code, sum((b.w - CASE WHEN a.code = b.code THEN 1 ELSE 0 END) * qd.w * {_density_sql(2, _R2, "g")} * {_union_sql("g", 2, _R2, "a.mu + b.mu")}) AS degree FROM u a CROSS JOIN u b CROSS JOIN qd GROUP BY a.code)
+  SELECT n.id, {_r('e.degree', 'degree')} FROM n JOIN e ON round(n.mu, 1) = e.code""")
+def geo_quantized_degree(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_TWO.quantized_degree(spark, supplier(spark, d).all_nodes, 1, 64))
+
+
 @query(f"WITH {_QUAD}, m AS (SELECT {_MEAN} AS m FROM qd) SELECT {_r('g', 'g')}, {_r(f'{_union_sql("g", 2, _R2)} * {_density_sql(2, _R2, "g")} / m', 'density')} FROM qd CROSS JOIN m")
 def geo_edge_distance_density(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_TWO.edge_distance_density(spark, 64))
@@ -606,6 +632,54 @@ def geo_quantize(spark: SparkSession, d: str) -> DataFrame:
     return rounded(geometry.dequantize(n, q.select("code", F.col("mu").alias("m"), F.col("w").alias("n_w")), 1).select("id", F.col("m").alias("mu"), F.col("n_w").alias("w")))
 
 
+# Views, sources and checks
+
+@query(f"WITH {N_SUPPLIER}, x AS (SELECT max(id) AS hi FROM n) SELECT CAST((hi - id) / 3 AS BIGINT) AS pos, id, {_r('mu', 'mu')} FROM n, x WHERE (hi - id) % 3 = 0 AND id > 4")
+def nodes_slice_down(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(supplier(spark, d).nodes[:4:-3].rows())
+
+
+@query(f"WITH {N_SUPPLIER}, {P} SELECT i, j, {_r('p', 'p')} FROM p WHERE i >= 2 AND i < 7 AND j IN (1, 5)")
+def pairs_slice_by_list(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(supplier(spark, d).pairs[2:7, [5, 1]].probs().select("i", "j", "p"))
+
+
+@query(f"WITH {N_SUPPLIER} SELECT id FROM n WHERE id IN (1, 3, 5)")
+def nodes_unique(spark: SparkSession, d: str) -> DataFrame:
+    return supplier(spark, d).nodes[[5, 1, 3, 5]].unique()
+
+
+@query("SELECT DISTINCT least(u, v) AS src, greatest(u, v) AS dst FROM (SELECT user_id % 40 AS u, CAST(event_id % 37 AS BIGINT) AS v FROM events) WHERE u <> v")
+def edges_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return canonical(read(spark, d, "events").select((F.col("user_id") % 40).cast("long").alias("src"), (F.col("event_id") % 37).cast("long").alias("dst")))
+
+
+@query("WITH c AS (SELECT s_nationkey AS i, n_nationkey AS j, sum(s_acctbal) AS v FROM supplier, nation WHERE (s_suppkey + n_nationkey) % 7 = 0 AND s_nationkey <> n_nationkey GROUP BY 1, 2) SELECT DISTINCT CAST(least(i, j) AS BIGINT) AS src, CAST(greatest(i, j) AS BIGINT) AS dst FROM c")
+def edges_of_matrix_rows(spark: SparkSession, d: str) -> DataFrame:
+    cells = read(spark, d, "supplier").select(F.col("s_nationkey").alias("i"), "s_suppkey").crossJoin(F.broadcast(read(spark, d, "nation").select(F.col("n_nationkey").alias("j"))))
+    held = cells.groupBy("i", "j").agg(F.max(((F.col("s_suppkey") + F.col("j")) % 7 == 0).cast("int")).alias("v"))
+    rows = held.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("values"))
+    return from_matrix_rows(rows)
+
+
+@query(f"WITH {GRAPH} SELECT {_r('(SELECT count(*) FROM g) / (SELECT count(*) FROM u)::DOUBLE', 'edge_count')}")
+def obs_edge_count_normalized(spark: SparkSession, d: str) -> DataFrame:
+    ids, edges = graph(spark, d)
+    return rounded(observed.edge_count(edges, ids))
+
+
+@query(f"SELECT s_suppkey AS id, s_acctbal BETWEEN 0 AND 5000 AS inside, {_r('s_acctbal', 'checked')} FROM supplier")
+def constraint_check(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("s_acctbal")
+    return rounded(read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), Constraint(0.0, 5000.0).inside(x).alias("inside"), Constraint(-1e5, 1e5).check(x).alias("checked")))
+
+
+@query(f"WITH {_GS} SELECT i, j, {_r('g', 'value')} FROM gs UNION ALL SELECT j, i, {_r('g', 'value')} FROM gs")
+def pairwise_squareform(spark: SparkSession, d: str) -> DataFrame:
+    g = geometry.distances(points(spark, d), geometry.Sphere(63))
+    return rounded(iteration.squareform(g.withColumnRenamed("g", "value")))
+
+
 # Scalar functions
 
 @query(f"""WITH x AS (SELECT s_suppkey AS id, s_acctbal AS x FROM supplier) SELECT id, {_r('ln(x + 1000)', 'lower')}, {_r('ln(10000.5 - x)', 'upper')}, {_r('ln((x + 1000) / (10000.5 - x))', 'both_')},

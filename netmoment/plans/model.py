@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..sources.checkpoints import numbered
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -117,6 +118,18 @@ class NodeView:
     def size(self) -> int:
         return self.rows().count() if self.is_active else self.model.n
 
+    @property
+    def ndim(self) -> int:
+        """0 for one node, else 1."""
+        return 0 if isinstance(self.index, int) else 1
+
+    def shape(self) -> tuple[int, ...]:
+        return () if self.ndim == 0 else (self.size(),)
+
+    def unique(self) -> DataFrame:
+        """(id): the selected nodes, each once."""
+        return self.focal().select("id")
+
     def induced_pairs(self) -> PairView:
         """All pairs of the selected nodes."""
         return PairView(self.model, (self.index, self.index), "outer")
@@ -131,18 +144,18 @@ class NodeView:
         ids = self.focal()
         if self.model.is_homogeneous:
             return Ensemble.homogeneous(self.model.spark, ids.count(), self.model.mu)
-        return Ensemble.heterogeneous(ids.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("id"), "mu"))
+        return Ensemble.heterogeneous(numbered(ids, "at", "id").select(F.col("at").alias("id"), "mu"))
 
     def sample(self, n: int, seed: int = 0, replace: bool = False) -> DataFrame:
         """(pos, id, mu) of n random nodes of the view, the same for the same seed."""
         rows = self.rows()
         if not replace:
             u = E.hash_uniform(seed, F.col("id"), F.col("pos"))
-            first = rows.withColumn("u", u).orderBy("u", "pos").limit(n)
+            first = rows.withColumn("u", u).orderBy("u", "pos").limit(n)  # as many rows as are asked for
             return first.select((F.row_number().over(Window.orderBy("u", "pos")) - 1).cast("long").alias("pos"), "id", "mu")
         size = self.size()
         draws = self.model.spark.range(n).select(F.col("id").alias("pos"), F.floor(E.hash_uniform(seed, F.col("id")) * size).alias("at"))
-        placed = rows.select(F.col("pos").alias("at"), "id", "mu") if self.is_active else rows.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("at"), "id", "mu")
+        placed = rows.select(F.col("pos").alias("at"), "id", "mu") if self.is_active else numbered(rows.select("id", "mu"), "at", "id")
         return draws.join(placed, "at").select("pos", "id", "mu")
 
 
@@ -153,13 +166,20 @@ def _selected(model: Ensemble, index) -> DataFrame:
     if isinstance(index, Column):
         return base.where(index).select(F.col("id").alias("pos"), "id", "mu")
     if isinstance(index, slice):
-        start, stop, step = index.start, index.stop, index.step or 1
-        if step <= 0:
-            raise ValueError("a slice's step must be positive")
-        lowest = base.agg(F.min("id").alias("lo"), (F.max("id") + 1).alias("hi"))
-        lo = F.col("lo") if start is None else F.lit(start) if start >= 0 else F.col("hi") + start
-        hi = F.col("hi") if stop is None else F.lit(stop) if stop >= 0 else F.col("hi") + stop
-        found = base.crossJoin(F.broadcast(lowest)).where((F.col("id") >= lo) & (F.col("id") < hi) & ((F.col("id") - lo) % step == 0))
+        start, stop, step = index.start, index.stop, 1 if index.step is None else index.step
+        if step == 0:
+            raise ValueError("a slice's step must not be 0")
+        ends = base.agg(F.min("id").alias("lo"), (F.max("id") + 1).alias("hi"))
+        at = lambda x: F.lit(x) if x >= 0 else F.col("hi") + x
+        rows = base.crossJoin(F.broadcast(ends))
+        if step < 0:  # from the last id down, positions in that order
+            first = F.least(F.col("hi") - 1, F.col("hi") - 1 if start is None else at(start))
+            stop_at = F.col("lo") - 1 if stop is None else at(stop)
+            found = rows.where((F.col("id") <= first) & (F.col("id") > stop_at) & ((first - F.col("id")) % -step == 0))
+            return found.select(((first - F.col("id")) / -step).cast("long").alias("pos"), "id", "mu")
+        lo = F.col("lo") if start is None else at(start)
+        hi = F.col("hi") if stop is None else at(stop)
+        found = rows.where((F.col("id") >= lo) & (F.col("id") < hi) & ((F.col("id") - lo) % step == 0))
         return found.select(F.col("id").alias("pos"), "id", "mu")
     ids = [index] if isinstance(index, int) else [int(i) for i in index]
     taken = model.spark.createDataFrame(list(enumerate(ids)), "pos long, id long").join(base, "id", "left")
@@ -203,6 +223,24 @@ class PairView:
             both = spread(a).crossJoin(spread(b))
         return both.select("pos_i", "pos_j", "i", "j", E.coupling(self.model.pair_mu("mu_i", "mu_j"), F.col("i"), F.col("j")).alias("coupling"))
 
+    @property
+    def is_active(self) -> bool:
+        return self.index is not None
+
+    def shape(self) -> tuple[int, ...]:
+        """Of the selection's positions: one axis for pointwise lists, else an axis for each index that is no single node."""
+        sides = [NodeView(self.model, None if k is Ellipsis else k) for k in self.index or (None, None)]
+        if self.kind == "pointwise":
+            return max((x.shape() for x in sides), key=len)
+        return tuple(n for x in sides for n in x.shape())
+
+    def size(self) -> int:
+        return math.prod(self.shape())
+
+    def unique(self) -> DataFrame:
+        """(i, j): the selected pairs, each once."""
+        return self.rows().select("i", "j").distinct()
+
     def nodes(self) -> DataFrame:
         """(id) of the nodes that the pairs touch."""
         r = self.rows()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,20 +31,34 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def from_pairs(spark: SparkSession, pairs: Iterable[tuple[int, int]]) -> DataFrame:
-    return canonical(spark.createDataFrame(list(pairs), "src long, dst long"))
+    pairs = np.array(list(pairs), dtype=np.int64).reshape(-1, 2)
+    return _from_arrays(spark, pairs[:, 0], pairs[:, 1])
+
+
+def _from_arrays(spark: SparkSession, src: np.ndarray, dst: np.ndarray) -> DataFrame:
+    """Whole arrays at once, rather than a row for each cell."""
+    return canonical(spark.createDataFrame(pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})))
 
 
 def from_matrix(spark: SparkSession, rows: Any, n: int | None = None) -> DataFrame:
-    """Edges of a square adjacency matrix: nested lists, an array, or a scipy sparse matrix."""
+    """Edges of a square adjacency matrix that the driver holds: nested lists, an array, or a scipy sparse matrix."""
     if hasattr(rows, "tocoo"):
         coo = rows.tocoo()
-        shape, found = coo.shape, zip(coo.row.tolist(), coo.col.tolist(), coo.data.tolist(), strict=True)
+        shape, (src, dst) = coo.shape, (x[np.asarray(coo.data) != 0] for x in (np.asarray(coo.row), np.asarray(coo.col)))
     else:
-        rows = [list(r) for r in rows]
-        shape, found = (len(rows), len(rows[0]) if rows else 0), ((i, j, v) for i, r in enumerate(rows) for j, v in enumerate(r))
+        rows = [np.asarray(r) for r in rows]
+        shape = (len(rows), max((len(r) for r in rows), default=0))
+        found = [np.flatnonzero(r) for r in rows]
+        src, dst = np.repeat(np.arange(len(rows)), [len(f) for f in found]), np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
     if shape[0] != shape[1] or (n is not None and shape[0] != n):
         raise ValueError(f"expected a square matrix{'' if n is None else f' of {n} nodes'}, got shape {shape}")
-    return from_pairs(spark, [(i, j) for i, j, v in found if v])
+    return _from_arrays(spark, src, dst)
+
+
+def from_matrix_rows(rows: DataFrame) -> DataFrame:
+    """Edges of a distributed adjacency matrix rows(i, values): a row's values, zero where there is no edge."""
+    cells = rows.select(F.col("i").alias("src"), F.posexplode("values").alias("dst", "value"))
+    return canonical(cells.where("value <> 0").select("src", "dst"))
 
 
 def from_graph(spark: SparkSession, graph: Any, n: int | None = None) -> DataFrame:
@@ -92,6 +108,15 @@ def to_sparse(edges: DataFrame, n: int) -> Any:
     """A symmetric scipy CSR matrix of ids 0 to n-1; needs scipy, and a graph that fits the driver."""
     from scipy.sparse import csr_matrix
 
-    p = edges.toPandas()
-    rows, cols = [*p.src, *p.dst], [*p.dst, *p.src]
-    return csr_matrix(([1] * len(rows), (rows, cols)), shape=(n, n))
+    t = edges.select("src", "dst").toArrow()
+    src, dst = (t[c].to_numpy() for c in ("src", "dst"))
+    return csr_matrix((np.ones(2 * len(src), dtype=np.int8), (np.concatenate([src, dst]), np.concatenate([dst, src]))), shape=(n, n))
+
+
+def write_results(results: DataFrame, path: str, *keys: str) -> None:
+    """Results as Parquet, in a folder for each value of the keys; what is there is replaced."""
+    results.write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 PACKAGE = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
 
 
 def _found_by_workers(spark: SparkSession) -> bool:
@@ -23,10 +24,11 @@ def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, once for each application, unless their workers find it by themselves."""
     sc = spark.sparkContext
     name = f"{PACKAGE.name}-code.zip"
-    if _found_by_workers(spark) or name in sc._python_includes:
+    if _found_by_workers(spark) or sc.applicationId in _shipped:
         return
     path = Path(tempfile.mkdtemp(prefix="code-")) / name
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(PACKAGE.parent))
     sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)

@@ -172,3 +172,23 @@ def test_normalize_and_moment(spark):
     np.testing.assert_allclose(column(stats.degree(m.nodes, normalize=True), "degree") * 6, column(stats.moment(m.nodes, "degree"), "degree"))
     assert stats.free_energy(m, normalize=True).first()[0] * 6 == pytest.approx(stats.free_energy(m).first()[0])
     assert math.isclose(stats.log_partition(m).first()[0], -stats.free_energy(m).first()[0])
+
+
+def test_slices_and_shapes(spark):
+    m, _ = normal_model(spark, 12, 0.0)
+    for s in (slice(None, None, -1), slice(9, 2, -3), slice(-2, None, -4), slice(None, 3, -2), slice(2, 9, 3), slice(50, 1, -5), slice(3, 3, -1)):
+        got = [r.id for r in m.nodes[s].rows().orderBy("pos").collect()]
+        assert got == list(range(12))[s]
+    assert m.nodes[3].shape() == () and m.nodes[[1, 1, 2]].shape() == (3,) and m.nodes[::-2].shape() == (6,) and m.nodes.shape() == (12,)
+    assert m.nodes[3].ndim == 0 and sorted(r.id for r in m.nodes[[5, 1, 5]].unique().collect()) == [1, 5]
+    p = m.pairs
+    assert p.shape() == (12, 12) and p[2].shape() == (12,) and p[2, 3].shape() == () and p[[1, 2], [3, 4]].shape() == (2,) and p.outer([1, 2], [3, 4, 5]).shape() == (2, 3)
+    assert p[2:5, [0, 1]].shape() == (3, 2) and p[2:5, [0, 1]].size() == 6 and p[[1, 1], [3, 3]].unique().count() == 1 and not p.is_active and p[1].is_active
+    with pytest.raises(ValueError, match="step"):
+        m.nodes[::0].rows()
+
+
+def test_numbers_of_materialized_nodes(spark):
+    m, mu = normal_model(spark, 30, 0.0)
+    got = m.nodes[F.col("mu") > 0].materialize().all_nodes.orderBy("id").collect()
+    assert [r.id for r in got] == list(range(len(got))) and [r.mu for r in got] == [x for x in mu if x > 0]

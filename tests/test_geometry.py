@@ -5,8 +5,10 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 from netmoment.functions import expr as E
+from netmoment.functions.variables import Constraint, Variable
 from netmoment.operators.geometry import GeometricModel, Layer, Sphere, dequantize, distances, quantize, quadrature
 from netmoment.plans import catalogue
 
@@ -101,3 +103,67 @@ def test_antipode_distances_are_of_whole_tables(spark, sf_dir):
     x = np.array(p["x"].tolist())
     assert len(got) == len(p) ** 2 and (got["i"].to_numpy() == np.repeat(p["id"].to_numpy(), len(p))).all() and (got["j"].to_numpy() == np.tile(p["id"].to_numpy(), len(p))).all()
     assert np.abs(got["g"].to_numpy() - np.arccos(np.clip(-x @ x.T, -1, 1)).ravel()).max() < 2e-6
+
+
+def test_probabilities_of_all_ordered_pairs(spark):
+    model = GeometricModel.of(6, Sphere(2), Layer("similarity", mu=0.3))
+    points = model.sample_points(spark, seed=3)
+    got = {(r.i, r.j): r.p for r in model.sample_pmatrix(points).collect()}
+    half = {(r.i, r.j): r.p for r in model.pair_probs(points).collect()}
+    assert len(got) == 36 and all(got[i, i] == 0 for i in range(6)) and all(got[i, j] == got[j, i] == p for (i, j), p in half.items())
+
+
+def test_units_of_one_node_are_nodes(spark):
+    model = GeometricModel.of(8, Sphere(2), Layer("similarity", mu=0.3))
+    points = model.sample_points(spark, seed=4)
+    want = model.sample_pmatrix(points).groupBy("i").sum("p").collect()
+    got = {r.id: r.degree for r in model.unit_degree(points.withColumn("w", F.lit(1))).collect()}
+    assert all(abs(got[r.i] - r["sum(p)"]) < 1e-12 for r in want)
+    # a unit of three nodes is three nodes at one place
+    three = points.withColumn("w", F.when(F.col("id") == 0, 3).otherwise(1))
+    each = points.union(points.where("id = 0").withColumn("id", F.lit(100).cast("long"))).union(points.where("id = 0").withColumn("id", F.lit(101).cast("long")))
+    want = {r.i: r["sum(p)"] for r in model.sample_pmatrix(each).groupBy("i").sum("p").collect()}
+    assert all(abs(r.degree - want[r.id]) < 1e-9 for r in model.unit_degree(three).collect())
+
+
+def test_parameters_of_layers(spark):
+    model = GeometricModel.of(8, Sphere(2), Layer("similarity"), Layer("complementarity"))
+    other = model.set_parameters({"mu": 0.2}, {"beta": 2.0})
+    assert [(x.mu, x.beta) for x in other.layers] == [(0.2, 1.5), (0.0, 2.0)]
+    points = model.sample_points(spark, seed=5).withColumns({"m": F.lit(0.1), "b": F.lit(1.0)})
+    a = {(r.i, r.j): r.p for r in other.pair_probs(points).collect()}
+    b = {(r.i, r.j): r.p for r in model.pair_probs(points, parameters=[("m", None), (None, "b")]).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    for bad in (lambda: model.set_parameters({}), lambda: model.pair_probs(points, parameters=[("m", None)])):
+        with pytest.raises(ValueError, match="layers"):
+            bad()
+
+
+def test_constraints(spark):
+    c = Constraint(0.0, 2.0)
+    rows = spark.createDataFrame([(0.5,), (None,), (2.0,)], "x double")
+    assert [r[0] for r in rows.select(c.check(F.col("x"))).collect()] == [0.5, None, 2.0]
+    assert [r[0] for r in rows.select(c.back(c.free(F.col("x")))).where("x is not null").collect()][0] == pytest.approx(0.5)
+    with pytest.raises(Exception, match="out of bounds"):
+        rows.select(Constraint(0.6).check(F.col("x"))).collect()
+    with pytest.raises(ValueError, match="below"):
+        Constraint(1.0, 1.0)
+    Constraint(whole=True).check_type(IntegerType())
+    for kind, x in ((StringType(), Constraint()), (DoubleType(), Constraint(whole=True))):
+        with pytest.raises(TypeError, match="expected"):
+            x.check_type(kind)
+
+
+def test_arithmetic_of_variables(spark):
+    x = Variable("x", Constraint(0.0))
+    row = spark.createDataFrame([(3.0, [1, 2])], "x double, y array<int>").select(x + 1, 1 + x, x - 1, 1 - x, 2 * x, x * 2, x / 2, 6 / x, x**2, -x, +x, x.astype("int"), Variable("y")[1], x.checked(), x.free()).first()
+    assert list(row)[:14] == [4, 4, 2, -2, 6, 6, 1.5, 2, 9, -3, 3, 3, 2, 3] and row[14] == pytest.approx(math.log(3))
+
+
+def test_results_are_read_again(spark, tmp_path):
+    from netmoment.sources.graphs import read_results, write_results
+
+    rows = spark.createDataFrame([(1, "a", 0.5), (2, "b", 1.5)], "n long, kind string, v double")
+    for _ in range(2):
+        write_results(rows, str(tmp_path / "out"), "kind")
+    assert sorted((r.n, r.kind, r.v) for r in read_results(spark, str(tmp_path / "out")).collect()) == [(1, "a", 0.5), (2, "b", 1.5)]

@@ -42,6 +42,67 @@ def test_census_by_brute_force(spark, p):
     np.testing.assert_array_equal(got, brute_census(11, pairs))
 
 
+def test_path_lengths_by_brute_force(spark):
+    ids, edges, pairs = random_graph(spark, 14, 0.15, seed=4)
+    d = np.full((14, 14), 99)
+    for i, j in pairs:
+        d[i, j] = d[j, i] = 1
+    for k in range(14):
+        d = np.minimum(d, d[:, k, None] + d[None, k])
+    want = {(i, j): int(d[i, j]) for i in range(14) for j in range(14) if i != j and d[i, j] < 99}
+    assert {(r.i, r.j): r.d for r in observed.path_lengths(ids, edges).collect()} == want and max(want.values()) > 3
+    assert observed.path_lengths(ids, edges.limit(0)).count() == 0
+
+
+def test_normalized_edge_count(spark):
+    ids, edges, pairs = random_graph(spark, 11, 0.5)
+    assert observed.edge_count(edges, ids).first()[0] == len(pairs) / 11 and observed.edge_count(edges).first()[0] == len(pairs)
+
+
+@pytest.mark.parametrize("start", ["zeros", "random", "er", None])
+def test_fits_from_any_start(spark, start):
+    ids, edges, _ = random_graph(spark, 25, 0.3)
+    want = fit.fit(ids, edges).orderBy("id").toPandas()["mu"].to_numpy()
+    fitted, solution = fit.fit_degrees(ids, edges, start)
+    np.testing.assert_allclose(fitted.orderBy("id").toPandas()["mu"].to_numpy(dtype=float), want, atol=1e-7)
+    assert solution.converged and solution.error < 1e-6
+
+
+def test_a_start_at_the_optimum_takes_one_step(spark):
+    ids, edges, _ = random_graph(spark, 25, 0.3)
+    found = fit.fit(ids, edges)
+    again, solution = fit.fit_degrees(ids, edges, found)
+    assert solution.iterations == 1 and again.count() == 25
+    degree = observed.degree(ids, edges)
+    expected = fit.expectations(found, ids).join(degree.withColumnRenamed("degree", "k"), "id").toPandas()
+    np.testing.assert_allclose(expected.degree, expected.k, rtol=1e-6)
+
+
+def test_fits_of_many_classes_are_distributed(spark):
+    ids, edges, _ = random_graph(spark, 25, 0.3)
+    want, _ = fit.fit_degrees(ids, edges)
+    got, solution = fit.fit_degrees(ids, edges, newton_classes=2)
+    assert solution.converged and solution.iterations > 3
+    both = got.join(want.withColumnRenamed("mu", "other"), "id").toPandas()
+    np.testing.assert_allclose(both.mu, both.other, atol=1e-4)
+
+
+def test_fits_that_do_not_converge_say_so(spark):
+    full = spark.createDataFrame(list(itertools.combinations(range(6), 2)), "src long, dst long")  # mu is infinite
+    assert not fit.fit_degrees(spark.range(6), full)[1].converged
+    with pytest.raises(RuntimeError, match="no convergence"):
+        fit.fit(spark.range(6), full)
+
+
+def test_targets_are_checked(spark):
+    ids = spark.range(3)
+    good = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "id long, degree long")
+    assert fit.checked_targets(ids, good).count() == 3
+    for rows in ([(0, 1), (1, 2)], [(0, 1), (1, 2), (2, 3)], [(0, 1), (1, None), (2, 0)], [(0, 1), (1, 1), (1, 1)], [(0, 1), (1, 1), (7, 1)], [(0, 1), (1, -1), (2, 0)]):
+        with pytest.raises(ValueError, match="targets"):
+            fit.checked_targets(ids, spark.createDataFrame(rows, "id long, degree long"))
+
+
 def test_complete_graph_in_every_form(spark):
     full = [[int(i != j) for j in range(10)] for i in range(10)]
     edges = graphs.from_matrix(spark, full, 10)
