@@ -14,7 +14,7 @@ nothing, and those shorter than the guarantee are found if they have a fingerpri
 common, an exact copy always; where matches of one group of templates overlap,
 the one with the most matching words stays (then the higher coverage, then the
 first name); equal rows match alike; empty tables give an empty result; other columns are
-ignored.
+ignored.  A very long text is hashed in chunks; alignment holds two rows of a band as wide as a quarter of the template.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from .alignment import MATCH, clusters, smith_waterman
-from .tables import table
+from .tables import narrow_batches, table
 from .tokens import PUNCTUATION, mix, words
 
 GRAM = 3
@@ -55,6 +55,11 @@ TEMPLATES: dict[tuple[str, str], str] = {
     ("CC-BY-4.0-notice", "CC"): "Licensed under CC BY 4.0.",
     ("CC-BY-SA-4.0-notice", "CC"): "Licensed under CC BY-SA 4.0.",
     ("CC0-1.0", "CC"): "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ("BSD-3-Clause", "BSD"): """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ("LGPL", "GPL"): """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    ("AGPL-3.0", "GPL"): """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    ("EPL-2.0", "EPL"): """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    ("BSL-1.0", "BSL"): """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:""",
     ("All-rights-reserved", "proprietary"): "All rights reserved. No part of this publication may be reproduced without prior written permission.",
 }
 
@@ -148,6 +153,7 @@ def indexes(templates: Mapping[tuple[str, str], str]) -> Iterator[Index]:
 def scan(docs: DataFrame, templates: Mapping[tuple[str, str], str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, template, license, first_word, end_word, score, coverage) for each passage of docs that is of a template."""
     spark = docs.sparkSession
+    narrow_batches(spark)
     schema = docs.select("doc_id").schema.add("template", "string").add("license", "string").add("first_word", "long").add("end_word", "long").add("score", "double").add("coverage", "double")
     result = spark.createDataFrame([], schema)
 

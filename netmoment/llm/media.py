@@ -7,13 +7,14 @@ point: its first transport packet says so, carries the clock reference, and the
 program tables stand before it.
 
 The demultiplexer reads any such stream: it finds the program map through the
-association table, checks both tables' CRC, counts gaps of the continuity
-counter, drops repeated packets, reassembles the elementary packets and keeps
+association table, in sections of one packet or several, checks both tables' CRC, counts gaps of the continuity
+counter that no discontinuity indicator announces, drops repeated packets, reassembles the elementary packets and keeps
 their times and random-access points with their byte offsets.
 
 Defined results: a null text is the empty one, whose payload is one unit of
-spaces; bytes that are no whole packets, or packets without the sync byte, give
-a null payload with the fault named; other columns are not read.
+spaces; bytes that are no whole packets, packets without the sync byte, and streams with gaps give
+a null payload with the fault named; equal rows have equal streams, an empty table gives an empty result; other columns are not read.
+A very long text is one stream, of about 1.03 times its bytes, made packet row by packet row and sent in a batch of its own.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import narrow_batches, table
 
 UNIT = 192
 PES_UNITS = 85
@@ -130,7 +130,7 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What demux finds: the payload (None with a fault), times, random-access points and faults of continuity."""
+    """What demux finds: the payload (None with a fault but gaps), times, random-access points and faults of continuity."""
 
     payload: bytes | None = None
     fault: str = ""
@@ -142,15 +142,33 @@ class Stream:
     random_access: list[int] = field(default_factory=list)
 
 
+def _payload(p: bytes) -> bytes:
+    return p[5 + p[4] :] if p[3] & 0x20 else p[4:]
+
+
 def _table_body(packets: np.ndarray, pid: int, pids: np.ndarray, table_id: int) -> bytes | None:
+    """The body of the first whole section of a table, which may take several packets, with a right CRC."""
+    held, counter = b"", None
     for i in np.flatnonzero(pids == pid):
         p = packets[i].tobytes()
-        at = 4 + (1 + p[4] if p[3] & 0x20 else 0)
-        at += 1 + p[at]
-        size = 3 + (struct.unpack_from(">H", p, at + 1)[0] & 0x0FFF)
-        section = p[at : at + size]
-        if section[0] == table_id and len(section) == size and crc32_mpeg(section) == 0:
-            return section[8:-4]
+        if not p[3] & 0x10 or (counter is not None and p[3] & 15 == counter):  # no payload, or a repeated packet
+            continue
+        whole = counter is None or p[3] & 15 == (counter + 1) & 15
+        counter, data = p[3] & 15, _payload(p)
+        if p[1] & 0x40:  # a section begins after so many bytes of the one before
+            pointer = data[0] if data else 0
+            ends = [held + data[1 : 1 + pointer] if held and whole else b"", data[1 + pointer :]]
+        else:
+            ends = [held + data if held and whole else b""]
+        for section in ends:
+            held = section
+            if len(section) < 3:
+                continue
+            size = 3 + (struct.unpack_from(">H", section, 1)[0] & 0x0FFF)
+            if len(section) >= size:
+                held = b""
+                if section[0] == table_id and crc32_mpeg(section[:size]) == 0:
+                    return section[8 : size - 4]
     return None
 
 
@@ -182,8 +200,9 @@ def demux(media: bytes) -> Stream:
     again[1:] = (counter[1:] == counter[:-1]) & (es[1:] == es[:-1]).all(1)
     s.repeats = int(again.sum())
     es, counter = es[~again], counter[~again]
-    s.gaps = int((((counter[1:].astype(int) - counter[:-1]) & 15) != 1).sum())
     fielded = es[:, 3] & 0x20 > 0
+    announced = fielded & (es[:, 4] > 0) & (es[:, 5] & 0x80 > 0)  # the counter may begin anew
+    s.gaps = int(((((counter[1:].astype(int) - counter[:-1]) & 15) != 1) & ~announced[1:]).sum())
     start = np.where(fielded, 5 + es[:, 4].astype(np.int64), 4)
     begins = es[:, 1] & 0x40 > 0
     access = fielded & (es[:, 4] > 0) & (es[:, 5] & 0x40 > 0)
@@ -212,6 +231,8 @@ def demux(media: bytes) -> Stream:
         parts.append(data[body:end])
         done += end - body
     s.payload = b"".join(parts)
+    if s.gaps:
+        s.fault = f"{s.gaps} gaps"
     return s
 
 
@@ -253,7 +274,7 @@ def decode(media: DataFrame, key: str = "doc_id") -> DataFrame:
             for m in b.column(2):
                 raw = m.as_py() or b""
                 s = demux(raw)
-                ok = s.payload is not None and len(s.payload) > 0 and bool(s.times)
+                ok = not s.fault and bool(s.payload) and bool(s.times)
                 out["payload_bytes"].append(len(s.payload) if ok else None)
                 out["payload_sha256"].append(hashlib.sha256(s.payload).hexdigest() if ok else None)
                 out["tail_crc32"].append(zlib.crc32(s.payload[-16:]) if ok else None)
@@ -271,7 +292,8 @@ def decode(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode(encode(table(spark, sf_dir, "documents"))).drop(F.col("fault"))
+    narrow_batches(spark)
+    return decode(encode(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op3_media": op3_media}

@@ -69,6 +69,36 @@ def test_media_faults():
     assert media.demux(bytes(broken) + packets[1] + b"".join(packets[2:7])).fault == "no program"
 
 
+def test_media_tables_of_several_packets():
+    payload = media.pad(b"b" * 40_000)
+    ts = media.mux(payload)
+    packets = [ts[i : i + 188] for i in range(0, len(ts), 188)]
+    # forty more programs before ours: the section needs two packets, of which the second begins with its rest
+    programs = b"".join(media.struct.pack(">HH", n, 0xE000 | 0x200 + n) for n in range(2, 62))
+    section = media._section(0x00, 1, media.struct.pack(">HH", 0, 0xE010) + media.struct.pack(">HH", 1, 0xE000 | media.PMT_PID) + programs)
+    first = (media.struct.pack(">BHBB", 0x47, 0x4000, 0x10, 0) + section[:183]).ljust(188, b"\xff")
+    second = (media.struct.pack(">BHB", 0x47, 0x0000, 0x11) + section[183:]).ljust(188, b"\xff")
+    own = [p for p in packets if p[1] & 0x1F or p[2]]  # without the tables of programs that mux wrote
+    assert media.demux(b"".join([first, second, *own])).payload == payload
+    assert media.demux(b"".join([first, *own])).fault == "no program"
+    assert media.demux(b"".join([first, first, second, *own])).payload == payload
+
+
+def test_media_gaps_that_are_announced():
+    payload = media.pad(b"c" * 192 * 85 * 12)
+    ts = media.mux(payload)
+    packets = [bytearray(ts[i : i + 188]) for i in range(0, len(ts), 188)]
+    at = next(i for i, p in enumerate(packets) if i > 20 and p[3] & 0x20 and p[4] and p[5] & 0x40)
+    for p in packets[at:]:
+        if ((p[1] & 0x1F) << 8 | p[2]) == media.ES_PID:
+            p[3] = p[3] & 0xF0 | (p[3] + 5) & 15
+    s = media.demux(b"".join(packets))
+    assert s.gaps == 1 and s.fault == "1 gaps"
+    packets[at][5] |= 0x80
+    s = media.demux(b"".join(packets))
+    assert s.gaps == 0 and not s.fault and s.payload == payload
+
+
 def test_media_times():
     s = media.demux(media.mux(media.pad(b"a" * 192 * 85 * 20)))
     assert len(s.times) == 20 and np.diff(s.times).tolist() == [192 * 85 * 90_000 // 8_000] * 19
@@ -229,6 +259,23 @@ def test_licenses(spark, odd, clashing, empty):
         assert license_scan.scan(t).count() == 0
 
 
+def test_recall_of_edited_licenses(spark):
+    rng = random.Random(11)
+    templates = {k: v for k, v in license_scan.TEMPLATES.items() if len(v.split()) >= 25}
+    rows, want = [], set()
+    for n, ((name, _), text) in enumerate(templates.items()):
+        for k in range(8):
+            w = edited_copy(rng, text.split(), 0.02 * k)
+            rows.append((100 * n + k, f"{prose(rng, 60, 5000)} {' '.join(w)} {prose(rng, 60, 5000)}"))
+            want.add((100 * n + k, name))
+    rows += [(10**6 + i, prose(rng, 300, 5000)) for i in range(50)]
+    got = {(r.doc_id, r.template) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    # the conditions alone are a template too, and part of the longer text
+    alike = {("BSD-3-Clause", "BSD-conditions")}
+    found = {w for w in want if w in got or any((w[0], b) in got for a, b in alike if a == w[1])}
+    assert len(found) >= 0.97 * len(want) and len(templates) >= 12 and not any(d >= 10**6 for d, _ in got)
+
+
 def test_planted_licenses_are_found(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = sum(r.text.count("Released under the MIT License.") for r in docs.collect())
