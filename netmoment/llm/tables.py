@@ -28,9 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="checkpoint-")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder."""
+def cut(df: DataFrame, parts: int = 1) -> DataFrame:
+    """A checkpoint in the shared folder; parts: of the session's partitions go into one, for a table that is as many times smaller than the data."""
     sc = df.sparkSession.sparkContext
+    if parts > 1:
+        df = df.coalesce(-(-partitions(df.sparkSession) // parts))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from netmoment.llm import jaccard_join, line_dedup, sigtree, substring_dedup
+from netmoment.llm import countmin, jaccard_join, line_dedup, sigtree, substring_dedup
 from netmoment.llm.tokens import words
 from tests.llm.conftest import SCHEMA, odd_rows, prose
 
@@ -66,12 +66,10 @@ def test_components_of_odd_rows(odd, clashing, empty):
     assert jaccard_join.components(empty).count() == 0
 
 
-@pytest.mark.parametrize(("edits", "local"), [(1, 5), (3, 10**6), (6, 10**6)])
-def test_large_groups_are_cut_into_blocks(spark, monkeypatch, edits, local):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
-    monkeypatch.setattr(jaccard_join, "LOCAL", local)
-    monkeypatch.setattr(jaccard_join, "SEEN", 10)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+@pytest.mark.parametrize(("edits", "local", "rounds"), [(1, 5, 1), (3, 10**6, 0), (6, 10**6, 1)])
+def test_large_groups_are_cut_into_blocks(spark, monkeypatch, edits, local, rounds):
+    monkeypatch.setattr(jaccard_join, "LATE_BITS", 21)
+    bounds = jaccard_join.Bounds(block=7, local=local, rounds=rounds, pivots=2)
     rng = random.Random(3)
     rows = []
     for k in range(2):
@@ -83,9 +81,13 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch, edits, local):
             for _ in range(rng.randrange(edits + 1)):
                 w[rng.randrange(120)] = f"z{rng.randrange(10**6)}"
             rows.append((len(rows), " ".join(w)))
+    # texts that share a passage, and no more, with many others
+    passage = prose(rng, 12, 10**6)
+    rows += [(len(rows) + k, f"{prose(rng, 25, 10**6)} {passage} {prose(rng, 25, 10**6)}") for k in range(25)]
+    rows += [(i + 1000, t + " end") for i, t in rows[-5:]]
     rng.shuffle(rows)
     want = brute_components(rows)
-    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"), bounds)
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
     assert len({r[2] for r in want}) > (edits > 3)
 
@@ -133,6 +135,18 @@ def test_representatives(odd, empty):
     assert jaccard_join.representatives(empty).count() == 0
 
 
+def test_labels_by_brute_force(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
+    label = {v: v for e in edges for v in e}
+    for _ in range(80):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    for few in (0, 10**6):
+        assert {r.v: r.label for r in jaccard_join.smallest_labels(rows, few).collect()} == label
+
+
 def test_trees_lose_no_link():
     rng = np.random.default_rng(4)
     for _ in range(20):
@@ -180,7 +194,7 @@ def brute_windows(rows, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("k", "bits"), [(35, 28), (35, 20), (12, 20)])
+@pytest.mark.parametrize(("k", "bits"), [(35, 28), (35, 21), (12, 21)])
 def test_windows_by_brute_force(spark, k, bits):
     rng = random.Random(k)
     shared = [prose(rng, n, 10**5) for n in (k - 1, k, k + 1, 3 * k)]
@@ -200,17 +214,17 @@ def test_windows_of_odd_rows(odd, clashing, empty):
 def test_sketch_counts_no_gram_too_low(spark):
     rows = near_copies(80, 4)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    bits, seen = 20, Counter()
+    bits, seen = 21, Counter()
     repeated = substring_dedup.sketch(docs, 20, bits).value
     for _, t in rows:
         for _, _, w in words(pa.array([t]), lower=False):
             seen.update(w.windows(8)[np.unique(substring_dedup.anchors(w, substring_dedup.span_of(20))[1])].tolist())
     grams = np.array(sorted(seen), dtype=np.uint64)
-    cell = substring_dedup.cells(grams, bits)
-    assert len(cell) == substring_dedup.ROWS >= 2 and all((c >> (bits - 1) == k).all() for k, c in enumerate(cell))
+    cell = countmin.cells(grams, bits)
+    assert len(cell) == countmin.ROWS >= 2 and all((c >> (bits - 1) == k).all() for k, c in enumerate(cell))
     each = repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1
     twice = np.array([seen[g] > 1 for g in grams.tolist()])
-    assert each.min(0)[twice].all() and each.min(0)[~twice].sum() <= each.min(1).sum() and twice.any()
+    assert (countmin.reached(repeated, grams) == each.min(0)).all() and each.min(0)[twice].all() and each.min(0)[~twice].sum() <= each.min(1).sum() and twice.any()
 
 
 def test_kept_words_are_read_with_the_hashes(spark):
@@ -220,10 +234,9 @@ def test_kept_words_are_read_with_the_hashes(spark):
     assert {r.doc_id: r.kept for r in got}[102] == "a b c d"
 
 
-def test_flushes_keep_all_windows(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "FLUSH", 10)
+def test_flushes_keep_all_windows(spark):
     rows = near_copies(60, 9)
-    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 20)
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 20, flush=10)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_windows(rows, 20)
 
 
