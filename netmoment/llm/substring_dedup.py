@@ -44,6 +44,7 @@ POSTING = np.dtype([("h", "<u8"), ("row", "<i8"), ("more", "<u4"), ("check", "<u
 #: The high bit of a posting's start: its repetition is known, others only have to hear of it.
 KNOWN = np.uint32(1 << 31)
 ANSWER = np.dtype([("row", "<i8"), ("more", "<u4"), ("start", "<u4")])
+#: Windows that a part of the scan settles among itself.
 FLUSH = 1 << 20
 #: Spans whose grams are compared at once.
 STEP = 1 << 17
@@ -92,7 +93,7 @@ def sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> Broadcast:
     return countmin.sketch(docs.select("text"), grams, bits, 2)
 
 
-def _candidates(k: int, seen: Broadcast, buckets: int):
+def _candidates(k: int, seen: Broadcast, buckets: int, most: int):
     """Windows with a repeated anchor, a record for each hash of a partition and for each place that needs an answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def _candidates(k: int, seen: Broadcast, buckets: int):
                 p["row"], p["more"], p["start"] = row[at + text], more[at + text], start - w.first[text]
                 held.append(p)
                 n += len(p)
-                if n > FLUSH:
+                if n > most:
                     yield from flush()
                     held, n = [], 0
         if held:
@@ -171,12 +172,12 @@ def _row() -> tuple:
     return F.xxhash64("doc_id", "text").alias("row"), F.shiftrightunsigned(F.xxhash64(F.lit(1), "doc_id", "text"), 32).alias("more")
 
 
-def repeated_starts(docs: DataFrame, k: int = 35, bits: int = SKETCH_BITS) -> DataFrame:
+def repeated_starts(docs: DataFrame, k: int = 35, bits: int = SKETCH_BITS, flush: int = FLUSH) -> DataFrame:
     """(row, more, starts): for rows of docs with repeated windows, their first words; row and more are those of _row()."""
     spark = docs.sparkSession
     narrow_batches(spark)
     n = partitions(spark)
-    windows = docs.select(*_row(), "text").mapInArrow(_candidates(k, sketch(docs, k, bits), 4 * n), packed.SCHEMA)
+    windows = docs.select(*_row(), "text").mapInArrow(_candidates(k, sketch(docs, k, bits), 4 * n, flush), packed.SCHEMA)
     found = windows.repartition(n, "bucket").mapInArrow(_repeated(4 * n), packed.SCHEMA)
     return found.repartition(n, "bucket").mapInArrow(_by_row, "row long, more long, starts binary")
 
@@ -205,9 +206,9 @@ def without(w: Words, starts: dict[int, np.ndarray], k: int) -> tuple[np.ndarray
     return size, size - np.diff(edge), [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def dedup(docs: DataFrame, k: int = 35, bits: int = SKETCH_BITS, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, k: int = 35, bits: int = SKETCH_BITS, with_text: bool = False, flush: int = FLUSH) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, and kept if with_text."""
-    starts = repeated_starts(docs, k, bits).select(F.col("row").alias("r"), F.col("more").alias("m"), "starts")
+    starts = repeated_starts(docs, k, bits, flush).select(F.col("row").alias("r"), F.col("more").alias("m"), "starts")
     texts = docs.select("doc_id", "text", *_row())
     joined = texts.join(starts, (F.col("row") == F.col("r")) & (F.col("more") == F.col("m")), "left").select("doc_id", "text", "starts")
 
