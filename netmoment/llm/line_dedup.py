@@ -69,7 +69,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, slice
     """(doc_id, body, pos) of the lines to drop."""
     told = streamed(sorted_runs(cut(occurrences(docs, min_chars)), slice_rows))
     other = ~F.col("doc_id").eqNullSafe(F.col("keeper"))
-    told = cut(told.where((F.col("slice") > 0) | ((F.col("held") >= min_docs) & other)))
+    told = cut(told.where((F.col("slice") > 0) | ((F.col("held") >= min_docs) & other)), 4)
     ends = told.where("slice > 0").groupBy("a", "b", "slice").agg(F.first("held").alias("held"), F.max("keeper").alias("keeper"))
     whole = ends.groupBy("a", "b").agg(F.sum("held").alias("held"), F.max("keeper").alias("keeper")).where(F.col("held") >= min_docs).select("a", "b", "keeper")
     of_slices = told.where("slice > 0").drop("held", "keeper").join(F.broadcast(whole), ["a", "b"]).where(other)

@@ -91,7 +91,8 @@ class Mix:
             .withColumn("bits", F.ceil(F.log2(F.greatest(F.col("source_size") / block_words, F.lit(1.0)))).cast("int"))
             .withColumn("passes", F.least(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(cap)).cast("long"))
             .withColumn("passes", F.coalesce("passes", F.lit(0)))
-            .withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
+            .withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0))),
+            32,
         )
         few = self.sources.count() <= BROADCAST_SOURCES
         plan = F.broadcast(self.sources) if few else self.sources
@@ -100,13 +101,13 @@ class Mix:
         self.placed = of_source.select("doc_id", "key", "size", "place", "sid", "source_size", "target", "passes", "rest", F.expr(f"shiftright(place, {HASH_BITS} - bits)").alias("block"))
         total = self.sources.agg(F.sum("target")).first()[0] or 0.0
         self.shards = max(1, round(total / shard_words))
-        self.blocks = cut(self._blocks())
+        self.blocks = cut(self._blocks(), 8)
 
     def _blocks(self) -> DataFrame:
         """(sid, block, number, before, draws, n_blocks): a source's blocks in order, the words before each, how often it is drawn, and how many there are."""
         up = F.expr(f"shiftright(block, {GROUP_BITS})").alias("up")
         sums = self.placed.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest")).select("*", up)
-        sums = cut(sums)
+        sums = cut(sums, 8)
         groups = sums.groupBy("sid", "up").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("n"))
         over = Window.partitionBy("sid").orderBy("up")
         of_group = groups.select("sid", "up", (F.sum("n").over(over) - F.col("n")).alias("n_before"), (F.sum("words").over(over) - F.col("words")).alias("words_before"), F.sum("n").over(Window.partitionBy("sid")).alias("n_blocks"))

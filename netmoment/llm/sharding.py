@@ -61,13 +61,13 @@ def shards(docs: DataFrame, limit: int = 4 << 20, slack_bits: int = 5) -> DataFr
     total = sums.agg(F.sum("bytes")).first()[0] or 0
     bits = min(MAX_BITS, max(1, -(-total // limit)).bit_length() + slack_bits)
     cells = sums.groupBy(_prefix(F.col("h"), bits).alias("cell")).agg(F.sum("bytes").alias("bytes"))
-    first = cut(_directory(cells, bits, 0, limit))
+    first = cut(_directory(cells, bits, 0, limit), 8)
     rows = rows.withColumn(cell, _prefix(F.col(h), bits)).join(_small(first.select(F.col("cell").alias(cell), F.col("depth").alias(depth), F.col("whole").alias(whole))), cell)
     over = first.where(~F.col("whole")).select("cell")
     split = bool(over.limit(1).count())
     if split:
         again = sums.withColumn("cell", _prefix(F.col("h"), bits)).join(over, "cell").groupBy(F.col("h").alias("cell")).agg(F.sum("bytes").alias("bytes"))
-        second = cut(_directory(again, MAX_BITS, min(bits + 1, MAX_BITS), limit))
+        second = cut(_directory(again, MAX_BITS, min(bits + 1, MAX_BITS), limit), 8)
         rows = rows.join(_small(second.select(F.col("cell").alias(h), F.col("depth").alias(deep), F.col("whole").alias(other))), h, "left")
         rows = rows.withColumns({depth: F.coalesce(deep, depth), whole: F.coalesce(other, whole)}).drop(deep, other)
     shard = F.substring(F.lpad(F.bin(h), MAX_BITS, "0"), F.lit(1), F.col(depth).cast("int"))

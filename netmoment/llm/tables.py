@@ -29,10 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, parts: int = 1) -> DataFrame:
-    """A checkpoint in the shared folder; parts: of the session's partitions go into one, for a table that is as many times smaller than the data."""
+    """A checkpoint in the shared folder; parts: so many of the session's partitions go into one, for a table that is as many times smaller
+    than the data.  What makes the table stays as parallel as it is: its rows are dealt out anew."""
     sc = df.sparkSession.sparkContext
     if parts > 1:
-        df = df.coalesce(-(-partitions(df.sparkSession) // parts))
+        df = df.repartition(-(-partitions(df.sparkSession) // parts))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
