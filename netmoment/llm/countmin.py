@@ -1,7 +1,7 @@
 """Count-min sketches of partitions, merged slice by slice.
 
 A sketch has ROWS rows in 2**bits cells, whose counters stop at a small number.  A partition sends its counters that are not
-zero, by slice, as often as they count; slices are added up, and what comes to the driver is one bit for each cell: whether it
+zero, by slice, as often as they count, in steps from one to the next of about a byte; slices are added up, and what comes to the driver is one bit for each cell: whether it
 reached the number.  A hash did so many times only if its cells in all rows say so; the sketch may say so too often, never too seldom.
 """
 
@@ -36,6 +36,17 @@ def reached(sketch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (sketch[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).min(0) > 0
 
 
+def _squeezed(cells: np.ndarray) -> bytes:
+    """Sorted cells of a slice, as steps from one to the next, byte by byte."""
+    steps = np.diff(cells, prepend=0).astype("<u4")
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unsqueezed(raw: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(4, -1).T).view("<u4")
+    return np.cumsum(steps.ravel(), dtype=np.int64)
+
+
 def _sketched(hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -43,7 +54,11 @@ def _sketched(hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: in
         def flush() -> pa.RecordBatch:
             cell, count = np.unique(np.concatenate(held), return_counts=True)
             cell = np.repeat(cell, np.minimum(count, most))
-            return packed.dealt(cell >> SLICE_BITS, (cell & ((1 << SLICE_BITS) - 1)).astype("<u4"))
+            parts = np.split(cell, np.flatnonzero(np.diff(cell >> SLICE_BITS)) + 1)
+            slices = [int(p[0] >> SLICE_BITS) for p in parts]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(slices, pa.int32()), pa.array([_squeezed(p - (s << SLICE_BITS)) for p, s in zip(parts, slices, strict=True)], pa.binary())], names=["bucket", "records"]
+            )
 
         for b in batches:
             for h in hashes(b):
@@ -52,7 +67,7 @@ def _sketched(hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: in
                 if n > FLUSH:
                     yield flush()
                     held, n = [], 0
-        if held:
+        if n:
             yield flush()
 
     return run
@@ -65,7 +80,7 @@ def _merged(most: int):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for s, r in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                cell, count = np.unique(np.frombuffer(r.as_py(), dtype="<u4"), return_counts=True)
+                cell, count = np.unique(_unsqueezed(r.as_py()), return_counts=True)
                 own = total.setdefault(s, np.zeros(1 << SLICE_BITS, dtype=np.uint8))
                 own[cell] = np.minimum(own[cell] + np.minimum(count, most), most)
         for s, own in total.items():

@@ -40,9 +40,9 @@ from .tokens import Words, words
 
 LEAST_RUN = 8
 #: Tokens by which suffixes are sorted, the first LEAST_RUN included.
-AHEAD = 24
+AHEAD = 16
 LEAST_PAGES, GUARDED_PAGES = 3, 10
-SKETCH_BITS = 26
+SKETCH_BITS = 28
 #: Pages with boilerplate up to this many are broadcast to the last pass.
 BROADCAST_PAGES = 1 << 16
 PLACE = np.dtype([("a", "<i8"), ("b", "<i8"), ("place", "<u4"), ("length", "<u4"), ("pages", "<u4")])
@@ -362,7 +362,7 @@ def repeated_places(pages: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
 def extract(pages: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     """(page_id, url, text) of pages(page_id, url, html)."""
     rows = pages.select("page_id", "url", "html")
-    found = cut(repeated_places(rows, least_run).select(F.struct("a", "b").alias("of"), "places", "pages"))
+    found = cut(repeated_places(rows, least_run).select(F.struct("a", "b").alias("of"), "places", "pages"), 8)
     hint = F.broadcast(found) if found.count() <= BROADCAST_PAGES else found
     at = rows.select("*", row_key(rows).alias("key")).join(hint, F.col("key") == F.col("of"), "left")
     schema = rows.select("page_id", "url").schema.add("text", "string")
