@@ -8,6 +8,8 @@ focal side before the join; the other side is always whole.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,7 +94,7 @@ def degree(view: NodeView, normalize: bool = False) -> DataFrame:
 
 
 def motifs(view: NodeView, names: tuple[str, ...] = TRIANGLE + QUADRANGLE, normalize: bool = False, **mc) -> DataFrame:
-    """(pos, id, names): expected counts; exact up to options' mc_above nodes, else by Monte Carlo.
+    """(pos, id, names): expected counts; exact up to options' mc_above nodes, else by Monte Carlo, with a warning unless it is asked for.
 
     mc=draws asks for Monte Carlo, mc=False for the exact sums; seed, repeat and average as in kernels.monte_carlo.
     """
@@ -109,6 +111,8 @@ def motifs(view: NodeView, names: tuple[str, ...] = TRIANGLE + QUADRANGLE, norma
     draws = mc.pop("mc", None)
     if draws is None:
         draws = options.get("mc_draws") if model.n > options.get("mc_above") and not set(names) <= {"twedge", "thead"} else False
+        if draws:
+            warnings.warn(f"{model.n} nodes are more than mc_above: counts are estimates from {draws} draws a node; mc=False asks for exact sums", stacklevel=2)
     if draws:
         degrees = node_sums(model, model.all_nodes, first_only=True).select("id", "mu", "d") if kernels.OF_DEGREES & set(names) else None
         values = kernels.monte_carlo(model, view.focal(), names, draws, degrees=degrees, **mc)

@@ -256,6 +256,18 @@ _motif_query("qwedge", supplier, f"{N_SUPPLIER}, {P}, {D}, {QW}", "qw")
 _motif_query("qhead", supplier, f"{N_SUPPLIER}, {P}, {D}, {QH}", "qh")
 _motif_query("quadrangle", nation, f"{N_NATION}, {P}, {Q}", "q")
 
+
+def _of_supplier(name: str, run: Callable, sql: str) -> None:
+    query(sql, name=f"{name}_supplier")(lambda spark, d: rounded(run(supplier(spark, d).nodes, mc=False)))
+
+
+#: The same sum with the two middle nodes j and l of i and k summed first: all pairs, less equal ones, less those that are adjacent.
+QK = """xk AS MATERIALIZED (SELECT ij.i, jk.j AS k, ij.j, ij.p * jk.p AS x FROM p ij JOIN p jk ON jk.i = ij.j WHERE jk.j <> ij.i),
+  s AS MATERIALIZED (SELECT i, k, sum(x) AS s, sum(x * x) AS s2 FROM xk GROUP BY i, k),
+  a AS MATERIALIZED (SELECT x.i, x.k, sum(x.x * y.x * jl.p) AS adjacent FROM xk x JOIN p jl ON jl.i = x.j JOIN xk y ON y.i = x.i AND y.k = x.k AND y.j = jl.j GROUP BY x.i, x.k),
+  q AS MATERIALIZED (SELECT s.i, sum((1 - p.p) * (s.s * s.s - s.s2 - a.adjacent)) / 2 AS q FROM s JOIN a ON a.i = s.i AND a.k = s.k JOIN p ON p.i = s.i AND p.j = s.k GROUP BY s.i)"""
+_of_supplier("quadrangle", lambda v, mc: stats.motifs(v, ("quadrangle",), mc=mc).select("id", "quadrangle"), f"WITH {N_SUPPLIER}, {P}, {QK} SELECT i AS id, {_r('q', 'quadrangle')} FROM q")
+
 _T_FROM = f"{N_SUPPLIER}, {P}, {D}, {T}, {TW}, {TH}"
 _Q_FROM = f"{N_NATION}, {P}, {D}, {Q}, {QW}, {QH}"
 _COEF_SQL = {
@@ -277,6 +289,11 @@ for _c in _COEF_SQL:
     _coefficient_query(_c, (_c,))
 _coefficient_query("tstats", ("tclust", "tclosure", "similarity"))
 _coefficient_query("qstats", ("qclust", "qclosure", "complementarity"))
+_of_supplier(
+    "qstats",
+    lambda v, mc: stats.qstats(v, mc=mc).select("id", "qclust", "qclosure", "complementarity"),
+    f"WITH {N_SUPPLIER}, {P}, {D}, {QK}, {QW}, {QH} SELECT t.i AS id, {', '.join(_r(_COEF_SQL[c], c) for c in ('qclust', 'qclosure', 'complementarity'))} FROM q t JOIN qw ON t.i = qw.i JOIN qh ON t.i = qh.i",
+)
 
 
 @query("""WITH v AS (SELECT 1 / (1 + exp(2.0)) AS p) SELECT round(99 * 98 * p ** 3 / 2, 6) AS triangle, round(99 * 98 * p ** 2, 6) AS twedge, round(99 * 98 * p ** 2, 6) AS thead,

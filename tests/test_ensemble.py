@@ -192,3 +192,9 @@ def test_numbers_of_materialized_nodes(spark):
     m, mu = normal_model(spark, 30, 0.0)
     got = m.nodes[F.col("mu") > 0].materialize().all_nodes.orderBy("id").collect()
     assert [r.id for r in got] == list(range(len(got))) and [r.mu for r in got] == [x for x in mu if x > 0]
+
+
+def test_estimates_say_that_they_are(spark):
+    m, _ = normal_model(spark, 1200, -3.0)
+    with pytest.warns(UserWarning, match="estimates from 50 draws"):
+        stats.motifs(m.nodes[:5], ("triangle",))
