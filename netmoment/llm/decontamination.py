@@ -83,14 +83,23 @@ class Items:
         same = self.keys[i] == h[at]
         return at[same], i[same]
 
+    def scratch(self) -> tuple[np.ndarray, np.ndarray]:
+        """By key: a mark, and a place among an item's different words; all False and -1 between uses, and made where they are used."""
+        if not hasattr(self, "_scratch"):
+            self._scratch = np.zeros(len(self.keys), dtype=bool), np.full(len(self.keys), -1)
+        return self._scratch
+
     def candidates(self, key: np.ndarray) -> np.ndarray:
         """Items with a seed and enough words among the keys."""
         u = np.unique(key)
-        k = np.unique(self.seeds[_ranges(self.first[u], self.first[u + 1])])
-        if not len(k):
-            return k
-        own = self.key[_ranges(self.end[k] - self.size[k], self.end[k])]
-        there = u[np.minimum(np.searchsorted(u, own), len(u) - 1)] == own
+        seeds = _ranges(self.first[u], self.first[u + 1])
+        if not len(seeds):
+            return seeds
+        k = np.unique(self.seeds[seeds])
+        mark, _ = self.scratch()
+        mark[u] = True
+        there = mark[self.key[_ranges(self.end[k] - self.size[k], self.end[k])]]
+        mark[u] = False
         return k[np.add.reduceat(there, np.cumsum(self.size[k]) - self.size[k], dtype=np.int64) >= self.need[k]]
 
 
@@ -110,11 +119,13 @@ def read_items(bench: DataFrame, coverage: float) -> Iterator[Items]:
         yield Items(ids, hashes, coverage)
 
 
-def _texts(w: Words) -> Iterator[tuple[int, np.ndarray]]:
-    """(text, its word hashes) of texts with words."""
-    for i in range(len(w.first) - 1):
-        if w.first[i + 1] > w.first[i]:
-            yield i, w.hashes[w.first[i] : w.first[i + 1]]
+def _texts(w: Words, t: Items) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, its word hashes, the places of items' words in it, and their keys) of texts with as many of these as any item needs."""
+    at, key = t.found(w.hashes)
+    edge = np.searchsorted(at, w.first)
+    for i in np.flatnonzero(np.diff(edge) >= t.need.min()).tolist():
+        a, b = int(edge[i]), int(edge[i + 1])
+        yield i, w.hashes[w.first[i] : w.first[i + 1]], at[a:b] - w.first[i], key[a:b]
 
 
 def _held(items: Broadcast):
@@ -192,13 +203,15 @@ def copies(x: np.ndarray, h: np.ndarray, need: int, stretches: list[tuple[int, i
                         yield first, end, found.score, found.matches
 
 
-def aligned(h: np.ndarray, t: Items) -> Iterator[tuple[int, int, int, int, int]]:
-    """(item, first word, end, score, matches) of the copies of items in a text with words h."""
-    at, key = t.found(h)
+def aligned(h: np.ndarray, at: np.ndarray, key: np.ndarray, t: Items) -> Iterator[tuple[int, int, int, int, int]]:
+    """(item, first word, end, score, matches) of the copies of items in a text with words h, those of items at places at with keys key."""
+    _, place = t.scratch()
     for k in t.candidates(key):
         kinds, times = t.kinds[k]
-        own = np.minimum(np.searchsorted(kinds, key), len(kinds) - 1)
-        inside = kinds[own] == key
+        place[kinds] = np.arange(len(kinds))
+        own = place[key]
+        place[kinds] = -1
+        inside = own >= 0
         need, own = int(t.need[k]), own[inside]
         for found in copies(t.words[k], h, need, dense(at[inside], own, times[own], SPAN * len(t.words[k]), need)):
             yield int(k), *found
@@ -216,8 +229,8 @@ def matches(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> Da
             for b in batches:
                 rows = []
                 for at, _, w in words(b.column(1), lower=False, separators=PUNCTUATION):
-                    for i, h in _texts(w):
-                        rows += [(at + i, t.ids[k], s, e, score / (MATCH * len(t.words[k])), m / len(t.words[k])) for k, s, e, score, m in aligned(h, t)]
+                    for i, h, places, key in _texts(w, t):
+                        rows += [(at + i, t.ids[k], s, e, score / (MATCH * len(t.words[k])), m / len(t.words[k])) for k, s, e, score, m in aligned(h, places, key, t)]
                 own = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([own, *(pa.array([r[i + 1] for r in rows], kind) for i, kind in enumerate(kinds))], names=schema.names)
@@ -237,8 +250,8 @@ def clean(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> Data
         def run(column: pa.Array) -> pa.Array:
             found = np.zeros(len(column), dtype=bool)
             for at, _, w in words(column, lower=False, separators=PUNCTUATION):
-                for i, h in _texts(w):
-                    found[at + i] = next(aligned(h, block.value), None) is not None
+                for i, h, places, key in _texts(w, block.value):
+                    found[at + i] = next(aligned(h, places, key, block.value), None) is not None
             return pa.array(found)
 
         return run
