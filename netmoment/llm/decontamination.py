@@ -212,8 +212,12 @@ def aligned(h: np.ndarray, at: np.ndarray, key: np.ndarray, t: Items) -> Iterato
         own = place[key]
         place[kinds] = -1
         inside = own >= 0
-        need, own = int(t.need[k]), own[inside]
-        for found in copies(t.words[k], h, need, dense(at[inside], own, times[own], SPAN * len(t.words[k]), need)):
+        need, span, places = int(t.need[k]), SPAN * len(t.words[k]), at[inside]
+        # so many words of the item within a span, repeated ones included, are the least that dense() asks for
+        if len(places) < need or (places[need - 1 :] - places[: len(places) - need + 1]).min() >= span:
+            continue
+        own = own[inside]
+        for found in copies(t.words[k], h, need, dense(places, own, times[own], span, need)):
             yield int(k), *found
 
 

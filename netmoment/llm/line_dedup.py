@@ -7,7 +7,8 @@ task, not a wrong result.  Windows then stream over each sorted run: they number
 documents and find the largest doc_id.  A whole hash is decided by its run alone; slices carry
 their counts and largest doc_id to each other, one row a slice, of which there are a few for each partition at most.
 
-Only the places that are dropped go to their documents, as runs of kept and dropped lines.
+Only the places that are dropped go to their documents, as runs of kept and dropped lines; and only the texts that may lose any, as
+a bitmap of their hashes tells, go to meet them.
 
 Defined results: a null or empty text has one empty line and keeps it; each row
 counts as one document, so rows with equal doc_id and text share one decision;
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import SPACES, cut, partitions, table
+from .tables import SPACES, cut, parted, partitions, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a hash that stay in one slice, at least.
@@ -103,9 +104,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
 
 def _decided(docs: DataFrame, min_chars: int, min_docs: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    drops = dropped_positions(docs, min_chars, min_docs, slice_rows).select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), "dropped")
-    base = docs.select("doc_id", "text", F.xxhash64("text").alias("body"))
-    out = base.join(drops, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body") == F.col("_b")), "left")
+    drops = cut(dropped_positions(docs, min_chars, min_docs, slice_rows)).select(F.col("doc_id").alias("d"), F.col("body").alias("b"), "dropped")
+    base = docs.select("doc_id", "text", F.xxhash64("text").alias("body")).withColumn("key", F.xxhash64("doc_id", "body"))
+    may, whole = parted(base, "key", drops.select(F.xxhash64("d", "b").alias("key")))
+    out = may.join(drops, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b")), "left").select("doc_id", "text", "dropped")
+    out = out.union(whole.select("doc_id", "text", F.lit(None).cast("array<int>").alias("dropped")))
     out = out.select("doc_id", "text", lines_of(F.col("text")).alias("lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
     out = out.select("*", run_ends(F.size("lines"), F.col("dropped")).alias("ends"))
     return out.select("doc_id", "text", "lines", "ends", F.size("lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), bitmap(F.col("ends")).alias("keep"))

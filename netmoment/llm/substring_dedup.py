@@ -11,7 +11,7 @@ count to two.  The merged sketch overestimates how often a gram is an anchor: it
 estimated to repeat go on, as 96-bit hashes, to be grouped exactly by hash; none
 that repeats is lost.  A partition settles among its own windows first and
 sends each hash once, so a text with copies everywhere costs each reducer one
-record for each partition.  Last, the repeated starts are joined with the texts.
+record for each partition.  Last, the repeated starts are joined with the texts that may have any, as a bitmap of hashes tells.
 
 The broadcast sketch has a fixed size, 32 MB by default; when a corpus outgrows
 it, more windows are grouped exactly and the result stays the same.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import countmin, packed
-from .tables import narrow_batches, partitions, table
+from .tables import cut, narrow_batches, parted, partitions, table
 from .tokens import Words, words
 
 GRAM = 8
@@ -208,9 +208,10 @@ def without(w: Words, starts: dict[int, np.ndarray], k: int) -> tuple[np.ndarray
 
 def dedup(docs: DataFrame, k: int = 35, bits: int = SKETCH_BITS, with_text: bool = False, flush: int = FLUSH) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, and kept if with_text."""
-    starts = repeated_starts(docs, k, bits, flush).select(F.col("row").alias("r"), F.col("more").alias("m"), "starts")
-    texts = docs.select("doc_id", "text", *_row())
-    joined = texts.join(starts, (F.col("row") == F.col("r")) & (F.col("more") == F.col("m")), "left").select("doc_id", "text", "starts")
+    starts = cut(repeated_starts(docs, k, bits, flush)).select(F.col("row").alias("r"), F.col("more").alias("m"), "starts")
+    may, whole = parted(docs.select("doc_id", "text", *_row()), "row", starts.select(F.col("r").alias("key")))
+    joined = may.join(starts, (F.col("row") == F.col("r")) & (F.col("more") == F.col("m")), "left").select("doc_id", "text", "starts")
+    joined = joined.union(whole.select("doc_id", "text", F.lit(None).cast("binary").alias("starts")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -12,6 +12,8 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantT
 SPACES = " \t\n\x0b\x0c\r"
 #: What a batch to a Python worker holds at most, but for a single longer row.
 BATCH_BYTES = 4 << 20
+#: Cells, in bits, of a bitmap that tells which rows of a table a join needs.
+FILTER_BITS = 27
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,3 +82,21 @@ def row_key(df: DataFrame) -> Column:
     # a hash passes nulls over, so where they are is hashed too
     empty = [c.isNull() for c in columns]
     return F.struct(F.xxhash64(*columns, *empty).alias("a"), F.xxhash64(F.lit(1), *columns, *empty).alias("b"))
+
+
+def parted(rows: DataFrame, key: str, wanted: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key, a 64-bit hash, may be among wanted(key), and those whose key is not: by a bitmap of 2**bits cells.
+
+    The bitmap is broadcast and never larger; when more keys are wanted than it can tell, more rows are in the first part.
+    """
+    bucket, held = unused(rows, "bucket", "held")
+    place = F.shiftrightunsigned(F.col(key), 64 - bits)
+    at = F.shiftright(place, 15)
+    cells = wanted.select(F.shiftrightunsigned("key", 64 - bits).alias("place")).select(F.shiftright("place", 15).alias(bucket), F.pmod("place", F.lit(1 << 15)).alias("place"))
+    bitmap = cut(cells.groupBy(bucket).agg(F.bitmap_construct_agg("place").alias(held)), 8)
+    bit = F.pmod(place, F.lit(1 << 15)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(held), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    inside = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8))) == 1, F.lit(False))
+    columns = [quoted(c) for c in rows.columns]
+    both = rows.join(F.broadcast(bitmap), at == F.col(bucket), "left")
+    return both.where(inside).select(*columns), both.where(~inside).select(*columns)
