@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantT
 SPACES = " \t\n\x0b\x0c\r"
 #: What a batch to a Python worker holds at most, but for a single longer row.
 BATCH_BYTES = 4 << 20
-#: Cells, in bits, of a bitmap that tells which rows of a table a join needs.
+#: Cells, in bits, at most of a bitmap that tells which rows of a table a join needs.
 FILTER_BITS = 27
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,11 +84,12 @@ def row_key(df: DataFrame) -> Column:
     return F.struct(F.xxhash64(*columns, *empty).alias("a"), F.xxhash64(F.lit(1), *columns, *empty).alias("b"))
 
 
-def parted(rows: DataFrame, key: str, wanted: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key, a 64-bit hash, may be among wanted(key), and those whose key is not: by a bitmap of 2**bits cells.
+def parted(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key, a 64-bit hash, may be among wanted(key), and those whose key is not: by a bitmap of 16 cells or more a wanted key.
 
-    The bitmap is broadcast and never larger; when more keys are wanted than it can tell, more rows are in the first part.
+    The bitmap is broadcast, and has at most 2**most_bits cells; when more keys are wanted than these can tell, more rows are in the first part.
     """
+    bits = min(most_bits, max(16, wanted.count().bit_length() + 4))
     bucket, held = unused(rows, "bucket", "held")
     place = F.shiftrightunsigned(F.col(key), 64 - bits)
     at = F.shiftright(place, 15)
