@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .alignment import GAP, MATCH, smith_waterman
-from .tables import narrow_batches, table
+from .tables import narrow_batches, table, trim
 from .tokens import PUNCTUATION, Words, words
 
 COVERAGE = 0.6
@@ -256,6 +256,7 @@ def clean(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> Data
             for at, _, w in words(column, lower=False, separators=PUNCTUATION):
                 for i, h, places, key in _texts(w, block.value):
                     found[at + i] = next(aligned(h, places, key, block.value), None) is not None
+            trim()
             return pa.array(found)
 
         return run

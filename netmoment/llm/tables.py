@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
+_LIBC = ctypes.CDLL(None)
+
 #: Separators of words, and what is stripped from lines: space and 0x09-0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 #: What a batch to a Python worker holds at most, but for a single longer row.
@@ -30,17 +34,25 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="checkpoint-")
 
 
-def cut(df: DataFrame, parts: int = 1) -> DataFrame:
+def cut(df: DataFrame, parts: int = 1, by: str | None = None) -> DataFrame:
     """A checkpoint in the shared folder; parts: so many of the session's partitions go into one, for a table that is as many times smaller
-    than the data.  What makes the table stays as parallel as it is: its rows are dealt out anew."""
+    than the data.  With by its rows are dealt out anew, by that column, so that what makes the table stays as parallel as it is."""
     sc = df.sparkSession.sparkContext
     if parts > 1:
-        df = df.repartition(-(-partitions(df.sparkSession) // parts))
+        n = -(-partitions(df.sparkSession) // parts)
+        df = df.coalesce(n) if by is None else df.repartition(n, by)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system: workers live on, and wait beside other stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def narrow_batches(spark: SparkSession) -> None:
     """Batches of at most BATCH_BYTES (or one row) go to Python workers from now on, if the session's bound is larger."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
