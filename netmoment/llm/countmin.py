@@ -30,10 +30,23 @@ def cells(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(mix(hashes + np.uint64(k)) >> np.uint64(64 - own)).astype(np.int64) | k << own for k in range(ROWS)])
 
 
-def reached(sketch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether the sketch, as packed bits, says that each hash was counted often enough."""
-    cell = cells(hashes, len(sketch).bit_length() + 2)
-    return (sketch[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).min(0) > 0
+class Sketch:
+    """Packed bits, one for each cell; on its way to workers it is compressed."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.bits.tobytes(), 1)
+
+    def __setstate__(self, raw: bytes) -> None:
+        self.bits = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
+
+
+def reached(sketch: Sketch, hashes: np.ndarray) -> np.ndarray:
+    """Whether the sketch says that each hash was counted often enough."""
+    cell = cells(hashes, len(sketch.bits).bit_length() + 2)
+    return (sketch.bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).min(0) > 0
 
 
 def _squeezed(cells: np.ndarray) -> bytes:
@@ -90,10 +103,10 @@ def _merged(most: int):
 
 
 def sketch(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, most: int) -> Broadcast:
-    """The merged sketch, as packed bits, of what hashes() yields of batches of rows: a hash counts once each time it is yielded."""
+    """The merged sketch of what hashes() yields of batches of rows: a hash counts once each time it is yielded."""
     spark, bits = rows.sparkSession, max(bits, SLICE_BITS + 1)
     slices = rows.mapInArrow(_sketched(hashes, bits, most), packed.SCHEMA).repartition(partitions(spark), "bucket").mapInArrow(_merged(most), packed.SCHEMA)
     out, step = np.zeros(1 << (bits - 3), dtype=np.uint8), 1 << (SLICE_BITS - 3)
     for r in slices.toLocalIterator():
         out[r.bucket * step : (r.bucket + 1) * step] = np.frombuffer(zlib.decompress(r.records), dtype=np.uint8)
-    return spark.sparkContext.broadcast(out)
+    return spark.sparkContext.broadcast(Sketch(out))

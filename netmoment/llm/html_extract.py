@@ -11,7 +11,7 @@ Text repeats for other reasons too: articles are copied, passages quoted.  So it
 and more than half of the host's pages, and in an article or main element, whose markup says that it is text, GUARDED_PAGES and nine tenths.
 A page of which all would go keeps its text.
 
-A suffix is told by its first AHEAD tokens, which is as far as it is sorted; longer substrings are covered by the suffixes that begin
+A suffix is told by a hash of its first least_run tokens and by the AHEAD tokens after them, which is as far as it is sorted; longer substrings are covered by the suffixes that begin
 later in them.  A count-min sketch of all pages' runs of least_run tokens keeps suffixes out that fewer than LEAST_PAGES pages share (it may let some
 more in, and loses none).  Suffixes are dealt to tasks by host and a hash of their first
 least_run tokens, so a host's array is built in parts that are each sorted, and no host is one task's.  Only places in candidates come back.
@@ -39,8 +39,8 @@ from .tables import cut, narrow_batches, partitions, row_key, table
 from .tokens import Words, words
 
 LEAST_RUN = 8
-#: Tokens by which suffixes are sorted, the first LEAST_RUN included.
-AHEAD = 16
+#: Tokens by which suffixes that begin with the same run are sorted.
+AHEAD = 8
 LEAST_PAGES, GUARDED_PAGES = 3, 10
 SKETCH_BITS = 28
 #: Pages with boilerplate up to this many are broadcast to the last pass.
@@ -241,7 +241,7 @@ def _suffixes(run_length: int, shared: Broadcast, buckets: int):
                 candidates = np.append(0, np.cumsum(own))
                 s["place"], s["own"] = start - w.first[page], candidates[start + run_length] > candidates[start]
                 # the end of the page is less than any token
-                ahead = start[:, None] + np.arange(AHEAD)
+                ahead = start[:, None] + run_length + np.arange(AHEAD)
                 inside = ahead < w.first[page + 1][:, None]
                 s["ahead"] = np.where(inside, (w.hashes[np.minimum(ahead, len(w.hashes) - 1)] >> np.uint64(32)) | np.uint64(1), 0).astype(np.uint32)
                 yield packed.dealt(packed.bucket_of(prefix ^ s["host"], buckets), s)
@@ -249,23 +249,23 @@ def _suffixes(run_length: int, shared: Broadcast, buckets: int):
     return run
 
 
-def sorted_suffixes(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes in order of host, first run and tokens, and how many tokens each has in common with the one before."""
+def sorted_suffixes(s: np.ndarray, run_length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order of host, first run and the tokens after it, and how many tokens each has in common with the one before (0: no run)."""
     order = np.lexsort((*(s["ahead"][:, k] for k in range(AHEAD - 1, -1, -1)), s["prefix"], s["host"]))
     s = s[order]
     common = np.zeros(len(s), dtype=np.int64)
     if len(s) > 1:
         differ = (s["ahead"][1:] != s["ahead"][:-1]) | (s["ahead"][1:] == 0)
-        common[1:] = np.where(differ.any(1), differ.argmax(1), AHEAD)
+        common[1:] = run_length + np.where(differ.any(1), differ.argmax(1), AHEAD)
         common[1:][(s["host"][1:] != s["host"][:-1]) | (s["prefix"][1:] != s["prefix"][:-1])] = 0
     return s, common
 
 
 def repeated(s: np.ndarray, run_length: int, least: int) -> np.ndarray:
     """PLACE records of the suffixes in candidates: for each length of a prefix that least pages or more share, the longest for a number of pages."""
-    s, common = sorted_suffixes(s)
+    s, common = sorted_suffixes(s, run_length)
     out, above = [], np.zeros(len(s), dtype=np.int64)
-    for length in range(AHEAD, run_length - 1, -1):
+    for length in range(run_length + AHEAD, run_length - 1, -1):
         if not (common == length).any():  # no suffix more comes to any other
             continue
         begin = common < length

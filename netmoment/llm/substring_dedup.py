@@ -69,7 +69,7 @@ def anchors(w: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
     return at, low
 
 
-def estimated(w: Words, k: int, repeated: np.ndarray) -> np.ndarray:
+def estimated(w: Words, k: int, repeated: countmin.Sketch) -> np.ndarray:
     """First words of the windows of k words all of whose anchors the sketch says repeat."""
     span = span_of(k)
     at, low = anchors(w, span)

@@ -155,7 +155,7 @@ def test_suffixes_by_brute_force():
             for i in range(len(tokens) - run + 1):
                 s = np.zeros(1, dtype=html_extract.SUFFIX)
                 s["host"], s["prefix"], s["a"], s["b"], s["place"], s["own"] = k % 2, zlib.crc32(tokens[i : i + run].tobytes()), k, -k, i, True
-                part = tokens[i : i + html_extract.AHEAD]
+                part = tokens[i + run : i + run + html_extract.AHEAD]
                 s["ahead"][0, : len(part)] = part
                 rows.append(s)
         got = {}
@@ -165,13 +165,13 @@ def test_suffixes_by_brute_force():
             got.setdefault((int(at["a"]), int(at["place"])), {})[int(at["pages"])] = int(at["length"])
         held = {}
         for k, tokens in enumerate(pages):
-            for n in range(run, html_extract.AHEAD + 1):
+            for n in range(run, run + html_extract.AHEAD + 1):
                 for i in range(len(tokens) - n + 1):
                     held.setdefault((k % 2, n, tokens[i : i + n].tobytes()), set()).add(k)
         for k, tokens in enumerate(pages):
             for i in range(len(tokens) - run + 1):
                 want = {}
-                for n in range(run, min(html_extract.AHEAD, len(tokens) - i) + 1):
+                for n in range(run, min(run + html_extract.AHEAD, len(tokens) - i) + 1):
                     if (m := len(held[k % 2, n, tokens[i : i + n].tobytes()])) >= 2:
                         want[m] = n
                 assert got.get((k, i), {}) == want

@@ -222,7 +222,7 @@ def test_sketch_counts_no_gram_too_low(spark):
     grams = np.array(sorted(seen), dtype=np.uint64)
     cell = countmin.cells(grams, bits)
     assert len(cell) == countmin.ROWS >= 2 and all((c >> (bits - 1) == k).all() for k, c in enumerate(cell))
-    each = repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1
+    each = repeated.bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1
     twice = np.array([seen[g] > 1 for g in grams.tolist()])
     assert (countmin.reached(repeated, grams) == each.min(0)).all() and each.min(0)[twice].all() and each.min(0)[~twice].sum() <= each.min(1).sum() and twice.any()
 
