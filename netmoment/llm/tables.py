@@ -113,3 +113,15 @@ def parted(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = FILTER
     columns = [quoted(c) for c in rows.columns]
     both = rows.join(F.broadcast(bitmap), at == F.col(bucket), "left")
     return both.where(inside).select(*columns), both.where(~inside).select(*columns)
+
+
+def joined_by_weight(rows: DataFrame, small: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows joined with small, whose keys are unique and whose weight counts the rows of each key: keys with a large share of all rows are broadcast, of
+    which there are at most four for each partition, so that none of them makes one task of the shuffle long."""
+    most = small.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first().n // (4 * partitions(rows.sparkSession))
+    (hot,) = unused(small, "hot")
+    heavy, light = small.where(F.col(weight) > most), small.where(F.col(weight) <= most)
+    if most == 0 or heavy.isEmpty():
+        return rows.join(small, keys)
+    marked = rows.join(F.broadcast(heavy.select(*keys, F.lit(True).alias(hot))), keys, "left")
+    return marked.where(F.col(hot)).drop(hot).join(F.broadcast(heavy), keys).unionByName(marked.where(F.col(hot).isNull()).drop(hot).join(light, keys))
