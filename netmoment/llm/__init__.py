@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("jaccard_join", "sharding", "media", "html_extract", "license_scan", "mixing", "quality", "substring_dedup", "decontamination", "line_dedup", "centroids")
+_MODULES = ("jaccard_join", "sharding", "media", "html_extract", "license_scan", "mixing", "quality", "substring_dedup", "decontamination", "line_dedup", "centroids", "prefix_trie", "suffix_dedup")
 
 
 def _gather(name: str) -> dict:
