@@ -145,12 +145,14 @@ def pieces(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, n
             yield np.array([at]), part, np.array([0, len(part)]), i
 
 
-def _firsts(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """p in order, and whether each is the earliest of its context."""
-    p = p[np.lexsort([p[c] for c in ORDER])]
-    new = np.ones(len(p), dtype=bool)
-    new[1:] = (p["g"][1:] != p["g"][:-1]) | (p["h"][1:] != p["h"][:-1])
-    return p, new
+def _ordered(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of p in order, each place once, and whether each is the earliest of its context."""
+    by = np.lexsort([p[c] for c in ORDER])
+    q = p[by]
+    new, same = np.ones(len(q), dtype=bool), np.zeros(len(q), dtype=bool)
+    new[1:] = (q["g"][1:] != q["g"][:-1]) | (q["h"][1:] != q["h"][:-1])
+    same[1:] = ~new[1:] & (q["doc"][1:] == q["doc"][:-1]) & (q["more"][1:] == q["more"][:-1]) & (q["lo"][1:] == q["lo"][:-1])
+    return by[~same], new[~same]
 
 
 def _row_bucket(p: np.ndarray, buckets: int) -> np.ndarray:
@@ -175,8 +177,9 @@ def _contexts(k: int, gram: int, seen: Broadcast, buckets: int, most: int):
         repeated, held, n = seen.value, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            p, new = _firsts(np.concatenate(held))
-            sent, rest = p[new], p[~new]
+            p = np.concatenate(held)
+            by, new = _ordered(p)
+            sent, rest = p[by[new]], p[by[~new]]
             yield packed.dealt(packed.bucket_of(mix(sent["g"]), buckets), sent)
             if len(rest):
                 rest["g"] = 0
@@ -219,7 +222,8 @@ def _settled(buckets: int, large: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = packed.gathered(batches, CONTEXT)
         known, p = p[p["g"] == 0], p[p["g"] > 0]
-        p, new = _firsts(p)
+        by, new = _ordered(p)
+        p = p[by]
         yield _kind(0, _gone(np.concatenate([known, p[~new]]), buckets))
         gram, count = np.unique(p["g"][new], return_counts=True)
         for kind, chosen in ((1, gram[(count > 1) & (count <= large)]), (2, gram[count > large])):
@@ -250,10 +254,8 @@ def _dealt(k: int, gram: int, several: Broadcast | None, many: Broadcast | None,
 
         def flush() -> Iterator[pa.RecordBatch]:
             p = np.concatenate(held)
-            by = np.lexsort([p[c] for c in ORDER])
+            by, new = _ordered(p)
             p = p[by]
-            new = np.ones(len(p), dtype=bool)
-            new[1:] = (p["g"][1:] != p["g"][:-1]) | (p["h"][1:] != p["h"][:-1])
             yield _byted(packed.bucket_of(mix(p["g"][new]), buckets), p[new], [text[i] for i in by[new].tolist()])
             rest = p[~new & (p["n"] == 0)]  # equal contexts are settled already
             if len(rest):
@@ -332,10 +334,8 @@ def _arrayed(k: int, buckets: int):
                 parts.append(own)
                 text += [raw[a:e] for a, e in zip([0, *ends[:-1]], ends, strict=True)]
         p = np.concatenate(parts) if parts else np.zeros(0, dtype=CONTEXT)
-        by = np.lexsort([p[c] for c in ORDER])
+        by, new = _ordered(p)
         p = p[by]
-        new = np.ones(len(p), dtype=bool)
-        new[1:] = (p["g"][1:] != p["g"][:-1]) | (p["h"][1:] != p["h"][:-1])
         if len(lost := p[(p["g"] == 0) | (~new & (p["n"] == 0))]):
             yield _gone(lost, buckets)
         kept = np.flatnonzero(new & (p["n"] > 0) & (p["g"] > 0))
