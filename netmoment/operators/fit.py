@@ -4,7 +4,8 @@ A homogeneous fit is closed: mu = logit of the observed density.  With one mu fo
 each node, nodes of equal degree have equal mu at the optimum, so the unknowns are the
 distinct degrees, at most about the square root of twice the edges; their
 equations E[degree] = degree are solved on the driver by Newton steps up to NEWTON_CLASSES of them, and beyond
-by fixed-point steps whose expected degrees are a distributed sum over pairs of classes.  A start may be
+by L-BFGS steps on the negative log-likelihood, whose value and gradient are a distributed sum over pairs of classes; the driver has a few vectors of a number
+for each class.  A start may be
 given by name or as a table; it decides where the steps begin.  A solution tells its steps, its error and whether it
 converged, and fit() raises where it did not.  Nodes
 of degree 0 have mu = -infinity, written as null, and stay out.
@@ -70,18 +71,72 @@ def _dense(w: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     return expected
 
 
-def _distributed(spark: SparkSession, w: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """The same as a sum over pairs of classes in the cluster; a number for each class comes back."""
+#: Most that a step changes a mu: where probabilities are all but 0 or 1 there is no slope to come back by.
+LONGEST = 2.0
+#: The value of a sum over pairs and its derivatives: the sum over i < j of ln(1 + exp(mu_i + mu_j)), and each class's expected degree.
+Sums = Callable[[np.ndarray], tuple[float, np.ndarray]]
 
-    def expected(mu: np.ndarray) -> np.ndarray:
+
+def _distributed(spark: SparkSession, w: np.ndarray) -> Sums:
+    """As sums over pairs of classes in the cluster; two numbers for each class come back."""
+
+    def sums(mu: np.ndarray) -> tuple[float, np.ndarray]:
         classes = spark.createDataFrame(list(zip(range(len(mu)), mu.tolist(), w.tolist(), strict=True)), "c long, mu double, w double")
-        p = E.probability(-(F.col("mu") + F.col("mu_j")))
+        x = F.col("mu") + F.col("mu_j")
         other = classes.select(F.col("mu").alias("mu_j"), "w")
-        sums = spread(classes.select("c", "mu")).crossJoin(spread(other)).groupBy("c", "mu").agg(F.sum(F.col("w") * p).alias("e"))
-        got = sums.select("c", (F.col("e") - E.probability(-2 * F.col("mu"))).alias("e")).orderBy("c").toPandas()
-        return got["e"].to_numpy()
+        found = spread(classes.select("c", "mu")).crossJoin(spread(other)).groupBy("c", "mu").agg(F.sum(F.col("w") * E.probability(-x)).alias("e"), F.sum(F.col("w") * E.log1pexp(x)).alias("f"))
+        got = found.select("c", (F.col("e") - E.probability(-2 * F.col("mu"))).alias("e"), (F.col("f") - E.log1pexp(2 * F.col("mu"))).alias("f")).orderBy("c").toPandas()
+        return float(w @ got["f"].to_numpy()) / 2, got["e"].to_numpy()
 
-    return expected
+    return sums
+
+
+def minimized(sums: Sums, k: np.ndarray, w: np.ndarray, mu: np.ndarray, tolerance: float, most: int, memory: int = 12) -> tuple[np.ndarray, int, float]:
+    """(mu, steps, error) by L-BFGS of sums less w k mu, whose gradient is w (e - k); error: the largest of |e - k|.
+
+    Variables are scaled by about the square root of their second derivatives, so the first steps are of the right size.
+    """
+    n = w.sum()
+    scale = np.sqrt(w * np.maximum(k * (1 - k / n), 1e-3))
+
+    def at(y: np.ndarray) -> tuple[float, np.ndarray, float]:
+        f, e = sums(y / scale)
+        return f - float(w @ (k * y / scale)), w * (e - k) / scale, float(np.abs(e - k).max())
+
+    y = mu * scale
+    value, gradient, error = at(y)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    step = 0
+    while step < most and error > tolerance:
+        step += 1
+        q, used = gradient.copy(), []
+        for s, t in reversed(pairs):
+            a = (s @ q) / (s @ t)
+            q -= a * t
+            used.append(a)
+        if pairs:
+            s, t = pairs[-1]
+            q *= (s @ t) / (t @ t)
+        for (s, t), a in zip(pairs, reversed(used), strict=True):
+            q += s * (a - (t @ q) / (s @ t))
+        slope, length = -float(q @ gradient), 1.0
+        if slope >= 0:
+            q, slope, length, pairs = gradient.copy(), -float(gradient @ gradient), 1.0, []
+        length = min(length, LONGEST / float(np.abs(q / scale).max()))
+        while True:
+            new = y - length * q
+            found = at(new)
+            # near the minimum values agree to rounding, and the gradient decides
+            close = abs(found[0] - value) <= 1e-11 * abs(value) and np.abs(found[1]).max() < np.abs(gradient).max()
+            if close or found[0] <= value + 1e-4 * length * slope:
+                break
+            length /= 2
+            if length < 1e-6:
+                return y / scale, step, error
+        if (new - y) @ (found[1] - gradient) > 0:
+            pairs = [*pairs, (new - y, found[1] - gradient)][-memory:]
+        y, (value, gradient, error) = new, found
+    return y / scale, step, error
 
 
 def solve_classes(degrees: np.ndarray, counts: np.ndarray, rtol: float = 1e-9, most: int = 128, start: np.ndarray | None = None, spark: SparkSession | None = None, newton_classes: int = NEWTON_CLASSES) -> Solution:
@@ -94,10 +149,13 @@ def solve_classes(degrees: np.ndarray, counts: np.ndarray, rtol: float = 1e-9, m
     mu = np.log(k / math.sqrt((k * w).sum()))
     if start is not None:
         mu = np.where(np.isfinite(start[keep]), start[keep], mu)
-    small = len(k) <= newton_classes
-    if not small and spark is None:
-        raise ValueError(f"{len(k)} classes are solved with a session only")
-    expected = _dense(w) if small else _distributed(spark, w)
+    if len(k) > newton_classes:
+        if spark is None:
+            raise ValueError(f"{len(k)} classes are solved with a session only")
+        # a node that is joined with all others has no finite mu, so it only comes as near as the tolerance asks
+        mu, step, error = minimized(_distributed(spark, w), k, w, mu, max(rtol, 1e-7) * max(1.0, float(k.max())), most)
+        return Solution(dict(zip(degrees[keep].tolist(), mu.tolist(), strict=True)), step, error, error <= 1e-5 * max(1.0, float(k.max())))
+    expected = _dense(w)
 
     error, step = np.inf, 0
     for step in range(1, most + 1):
@@ -105,7 +163,7 @@ def solve_classes(degrees: np.ndarray, counts: np.ndarray, rtol: float = 1e-9, m
         error = float(np.abs(e - k).max())
         if error <= rtol * max(1.0, float(k.max())):
             break
-        if small and (k < n - 1).all():
+        if (k < n - 1).all():
             p = 1 / (1 + np.exp(-np.clip(mu[:, None] + mu[None], -700, 700)))
             v = p * (1 - p)
             jac = v * w[None]

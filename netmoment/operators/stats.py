@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..plans import options
 from ..plans.model import Ensemble, NodeView, spread
-from . import kernels
+from . import classes, interpolation, kernels
 
 TRIANGLE = ("triangle", "twedge", "thead")
 QUADRANGLE = ("quadrangle", "qwedge", "qhead")
@@ -83,30 +83,46 @@ def _spread(view: NodeView, values: dict[str, float]) -> DataFrame:
     return view.rows().select("pos", "id", *cols) if view.is_active else view.model.spark.range(1).select(*cols)
 
 
-def degree(view: NodeView, normalize: bool = False) -> DataFrame:
-    """(pos, id, degree); a homogeneous model without selection has one row (degree)."""
+def degree(view: NodeView, normalize: bool = False, tolerance: float | None = None) -> DataFrame:
+    """(pos, id, degree); a homogeneous model without selection has one row (degree).
+
+    With a tolerance sums are interpolated (see interpolation), in work proportional to the nodes, and off by that much at most before they are normalized; the column's metadata has the bound.
+    """
     model = view.model
     scale = model.n if normalize else 1
     if model.is_homogeneous:
         return _spread(view, {"degree": _homogeneous(model)["degree"] / scale})
+    if tolerance is not None:
+        sums, bound = interpolation.node_sums(model, view.focal(), tolerance, first_only=True)
+        return _placed(view, sums.select("id", (F.col("d") / scale).alias("degree", metadata={"error_bound": bound / scale})), ["degree"])
     sums = node_sums(model, view.focal(), first_only=True)
     return _placed(view, sums.select("id", (F.col("d") / scale).alias("degree")), ["degree"])
 
 
+def _estimated(names: tuple[str, ...], draws: int, scale: int) -> list[Column]:
+    """Columns whose metadata say that they are estimates, and from how many draws."""
+    return [(F.col(k) / scale).alias(k, metadata={"estimate": True, "draws": draws}) for k in names]
+
+
 def motifs(view: NodeView, names: tuple[str, ...] = TRIANGLE + QUADRANGLE, normalize: bool = False, **mc) -> DataFrame:
     """(pos, id, names): expected counts; exact up to options' mc_above nodes, else by Monte Carlo, with a warning unless it is asked for.
 
-    mc=draws asks for Monte Carlo, mc=False for the exact sums; seed, repeat and average as in kernels.monte_carlo.
+    mc=draws asks for Monte Carlo, mc=False for the exact sums; seed, repeat and average as in kernels.monte_carlo.  by="classes"
+    does either for each distinct mu (see classes) rather than for each node, whose draws differ; without it nodes are taken while there are at most
+    mc_nodes of them, and exact sums choose what is less work.  Columns of estimates have metadata that say so.
     """
     model = view.model
     scale = model.n if normalize else 1
+    by = mc.pop("by", None)
+    if by not in (None, "nodes", "classes"):
+        raise ValueError(f"motifs are counted by nodes or classes, not {by!r}")
     if model.is_homogeneous:
         all_ = _homogeneous(model)
         return _spread(view, {k: all_[k] / scale for k in names})
     if model.n < 4 and (none := [k for k in names if model.n < (3 if k in TRIANGLE else 4)]):
         # too few nodes for the motif: exactly 0, which the difference of sums would miss by rounding
         rest = tuple(k for k in names if k not in none)
-        found = motifs(view, rest, normalize, **mc) if rest else view.rows().select("pos", "id")
+        found = motifs(view, rest, normalize, by=by, **mc) if rest else view.rows().select("pos", "id")
         return found.select("*", *[F.lit(0.0).alias(k) for k in none]).select(*[c for c in ("pos", "id", "rep") if c in found.columns], *names)
     draws = mc.pop("mc", None)
     if draws is None:
@@ -114,18 +130,31 @@ def motifs(view: NodeView, names: tuple[str, ...] = TRIANGLE + QUADRANGLE, norma
         if draws:
             warnings.warn(f"{model.n} nodes are more than mc_above: counts are estimates from {draws} draws a node; mc=False asks for exact sums", stacklevel=2)
     if draws:
-        degrees = node_sums(model, model.all_nodes, first_only=True).select("id", "mu", "d") if kernels.OF_DEGREES & set(names) else None
-        values = kernels.monte_carlo(model, view.focal(), names, draws, degrees=degrees, **mc)
+        if by == "classes" or (by is None and model.n > options.get("mc_nodes")):
+            settings = {"seed": 0, "repeat": options.get("mc_repeat"), "average": True, "same_seed": True} | {k: v for k, v in mc.items() if v is not None}
+            values = classes.monte_carlo(model, view.focal(), names, draws, sums=lambda of: node_sums(model, of), **settings)
+        else:
+            degrees = node_sums(model, model.all_nodes, first_only=True).select("id", "mu", "d") if kernels.OF_DEGREES & set(names) else None
+            values = kernels.monte_carlo(model, view.focal(), names, draws, degrees=degrees, **mc)
         rep = ["rep"] if "rep" in values.columns else []
-        return _placed(view, values.select("id", *rep, *[(F.col(k) / scale).alias(k) for k in names]), [*rep, *names])
+        return _placed(view, values.select("id", *rep, *_estimated(names, draws, scale)), [*rep, *names])
     sums = node_sums(model, view.focal())
-    values = sums.select("id", "d", "s", "m", (F.col("d") * F.col("d") - F.col("s")).alias("twedge"), (F.col("m") - F.col("s")).alias("thead"))
+    values = sums.select("id", "mu", "d", "s", "m", (F.col("d") * F.col("d") - F.col("s")).alias("twedge"), (F.col("m") - F.col("s")).alias("thead"))
     if hard := [k for k in names if k not in ("twedge", "thead")]:
-        whole = node_sums(model, model.all_nodes) if {"qwedge", "qhead"} & set(hard) else None
-        values = values.join(kernels.exact(model, view.focal(), hard, whole), "id")
+        if by == "classes" or (by is None and _fewer_classes(model, hard)):
+            values = values.join(classes.exact(model, view.focal(), hard, lambda of: node_sums(model, of), options.get("exact_nodes")), "mu")
+        else:
+            whole = node_sums(model, model.all_nodes) if {"qwedge", "qhead"} & set(hard) else None
+            values = values.join(kernels.exact(model, view.focal(), hard, whole), "id")
     return _placed(view, values.select("id", *[(F.col(k) / scale).alias(k) for k in names]), list(names))
 
 
+def _fewer_classes(model: Ensemble, names: list[str]) -> bool:
+    """Whether sums over classes are less work than the kernels', or the kernels have too many nodes; blocks of squares are the slower ones."""
+    k = model.classes().count()
+    return model.n > options.get("exact_nodes") or (4 * k**4 < model.n**4 if "quadrangle" in names else 2 * k < model.n)
+
+
 def coefficient_columns(names: tuple[str, ...], prefix: str = "") -> list[Column]:
     """Ratios of counts, within [0, 1]; null where a denominator is 0."""
     out = []
@@ -151,13 +180,16 @@ def qstats(view: NodeView, **mc) -> DataFrame:
     return coefficients(view, ("qclust", "qclosure", "complementarity"), **mc)
 
 
-def node_free_energy(view: NodeView, normalize: bool = False) -> DataFrame:
-    """(pos, id, free_energy): half the sum of ln(1 - p_ij)."""
+def node_free_energy(view: NodeView, normalize: bool = False, tolerance: float | None = None) -> DataFrame:
+    """(pos, id, free_energy): half the sum of ln(1 - p_ij); tolerance as for degree()."""
     model = view.model
     scale = model.n if normalize else 1
     if model.is_homogeneous:
         one = model.spark.range(1).select(((model.n - 1) / 2 * E.edge_free_energy(F.lit(-model.mu)) / scale).alias("free_energy"))
         return view.rows().select("pos", "id").crossJoin(F.broadcast(one)) if view.is_active else one
+    if tolerance is not None:
+        found, bound = interpolation.node_free_energy(model, view.focal(), tolerance)
+        return _placed(view, found.select("id", (F.col("free_energy") / scale).alias("free_energy", metadata={"error_bound": bound / scale})), ["free_energy"])
     classes = spread(model.classes().select(F.col("mu").alias("mu_j"), "w"))
     own = E.edge_free_energy(-2 * F.col("mu"))
     sums = spread(view.focal().select("mu").distinct()).crossJoin(classes).groupBy("mu").agg(F.sum(F.col("w") * E.edge_free_energy(-(F.col("mu") + F.col("mu_j")))).alias("f"))
@@ -168,33 +200,34 @@ def node_free_energy(view: NodeView, normalize: bool = False) -> DataFrame:
 # One-row statistics of the graph
 
 
-def edge_count(model: Ensemble, normalize: bool = False) -> DataFrame:
+def edge_count(model: Ensemble, normalize: bool = False, tolerance: float | None = None) -> DataFrame:
+    """(edge_count); tolerance: of each node's degree, as for degree()."""
     scale = model.n if normalize else 1
-    d = degree(model.nodes)
+    d = degree(model.nodes, tolerance=tolerance)
     total = F.col("degree") * model.n / 2 if model.is_homogeneous else F.sum("degree") / 2
     return d.select((total / scale).alias("edge_count")) if model.is_homogeneous else d.agg((total / scale).alias("edge_count"))
 
 
-def edge_density(model: Ensemble) -> DataFrame:
+def edge_density(model: Ensemble, tolerance: float | None = None) -> DataFrame:
     """Expected share of pairs that are edges; null for a single node."""
-    return edge_count(model).select(F.try_divide(2 * F.col("edge_count"), F.lit(float(model.n * (model.n - 1)))).alias("edge_density"))
+    return edge_count(model, tolerance=tolerance).select(F.try_divide(2 * F.col("edge_count"), F.lit(float(model.n * (model.n - 1)))).alias("edge_density"))
 
 
-def free_energy(model: Ensemble, normalize: bool = False) -> DataFrame:
-    """Sum of ln(1 - p_ij) over pairs i < j; its negative is the log-partition function."""
-    f = node_free_energy(model.nodes)
+def free_energy(model: Ensemble, normalize: bool = False, tolerance: float | None = None) -> DataFrame:
+    """Sum of ln(1 - p_ij) over pairs i < j; its negative is the log-partition function.  tolerance: of each node's half."""
+    f = node_free_energy(model.nodes, tolerance=tolerance)
     scale = model.n if normalize else 1
     total = F.col("free_energy") * model.n if model.is_homogeneous else None
     return f.select((total / scale).alias("free_energy")) if model.is_homogeneous else f.agg((F.sum("free_energy") / scale).alias("free_energy"))
 
 
-def log_partition(model: Ensemble) -> DataFrame:
-    return free_energy(model).select((-F.col("free_energy")).alias("log_partition"))
+def log_partition(model: Ensemble, tolerance: float | None = None) -> DataFrame:
+    return free_energy(model, tolerance=tolerance).select((-F.col("free_energy")).alias("log_partition"))
 
 
-def free_energy_gradient(view: NodeView) -> DataFrame:
+def free_energy_gradient(view: NodeView, tolerance: float | None = None) -> DataFrame:
     """(pos, id, gradient): derivative of the free energy by mu_i, the negative expected degree (by theta: the degree)."""
-    d = degree(view)
+    d = degree(view, tolerance=tolerance)
     return d.select(*[c for c in d.columns if c != "degree"], (-F.col("degree")).alias("gradient"))
 
 

@@ -799,3 +799,6 @@ def _u(parts: str) -> str:
 def random_numbers(spark: SparkSession, d: str) -> DataFrame:
     g, i = RandomGenerator(5), F.col("id")
     return rounded(spark.range(500).select("id", g.uniform(i, low=2.0, high=5.0).alias("uniform"), g.normal(i, mean=1.0, sd=2.0).alias("normal"), g.exponential(i, rate=2.0).alias("exponential"), g.choice(10, i).alias("choice"), g.bernoulli(0.3, i).alias("bernoulli")))
+
+
+from . import scaled  # noqa: E402, F401  # adds its own queries to the same tables

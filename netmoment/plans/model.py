@@ -74,6 +74,12 @@ class Ensemble:
         mu = F.col("mu") if digits is None else F.round("mu", digits)
         return self.all_nodes.groupBy(mu.alias("mu")).agg(F.count(F.lit(1)).alias("w"))
 
+    def merged(self, step: float) -> Ensemble:
+        """The model with parameters rounded down to multiples of step, so that it has few classes."""
+        if step <= 0:
+            raise ValueError("the step must be positive")
+        return self if self.is_homogeneous else replace(self, table=self.table.withColumn("mu", F.floor(F.col("mu") / step) * step))
+
     def pair_mu(self, a: str, b: str) -> Column:
         return F.lit(self.mu) if self.is_homogeneous else F.col(a) + F.col(b)
 

@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Options:
-    """mc_above: nodes above which motifs are estimated; mc_draws: draws then; exact_nodes and mc_nodes: bounds of the kernels."""
+    """mc_above: nodes above which motifs are estimated; mc_draws: draws then; exact_nodes and mc_nodes: nodes above which sums go by classes of mu, of which exact_nodes is the bound."""
 
     mc_above: int = 1000
     mc_draws: int = 50
