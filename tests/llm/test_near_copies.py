@@ -92,6 +92,29 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch, edits, local, roun
     assert len({r[2] for r in want}) > (edits > 3)
 
 
+def shared_shingle(n, others):
+    """n nine-word texts that share their first shingle and no other, in one part; in others parts a copy of one of them with one word more, and a filler."""
+    texts = [f"one rare shingle of all a{i} b{i} c{i} d{i}" for i in range(n)]
+    part = [(i, t) for i, t in enumerate(texts)]
+    return [part] + [[(1000 * (k + 1), texts[253 % n - k] + " more"), (1000 * (k + 1) + 1, f"a filler that is like none of the others {k} {k} {k}")] for k in range(others)]
+
+
+@pytest.mark.parametrize(("n", "bounds"), [(258, jaccard_join.Bounds()), (30, jaccard_join.Bounds(local=4)), (30, jaccard_join.Bounds(local=4, block=7, rounds=0)), (30, jaccard_join.Bounds(local=4, rounds=2))])
+@pytest.mark.parametrize("others", [1, 7])
+def test_links_do_not_depend_on_parts(spark, monkeypatch, n, bounds, others):
+    monkeypatch.setattr(jaccard_join, "LATE_BITS", 21)
+    parts = shared_shingle(n, others)
+    want = brute_components([r for p in parts for r in p])
+    assert sum(1 for d, _, c in want if d >= 1000 and c < 1000) == others
+    rdd = spark.sparkContext.parallelize(parts, len(parts)).flatMap(lambda p: p)
+    df = spark.createDataFrame(rdd, "doc_id long, text string")
+    assert df.rdd.getNumPartitions() == others + 1
+    for t in (df, df.coalesce(1), df.repartition(8)):
+        assert sorted((tuple(r) for r in jaccard_join.components(t, bounds).collect()), key=str) == want
+    kept = {r.doc_id for r in jaccard_join.representatives(df, bounds).collect()}
+    assert kept == {c for _, _, c in want}
+
+
 def brute_representatives(rows):
     """Indices of rows: one of each component, the first by (no id, id); which of equal ids is free."""
     sets = [shingles(r[1]) for r in rows]
