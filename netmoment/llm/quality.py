@@ -91,14 +91,24 @@ def texts(column: pa.Array) -> Iterator[tuple[Words, np.ndarray]]:
         yield w, form(w, (offsets - offsets[0]).astype(np.int64))
 
 
+#: Largest count of 16 bits.
+MOST_COUNT = 2**16 - 1
+
+
 def sparse(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(form, cells in use, how often) of each text, cells and counts of 16 bits; the cells of pairs come after those of words."""
+    """(form, cells in use, how often) of each text, cells and counts of 16 bits; the cells of pairs come after those of words.
+
+    A cell of more than MOST_COUNT comes as often as its count takes.
+    """
     for w, x in texts(column):
         one, two = cells(w)
         for i in range(len(x)):
             a, b = int(w.first[i]), int(w.first[i + 1])
             own, count = np.unique(np.concatenate([one[a:b], two[a:b][two[a:b] < CELLS] + CELLS]), return_counts=True)
-            yield x[i], own.astype("<u2"), np.minimum(count, 2**16 - 1).astype("<u2")
+            parts = -(-count // MOST_COUNT)
+            each = np.full(int(parts.sum()), MOST_COUNT)
+            each[np.cumsum(parts) - 1] = count - (parts - 1) * MOST_COUNT
+            yield x[i], np.repeat(own, parts).astype("<u2"), each.astype("<u2")
 
 
 @dataclass(frozen=True)

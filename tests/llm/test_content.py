@@ -490,6 +490,18 @@ def test_repeated_documents_keep_the_bound(spark, monkeypatch):
     assert len(seen[0][0]) == 9 and (seen[0][0] == seen[1][0]).all() and (seen[0][1] == seen[1][1]).all()
 
 
+def test_quality_counts_all_words_of_a_text():
+    """Counts beyond 16 bits come in parts that add up, and products with them are those of the whole counts."""
+    (_, cell, count), = quality.sparse(pa.array(["alpha " * 200_000 + "beta " * 70_000 + "alpha"]))
+    total = np.zeros(2 * quality.CELLS)
+    np.add.at(total, cell, count)
+    assert total[: quality.CELLS].sum() == 270_001 and total[quality.CELLS :].sum() == 270_000
+    assert sorted(total[total > 0].astype(int).tolist())[-3:] == [70_000, 199_999, 200_001] or total.max() >= 200_001
+    w = np.random.default_rng(2).normal(size=10 + 2 * quality.CELLS)
+    rows = quality.Rows(np.zeros((1, 10)), [cell], [count], np.array([270_001.0]))
+    assert rows.times(w)[0] == pytest.approx(total @ w[10:] * quality.SHARE / 270_001, rel=1e-5)
+
+
 def test_quality_of_odd_rows(spark, odd, clashing, empty):
     labels = spark.createDataFrame([(7, 1, 0), (12, 0, 0), (11, 1, 0), (16, 0, 0), (None, 1, 0), (3, None, 0), (999, 0, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
     model = quality.fit(odd, labels)
