@@ -1,8 +1,8 @@
 """Main text of web pages: blocks by their markup, boilerplate by a suffix array of each host.
 
 A page is read into blocks of visible text.  Its markup tells what is apart: navigation, headers, footers, side matter, adverts, notices,
-forms and comments, by element, role, class or identifier; and if it has an article or main element, what is not in it.  What is left are the
-candidates for main text.
+forms and comments, by element, role, class or identifier; and if it has an article or main element, what is not in it.  Forms around an article, or around most of a page's
+text, are layout; names of headings, and identifiers within an article, say nothing by themselves.  What is left are the candidates for main text.
 
 The token streams of all pages of a host, what is apart included, are concatenated, and their suffixes sorted.  Suffixes next to each
 other whose common prefix has least_run tokens or more repeat a substring; the longest prefix that enough distinct pages
@@ -62,9 +62,12 @@ MARKS = frozenset(
     "signup login sidebar side aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer foot masthead toolbar comment comments disqus replies reply respond related recommended "
     "share sharing social search pagination pager skip".split()
 )
+READERS = frozenset("comment comments disqus replies reply respond".split())
 BESIDE = frozenset("area bar block box btn button buttons container content top bottom left right main site page post posts item items link links list row section slot unit wrap wrapper icons group inner outer panel form input the".split())
 #: Their classes and identifiers say what the page has, not what they are.
 WHOLE = frozenset("html body main".split())
+#: Their identifiers are their own words.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -72,21 +75,22 @@ _SPLIT = re.compile(r"[\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _marked(name: str) -> bool:
+def _marked(name: str, marks: frozenset = MARKS) -> bool:
     """Whether a class or id name marks what is not main text: all its words are marks, or stand beside one."""
     parts = {x for x in _SPLIT.split(_CAMEL.sub("-", name).lower()) if x}
-    return not parts.isdisjoint(MARKS) and parts <= MARKS | BESIDE
+    return not parts.isdisjoint(marks) and parts <= MARKS | BESIDE
 
 
-def _apart(tag: str, attributes: str) -> bool:
-    """Whether an element holds no main text."""
+def _apart(tag: str, attributes: str, in_main: bool) -> bool:
+    """Whether an element holds no main text; in_main: within an article or main element, where an identifier names a section and says nothing by itself, but for readers' comments."""
     if tag in NOT_MAIN:
         return True
     if not attributes or attributes.isspace():
         return False
+    own = tag not in WHOLE and tag not in HEADINGS
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), values[0] or values[1] or values[2]
-        if name in ("class", "id") and tag not in WHOLE and any(map(_marked, value.split())):
+        if own and name in ("class", "id") and any(_marked(x, READERS if in_main and name == "id" else MARKS) for x in value.split()):
             return True
         if name == "role" and value.lower() in ROLES:
             return True
@@ -102,20 +106,29 @@ def _hidden(attributes: str) -> bool:
 
 
 class Page:
-    """The visible blocks of a page in order: their texts, and which are candidates; whether it has an article or main element."""
+    """The visible blocks of a page in order: their texts, and which are candidates; whether it has an article or main element.
+
+    A form that holds an article or main element, or, on a page without one, most of the text that nothing else sets apart, is layout: the page is read again with it as a plain element.
+    """
 
     def __init__(self, page: str):
-        found: list[tuple[str, bool, bool]] = []  # text, apart, in main
-        open_: list[tuple[str, int, bool]] = []  # tag, 1 apart and 2 not seen, in main
+        layout: set[int] = set()
+        while more := self._read(page, layout):
+            layout |= more
+
+    def _read(self, page: str, layout: set[int]) -> set[int]:
+        """Reads the page; the forms, by number, that turn out to be layout too."""
+        found: list[tuple[str, bool, bool, int]] = []  # text, apart, in main, the form that alone sets it apart or -1
+        open_: list[tuple[str, int, bool, int]] = []  # tag, 1 apart and 2 not seen, in main, form
         buffer: tuple[list[str], list[str]] = ([], [])
-        self.main = False
+        self.main, forms, holding = False, 0, set()
 
         def flush() -> None:
             for apart in (0, 1):
                 if buffer[apart]:
                     text = " ".join(html.unescape("".join(buffer[apart])).split())
                     if text:
-                        found.append((text, bool(apart), bool(open_) and open_[-1][2]))
+                        found.append((text, bool(apart), bool(open_) and open_[-1][2], open_[-1][3] if apart and open_ else -1))
                     buffer[apart].clear()
 
         def close(tag: str, below: frozenset | None) -> None:
@@ -150,23 +163,37 @@ class Page:
                 continue
             if not inline:
                 close("p", INLINE)
-            apart, main = (open_[-1][1], open_[-1][2]) if open_ else (0, False)
+            apart, main, form = open_[-1][1:] if open_ else (0, False, -1)
             if m.group(3).endswith("/") and tag not in RAW and tag not in MAIN:
                 continue
+            if tag == "form":
+                forms += 1
             if tag in NOT_SEEN or apart == 2 or _hidden(m.group(3)):
-                apart = 2
-            elif not apart:
-                apart = int(_apart(tag, m.group(3)))
+                apart, form = 2, -1
+            elif tag == "form" and not _apart("div", m.group(3), main):
+                if not apart and forms not in layout:
+                    apart, form = 1, forms
+            elif (not apart or form >= 0) and _apart(tag, m.group(3), main):
+                apart, form = 1, -1
             if tag in MAIN and not apart:
                 main = self.main = True
+            elif tag in MAIN and form >= 0:
+                holding.add(form)
             if tag in RAW:  # its content is no markup
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
                 at = stop.end() if stop else end
                 continue
-            open_.append((tag, apart, main))
+            open_.append((tag, apart, main, form))
         flush()
-        self.texts = [t for t, _, _ in found]
-        self.own = [not apart and main >= self.main for _, apart, main in found]
+        self.texts = [t for t, *_ in found]
+        self.own = [not apart and main >= self.main for _, apart, main, _ in found]
+        if not holding and not self.main and forms > len(layout):
+            size: dict[int, int] = {}
+            for text, apart, _, form in found:
+                if not apart or form >= 0:
+                    size[form] = size.get(form, 0) + len(text)
+            holding = {k for k, n in size.items() if k >= 0 and 2 * n > sum(size.values())}
+        return holding
 
     def candidates(self) -> list[str]:
         return [t for t, own in zip(self.texts, self.own, strict=True) if own]

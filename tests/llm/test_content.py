@@ -136,6 +136,29 @@ def test_marks_of_the_whole_page(tag):
     assert html_extract.blocks(page.format(**names)) == (["text"], True)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body><form id="aspnetForm"><nav>n</nav><main><article><p>The text.</p></article></main><label>x</label></form>', ["The text."]),
+        ("<form><form><article>in two</article></form></form>", ["in two"]),
+        ("<body><form><p>most of the text of a page</p><label>go</label><button>no</button></form><div>more</div>", ["most of the text of a page", "more"]),
+        ("<body><p>a long text outside of it all</p><form>search</form>", ["a long text outside of it all"]),
+        ('<article><p>A.</p><form><p>write a reply that is longer than the article</p></form><div class="comments"><p>c</p></div></article>', ["A."]),
+        ('<form class="search"><main>no</main></form><p>yes</p>', ["yes"]),
+        ('<div class="sidebar"><form><article>no</article></form></div><p>yes</p>', ["yes"]),
+        ('<article><h2 id="search">Search</h2><p>Body.</p><section id="related"><p>More.</p></section><h3 class="notice">Notice</h3><p>End.</p></article>', ["Search", "Body.", "More.", "Notice", "End."]),
+        ('<article><p>A.</p><section id="x" class="comments"><p>c</p></section><div role="navigation">n</div></article>', ["A."]),
+        ('<div id="comments"><p>c</p></div><div id="notice">n</div><p>A.</p>', ["A."]),
+        ("<article><article><p>in</p></article><p>out</p></article><p>no</p>", ["in", "out"]),
+        ("<article><p>one<p>two", ["one", "two"]),
+        ("<article><form><p>open to the end of <b>the page", []),
+        ('<article><p>A.</p><section id="comments"><p>c</p></section><h2 id="comments">On comments</h2></article>', ["A.", "On comments"]),
+    ],
+)
+def test_forms_and_identifiers(page, text):
+    assert html_extract.Page(page).candidates() == text
+
+
 def test_names_that_only_hold_a_mark_say_nothing():
     page = "<article><div class='{}'><p>text</p></div></article>"
     for name in ("social-history", "the-advert-of-1920", "shareholders", "notice-of-meeting x", "adsorption", "menu-of-the-day"):
