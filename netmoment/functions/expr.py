@@ -72,12 +72,12 @@ def hash_uniform(*parts: Column | int | str) -> Column:
 # Spheres
 
 
-def sphere_volume(dim: int, r: float = 1.0) -> float:
+def sphere_volume(dim: int, r: float | Column = 1.0) -> float | Column:
     """Surface measure of the dim-sphere of radius r."""
     return 2 * math.pi ** ((dim + 1) / 2) / math.gamma((dim + 1) / 2) * r**dim
 
 
-def sphere_radius(dim: int, volume: float) -> float:
+def sphere_radius(dim: int, volume: float | Column) -> float | Column:
     """The radius that gives the volume."""
     return (volume / sphere_volume(dim)) ** (1 / dim)
 

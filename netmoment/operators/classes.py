@@ -145,6 +145,44 @@ def exact(model: Ensemble, focal: DataFrame, names: list[str], sums: Callable[[D
     return out.select("mu", *names)
 
 
+def _triangle_slopes(r: dict) -> np.ndarray:
+    """Sums over classes b and c of p_ab (1 - p_ab) p_bc p_ac, in both orders of b and c."""
+    ab, ac, bc = _sigmoid(r["a_mu"][:, None] + r["b_mu"]), _sigmoid(r["a_mu"][:, None] + r["c_mu"]), _sigmoid(r["b_mu"][:, None] + r["c_mu"])
+    total = ((ab * (1 - ab) * r["b_w"]) @ bc * (ac * r["c_w"])).sum(1)
+    return total if r["b"] == r["c"] else total + ((ab * r["b_w"]) @ bc * (ac * (1 - ac) * r["c_w"])).sum(1)
+
+
+def gradient(model: Ensemble, focal: DataFrame, name: str, sums: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """(mu, gradient) of the distinct mu of focal: the derivative, by the mu of one node, of the sum of a count over all nodes, for degree, twedge, thead and triangle."""
+    classes = numbered_classes(model)
+    k = classes.count()
+    if k > most and name == "triangle":
+        raise ValueError(f"{k} classes of mu are more than exact sums take ({most}); round parameters")
+    wanted = classes.join(focal.select("mu").distinct(), "mu").select("c", "mu", "w")
+    other = classes.select(F.col("mu").alias("mu_j"), F.col("w").alias("w_j"))
+    p, own = E.probability(-(F.col("mu") + F.col("mu_j"))), E.probability(-2 * F.col("mu"))
+    slope = lambda x: x * (1 - x)
+    if name == "degree":  # each edge counts at both ends
+        total = spread(wanted).crossJoin(spread(other)).groupBy("mu").agg(F.sum(F.col("w_j") * slope(p)).alias("q"))
+        return total.select("mu", (2 * (F.col("q") - slope(own))).alias("gradient"))
+    if name in ("twedge", "thead"):  # each path is a wedge at its middle and a head at its ends: all wedges are as many as all heads
+        degrees = cut(sums(classes.select(F.col("c").alias("id"), "mu")).select("mu", "d"))
+        ends = other.join(degrees.select(F.col("mu").alias("mu_j"), F.col("d").alias("d_j")), "mu_j")
+        term = slope(p) * (2 * (F.col("d") - p) + 2 * (F.col("d_j") - p))
+        total = spread(wanted.join(degrees, "mu")).crossJoin(spread(ends)).groupBy("mu", "d").agg(F.sum(F.col("w_j") * term).alias("q"))
+        return total.select("mu", (F.col("q") - slope(own) * 4 * (F.col("d") - own)).alias("gradient"))
+    if name != "triangle":
+        raise NotImplementedError(f"no gradient of {name}")
+    pp = E.probability(-2 * F.col("mu_j"))
+    two = spread(wanted).crossJoin(spread(other)).groupBy("c").agg(
+        F.sum(F.col("w_j") * p * p).alias("s2"), F.sum(F.col("w_j") * slope(p) * p).alias("r"), F.sum(F.col("w_j") * slope(p) * p * pp).alias("u")
+    )
+    three = _summed(classes, wanted, _side(k, SIDE), "abc", _triangle_slopes)
+    found = wanted.join(three, "c").join(two, "c")
+    # a triangle counts at each of its nodes
+    return found.select("mu", (3 * (F.col("x") - slope(own) * F.col("s2") - own * F.col("r") - F.col("u") + 2 * slope(own) * own * own)).alias("gradient"))
+
+
 # Monte Carlo
 
 

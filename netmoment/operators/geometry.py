@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..plans.model import spread
+from . import interpolation
 
 
 @dataclass(frozen=True)
@@ -241,14 +242,17 @@ class GeometricModel:
         q = self.quadrature(spark, points)
         return q.agg(F.sum(F.col("w") * self.sphere.density(F.col("g")) * self.probability(F.col("g"))).alias("p"))
 
-    def expected_degree(self, spark: SparkSession, points: int = 128, nodes: DataFrame | None = None) -> DataFrame:
+    def expected_degree(self, spark: SparkSession, points: int = 128, nodes: DataFrame | None = None, tolerance: float | None = None) -> DataFrame:
         """One row (degree), or (id, degree) of nodes(id, mu), whose mu adds up over pairs and serves all layers.
 
-        Equal sums of mu have equal integrals: they are computed once for each pair of distinct mu.
+        Equal sums of mu have equal integrals: they are computed once for each pair of distinct mu, or, with a tolerance, interpolated between a few
+        (see interpolation), off by that much at most: work in proportion to the nodes.
         """
         if nodes is None:
             return self.expected_probability(spark, points).select(((self.n - 1) * F.col("p")).alias("degree"))
         classes = nodes.groupBy("mu").agg(F.count(F.lit(1)).alias("n_mu"))
+        if tolerance is not None:
+            return self._interpolated_degree(spark, points, nodes, classes, tolerance)
         other = classes.select(F.col("mu").alias("mu_j"), F.col("n_mu").alias("n_j"))
         both = F.col("mu") + F.col("mu_j")
         f = F.col("w") * self.sphere.density(F.col("g")) * self.probability(F.col("g"), [both] * len(self.layers))
@@ -256,6 +260,25 @@ class GeometricModel:
         sums = classes.crossJoin(other).crossJoin(F.broadcast(self.quadrature(spark, points))).groupBy("mu").agg(F.sum(times * f).alias("degree"))
         return nodes.join(sums, "mu").select("id", "degree")
 
+    def _slope(self) -> float:
+        """How fast couplings change with mu, at most: as functions of this multiple of mu probabilities are sigmoids."""
+        if any(math.isinf(x.beta) for x in self.layers):
+            raise ValueError("probabilities at infinite beta are steps, which can't be interpolated")
+        return max(1e-9, *(abs(x.beta * self.sphere.dim - (math.exp(-x.beta) * (x.beta + 1) if x.modified else 0.0)) for x in self.layers))
+
+    def _interpolated_degree(self, spark: SparkSession, points: int, nodes: DataFrame, classes: DataFrame, tolerance: float) -> DataFrame:
+        """(id, degree) from sums over classes(mu, n_mu) and the distance, at Chebyshev points of mu; a union of probabilities is 2 at most on the ellipse."""
+        low, high, n = classes.agg(F.min("mu"), F.max("mu"), F.sum("n_mu")).first()
+        pieces = interpolation.pieces_of(low, high, n, 2.0, tolerance, self._slope())
+        q = self.quadrature(spark, points).select("g", (F.col("w") * self.sphere.density(F.col("g"))).alias("at_g"))
+        p = lambda x: self.probability(F.col("g"), [x] * len(self.layers))
+        others = classes.crossJoin(F.broadcast(q)).select(F.col("mu").alias("mu_j"), "g", (F.col("n_mu") * F.col("at_g")).alias("w"))
+        table = interpolation.coefficients(others, pieces, {"degree": p})
+        found = interpolation.evaluated(classes, pieces, table, ["degree"])
+        own = spread(classes).crossJoin(F.broadcast(q)).groupBy("mu").agg(F.sum(F.col("at_g") * p(2 * F.col("mu"))).alias("own"))
+        values = found.join(own, "mu").select("mu", (F.col("degree") - F.col("own")).alias("degree", metadata={"error_bound": pieces.bound}))
+        return nodes.join(values, "mu").select("id", "degree")
+
     def edge_distance_density(self, spark: SparkSession, points: int = 128) -> DataFrame:
         """(g, density): the density of the distance over edges, at the quadrature's points."""
         mean = self.expected_probability(spark, points)

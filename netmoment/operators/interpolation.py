@@ -60,30 +60,37 @@ def error_bound(half: float, degree: int, most: float, n: int) -> float:
     return 4 * most * r**-degree / (r - 1) * n
 
 
-def plan(model: Ensemble, names: tuple[str, ...], tolerance: float) -> Pieces:
-    """Pieces and points with which each sum is off by tolerance at most (besides rounding); an error if that takes more than MOST_DEGREE."""
+def pieces_of(low: float, high: float, n: int, most: float, tolerance: float, slope: float = 1.0) -> Pieces:
+    """Pieces and points from low to high with which a sum of n terms is off by tolerance at most (besides rounding); an error if that takes more than MOST_DEGREE.
+
+    A term is a function of slope * mu that is most at most on the ellipse.
+    """
     if tolerance <= 0:
         raise ValueError("the tolerance must be positive")
-    low, high = model.all_nodes.agg(F.min("mu"), F.max("mu")).first()
-    count = max(1, min(MOST_PIECES, math.ceil((high - low) / (2 * HALF))))
+    count = max(1, min(MOST_PIECES, math.ceil((high - low) * slope / (2 * HALF))))
     half = max((high - low) / (2 * count), 1e-9)
-    # the ellipse reaches sqrt(half**2 + (pi / 2)**2) - half beyond its piece, less than pi / 2
-    most = max(TERMS[n][1](2 * high + math.pi / 2) for n in names)
     for degree in range(4, MOST_DEGREE + 1, 2):
-        if (bound := error_bound(half, degree, most, model.n)) <= tolerance:
+        if (bound := error_bound(half * slope, degree, most, n)) <= tolerance:
             return Pieces(low, half, count, degree, bound)
     raise ValueError(f"no {MOST_DEGREE} points a piece give errors below {tolerance:g}: the range of mu is {high - low:g}")
 
 
-def coefficients(model: Ensemble, pieces: Pieces, sums: dict[str, Callable[[Column], Column]], others: DataFrame | None = None) -> DataFrame:
-    """(piece, names): arrays of Chebyshev coefficients of the sums over all classes of w * f(x), x = mu + mu_j; f may use others' columns (mu_j, w, …)."""
+def plan(model: Ensemble, names: tuple[str, ...], tolerance: float) -> Pieces:
+    """pieces_of() for sums of TERMS over a model's nodes."""
+    low, high = model.all_nodes.agg(F.min("mu"), F.max("mu")).first()
+    # the ellipse reaches sqrt(half**2 + (pi / 2)**2) - half beyond its piece, less than pi / 2
+    most = max(TERMS[n][1](2 * high + math.pi / 2) for n in names)
+    return pieces_of(low, high, model.n, most, tolerance)
+
+
+def coefficients(others: DataFrame, pieces: Pieces, sums: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(piece, names): arrays of Chebyshev coefficients of the sums over others(mu_j, w, …) of w * f(x), x = mu + mu_j; f may use others' columns."""
     m = pieces.degree
-    grid = model.spark.range(pieces.count * (m + 1)).select(F.floor(F.col("id") / (m + 1)).cast("int").alias("piece"), (F.col("id") % (m + 1)).cast("int").alias("k"))
+    grid = others.sparkSession.range(pieces.count * (m + 1)).select(F.floor(F.col("id") / (m + 1)).cast("int").alias("piece"), (F.col("id") % (m + 1)).cast("int").alias("k"))
     angle = (F.col("k") + 0.5) * (math.pi / (m + 1))
     grid = grid.withColumn("mu", F.lit(pieces.low) + (2 * F.col("piece") + 1) * pieces.half + pieces.half * F.cos(angle))
-    classes = model.classes().select(F.col("mu").alias("mu_j"), "w") if others is None else others
     x = F.col("mu") + F.col("mu_j")
-    at = spread(grid).crossJoin(spread(classes)).groupBy("piece", "k").agg(*[F.sum(F.col("w") * f(x)).alias(n) for n, f in sums.items()])
+    at = spread(grid).crossJoin(spread(others)).groupBy("piece", "k").agg(*[F.sum(F.col("w") * f(x)).alias(n) for n, f in sums.items()])
     listed = at.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("k", *sums))).alias("v"))  # degree + 1 values
 
     def coefficient(name: str) -> Column:
@@ -110,10 +117,14 @@ def evaluated(rows: DataFrame, pieces: Pieces, table: DataFrame, names: list[str
     return placed.withColumns({n: clenshaw(F.col(f"{n}_c"), x) for n in names}).drop("piece", *[f"{n}_c" for n in names])
 
 
+def _others(model: Ensemble) -> DataFrame:
+    return model.classes().select(F.col("mu").alias("mu_j"), "w")
+
+
 def node_sums(model: Ensemble, focal: DataFrame, tolerance: float, first_only: bool = False) -> tuple[DataFrame, float]:
     """(id, mu, d, s[, m]) of focal(id, mu) as stats.node_sums, and the bound on the error of d and s; m's is at most n times that and its own."""
     pieces = plan(model, ("p", "p2"), tolerance)
-    table = coefficients(model, pieces, {n: TERMS[n][0] for n in ("p", "p2")})
+    table = coefficients(_others(model), pieces, {n: TERMS[n][0] for n in ("p", "p2")})
     own = E.probability(-2 * F.col("mu"))
 
     def sums(of: DataFrame) -> DataFrame:
@@ -123,13 +134,13 @@ def node_sums(model: Ensemble, focal: DataFrame, tolerance: float, first_only: b
     if first_only:
         return found.select("id", "mu", "d", "s"), pieces.bound
     others = sums(model.classes()).select(F.col("mu").alias("mu_j"), (F.col("w") * F.col("d")).alias("w"))
-    heads = coefficients(model, pieces, {"m": TERMS["p"][0]}, others)
+    heads = coefficients(others, pieces, {"m": TERMS["p"][0]})
     return evaluated(found, pieces, heads, ["m"]).withColumn("m", F.col("m") - own * F.col("d")).select("id", "mu", "d", "s", "m"), pieces.bound
 
 
 def node_free_energy(model: Ensemble, focal: DataFrame, tolerance: float) -> tuple[DataFrame, float]:
     """(id, mu, free_energy) of focal(id, mu), half the sum of ln(1 - p), and the bound on its error."""
     pieces = plan(model, ("free",), 2 * tolerance)
-    table = coefficients(model, pieces, {"free": TERMS["free"][0]})
+    table = coefficients(_others(model), pieces, {"free": TERMS["free"][0]})
     found = evaluated(focal, pieces, table, ["free"])
     return found.select("id", "mu", ((F.col("free") - E.edge_free_energy(-2 * F.col("mu"))) / 2).alias("free_energy")), pieces.bound / 2

@@ -149,6 +149,20 @@ def motifs(view: NodeView, names: tuple[str, ...] = TRIANGLE + QUADRANGLE, norma
     return _placed(view, values.select("id", *[(F.col(k) / scale).alias(k) for k in names]), list(names))
 
 
+def motif_gradient(view: NodeView, name: str, normalize: bool = False) -> DataFrame:
+    """(pos, id, gradient): the derivative of the sum over all nodes of a count (degree, twedge, thead, triangle) by each selected node's mu; normalized: of their mean.
+
+    Analytic: each edge's probability p has the derivative p (1 - p), and sums go by classes of mu.  In a homogeneous model each node's mu is taken as its own.
+    """
+    model = view.model
+    if model.is_homogeneous:
+        model = Ensemble.heterogeneous(model.all_nodes)
+    scale = model.n if normalize else 1
+    focal = view.rows().select("id", "mu").distinct()
+    found = classes.gradient(model, focal, name, lambda of: node_sums(model, of), options.get("exact_nodes"))
+    return _placed(view, focal.join(found, "mu").select("id", (F.col("gradient") / scale).alias("gradient")), ["gradient"])
+
+
 def _fewer_classes(model: Ensemble, names: list[str]) -> bool:
     """Whether sums over classes are less work than the kernels', or the kernels have too many nodes; blocks of squares are the slower ones."""
     k = model.classes().count()

@@ -58,9 +58,14 @@ def nation(spark: SparkSession, d: str) -> Ensemble:
     return Ensemble.heterogeneous(nodes(read(spark, d, "nation"), "n_nationkey", "n_regionkey * 0.4D - 1.2D"))
 
 
-def standard(spark: SparkSession) -> Ensemble:
-    """The homogeneous model of the golden values."""
-    return Ensemble.homogeneous(spark, 100, -2.0)
+def mean_of(spark: SparkSession, d: str, table: str, expression: str) -> float:
+    """The mean of an expression over a table, a parameter of a model."""
+    return read(spark, d, table).agg(F.avg(F.expr(expression))).first()[0]
+
+
+def standard(spark: SparkSession, d: str) -> Ensemble:
+    """A homogeneous model of as many nodes as there are suppliers, with their mean mu."""
+    return Ensemble.homogeneous(spark, read(spark, d, "supplier").count(), mean_of(spark, d, "supplier", "s_acctbal / 5000 - 2"))
 
 
 def users(spark: SparkSession, d: str) -> DataFrame:
@@ -77,6 +82,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 # SQL parts
 
+HOMOGENEOUS = "v AS (SELECT count(*) AS n, 1 / (1 + exp(-avg(s_acctbal / 5000 - 2))) AS p FROM supplier)"
 N_SUPPLIER = "n AS (SELECT s_suppkey AS id, s_acctbal / 5000 - 2 AS mu FROM supplier)"
 N_CUSTOMER = "n AS (SELECT c_custkey AS id, c_acctbal / 5000 - 3 AS mu FROM customer)"
 N_NATION = "n AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS DOUBLE) * 0.4::DOUBLE - 1.2::DOUBLE AS mu FROM nation)"
@@ -199,14 +205,14 @@ def degree_normalized(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.degree(supplier(spark, d).nodes, normalize=True).select("id", "degree"))
 
 
-@query("SELECT round(99 / (1 + exp(2.0)), 6) + 0.0 AS degree")
+@query(f"WITH {HOMOGENEOUS} SELECT {_r('(n - 1) * p', 'degree')} FROM v")
 def degree_homogeneous(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.degree(standard(spark).nodes))
+    return rounded(stats.degree(standard(spark, d).nodes))
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, round(99 / (1 + exp(2.0)), 6) + 0.0 AS degree FROM range(10) t(id)")
+@query(f"WITH {HOMOGENEOUS} SELECT CAST(id AS BIGINT) AS id, {_r('(n - 1) * p', 'degree')} FROM v, range(10) t(id)")
 def degree_homogeneous_view(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.degree(standard(spark).nodes[:10]).select("id", "degree"))
+    return rounded(stats.degree(standard(spark, d).nodes[:10]).select("id", "degree"))
 
 
 @query(f"WITH {N_SUPPLIER}, {P}, {D} SELECT i AS id, {_r('-d', 'gradient')} FROM d")
@@ -296,15 +302,15 @@ _of_supplier(
 )
 
 
-@query("""WITH v AS (SELECT 1 / (1 + exp(2.0)) AS p) SELECT round(99 * 98 * p ** 3 / 2, 6) AS triangle, round(99 * 98 * p ** 2, 6) AS twedge, round(99 * 98 * p ** 2, 6) AS thead,
-  round(99 * 98 * 97 * p ** 4 * (1 - p) ** 2 / 2, 6) AS quadrangle, round(99 * 98 * 97 * p ** 3, 6) AS qwedge, round(99 * 98 * 97 * p ** 3, 6) AS qhead FROM v""")
+@query(f"""WITH {HOMOGENEOUS}, c AS (SELECT p, (n - 1) * (n - 2) AS three, (n - 1) * (n - 2) * (n - 3) AS four FROM v) SELECT round(three * p ** 3 / 2, 6) AS triangle, round(three * p ** 2, 6) AS twedge, round(three * p ** 2, 6) AS thead,
+  round(four * p ** 4 * (1 - p) ** 2 / 2, 6) AS quadrangle, round(four * p ** 3, 6) AS qwedge, round(four * p ** 3, 6) AS qhead FROM c""")
 def motifs_homogeneous(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.motifs(standard(spark).nodes))
+    return rounded(stats.motifs(standard(spark, d).nodes))
 
 
-@query("WITH v AS (SELECT 1 / (1 + exp(2.0)) AS p) SELECT round(p, 6) AS tclust, round(p, 6) AS tclosure, round(p, 6) AS similarity, round(p * (1 - p) ** 2, 6) AS qclust, round(p * (1 - p) ** 2, 6) AS qclosure, round(p * (1 - p) ** 2, 6) AS complementarity FROM v")
+@query(f"WITH {HOMOGENEOUS} SELECT round(p, 6) AS tclust, round(p, 6) AS tclosure, round(p, 6) AS similarity, round(p * (1 - p) ** 2, 6) AS qclust, round(p * (1 - p) ** 2, 6) AS qclosure, round(p * (1 - p) ** 2, 6) AS complementarity FROM v")
 def coefs_homogeneous(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.coefficients(standard(spark).nodes, tuple(stats.COEFFICIENTS)))
+    return rounded(stats.coefficients(standard(spark, d).nodes, tuple(stats.COEFFICIENTS)))
 
 
 # Monte Carlo: draws are hashes, so SQL draws the same neighbours
@@ -360,10 +366,13 @@ def sample_replicates_degree(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("total"))
 
 
-@query(f"""WITH s AS (SELECT src, k, floor(ln(1 - {UNIFORM.format("'3:' || src || ':' || k")}) / ln(1 - 1 / (1 + 9994.0 / 5))) + 1 AS step FROM range(10000) a(src), range(1, 200) b(k)),
-  r AS (SELECT src, src + sum(step) OVER (PARTITION BY src ORDER BY k) AS dst FROM s) SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM r WHERE dst < 10000""")
+@query(f"""WITH n AS (SELECT count(*) AS n FROM customer), i AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS src, n FROM customer, n),
+  s AS (SELECT src, n, k, floor(ln(1 - {UNIFORM.format("'3:' || src || ':' || k")}) / ln(1 - 1 / (1 + (n - 6) / 5.0))) + 1 AS step FROM i, range(1, 200) b(k)),
+  r AS (SELECT src, n, src + sum(step) OVER (PARTITION BY src ORDER BY k) AS dst FROM s) SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM r WHERE dst < n""")
 def sample_sparse(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.sample_sparse(Ensemble.homogeneous(spark, 10_000, math.log(5 / 9_994)), seed=3)
+    """As many nodes as customers, of mean degree 5."""
+    n = read(spark, d, "customer").count()
+    return sampling.sample_sparse(Ensemble.homogeneous(spark, n, math.log(5 / (n - 6))), seed=3)
 
 
 # Observed graphs
@@ -520,15 +529,20 @@ def sphere_antipode_distances(spark: SparkSession, d: str) -> DataFrame:
     return rounded(geometry.distances(p, geometry.Sphere(63), other=p.select("id", F.transform("x", lambda v: -v).alias("x"))))
 
 
-@query(f"SELECT CAST(k AS BIGINT) AS k, {_r(_density_sql(4, 2.0, 'k / 10.0'), 'density')} FROM range(63) t(k)")
+#: A customer's balance, as a part of its range.
+_SHARE = "((c_acctbal + 1000) / 11000)"
+
+
+@query(f"SELECT c_custkey AS id, {_r(_density_sql(4, 2.0, f'({_SHARE} * {2 * math.pi!r}::DOUBLE)'), 'density')} FROM customer")
 def sphere_distance_density(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(spark.range(63).select(F.col("id").alias("k"), geometry.Sphere(4, 2.0).density(F.col("id") / 10.0).alias("density")))
+    g = F.expr(_SHARE) * (2 * math.pi)
+    return rounded(read(spark, d, "customer").select(F.col("c_custkey").alias("id"), geometry.Sphere(4, 2.0).density(g).alias("density")))
 
 
-@query(f"SELECT CAST(k AS BIGINT) AS k, {_r('3 * acos(least(1, greatest(-1, cos(k / 90.0) * cos(k / 60.0) + sin(k / 90.0) * sin(k / 60.0) * cos(k / 40.0))))', 'g')} FROM range(1, 100) t(k)")
+@query(f"WITH a AS (SELECT c_custkey AS id, {_SHARE} * {math.pi!r}::DOUBLE AS t, c_custkey % 97 / 30.0 AS x, c_custkey % 89 / 30.0 AS y FROM customer) SELECT id, {_r('3 * acos(least(1, greatest(-1, cos(x / 3) * cos(y / 3) + sin(x / 3) * sin(y / 3) * cos(t))))', 'g')} FROM a")
 def sphere_cosine_law(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("id")
-    return rounded(spark.range(1, 100).select(k.alias("k"), geometry.Sphere(2, 3.0).cosine_law(k / 40.0, k / 30.0, k / 20.0).alias("g")))
+    k = F.col("c_custkey")
+    return rounded(read(spark, d, "customer").select(k.alias("id"), geometry.Sphere(2, 3.0).cosine_law(F.expr(_SHARE) * math.pi, k % 97 / 30.0, k % 89 / 30.0).alias("g")))
 
 
 _NORMALS = ", ".join(
@@ -536,15 +550,23 @@ _NORMALS = ", ".join(
 )
 
 
-@query(f"WITH v AS (SELECT id, [{_NORMALS}] AS v FROM range(200) t(id)), n AS (SELECT id, v, sqrt(v[1] ** 2 + v[2] ** 2 + v[3] ** 2) AS n FROM v) SELECT CAST(id AS BIGINT) AS id, {_r('3 * v[1] / n', 'x0')}, {_r('3 * v[2] / n', 'x1')}, {_r('3 * v[3] / n', 'x2')} FROM n")
+@query(f"WITH v AS (SELECT id, [{_NORMALS}] AS v FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer)), n AS (SELECT id, v, sqrt(v[1] ** 2 + v[2] ** 2 + v[3] ** 2) AS n FROM v) SELECT CAST(id AS BIGINT) AS id, {_r('3 * v[1] / n', 'x0')}, {_r('3 * v[2] / n', 'x1')}, {_r('3 * v[3] / n', 'x2')} FROM n")
 def sphere_points(spark: SparkSession, d: str) -> DataFrame:
-    p = geometry.Sphere(2, 3.0).sample_points(spark, 200, seed=11)
+    p = geometry.Sphere(2, 3.0).sample_points(spark, read(spark, d, "customer").count(), seed=11)
     return rounded(p.select("id", *[F.col("x")[k].alias(f"x{k}") for k in range(3)]))
 
 
-@query(f"SELECT CAST(dim AS INT) AS dim, round(v, 6) AS volume, round(r, 6) AS radius FROM (VALUES {', '.join(f'({k}, {2 * math.pi ** ((k + 1) / 2) / math.gamma((k + 1) / 2) * 2.0**k!r}::DOUBLE, {(100 / (2 * math.pi ** ((k + 1) / 2) / math.gamma((k + 1) / 2))) ** (1 / k)!r}::DOUBLE)' for k in range(1, 9))}) v(dim, v, r)")
+def _volumes_sql(k: int) -> str:
+    one = f"{2 * math.pi ** ((k + 1) / 2) / math.gamma((k + 1) / 2)!r}::DOUBLE"
+    return f"{_r(f'{one} * pow(r, {k})', f'volume_{k}')}, {_r(f'pow(v / {one}, {1 / k!r}::DOUBLE)', f'radius_{k}')}"
+
+
+@query(f"WITH a AS (SELECT c_custkey AS id, 1 + {_SHARE} AS r, 100 * (1 + {_SHARE}) AS v FROM customer) SELECT id, {', '.join(_volumes_sql(k) for k in range(1, 5))} FROM a")
 def sphere_volume(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(spark.createDataFrame([(k, geometry.Sphere(k, 2.0).volume, geometry.Sphere.with_volume(k, 100.0).r) for k in range(1, 9)], "dim int, volume double, radius double"))
+    """Volumes of spheres of given radius and radii of spheres of given volume, in one to four dimensions."""
+    r, v = 1 + F.expr(_SHARE), 100 * (1 + F.expr(_SHARE))
+    each = [x for k in range(1, 5) for x in (E.sphere_volume(k, r).alias(f"volume_{k}"), E.sphere_radius(k, v).alias(f"radius_{k}"))]
+    return rounded(read(spark, d, "customer").select(F.col("c_custkey").alias("id"), *each))
 
 
 S, C = geometry.Layer("similarity"), geometry.Layer("complementarity")
@@ -606,13 +628,20 @@ def geo_unit_degree(spark: SparkSession, d: str) -> DataFrame:
 _R2 = math.sqrt(100 / (4 * math.pi))
 #: The quadrature table, made by its rule.
 _QUAD = f"qd(g, w) AS (VALUES {', '.join(f'({g!r}::DOUBLE, {w!r}::DOUBLE)' for g, w in geometry.gauss_legendre(0.0, math.pi * _R2, 64))})"
-_MEAN = f"sum(w * {_density_sql(2, _R2, 'g')} * {_union_sql('g', 2, _R2)})"
+#: mu of the layers, from suppliers.
+_MU = "m AS (SELECT avg(s_acctbal) / 20000 AS mu FROM supplier)"
+_MEAN = f"sum(w * {_density_sql(2, _R2, 'g')} * {_union_sql('g', 2, _R2, 'm.mu')})"
 _TWO = geometry.GeometricModel.of(100, 2, S, C)
 
 
-@query(f"WITH {_QUAD} SELECT {_r(_MEAN, 'p')} FROM qd")
+def _two_of(spark: SparkSession, d: str) -> geometry.GeometricModel:
+    mu = mean_of(spark, d, "supplier", "s_acctbal") / 20000
+    return _TWO.set_parameters({"mu": mu}, {"mu": mu})
+
+
+@query(f"WITH {_QUAD}, {_MU} SELECT {_r(_MEAN, 'p')} FROM qd, m")
 def geo_expected_probs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_TWO.expected_probability(spark, 64))
+    return rounded(_two_of(spark, d).expected_probability(spark, 64))
 
 
 @query(f"WITH {_QUAD}, {N_NATION} SELECT a.id, {_r(f'sum(w * {_density_sql(2, _R2, "g")} * {_union_sql("g", 2, _R2, "a.mu + b.mu")})', 'degree')} FROM n a JOIN n b ON a.id <> b.id CROSS JOIN qd GROUP BY a.id")
@@ -627,19 +656,19 @@ def geo_quantized_degree(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_TWO.quantized_degree(spark, supplier(spark, d).all_nodes, 1, 64))
 
 
-@query(f"WITH {_QUAD}, m AS (SELECT {_MEAN} AS m FROM qd) SELECT {_r('g', 'g')}, {_r(f'{_union_sql("g", 2, _R2)} * {_density_sql(2, _R2, "g")} / m', 'density')} FROM qd CROSS JOIN m")
+@query(f"WITH {_QUAD}, {_MU}, a AS (SELECT {_MEAN} AS a FROM qd, m) SELECT {_r('g', 'g')}, {_r(f'{_union_sql("g", 2, _R2, "m.mu")} * {_density_sql(2, _R2, "g")} / a', 'density')} FROM qd, m, a")
 def geo_edge_distance_density(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_TWO.edge_distance_density(spark, 64))
+    return rounded(_two_of(spark, d).edge_distance_density(spark, 64))
 
 
 _ANGLES = f"an(t, wt) AS (VALUES {', '.join(f'({g!r}::DOUBLE, {w!r}::DOUBLE)' for g, w in geometry.gauss_legendre(0.0, math.pi, 64))})"
 _SIDE = f"({_R2!r}::DOUBLE * acos(least(1, greatest(-1, cos(a.g / {_R2!r}::DOUBLE) * cos(b.g / {_R2!r}::DOUBLE) + sin(a.g / {_R2!r}::DOUBLE) * sin(b.g / {_R2!r}::DOUBLE) * cos(t)))))"
-_BOTH = f"(a.w * {_density_sql(2, _R2, 'a.g')} * {_layer_sql('similarity', 'a.g', 2, _R2)} * b.w * {_density_sql(2, _R2, 'b.g')} * {_layer_sql('similarity', 'b.g', 2, _R2)} * wt)"
+_BOTH = f"(a.w * {_density_sql(2, _R2, 'a.g')} * {_layer_sql('similarity', 'a.g', 2, _R2, 'mu')} * b.w * {_density_sql(2, _R2, 'b.g')} * {_layer_sql('similarity', 'b.g', 2, _R2, 'mu')} * wt)"
 
 
-@query(f"WITH {_QUAD}, {_ANGLES} SELECT {_r(f'sum({_BOTH} * {_layer_sql("similarity", "s", 2, _R2)}) / sum({_BOTH})', 'tclust')} FROM (SELECT *, {_SIDE} AS s FROM qd a CROSS JOIN qd b CROSS JOIN an) x".replace("SELECT *, (", "SELECT a.g AS ag, a.w AS aw, b.g AS bg, b.w AS bw, t, wt, (").replace(_BOTH, _BOTH.replace("a.g", "ag").replace("a.w", "aw").replace("b.g", "bg").replace("b.w", "bw")))
+@query(f"WITH {_QUAD}, {_ANGLES}, {_MU} SELECT {_r(f'sum({_BOTH} * {_layer_sql("similarity", "s", 2, _R2, "mu")}) / sum({_BOTH})', 'tclust')} FROM (SELECT *, {_SIDE} AS s FROM qd a CROSS JOIN qd b CROSS JOIN an CROSS JOIN m) x".replace("SELECT *, (", "SELECT a.g AS ag, a.w AS aw, b.g AS bg, b.w AS bw, t, wt, mu, (").replace(_BOTH, _BOTH.replace("a.g", "ag").replace("a.w", "aw").replace("b.g", "bg").replace("b.w", "bw")))
 def geo_expected_tclust(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(geometry.GeometricModel.of(100, 2, S).expected_tclust(spark, 64))
+    return rounded(_two_of(spark, d).without(1).expected_tclust(spark, 64))
 
 
 @query(f"WITH {N_CUSTOMER}, q AS (SELECT round(mu, 1) AS code, avg(mu) AS m, count(*) AS w FROM n GROUP BY 1) SELECT n.id, {_r('q.m', 'mu')}, q.w FROM n JOIN q ON round(n.mu, 1) = q.code")
@@ -795,10 +824,10 @@ def _u(parts: str) -> str:
 
 
 @query(f"""SELECT CAST(id AS BIGINT) AS id, {_r(f"2 + 3 * {_u("'5:' || id")}", 'uniform')}, {_r(f"1 + 2 * sqrt(-2 * ln(1 - {_u("'5:' || id || ':r'")})) * cos({2 * math.pi!r}::DOUBLE * {_u("'5:' || id || ':t'")})", 'normal')},
-  {_r(f"-ln(1 - {_u("'5:' || id")}) / 2", 'exponential')}, CAST(floor({_u("'5:' || id")} * 10) AS BIGINT) AS choice, {_u("'5:' || id")} < 0.3 AS bernoulli FROM range(500) t(id)""")
+  {_r(f"-ln(1 - {_u("'5:' || id")}) / 2", 'exponential')}, CAST(floor({_u("'5:' || id")} * 10) AS BIGINT) AS choice, {_u("'5:' || id")} < 0.3 AS bernoulli FROM (SELECT c_custkey AS id FROM customer)""")
 def random_numbers(spark: SparkSession, d: str) -> DataFrame:
     g, i = RandomGenerator(5), F.col("id")
-    return rounded(spark.range(500).select("id", g.uniform(i, low=2.0, high=5.0).alias("uniform"), g.normal(i, mean=1.0, sd=2.0).alias("normal"), g.exponential(i, rate=2.0).alias("exponential"), g.choice(10, i).alias("choice"), g.bernoulli(0.3, i).alias("bernoulli")))
+    return rounded(read(spark, d, "customer").select(F.col("c_custkey").alias("id")).select("id", g.uniform(i, low=2.0, high=5.0).alias("uniform"), g.normal(i, mean=1.0, sd=2.0).alias("normal"), g.exponential(i, rate=2.0).alias("exponential"), g.choice(10, i).alias("choice"), g.bernoulli(0.3, i).alias("bernoulli")))
 
 
 from . import scaled  # noqa: E402, F401  # adds its own queries to the same tables

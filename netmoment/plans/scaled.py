@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fit, observed, sampling, stats
 from ..sources.graphs import nodes, read
-from .catalogue import _COEF_SQL, GRAPH, N_CUSTOMER, UNIFORM, D, P, _r, customer, graph, query, rounded
+from .catalogue import _COEF_SQL, _QUAD, _R2, _TWO, GRAPH, N_CUSTOMER, N_SUPPLIER, ORACLES, UNIFORM, D, P, _density_sql, _r, _union_sql, customer, graph, query, rounded, supplier
 from .model import Ensemble
 
 # Samples by jumps
@@ -184,3 +184,34 @@ def fit_degrees_distributed(spark: SparkSession, d: str) -> DataFrame:
     mu = observed.cut(mu)
     expected = stats.degree(Ensemble.heterogeneous(mu.where("mu is not null").select("id", "mu")).nodes).select("id", "degree")
     return mu.select("id").join(expected, "id", "left").select("id", F.round(F.coalesce("degree", F.lit(0.0)), 3).alias("degree"))
+
+
+# Gradients of sums of counts by each node's mu
+
+for _name, _sql in {
+    "twedge": "sum(ways * ij * (1 - ij) * 2 * (ik + jk))",
+    "triangle": "3 * sum(ways * ij * (1 - ij) * jk * ik)",
+}.items():
+
+    def _gradient(spark: SparkSession, d: str, name: str = _name) -> DataFrame:
+        return rounded(stats.motif_gradient(gridded(spark, d, True).nodes, name).select("id", "gradient"))
+
+    query(f"WITH {_classes_sql(True)}, {THREE}, g AS (SELECT a, {_sql} AS gradient FROM three GROUP BY a) SELECT n.id, {_r('gradient', 'gradient')} FROM n JOIN g ON g.a = n.mu", name=f"{_name}_gradient")(_gradient)
+
+
+@query(f"WITH {N_CUSTOMER}, {P} SELECT i AS id, {_r('sum(2 * p * (1 - p))', 'gradient')} FROM p GROUP BY i")
+def degree_gradient(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.motif_gradient(customer(spark, d).nodes, "degree").select("id", "gradient"))
+
+
+# Integrals of many parameters, path lengths by sketches
+
+@query(f"WITH {_QUAD}, {N_SUPPLIER} SELECT a.id, {_r(f'sum(w * {_density_sql(2, _R2, "g")} * {_union_sql("g", 2, _R2, "a.mu + b.mu")})', 'degree')} FROM n a JOIN n b ON a.id <> b.id CROSS JOIN qd GROUP BY a.id")
+def geo_expected_degree_supplier(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_TWO.expected_degree(spark, 64, supplier(spark, d).all_nodes, tolerance=1e-9))
+
+
+@query(ORACLES["obs_avg_path_length"])
+def obs_avg_path_length_sketched(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of so few nodes are exact."""
+    return rounded(observed.average_path_length(*graph(spark, d), lg_k=12))

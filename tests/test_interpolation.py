@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netmoment.functions import expr as E
-from netmoment.operators import fit, interpolation, observed, stats
+from netmoment.operators import fit, geometry, interpolation, observed, stats
 from netmoment.plans.model import Ensemble
 
 
@@ -106,3 +106,49 @@ def test_the_minimum_is_the_likelihoods():
     for i in range(4):
         for d in (-0.01, 0.01):
             assert value(mu) < value(mu + d * np.eye(4)[i])
+
+
+def test_geometric_integrals_are_interpolated(spark):
+    nodes = spark.range(60).select("id", (F.col("id") % 50 / 20 - 1.2).alias("mu"))
+    for layers in ([geometry.Layer("similarity")], [geometry.Layer("similarity", beta=0.7), geometry.Layer("complementarity", modified=False, log=False)]):
+        m = geometry.GeometricModel.of(60, 2, *layers)
+        want = frame(m.expected_degree(spark, 32, nodes), "degree")
+        for tolerance in (1e-3, 1e-10):
+            assert np.abs(frame(m.expected_degree(spark, 32, nodes, tolerance), "degree") - want).max() <= tolerance + 1e-11
+    with pytest.raises(ValueError, match="steps"):
+        geometry.GeometricModel.of(60, 2, geometry.Layer(beta=math.inf)).expected_degree(spark, 8, nodes, 1e-3)
+
+
+def test_gradients_are_differences(spark):
+    """The derivative of each sum by each of a few mu, against a small step of that mu."""
+    mu = {0: -1.0, 2: 0.5, 5: -1.0, 7: 0.25, 9: 1.5, 11: -1.0, 12: 0.5, 20: -2.0}
+    of = lambda m: Ensemble.heterogeneous(spark.createDataFrame(sorted(m.items()), "id long, mu double"))
+
+    def total(m, name):
+        p = np.array([[0 if i == j else 1 / (1 + math.exp(-a - b)) for j, b in m.items()] for i, a in m.items()])
+        return {"degree": p.sum(), "triangle": np.trace(p @ p @ p) / 2, "twedge": (p.sum(1) ** 2 - (p * p).sum(1)).sum()}["twedge" if name == "thead" else name]
+
+    for name in ("degree", "twedge", "thead", "triangle"):
+        got = {r.id: r.gradient for r in stats.motif_gradient(of(mu).nodes, name).collect()}
+        assert set(got) == set(mu)
+        for i in mu:
+            up, down = (total({**mu, i: mu[i] + h}, name) for h in (1e-5, -1e-5))
+            assert got[i] == pytest.approx((up - down) / 2e-5, rel=1e-6), (name, i)
+    some = stats.motif_gradient(of(mu).nodes[[9, 2, 9]], "triangle", normalize=True).orderBy("pos").collect()
+    assert [r.id for r in some] == [9, 2, 9] and some[0].gradient == pytest.approx(got[9] / 8)
+    flat = stats.motif_gradient(Ensemble.homogeneous(spark, 5, -0.5).nodes, "degree").collect()
+    p = 1 / (1 + math.exp(0.5))
+    assert len(flat) == 5 and flat[0].gradient == pytest.approx(8 * p * (1 - p))
+    with pytest.raises(NotImplementedError):
+        stats.motif_gradient(of(mu).nodes, "quadrangle")
+
+
+def test_path_lengths_by_sketches(spark):
+    ids, edges = spark.range(6), spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "src long, dst long")
+    assert observed.neighbourhood_function(ids, edges) == [6, 14, 18, 20]
+    assert observed.average_path_length(ids, edges, 12).first()[0] == pytest.approx(observed.average_path_length(ids, edges).first()[0])
+    assert observed.average_path_length(ids, edges.limit(0), 12).first()[0] is None
+    ids, edges = random_graph(spark, 700, 0.006, 5)
+    got = observed.average_path_length(ids, edges, 10)
+    error = got.schema["average_path_length"].metadata["relative_error"]
+    assert error == pytest.approx(0.0325) and got.first()[0] == pytest.approx(observed.average_path_length(ids, edges).first()[0], rel=error)
