@@ -152,11 +152,12 @@ def motifs(view: NodeView, names: tuple[str, ...] = TRIANGLE + QUADRANGLE, norma
 def motif_gradient(view: NodeView, name: str, normalize: bool = False) -> DataFrame:
     """(pos, id, gradient): the derivative of the sum over all nodes of a count (degree, twedge, thead, triangle) by each selected node's mu; normalized: of their mean.
 
-    Analytic: each edge's probability p has the derivative p (1 - p), and sums go by classes of mu.  In a homogeneous model each node's mu is taken as its own.
+    Analytic: each edge's probability p has the derivative p (1 - p), and sums go by classes of mu.  In a homogeneous model each node has half of mu.
     """
     model = view.model
     if model.is_homogeneous:
-        model = Ensemble.heterogeneous(model.all_nodes)
+        model = Ensemble.heterogeneous(model.all_nodes.select("id", (F.col("mu") / 2).alias("mu")))
+        view = NodeView(model, view.index)
     scale = model.n if normalize else 1
     focal = view.rows().select("id", "mu").distinct()
     found = classes.gradient(model, focal, name, lambda of: node_sums(model, of), options.get("exact_nodes"))
