@@ -5,12 +5,14 @@ SQL sums over classes literally, with how many nodes of a class are left once ot
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fit, observed, sampling, stats
+from ..operators import cells, fit, geometry, observed, sampling, stats
 from ..sources.graphs import nodes, read
-from .catalogue import _COEF_SQL, _QUAD, _R2, _TWO, GRAPH, N_CUSTOMER, N_SUPPLIER, ORACLES, UNIFORM, D, P, _density_sql, _r, _union_sql, customer, graph, query, rounded, supplier
+from .catalogue import _COEF_SQL, _QUAD, _R2, _TWO, GRAPH, N_CUSTOMER, N_SUPPLIER, ORACLES, UNIFORM, D, P, _density_sql, _layer_sql, _r, _union_sql, customer, graph, query, rounded, supplier
 from .model import Ensemble
 
 # Samples by jumps
@@ -215,3 +217,58 @@ def geo_expected_degree_supplier(spark: SparkSession, d: str) -> DataFrame:
 def obs_avg_path_length_sketched(spark: SparkSession, d: str) -> DataFrame:
     """Sketches of so few nodes are exact."""
     return rounded(observed.average_path_length(*graph(spark, d), lg_k=12))
+
+
+# Geometric graphs through a tree of cells
+
+_LEVELS, _RADIUS = 3, 10.0
+_NEAR = geometry.GeometricModel.of(1500, geometry.Sphere(2, _RADIUS), geometry.Layer("similarity", mu=0.2, beta=2.5))
+
+
+def customer_points(spark: SparkSession, d: str) -> DataFrame:
+    """Customers on a sphere: the height by their balance, the turn by their number."""
+    z = F.expr("(c_acctbal + 1000) / 5500 - 1")
+    wide, turn = F.sqrt(1 - z * z) * _RADIUS, F.col("c_custkey") * 2.399963
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array(wide * F.cos(turn), wide * F.sin(turn), z * _RADIUS).alias("x"))
+
+
+def _cells_sql(seed: int) -> str:
+    """Tables up to e(src, dst): cells of each level, pairs of them that are split or kept, jumps, and the candidates that are edges."""
+    r, p = _RADIUS, lambda g: _layer_sql("similarity", g, 2, _RADIUS, "0.2", 2.5)
+    at = lambda i: f"CAST(least(greatest(floor((x{i} + {r}) / {2 * r} * {1 << _LEVELS}), 0), {(1 << _LEVELS) - 1}) AS INT)"
+    digit = lambda k: " + ".join(f"(({at(i)} >> {_LEVELS - k}) & 1) * {1 << i}" for i in range(3))
+    arc = lambda c: f"{2 * r} * asin(least(1, {c} / {2 * r}))"
+    gap = " + ".join(f"pow(greatest(0, a.l{i} - b.h{i}, b.l{i} - a.h{i}), 2)" for i in range(3))
+    span = " + ".join(f"pow(greatest(a.h{i}, b.h{i}) - least(a.l{i}, b.l{i}), 2)" for i in range(3))
+    box = ", ".join(f"min(x{i}) AS l{i}, max(x{i}) AS h{i}" for i in range(3))
+    sql = f"""z AS (SELECT c_custkey AS id, (c_acctbal + 1000) / 5500 - 1 AS z, c_custkey * 2.399963::DOUBLE AS t FROM customer),
+  pts AS (SELECT id, sqrt(1 - z * z) * {r} * cos(t) AS x0, sqrt(1 - z * z) * {r} * sin(t) AS x1, z * {r} AS x2 FROM z),
+  g AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY path, id) - 1 AS g FROM (SELECT *, {" || ".join(f"({digit(k)})" for k in range(1, _LEVELS + 1))} AS path FROM pts)),
+  pr0 AS (SELECT '' AS a, '' AS b)"""
+    for k in range(_LEVELS + 1):
+        keep = "TRUE" if k == _LEVELS else f"cells <= {PER_BLOCK} OR (a < b AND (p <= 4 * p_low OR cells * p <= 2))"
+        sql += f""",
+  c{k} AS MATERIALIZED (SELECT left(path, {k}) AS c, count(*) AS n, min(g) AS s, {box} FROM g GROUP BY 1),
+  b{k} AS (SELECT a.c AS a, b.c AS b, a.s AS s_a, b.s AS s_b, b.n AS n_b, a.n * b.n AS cells, greatest({arc(f"sqrt({gap})")} - {1e-7 * r!r}, 0) AS near, least({arc(f"sqrt({span})")} + {1e-7 * r!r}, {math.pi * r!r}::DOUBLE) AS far
+    FROM pr{k} JOIN c{k} a ON a.c = pr{k}.a JOIN c{k} b ON b.c = pr{k}.b),
+  q{k} AS MATERIALIZED (SELECT *, ({keep}) AS done FROM (SELECT *, least({p("near")} * (1 + 1e-9::DOUBLE), 1) AS p, {p("far")} AS p_low FROM b{k}))"""
+        if k < _LEVELS:
+            sql += f""",
+  pr{k + 1} AS (SELECT x.c AS a, y.c AS b FROM q{k} JOIN (SELECT DISTINCT left(path, {k + 1}) AS c FROM g) x ON left(x.c, {k}) = a JOIN (SELECT DISTINCT left(path, {k + 1}) AS c FROM g) y ON left(y.c, {k}) = b WHERE NOT done AND (a < b OR x.c <= y.c))"""
+    kept = " UNION ALL ".join(f"SELECT a, b, s_a, s_b, n_b, cells, p FROM q{k} WHERE done" for k in range(_LEVELS + 1))
+    key = f"'{seed}:' || a || ':' || b || ':' || block || ':' || k"
+    dot = " + ".join(f"i.x{k} * j.x{k}" for k in range(3))
+    return f"""{sql}, q AS ({kept}),
+  m AS (SELECT *, CAST(least(greatest(ceil(cells * p / {PER_BLOCK}), 1), cells) AS BIGINT) AS blocks FROM q),
+  l AS (SELECT *, CAST(ceil(cells / blocks) AS BIGINT) AS length, unnest(range(blocks)) AS block FROM m),
+  t AS (SELECT *, unnest(range(1, 4 * CAST(ceil(length * p + 8 * sqrt(length * p + 1) + 40) AS BIGINT))) AS k FROM l),
+  h AS (SELECT *, sum(CASE WHEN p >= 1 THEN 1 ELSE CAST(least(floor(ln(1 - {UNIFORM.format(key)}) / ln(1 - least(p, 0.9999999999::DOUBLE))), 1e15) AS BIGINT) + 1 END) OVER (PARTITION BY a, b, block ORDER BY k) - 1 AS place FROM t),
+  f AS (SELECT *, block * length + place AS cell FROM h WHERE place < length AND block * length + place < cells),
+  w AS (SELECT p, least(i.id, j.id) AS src, greatest(i.id, j.id) AS dst, {r} * acos(least(1, greatest(-1, ({dot}) / {r * r}))) AS d
+    FROM f JOIN g i ON i.g = s_a + cell // n_b JOIN g j ON j.g = s_b + cell % n_b WHERE a < b OR cell // n_b < cell % n_b),
+  e AS (SELECT src, dst FROM w WHERE {UNIFORM.format(f"'{seed}:' || src || ':' || dst")} * p < {p("d")})"""
+
+
+@query(f"WITH {_cells_sql(31)} SELECT src, dst FROM e")
+def geo_sample_cells(spark: SparkSession, d: str) -> DataFrame:
+    return cells.sample(_NEAR, customer_points(spark, d), seed=31, levels=_LEVELS)
