@@ -49,3 +49,31 @@ class RandomGenerator:
     def choice(self, n: Column | int, *parts: Column | int | str) -> Column:
         """A number from 0 to n - 1."""
         return F.floor(hash_uniform(self.seed, *parts) * n).cast("long")
+
+    def randint(self, low: int, high: int, *parts: Column | int | str) -> Column:
+        """A whole number from low to high - 1."""
+        return self.choice(high - low, *parts) + low
+
+    def logistic(self, *parts: Column | int | str, mean: float = 0.0, scale: float = 1.0) -> Column:
+        u = hash_uniform(self.seed, *parts)
+        return mean + scale * (F.ln(u) - F.log1p(-u))
+
+    def laplace(self, *parts: Column | int | str, mean: float = 0.0, scale: float = 1.0) -> Column:
+        v = hash_uniform(self.seed, *parts) - 0.5
+        return mean - scale * F.signum(v) * F.log1p(-2 * F.abs(v))
+
+    def gumbel(self, *parts: Column | int | str, mean: float = 0.0, scale: float = 1.0) -> Column:
+        return mean - scale * F.ln(-F.ln(hash_uniform(self.seed, *parts)))
+
+    def cauchy(self, *parts: Column | int | str, mean: float = 0.0, scale: float = 1.0) -> Column:
+        return mean + scale * F.tan(math.pi * (hash_uniform(self.seed, *parts) - 0.5))
+
+    def geometric(self, p: float, *parts: Column | int | str) -> Column:
+        """Tries up to the first success of chance p."""
+        return F.floor(F.log1p(-hash_uniform(self.seed, *parts)) / math.log1p(-p)).cast("long") + 1
+
+    def pareto(self, *parts: Column | int | str, shape: float = 1.0, scale: float = 1.0) -> Column:
+        return scale * F.pow(1 - hash_uniform(self.seed, *parts), F.lit(-1 / shape))
+
+    def weibull(self, *parts: Column | int | str, shape: float = 1.0, scale: float = 1.0) -> Column:
+        return scale * F.pow(-F.log1p(-hash_uniform(self.seed, *parts)), F.lit(1 / shape))

@@ -830,4 +830,4 @@ def random_numbers(spark: SparkSession, d: str) -> DataFrame:
     return rounded(read(spark, d, "customer").select(F.col("c_custkey").alias("id")).select("id", g.uniform(i, low=2.0, high=5.0).alias("uniform"), g.normal(i, mean=1.0, sd=2.0).alias("normal"), g.exponential(i, rate=2.0).alias("exponential"), g.choice(10, i).alias("choice"), g.bernoulli(0.3, i).alias("bernoulli")))
 
 
-from . import scaled  # noqa: E402, F401  # adds its own queries to the same tables
+from . import parts, scaled  # noqa: E402, F401  # they add their own queries to the same tables

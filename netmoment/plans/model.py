@@ -84,6 +84,8 @@ class Ensemble:
         return F.lit(self.mu) if self.is_homogeneous else F.col(a) + F.col(b)
 
 
+#: Nodes drawn without replacement up to which the first ones of all tasks meet in one.
+FEW_DRAWN = 10_000
 Index = "int | list[int] | slice | Column | None"
 
 
@@ -156,8 +158,10 @@ class NodeView:
         """(pos, id, mu) of n random nodes of the view, the same for the same seed."""
         rows = self.rows()
         if not replace:
-            u = E.hash_uniform(seed, F.col("id"), F.col("pos"))
-            first = rows.withColumn("u", u).orderBy("u", "pos").limit(n)  # as many rows as are asked for
+            rows = rows.withColumn("u", E.hash_uniform(seed, F.col("id"), F.col("pos")))
+            if n > FEW_DRAWN:
+                return numbered(rows, "at", "u", "pos").where(F.col("at") < n).select(F.col("at").alias("pos"), "id", "mu")
+            first = rows.orderBy("u", "pos").limit(n)  # as many rows as are asked for
             return first.select((F.row_number().over(Window.orderBy("u", "pos")) - 1).cast("long").alias("pos"), "id", "mu")
         size = self.size()
         draws = self.model.spark.range(n).select(F.col("id").alias("pos"), F.floor(E.hash_uniform(seed, F.col("id")) * size).alias("at"))
