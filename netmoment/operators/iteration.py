@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..plans.model import NodeView
+from ..plans.model import NodeView, spread
+from ..sources.checkpoints import cut
 
 Kernel = Callable[..., Column]
 
@@ -23,9 +24,16 @@ def pair_probability(a: Column, b: Column) -> Column:
     return F.when(a["id"] == b["id"], F.lit(0.0)).otherwise(E.probability(-(a["mu"] + b["mu"])))
 
 
-def _distinct(names: list[str], k: int) -> Column:
+def _others(names: list[str], k: int, unique: bool | str) -> list[str]:
+    """The nodes that the k-th one must not be: all before it, or, for "earlier", all before the last of these; weights may allow that one."""
+    if unique not in (True, False, "earlier"):
+        raise ValueError(f"unique is True, False or 'earlier', not {unique!r}")
+    return names[: k - 1] if unique == "earlier" else names[:k] if unique else []
+
+
+def _distinct(names: list[str], k: int, unique: bool | str = True) -> Column:
     out = F.lit(True)
-    for other in names[:k]:
+    for other in _others(names, k, unique):
         out = out & (F.col(names[k])["id"] != F.col(other)["id"])
     return out
 
@@ -41,18 +49,19 @@ def iterate(view: NodeView, order: int, kernel: Kernel, unique: bool = True) ->
     return rows.groupBy(F.col("v0.id").alias("id")).agg(F.sum(kernel(*[F.col(x) for x in names])).alias("value"))
 
 
-def iterate_sampled(view: NodeView, order: int, kernel: Kernel, weights: list[Kernel], draws: int, seed: int = 0, unique: bool = True) -> DataFrame:
+def iterate_sampled(view: NodeView, order: int, kernel: Kernel, weights: list[Kernel], draws: int, seed: int = 0, unique: bool | str = True) -> DataFrame:
     """(id, value): an estimate of iterate(): at each depth, draws nodes with replacement in proportion to that depth's weight kernel.
 
     weights[k] gets the focal node and the nodes up to depth k + 1.  A tuple's value is divided by its weights' share,
-    so it counts as many times as its weight is rare.
+    so it counts as many times as its weight is rare.  unique="earlier" keeps a node from being drawn again only once another one has been drawn after it.
+    Each path meets all nodes at each depth; iterate_ranged() does not.
     """
     names = ["v0", *(f"v{k}" for k in range(1, order + 1))]
     node = F.struct("id", "mu")
     rows = view.focal().select(node.alias("v0"), F.lit("").alias("path"), F.lit(1.0).alias("factor"))
     for k in range(1, order + 1):
         other = view.model.all_nodes.select(node.alias(names[k]))
-        each = rows.join(other, _distinct(names, k)) if unique else rows.crossJoin(other)
+        each = rows.join(other, _distinct(names, k, unique)) if _others(names, k, unique) else rows.crossJoin(other)
         each = each.withColumn("w", weights[k - 1](*[F.col(x) for x in names[: k + 1]])).where("w > 0")
         group = Window.partitionBy("v0.id", "path")
         each = each.withColumns({"total": F.sum("w").over(group), "upto": F.sum("w").over(group.orderBy(F.col(names[k])["id"]).rowsBetween(Window.unboundedPreceding, 0))})
@@ -67,6 +76,42 @@ def iterate_sampled(view: NodeView, order: int, kernel: Kernel, weights: list[Ke
     return view.focal().select("id").join(got, "id", "left").select("id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def iterate_ranged(view: NodeView, order: int, kernel: Kernel, weight: Kernel, draws: int, seed: int = 0, unique: bool | str = True) -> DataFrame:
+    """iterate_sampled() for weights that are a function of the last node and the next one, in work proportional to the paths.
+
+    Each node's cumulative weights are summed and stored once, in order of id and cut into as many equal cells as there are nodes, and a draw meets its range by node and
+    cell.  Nodes that must not be drawn are skipped by their own ranges: a draw is a point of the line without them, and moves up by each range that it is not below.
+    """
+    names = ["v0", *(f"v{k}" for k in range(1, order + 1))]
+    node, n = F.struct("id", "mu"), view.model.n
+    pairs = spread(view.model.all_nodes.select(node.alias("a"))).crossJoin(view.model.all_nodes.select(node.alias("b")))
+    pairs = pairs.withColumn("w", weight(F.col("a"), F.col("b"))).where("w > 0").select(F.col("a.id").alias("last"), F.col("b.id").alias("next"), "b", "w")
+    line = Window.partitionBy("last").orderBy("next")
+    pairs = pairs.withColumn("upto", F.sum("w").over(line))
+    pairs = cut(pairs.withColumns({"low": F.lag("upto", 1, 0.0).over(line), "total": F.max("upto").over(Window.partitionBy("last"))}))
+    cell = lambda x: F.least(F.floor(x / F.col("total") * n), F.lit(n - 1)).cast("int")
+    guide = cut(pairs.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("upto"))))).drop("total"))
+    totals, ranges = pairs.groupBy("last").agg(F.first("total").alias("total")), pairs.select("last", F.col("next").alias("gone"), F.struct("low", "w").alias("range"))
+    rows = view.focal().select(node.alias("v0"), F.lit("").alias("path"), F.lit(1.0).alias("factor"))
+    for k in range(1, order + 1):
+        each = rows.withColumn("last", F.col(names[k - 1])["id"]).join(totals, "last")
+        gone = []
+        for other in _others(names, k, unique):
+            column = f"{other}_range"
+            each = each.withColumn("gone", F.col(other)["id"]).join(ranges.withColumnRenamed("range", column), ["last", "gone"], "left").drop("gone")
+            gone.append(column)
+        skipped = F.array_sort(F.array_distinct(F.array_compact(F.array(*gone)))) if gone else F.array().cast("array<struct<low:double,w:double>>")
+        each = each.withColumn("skipped", skipped).drop(*gone)
+        left = F.col("total") - F.aggregate("skipped", F.lit(0.0), lambda s, r: s + r["w"])
+        each = each.withColumn("left", left).where("left > 0").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        x = F.aggregate("skipped", E.hash_uniform(seed, F.col("v0.id"), F.col("path"), F.col("draw")) * F.col("left"), lambda s, r: s + F.when(s >= r["low"], r["w"]).otherwise(0.0))
+        each = each.withColumn("x", x).withColumn("cell", cell(F.col("x"))).join(guide, ["last", "cell"]).where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("upto")))
+        path, factor = F.concat_ws("/", "path", F.col("draw").cast("string")), F.col("factor") * F.col("left") / F.col("w") / draws
+        rows = each.select(*names[:k], F.col("b").alias(names[k]), path.alias("path"), factor.alias("factor"))
+    got = rows.groupBy(F.col("v0.id").alias("id")).agg(F.sum(F.col("factor") * kernel(*[F.col(x) for x in names])).alias("value"))
+    return view.focal().select("id").join(got, "id", "left").select("id", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def pairwise(points: DataFrame, func: Callable[[Column, Column], Column], other: DataFrame | None = None, condensed: bool = True) -> DataFrame:
     """(i, j, value) of a function of the columns x of two rows of points(id, x): i < j, all pairs, or all with other."""
     a = points.select(F.col("id").alias("i"), F.col("x").alias("x_i"))

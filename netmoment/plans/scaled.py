@@ -10,9 +10,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cells, fit, geometry, observed, sampling, stats
+from ..operators import cells, fit, geometry, iteration, observed, sampling, stats
 from ..sources.graphs import nodes, read
-from .catalogue import _COEF_SQL, _QUAD, _R2, _TWO, GRAPH, N_CUSTOMER, N_SUPPLIER, ORACLES, UNIFORM, D, P, _density_sql, _layer_sql, _r, _union_sql, customer, graph, query, rounded, supplier
+from .catalogue import _COEF_SQL, _PP, _QUAD, _R2, _TWO, GRAPH, N_CUSTOMER, N_SUPPLIER, ORACLES, UNIFORM, D, P, _density_sql, _layer_sql, _r, _union_sql, customer, graph, query, rounded, supplier
 from .model import Ensemble
 
 # Samples by jumps
@@ -272,3 +272,31 @@ def _cells_sql(seed: int) -> str:
 @query(f"WITH {_cells_sql(31)} SELECT src, dst FROM e")
 def geo_sample_cells(spark: SparkSession, d: str) -> DataFrame:
     return cells.sample(_NEAR, customer_points(spark, d), seed=31, levels=_LEVELS)
+
+
+# Sampled sums over paths: each node's cumulative weights are stored once
+
+
+def _paths_sql(last: bool) -> str:
+    """Paths i, j, k of 12 draws at each depth, and the value of triangles; last: whether k may be j only."""
+    key = lambda parts: UNIFORM.format(f"'3:' || {parts}")
+    distinct = "jk.j <> x.i AND jk.j <> x.j" if last else "jk.j <> x.i"
+    return f"""WITH {N_SUPPLIER}, {P}, a AS (SELECT i, j, p, sum(p) OVER w AS upto, sum(p) OVER (PARTITION BY i) AS total FROM p WHERE p > 0 WINDOW w AS (PARTITION BY i ORDER BY j)),
+  x AS (SELECT a.*, r, total / p / 12 AS factor FROM a, range(12) t(r) WHERE {key("i || '::' || r")} >= (upto - p) / total AND {key("i || '::' || r")} < upto / total),
+  b AS (SELECT x.i, x.j, x.r, x.p AS ij, x.factor, jk.j AS k, jk.p, sum(jk.p) OVER w AS upto, sum(jk.p) OVER (PARTITION BY x.i, x.r) AS total FROM x JOIN p jk ON jk.i = x.j AND jk.p > 0 AND {distinct} WINDOW w AS (PARTITION BY x.i, x.r ORDER BY jk.j)),
+  y AS (SELECT b.*, total / p / 12 AS other FROM b, range(12) t(s) WHERE {key("i || ':/' || r || ':' || s")} >= (upto - p) / total AND {key("i || ':/' || r || ':' || s")} < upto / total)
+  SELECT y.i AS id, {_r('sum(y.factor * y.other * y.ij * y.p * ik.p / 2)', 'value')} FROM y JOIN p ik ON ik.i = y.i AND ik.j = y.k GROUP BY y.i"""
+
+
+_TRIANGLE = lambda i, j, k: _PP(i, j) * _PP(j, k) * _PP(i, k) / 2
+
+
+@query(_paths_sql(True))
+def mc_iterate_ranged(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(iteration.iterate_ranged(supplier(spark, d).nodes, 2, _TRIANGLE, _PP, 12, seed=3))
+
+
+@query(_paths_sql(False))
+def mc_iterate_earlier(spark: SparkSession, d: str) -> DataFrame:
+    """Uniqueness against earlier nodes but the last, whose weight to itself is 0."""
+    return rounded(iteration.iterate_ranged(supplier(spark, d).nodes, 2, _TRIANGLE, _PP, 12, seed=3, unique="earlier"))

@@ -69,3 +69,16 @@ def test_helpers(spark):
     d = iteration.pairwise(pts, lambda a, b: F.abs(a[0] - b[0]))
     assert {(r.i, r.j): r.value for r in d.collect()} == {(0, 1): 2, (0, 2): 5, (1, 2): 3}
     assert iteration.squareform(d).count() == 6 and iteration.pairwise(pts, lambda a, b: a[0], condensed=False).count() == 9
+
+
+@pytest.mark.parametrize("unique", [True, False, "earlier"])
+def test_ranged_paths_are_the_sampled_ones(model, unique):
+    """The same draws as with all nodes met at each depth, whatever must not be drawn again; weights that allow a node itself make the difference."""
+    weight = lambda a, b: 1 / (1 + F.exp(-(a["mu"] + b["mu"])))
+    kernel = lambda i, j, k, l: (i["id"] + 1) * (j["mu"] + 2) * (k["mu"] + 3) / (l["mu"] + 4)  # noqa: E731, E741
+    view = model.nodes[:4]
+    want = iteration.iterate_sampled(view, 3, kernel, [weight, lambda i, j, k: weight(j, k), lambda i, j, k, m: weight(k, m)], 3, seed=2, unique=unique)
+    got = iteration.iterate_ranged(view, 3, kernel, weight, 3, seed=2, unique=unique)
+    np.testing.assert_allclose(values(got, "value"), values(want, "value"), rtol=1e-9)
+    with pytest.raises(ValueError, match="unique"):
+        iteration.iterate_ranged(view, 2, kernel, weight, 3, unique="later")
