@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.random import RandomGenerator
-from ..operators import fit, geometry, grids, iteration, observed, stats
+from ..operators import fit, geometry, grids, iteration, observed, quantization, stats
 from ..sources.checkpoints import shared_folder
 from ..sources.graphs import read, read_results, write_results
 from . import options
@@ -145,3 +145,38 @@ def results_in_files(spark: SparkSession, d: str) -> DataFrame:
     rows = customer(spark, d).all_nodes.join(read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment")), "id")
     write_results(rows, path, "segment")
     return rounded(read_results(spark, path).where("segment <> 'BUILDING'").select("id", "mu", "segment"))
+
+
+# Nodes of several parameters, merged into units
+
+_TWO_PARAMETERS = "n AS (SELECT c_custkey AS id, c_acctbal / 5000 - 3 AS mu, c_nationkey / 10.0::DOUBLE AS beta FROM customer)"
+
+
+def two_parameters(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("c_acctbal / 5000 - 3").alias("mu"), F.expr("c_nationkey / 10.0D").alias("beta"))
+
+
+@query(f"WITH {_TWO_PARAMETERS} SELECT id, {_r('avg(mu) OVER u', 'mu')}, {_r('avg(beta) OVER u', 'beta')}, count(*) OVER u AS w FROM n WINDOW u AS (PARTITION BY round(mu, 1), round(beta, 0))")
+def quantize_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Each node with the parameters and the weight of its unit."""
+    q = quantization.rounded(two_parameters(spark, d), {"mu": 1, "beta": 0})
+    return rounded(q.dequantized(q.units).select("id", "mu", "beta", "w"))
+
+
+@query(f"""WITH {_TWO_PARAMETERS}, u AS (SELECT id, avg(mu) OVER (PARTITION BY round(mu, 1), round(beta, 0)) AS mu FROM n), k AS (SELECT mu, count(*) AS w FROM u GROUP BY mu),
+  e AS (SELECT a.mu, sum((b.w - (a.mu = b.mu)::INT) / (1 + exp(-(a.mu + b.mu)))) AS degree FROM k a CROSS JOIN k b GROUP BY a.mu) SELECT u.id, round(e.degree, 4) + 0.0 AS degree FROM u JOIN e ON e.mu = u.mu""")
+def quantize_degree(spark: SparkSession, d: str) -> DataFrame:
+    """Expected degrees of the model of the units."""
+    m = quantization.rounded(two_parameters(spark, d), {"mu": 1, "beta": 0}).ensemble()
+    return stats.degree(m.nodes).select("id", (F.round("degree", 4) + F.lit(0.0)).alias("degree"))
+
+
+@query(f"WITH {_TWO_PARAMETERS} SELECT count(*) AS nodes, count(DISTINCT id) AS ids, TRUE AS few, TRUE AS near FROM n")
+def quantize_codebook(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that the units of a codebook of 24 stand for, and whether they explain nine tenths of the parameters' variance."""
+    n = two_parameters(spark, d)
+    q = quantization.codebook(n, ("mu", "beta"), 24, seed=4)
+    whole = n.agg((F.var_pop("mu") + F.var_pop("beta")).alias("variance"))
+    units = q.units.agg(F.sum("w").alias("nodes"), (F.count(F.lit(1)) <= 24).alias("few"))
+    ids = q.codes.agg(F.count_distinct("id").alias("ids"))
+    return units.crossJoin(ids).crossJoin(q.error(n)).crossJoin(whole).select("nodes", "ids", "few", (F.col("error") < 0.1 * F.col("variance")).alias("near"))
