@@ -99,9 +99,11 @@ def shared_shingle(n, others):
     return [part] + [[(1000 * (k + 1), texts[253 % n - k] + " more"), (1000 * (k + 1) + 1, f"a filler that is like none of the others {k} {k} {k}")] for k in range(others)]
 
 
-@pytest.mark.parametrize(("n", "bounds"), [(258, jaccard_join.Bounds()), (30, jaccard_join.Bounds(local=4)), (30, jaccard_join.Bounds(local=4, block=7, rounds=0)), (30, jaccard_join.Bounds(local=4, rounds=2))])
-@pytest.mark.parametrize("others", [1, 7])
-def test_links_do_not_depend_on_parts(spark, monkeypatch, n, bounds, others):
+@pytest.mark.parametrize(
+    ("n", "others", "bounds"),
+    [(258, 1, jaccard_join.Bounds()), (30, 7, jaccard_join.Bounds(local=4)), (30, 1, jaccard_join.Bounds(local=4, block=7, rounds=0)), (30, 7, jaccard_join.Bounds(local=4, rounds=2))],
+)
+def test_links_do_not_depend_on_parts(spark, monkeypatch, n, others, bounds):
     monkeypatch.setattr(jaccard_join, "LATE_BITS", 21)
     parts = shared_shingle(n, others)
     want = brute_components([r for p in parts for r in p])

@@ -48,9 +48,8 @@ def texts(rng, n):
     return [*out, "a" * 300, "ab" * 200, "xyz" * 100 + "a" * 150]
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-@pytest.mark.parametrize("options", [{}, {"gram": 12}, {"gram": 100}, {"large": 1}, {"large": 3, "flush": 8, "gram": 40}, {"flush": 1}])
-def test_as_all_strings(spark, options, parts):
+@pytest.mark.parametrize(("parts", "options"), [(1, {}), (5, {}), (5, {"gram": 12}), (5, {"gram": 100}), (1, {"large": 1}), (5, {"large": 3, "flush": 8, "gram": 40}), (3, {"flush": 1})])
+def test_as_all_strings(spark, parts, options):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts(rng, 60))], SCHEMA).repartition(parts)
     assert got(df, 100, **options) == plain(documents(df), 100)
