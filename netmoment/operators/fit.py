@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..plans.model import Ensemble, spread
+from ..sources.checkpoints import cut
 from . import observed, stats
 
 #: Distinct degrees up to which Newton steps solve a dense system; a fixed point goes on from there.
@@ -43,7 +44,7 @@ def initial(ids: DataFrame, edges: DataFrame, how: str = "cm", seed: int = 0) ->
     if kind == "er":
         return ids.select("id").crossJoin(F.broadcast(homogeneous_mu(ids, edges)))
     if kind == "cm":
-        k = observed.degree(ids, edges)
+        k = cut(observed.degree(ids, edges))
         total = F.broadcast(k.agg(F.sqrt(F.sum("degree").cast("double")).alias("root")))
         return k.crossJoin(total).select("id", F.when(F.col("degree") > 0, F.ln(F.col("degree") / F.col("root"))).alias("mu"))
     if kind == "random":
@@ -194,7 +195,7 @@ def checked_targets(ids: DataFrame, degrees: DataFrame) -> DataFrame:
 
 def fit_degrees(ids: DataFrame, edges: DataFrame, start: DataFrame | str | None = None, newton_classes: int = NEWTON_CLASSES) -> tuple[DataFrame, Solution]:
     """(id, degree, mu), and the solution; mu is null for isolated nodes.  start: a name of initial(), or (id, mu)."""
-    k = observed.degree(ids, edges)
+    k = cut(observed.degree(ids, edges))
     if isinstance(start, str):
         start = initial(ids, edges, start)
     rows = k if start is None else k.join(start.select("id", "mu"), "id", "left")

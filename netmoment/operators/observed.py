@@ -20,7 +20,7 @@ _OF_MOTIF = {"triangle": "t", "twedge": "tw", "thead": "th", "quadrangle": "q0",
 
 def degree(ids: DataFrame, edges: DataFrame, normalize: bool = False) -> DataFrame:
     """(id, degree) of all nodes, isolated ones included."""
-    k = both_ways(edges).groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    k = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("k"))  # edges are worked out once
     found = ids.select("id").join(k, "id", "left").select("id", F.coalesce("k", F.lit(0)).cast("long").alias("degree"))
     if not normalize:
         return found

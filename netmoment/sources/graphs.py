@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import block_count, block_of, paired
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,12 +78,49 @@ def from_graph(spark: SparkSession, graph: Any, n: int | None = None) -> DataFra
     return from_pairs(spark, pairs)
 
 
+#: Pairs of entries that are counted in one go.
+AT_ONCE = 1 << 20
+
+
+def _shared(u: np.ndarray, s: np.ndarray, v: np.ndarray, t: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Users of u and of v that share at least so many slots, of entries (u, s) and (v, t), each once."""
+    (us, a), (vs, b) = (np.unique(x, return_inverse=True) for x in (u, v))
+    by = np.argsort(t, kind="stable")
+    t, b = t[by], b[by]
+    low = np.searchsorted(t, s)
+    many = np.searchsorted(t, s, side="right") - low
+    upto = np.concatenate([[0], np.cumsum(many)])
+    counts = np.zeros(len(us) * len(vs), dtype=np.int64)
+    x = 0
+    while x < len(s):
+        y = max(x + 1, int(np.searchsorted(upto, upto[x] + AT_ONCE, side="right")) - 1)
+        m = many[x:y]
+        at = np.arange(int(m.sum())) + np.repeat(low[x:y] - (upto[x:y] - upto[x]), m)
+        counts += np.bincount(np.repeat(a[x:y] * len(vs), m) + b[at], minlength=len(counts))
+        x = y
+    found = np.flatnonzero(counts >= max(least, 1))
+    return us[found // len(vs)], vs[found % len(vs)]
+
+
 def edges_by_slots(events: DataFrame, least: int) -> DataFrame:
-    """Users that share at least so many (hour, event type) slots."""
-    slots = events.select(F.col("user_id").cast("long").alias("u"), F.date_trunc("hour", "ts").alias("h"), "event_type").distinct()
-    other = slots.select(F.col("u").alias("v"), "h", "event_type")
-    shared = slots.join(other, ["h", "event_type"]).where("u < v").groupBy("u", "v").count()
-    return shared.where(F.col("count") >= least).select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    """Users that share at least so many (hour, event type) slots.
+
+    Users are dealt out in blocks, with their slots as hashes of 64 bits; a task counts what each two users of two blocks share, so a table is shuffled but no pair of its rows.
+    """
+    slots = events.select(F.col("user_id").cast("long").alias("u"), F.date_trunc("hour", "ts").alias("h"), "event_type").dropna().select("u", F.xxhash64("h", "event_type").alias("s")).distinct()
+    n = block_count(events.agg(F.count_distinct(F.col("user_id").cast("long"))).first()[0])
+    a, b = (slots.groupBy(block_of("u", n).alias(f"block_{k}")).agg(F.collect_list("u").alias(f"u_{k}"), F.collect_list("s").alias(f"s_{k}")) for k in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, u, s, m, v, t in zip(*batch.columns, strict=True):
+                src, dst = _shared(*(x.values.to_numpy() for x in (u, s, v, t)), least)
+                if k.as_py() == m.as_py():
+                    once = src < dst
+                    src, dst = src[once], dst[once]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst))], names=["src", "dst"])
+
+    return paired(a, b, n, n, F.col("block_a") <= F.col("block_b")).mapInArrow(run, "src long, dst long")
 
 
 # Sinks

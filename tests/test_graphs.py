@@ -201,3 +201,20 @@ def test_grids(spark):
     assert grid.count() == 4
     runs = grids.simulate(grid, 3, lambda r: {"n": r["n"], "beta": r["beta"], "x": r["n"] * r["beta"] + r["rep"]}, "n long, beta double, x double")
     assert {(r.n, r.beta): r.x for r in grids.group_mean(runs, ["n", "beta"], "x").collect()} == {(10, 0.5): 6, (10, 1.5): 16, (20, 0.5): 11, (20, 1.5): 31}
+
+
+def test_edges_by_slots_write_no_pairs(spark, monkeypatch):
+    """Users in several blocks, entries counted a few at a time, nulls left out; after the pairs of blocks there is no exchange."""
+    monkeypatch.setattr(graphs, "AT_ONCE", 50)
+    monkeypatch.setattr(graphs, "block_count", lambda n: 5)
+    e = spark.range(900).selectExpr("if(id % 50 = 0, null, cast(xxhash64(id) % 40 as long)) as user_id", "timestamp_seconds(pmod(xxhash64(id, 1), 12) * 3600 + 60) as ts", "string(pmod(xxhash64(id, 2), 2)) as event_type")
+    got = graphs.edges_by_slots(e, 3)
+    slots = {(r.user_id, r.ts, r.event_type) for r in e.collect() if r.user_id is not None}
+    of = {}
+    for u, ts, kind in slots:
+        of.setdefault(u, set()).add((ts, kind))
+    want = {(u, v) for u in of for v in of if u < v and len(of[u] & of[v]) >= 3}
+    rows = [tuple(r) for r in got.collect()]
+    assert want and len(rows) == len(set(rows)) and set(rows) == want
+    plan = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert plan.index("MapInArrow") < plan.index("CartesianProduct") < plan.index("Exchange")
