@@ -223,5 +223,5 @@ def test_edges_by_slots_write_no_pairs(spark, monkeypatch):
 def test_jumps_of_small_chances_are_those_of_sql(spark, duck):
     p = 1.5e-7
     got = spark.range(100_000).select("id", sampling.jump((F.col("id") + 0.5) / 100_000, F.lit(p)).alias("step")).agg(F.sum("step"), F.sum(F.col("id") * F.col("step"))).first()
-    want = duck.sql(f"SELECT sum(step), sum(id * step) FROM (SELECT id, CAST(floor(ln(1 - (id + 0.5::DOUBLE) / 100000) / ln(1 - {p!r}::DOUBLE)) AS BIGINT) + 1 AS step FROM range(100000) t(id))").fetchone()
+    want = duck.sql(f"SELECT sum(step), sum(id * step) FROM (SELECT id, CAST(floor(ln(1 - (id + 0.5::DOUBLE) / 100000) / ln(1 - {p!r}::DOUBLE)) AS BIGINT) + 1 AS step FROM range(100000) t(id))").fetchall()[0]
     assert tuple(got) == tuple(int(x) for x in want)
