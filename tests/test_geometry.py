@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 from netmoment.functions import expr as E
 from netmoment.functions.variables import Constraint, Variable
+from netmoment.operators import geometry
 from netmoment.operators.geometry import GeometricModel, Layer, Sphere, dequantize, distances, quantize, quadrature
 from netmoment.plans import catalogue
 
@@ -167,3 +168,23 @@ def test_results_are_read_again(spark, tmp_path):
     for _ in range(2):
         write_results(rows, str(tmp_path / "out"), "kind")
     assert sorted((r.n, r.kind, r.v) for r in read_results(spark, str(tmp_path / "out")).collect()) == [(1, "a", 0.5), (2, "b", 1.5)]
+
+
+def test_pairs_with_parameters_are_not_shuffled(spark, monkeypatch):
+    """Parameters go with the points' blocks, in whichever order two ids come, and nulls stay null."""
+    monkeypatch.setattr(geometry, "BLOCK", 4)
+    points = geometry.Sphere(2).sample_points(spark, 15, seed=2).withColumns({"m": F.when(F.col("id") != 4, F.col("id") / 10.0), "b": 1 + F.col("id") / 7.0})
+    model = geometry.GeometricModel.of(15, geometry.Sphere(2), geometry.Layer("similarity"))
+    found = model.pair_probs(points, parameters=[("m", "b")])
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "Join" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
+    own = {r.id: r for r in points.collect()}
+    rows = found.collect()
+    assert {(r.i, r.j) for r in rows} == {(i, j) for i in range(15) for j in range(i + 1, 15)} and len(rows) == 105
+    for r in rows:
+        m, b = own[r.i].m, own[r.i].b + own[r.j].b
+        if 4 in (r.i, r.j):
+            assert r.p is None
+            continue
+        m += own[r.j].m
+        assert r.p == pytest.approx(1 / (1 + np.exp(b * 2 * (np.log(max(r.g, 1e-9)) - m) + np.exp(-b) * (b + 1) * m)))
