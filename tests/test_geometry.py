@@ -188,3 +188,25 @@ def test_pairs_with_parameters_are_not_shuffled(spark, monkeypatch):
             continue
         m += own[r.j].m
         assert r.p == pytest.approx(1 / (1 + np.exp(b * 2 * (np.log(max(r.g, 1e-9)) - m) + np.exp(-b) * (b + 1) * m)))
+
+
+def test_unit_degrees_and_pairwise_values_by_blocks(spark, monkeypatch):
+    """Sums of blocks, own mu included, against all pairs; a shuffled row is a point of two blocks or less."""
+    from netmoment.operators import iteration
+
+    monkeypatch.setattr(geometry, "BLOCK", 4)
+    points = geometry.Sphere(2).sample_points(spark, 15, seed=2).withColumns({"w": F.col("id") % 3 + 1, "m": F.col("id") / 20.0})
+    model = geometry.GeometricModel.of(15, geometry.Sphere(2), S, C)
+    for mu in (None, "m"):
+        found = model.unit_degree(points, mu)
+        plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan and plan.count("MapInArrow") == 1
+        own, want = {r.id: r for r in points.collect()}, dict.fromkeys(range(15), 0.0)
+        for r in model.pair_probs(points, mu).collect():
+            want[r.i] += own[r.j].w * r.p
+            want[r.j] += own[r.i].w * r.p
+        for r in points.select("id", ((F.col("w") - 1) * model.probability(F.lit(0.0), [None if mu is None else 2 * F.col(mu)] * 2)).alias("p")).collect():
+            want[r.id] += r.p
+        assert {r.id: pytest.approx(r.degree) for r in found.collect()} == want
+    rows = {(r.i, r.j): r.value for r in iteration.pairwise_blocks(points, iteration.manhattan).collect()}
+    assert rows == {(i, j): pytest.approx(sum(abs(a - b) for a, b in zip(own[i].x, own[j].x, strict=True))) for i in range(15) for j in range(i + 1, 15)}
