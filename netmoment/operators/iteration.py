@@ -2,11 +2,13 @@
 
 A kernel is a function of columns: it gets the focal node and the iterated nodes, each
 a struct (id, mu), and returns a column.  The exact sum is a fold of cross joins,
-n**order terms for each focal node; built-in motifs have cheaper plans.
+n**order terms for each focal node; products of functions of the focal node and one other
+take n terms, and built-in motifs have cheaper plans.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -51,6 +53,38 @@ def iterate(view: NodeView, order: int, kernel: Kernel, unique: bool = True) ->
     return rows.groupBy(F.col("v0.id").alias("id")).agg(F.sum(kernel(*[F.col(x) for x in names])).alias("value"))
 
 
+def _partitions(items: list[int]) -> list[list[list[int]]]:
+    """All ways to part items into sets."""
+    if not items:
+        return [[]]
+    first, *rest = items
+    out = []
+    for parts in _partitions(rest):
+        out.append([[first], *parts])
+        out += [[*parts[:k], [first, *p], *parts[k + 1 :]] for k, p in enumerate(parts)]
+    return out
+
+
+def iterate_product(view: NodeView, factors: list[Kernel], unique: bool = True) -> DataFrame:
+    """iterate() of a kernel that is a product of functions of the focal node and one other node each, in n terms for each focal node.
+
+    Without uniqueness that is the product of the factors' sums.  Over distinct nodes, tuples in which some coincide are taken off: for each way to part the factors into
+    sets, the sums of the sets' products, with sign and weight (-1)**(size - 1) * (size - 1)! of each set.
+    """
+    ways = _partitions(list(range(len(factors)))) if unique else [[[k] for k in range(len(factors))]]
+    sets = sorted({tuple(p) for parts in ways for p in parts})
+    node, name = F.struct("id", "mu"), lambda p: "s_" + "_".join(map(str, p))
+    if not sets:
+        return view.focal().select("id", F.lit(1.0).alias("value"))
+    a = spread(view.focal()).select(node.alias("v0"))
+    b = spread(view.model.all_nodes).select(node.alias("v1"))
+    pairs = a.join(b, F.col("v0")["id"] != F.col("v1")["id"]) if unique else a.crossJoin(b)
+    each = pairs.select(F.col("v0.id").alias("id"), *[f(F.col("v0"), F.col("v1")).alias(f"f_{k}") for k, f in enumerate(factors)])
+    sums = each.groupBy("id").agg(*[F.sum(math.prod(F.col(f"f_{k}") for k in p)).alias(name(p)) for p in sets])
+    value = sum(math.prod((-1) ** (len(p) - 1) * math.factorial(len(p) - 1) * F.col(name(tuple(p))) for p in parts) for parts in ways)
+    return sums.select("id", value.alias("value"))
+
+
 def iterate_sampled(view: NodeView, order: int, kernel: Kernel, weights: list[Kernel], draws: int, seed: int = 0, unique: bool | str = True) -> DataFrame:
     """(id, value): an estimate of iterate(): at each depth, draws nodes with replacement in proportion to that depth's weight kernel.
 

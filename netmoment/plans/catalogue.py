@@ -781,7 +781,7 @@ _PP = iteration.pair_probability
 
 @query(f"WITH {N_SUPPLIER}, {P}, {D}, {TW} SELECT i AS id, {_r('tw', 'value')} FROM tw")
 def iterate_twedge(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(iteration.iterate(supplier(spark, d).nodes, 2, lambda i, j, k: _PP(i, j) * _PP(i, k)))
+    return rounded(iteration.iterate_product(supplier(spark, d).nodes, [_PP, _PP]))
 
 
 @query(f"WITH {N_NATION}, {P}, x AS (SELECT a.i, sum(a.p * b.p) AS v FROM p a JOIN p b ON a.i = b.i GROUP BY a.i) SELECT i AS id, {_r('v', 'value')} FROM x")

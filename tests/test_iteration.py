@@ -1,5 +1,7 @@
 """Kernels of the caller, options and random columns."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +84,16 @@ def test_ranged_paths_are_the_sampled_ones(model, unique):
     np.testing.assert_allclose(values(got, "value"), values(want, "value"), rtol=1e-9)
     with pytest.raises(ValueError, match="unique"):
         iteration.iterate_ranged(view, 2, kernel, weight, 3, unique="later")
+
+
+def test_products_take_a_term_for_each_pair(spark):
+    """The same sums as all tuples give, for three factors and repeated nodes too; a plan without tuples is over at once for more nodes than tuples could be listed of."""
+    model = Ensemble.heterogeneous(spark.range(7).select("id", (F.col("id") / 3 - 1).alias("mu")))
+    f, g, h = iteration.pair_probability, lambda i, j: j["mu"] * j["mu"] + i["mu"], lambda i, j: j["mu"] - 2 * i["mu"]
+    for factors in ([f], [f, f], [f, g, h], [f, g, h, f]):
+        for unique in (True, False):
+            want = values(iteration.iterate(model.nodes, len(factors), lambda i, *v, fs=factors: math.prod(x(i, y) for x, y in zip(fs, v, strict=True)), unique=unique), "value")
+            assert values(iteration.iterate_product(model.nodes, factors, unique), "value") == pytest.approx(want)
+    assert len(values(iteration.iterate_product(model.nodes[[2, 5]], [f, g]), "value")) == 2
+    many = Ensemble.heterogeneous(spark.range(4000).select("id", F.lit(0.0).alias("mu")))
+    assert iteration.iterate_product(many.nodes, [f, f]).agg(F.sum("value")).first()[0] == pytest.approx(4000 * 3999 * 3998 / 4)
