@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -340,3 +341,29 @@ def test_same_as_sql(name, same_as_sql):
 
 def test_schema_used():
     assert SCHEMA.startswith("doc_id")
+
+
+def _written(spark):
+    """Bytes that all shuffles so far have written."""
+    time.sleep(1)  # figures follow the tasks
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_texts_that_nobody_asked_for_stay_where_they_are(spark, monkeypatch):
+    """Where there are too many keys to broadcast, a bitmap tells which texts go through the exchange, and results are the same."""
+    texts = spark.range(600).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(199)), lambda k: F.md5(F.concat_ws(":", "id", k)))).alias("text"))
+    twice = texts.union(texts.where("doc_id < 5").select(F.col("doc_id") + 1000, "text"))
+    keyed = jaccard_join.cut(twice.withColumn("key", jaccard_join.row_key(twice)))
+    asked = keyed.where("doc_id < 3").select(F.lit(7).cast("long").alias("label"), F.col("doc_id").alias("set"), F.col("key").alias("own"))
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    want = rows(jaccard_join._texts(keyed, asked))
+    monkeypatch.setattr(jaccard_join, "BROADCAST_DOCS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = _written(spark)
+        assert rows(jaccard_join._texts(keyed, asked)) == want and len(want) == 3
+        assert _written(spark) - before < 600 * 6400 / 8
+        assert sorted(r.doc_id for r in jaccard_join.representatives(twice).collect()) == list(range(600))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
