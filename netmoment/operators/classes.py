@@ -8,6 +8,7 @@ broadcast or bounded by n.  Wedges and heads are sums of K**2 columns.
 Monte Carlo draws the class of a random neighbour: a class's cumulative weights are a guide table, one row for each piece of a class's part of the line from
 0 to 1 within one of K equal cells, which a draw meets by its cell; nodes of a class are alike, so the member
 drawn need not be known.  What a draw is worth depends on the two classes only and is summed once for each pair of classes that is drawn.
+Up to FEW_CLASSES classes, tasks get the classes and nodes in order of mu, and draw and sum by themselves: no draw is a row.
 """
 
 from __future__ import annotations
@@ -19,12 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import digests
 from ..functions import expr as E
 from ..plans.model import Ensemble, spread
 from ..sources.checkpoints import cut, numbered
 
 #: Classes in a block, of triangles and of squares; a square's task holds two arrays of the third power.
 SIDE, SQUARE_SIDE = 256, 64
+#: Classes up to which each task of Monte Carlo has all of them, and draws that a task makes at once.
+FEW_CLASSES, AT_ONCE = 4096, 1 << 18
+#: Classes up to which such a task keeps the probabilities of all pairs of them, and rows of these that it makes at once otherwise.
+WHOLE, ROWS = 1024, 256
 #: Blocks there are at least, as far as there are classes, so that all cores have some.
 LEAST_BLOCKS = 4
 
@@ -202,7 +208,7 @@ def guide(classes: DataFrame, focal: DataFrame, weight: Column, by: list[str]) -
 
 def drawn(draws: DataFrame, table: DataFrame, k: int, by: list[str], u: str = "u") -> DataFrame:
     """draws(by, u) with the mu_j and total of the class that u falls on."""
-    placed = draws.withColumn("cell", F.floor(F.col(u) * k).cast("int"))
+    placed = draws.withColumn("cell", F.floor(F.col(u) * k).cast("int")).hint("merge")  # draws are many more than the planner takes them for
     return placed.join(table, [*by, "cell"]).where((F.col(u) >= F.col("low")) & (F.col(u) < F.col("high"))).drop("cell", "low", "high", "w_j")
 
 
@@ -211,6 +217,8 @@ def monte_carlo(model: Ensemble, focal: DataFrame, names: tuple[str, ...], draws
     if draws <= 0 or repeat <= 0:
         raise ValueError("draws and repetitions must be positive")
     classes = numbered_classes(model)
+    if classes.count() <= FEW_CLASSES:
+        return _drawn_in_tasks(classes, focal, names, draws, seed, repeat, average, same_seed, sums)
     p_j = E.probability(-(F.col("mu") + F.col("mu_j")))
     mus = focal.select("mu").distinct()
     # the focal node is not its own neighbour
@@ -250,7 +258,7 @@ def _path_values(got: DataFrame, classes: DataFrame, all_sums: DataFrame, name:
         "qhead": lambda: F.col("m_j") - p * F.col("d_i") - F.col("common") - (F.col("s_j") - p * p),
     }[name]()
     worth = pairs.select("mu", "mu_j", (F.col("total") * value).alias("value"))
-    return got.join(worth, ["mu", "mu_j"]).select("id", "rep", "value")
+    return got.hint("merge").join(worth, ["mu", "mu_j"]).select("id", "rep", "value")
 
 
 def _square_values(got: DataFrame, classes: DataFrame, key: object, draws: int) -> DataFrame:
@@ -271,4 +279,128 @@ def _square_values(got: DataFrame, classes: DataFrame, key: object, draws: int)
     ii, jj, kk = (E.probability(-2 * F.col(a)) for a in ("mu", "mu_j", "mu_k"))
     last = F.col("last") - ik * ii * (1 - ij) - jk * ij * (1 - jj) - kk * ik * (1 - jk)
     worth = all_.select("mu", "mu_j", "mu_k", last.alias("last"))
-    return chosen.join(worth, ["mu", "mu_j", "mu_k"]).select("id", "rep", (F.col("total_1") * F.col("total") * F.col("last") / 2 / draws).alias("value"))
+    return chosen.hint("merge").join(worth, ["mu", "mu_j", "mu_k"]).select("id", "rep", (F.col("total_1") * F.col("total") * F.col("last") / 2 / draws).alias("value"))
+
+
+def _uniforms(key: object, ids: list, tails: list[str]) -> np.ndarray:
+    """hash_uniform of the key, each id and each tail: a row for each id."""
+    texts, ends = np.array([str(i) for i in ids], dtype="S"), np.array(tails, dtype="S")
+    long, wide = np.char.str_len(texts), np.char.str_len(ends)
+    keys, places = digests.Keys(len(ids) * len(tails)), np.arange(len(ids) * len(tails)).reshape(len(ids), -1)
+    for a in np.unique(long):
+        rows = np.flatnonzero(long == a)
+        words = digests.text_words(texts[rows].astype(f"S{a}"))
+        for b in np.unique(wide):
+            cols = np.flatnonzero(wide == b)
+            last = digests.text_words(ends[cols].astype(f"S{b}"))
+            first = [np.repeat(x, len(cols)) for x in words.T]
+            keys.add([f"{key}:".encode(), (first, int(a)), b":", ([np.tile(x, len(rows)) for x in last.T], int(b))], places[np.ix_(rows, cols)].ravel())
+    return keys.uniforms().reshape(len(ids), -1)
+
+
+class _Class:
+    """What draws of the nodes of one class are worth; classes: mu, w and, where a motif needs them, d, s and m, in order of mu."""
+
+    def __init__(self, classes: dict[str, np.ndarray], whole: np.ndarray | None, at: int):
+        self.mu, self.w, self.at, self.whole = classes["mu"], classes["w"], at, whole
+        self.d, self.s, self.m = (classes.get(k) for k in ("d", "s", "m"))
+        self.p = self.rows(np.array([at]))[0]
+        self.own = _sigmoid(2 * self.mu)
+        self.total, self.edges = self.line((self.w - (np.arange(len(self.mu)) == at)) * self.p)
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """Probabilities of these classes with all."""
+        return self.whole[at] if self.whole is not None else _sigmoid(self.mu[at][:, None] + self.mu)
+
+    @staticmethod
+    def line(weight: np.ndarray) -> tuple[float, np.ndarray]:
+        """The sum of weights, and where on the line from 0 to 1 each one's part ends."""
+        upto = np.cumsum(np.maximum(weight, 0))
+        return float(upto[-1]), upto / upto[-1] if upto[-1] > 0 else upto
+
+    def summed(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """For each of these classes the sum over all of its probability times x."""
+        return np.concatenate([self.rows(at[k : k + ROWS]) @ x for k in range(0, len(at), ROWS)])
+
+    def path(self, name: str, b: np.ndarray) -> np.ndarray:
+        """What neighbours of classes b are worth, for all motifs but squares."""
+        p, i = self.p[b], self.at
+        if name == "twedge":
+            return self.d[i] - p
+        if name == "thead":
+            return self.d[b] - p
+        common = self.summed(b, self.w * self.p) - p * (self.own[i] + self.own[b])
+        if name == "triangle":
+            return common / 2
+        if name == "qwedge":
+            return (self.d[b] - p) * (self.d[i] - p) - common
+        return self.m[b] - p * self.d[i] - common - (self.s[b] - p * p)
+
+    def squares(self, j: int, u: np.ndarray) -> np.ndarray:
+        """What draws of a neighbour of class j are worth, the sum over the opposite nodes that u, a row for each, falls on."""
+        of_j, places = self.rows(np.array([j]))[0], np.arange(len(self.mu))
+        total, edges = self.line((self.w - (places == self.at) - (places == j)) * of_j * (1 - self.p))
+        if total <= 0:
+            return np.zeros(len(u))
+        k, back = np.unique(np.searchsorted(edges, u, side="right"), return_inverse=True)
+        ij, ik, jk = self.p[j], self.p[k], of_j[k]
+        last = self.summed(k, self.w * self.p * (1 - of_j))
+        last = last - ik * self.own[self.at] * (1 - ij) - jk * ij * (1 - self.own[j]) - self.own[k] * ik * (1 - jk)
+        return total * last[back.reshape(u.shape)].sum(1) / 2 / u.shape[1]
+
+    def values(self, name: str, u: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+        """What each draw is worth; second: of each draw the numbers for opposite nodes."""
+        if self.total <= 0:
+            return np.zeros(u.shape)
+        b, back = np.unique(np.searchsorted(self.edges, u, side="right"), return_inverse=True)
+        back = back.reshape(u.shape)
+        if name != "quadrangle":
+            return self.total * self.path(name, b)[back]
+        out, order = np.empty(u.size), np.argsort(back, axis=None, kind="stable")
+        ends = np.searchsorted(back.ravel()[order], np.arange(len(b) + 1))
+        for n, j in enumerate(b.tolist()):
+            own = order[ends[n] : ends[n + 1]]
+            out[own] = self.total * self.squares(j, second[own])
+        return out.reshape(u.shape)
+
+
+def _drawn_in_tasks(classes: DataFrame, focal: DataFrame, names: tuple[str, ...], draws: int, seed: int, repeat: int, average: bool, same_seed: bool, sums: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """monte_carlo() where each task has all classes: nodes are dealt out in order of mu, so that a task meets few classes, and large ones are several tasks'."""
+    spark = focal.sparkSession
+    known = classes.select("c", "mu", "w")
+    if {"twedge", "thead", "qwedge", "qhead"} & set(names):
+        known = known.join(sums(classes.select(F.col("c").alias("id"), "mu")).select(F.col("id").alias("c"), "d", "s", "m"), "c")
+    table = known.orderBy("c").toPandas()
+    shared = spark.sparkContext.broadcast({k: table[k].to_numpy(dtype="float64") for k in table.columns if k != "c"})
+    names, seeds = tuple(names), [seed if same_seed or i == 0 else f"{seed}/{i}" for i in range(len(names))]
+    tails = [f"{rep}:{r}" for rep in range(repeat) for r in range(draws)]
+    deeper = [f"{x}:{t}" for x in tails for t in range(draws)]
+    step = max(1, AT_ONCE // len(deeper if "quadrangle" in names else tails))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        whole = _sigmoid(known["mu"][:, None] + known["mu"]) if len(known["mu"]) <= WHOLE else None
+        one = None
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                ids, at = part.column(0).to_pylist(), np.searchsorted(known["mu"], part.column(1).to_numpy())
+                u = {k: _uniforms(k, ids, tails) for k in dict.fromkeys(seeds)}
+                second = {k: _uniforms(k, ids, deeper).reshape(len(ids), len(tails), draws) for k, name in zip(seeds, names, strict=True) if name == "quadrangle"}
+                found = np.empty((len(names), len(ids), repeat))
+                for c in np.unique(at):
+                    own = np.flatnonzero(at == c)
+                    one = one if one is not None and one.at == c else _Class(known, whole, int(c))
+                    for n, (name, k) in enumerate(zip(names, seeds, strict=True)):
+                        of_squares = second[k][own].reshape(-1, draws) if name == "quadrangle" else None
+                        found[n, own] = one.values(name, u[k][own], of_squares).reshape(len(own), repeat, draws).sum(2) / draws
+                if average:
+                    yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x.mean(1)) for x in found]], names=["id", *names])
+                else:
+                    each, reps = np.repeat(np.arange(len(ids)), repeat), np.tile(np.arange(repeat, dtype=np.int32), len(ids))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(each)), pa.array(reps), *[pa.array(x.ravel()) for x in found]], names=["id", "rep", *names])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = focal.select("id", "mu").repartitionByRange(parts, "mu", "id").sortWithinPartitions("mu")
+    kind = focal.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, ", ".join([f"id {kind}", *([] if average else ["rep int"]), *[f"{k} double" for k in names]]))

@@ -161,3 +161,20 @@ def test_work_is_in_proportion_to_edges(spark):
     pairs = a.join(b, F.col("k_a") <= F.col("k_b")).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), (F.col("n_a") * F.col("n_b")).alias("cells"), E.probability(-(F.col("top_a") + F.col("top_b"))).alias("p"))
     found, edges = sampling.candidates(pairs, 0, ["a", "b"]).count(), sampling.sample_graph(m).count()
     assert edges < found < 3 * edges < 3000 * 2999 / 2 / 10
+
+
+def test_draws_are_no_rows(model, monkeypatch):
+    """Up to FEW_CLASSES each task draws by itself; beyond, the same draws are rows, which the planner takes for few and must not broadcast."""
+    ask = lambda **o: stats.motifs(model.nodes, ALL, mc=4, repeat=3, seed=7, by="classes", average=False, **o)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    got = {same: ask(same_seed=same) for same in (True, False)}
+    assert not any("explode" in plan(x) for x in got.values())
+    monkeypatch.setattr(classes, "FEW_CLASSES", 0)
+    one = stats.motifs(model.nodes, ("thead",), mc=4, seed=7, by="classes").select("id", "thead")
+    for block in plan(one).split("BroadcastExchange")[1:]:
+        assert "explode" not in block.split("SortMergeJoin")[0]
+    for same, x in got.items():
+        a, b = (y.orderBy("id", "rep").toPandas() for y in (x, ask(same_seed=same)))
+        assert a.columns.tolist() == b.columns.tolist() and len(a) == len(b) > 0
+        np.testing.assert_allclose(a[list(ALL)], b[list(ALL)], rtol=1e-9)
+        assert a[["id", "rep"]].equals(b[["id", "rep"]])
